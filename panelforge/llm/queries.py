@@ -1,6 +1,8 @@
 """Registry of the training-data queries."""
 
+from panelforge.llm.language_id import op10_language_id
 from panelforge.llm.ngram_join import op1_ngram_jaccard_join
+from panelforge.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op10_language_id)}
 ORACLES: dict[str, str] = {}
