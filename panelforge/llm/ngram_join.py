@@ -42,8 +42,9 @@ from panelforge.llm.common import connected_components, materialize, mix64, read
 
 PERCENT = 80
 WIDTH = 5
-#: Shingles for each bucket, members of a tile's block, entries of the heavy list, bits of a bitmap.
-BUCKET_SHINGLES = 3_000_000
+#: Shingles for each bucket and in a map task at a time, members of a tile's block, entries of the heavy list, bits of a bitmap.
+BUCKET_SHINGLES = 1_500_000
+FLUSH = 1_000_000
 TILE = 2_048
 HEAVY = 20_000
 BITS = 1_024
@@ -72,10 +73,6 @@ def unpack48(blob: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list:
-    return batch.column(name).to_pylist()
-
-
 def _key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -83,8 +80,8 @@ def _key(tokens: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, keys, sample, sampled = batch.column("doc_id"), [], [], [], 0
-        for text in _texts(batch):
-            tokens = shingle_set(text, WIDTH) & LOW48
+        for text in batch.column("text"):
+            tokens = shingle_set(text.as_py(), WIDTH) & LOW48
             sizes.append(len(tokens))
             keys.append(_key(tokens) if len(tokens) else None)
             if len(tokens) and sampled < 256:
@@ -122,36 +119,41 @@ def heavy_shingles(of_sets: DataFrame) -> np.ndarray:
 
 
 def _deal(heavy: np.ndarray, buckets: int):
-    """Map step: each batch's shingles, packed for each bucket, with each distinct set of the batch once."""
+    """Map step: the shingles of up to ``FLUSH`` at a time, packed for each bucket, with each distinct set once."""
+
+    def packed(keys: list, parts: list) -> pa.RecordBatch:
+        keys, sizes = np.array(keys, np.int64), np.array([len(p) for p in parts], np.int64)
+        tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+        bucket = (mix64(tokens) % np.uint64(buckets)).astype(np.int32)
+        if len(heavy):  # heavy ones go to a bucket of their set's key
+            at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+            hot = heavy[at] == tokens
+            bucket[hot] = -1 - (keys[owner[hot]] % buckets)
+        order = np.argsort(bucket, kind="stable")  # owners ascend already
+        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+            own, counts = np.unique(owner[lo:hi], return_counts=True)
+            out.append((int(bucket[lo]), keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), pack48(tokens[lo:hi])))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, parts, held = set(), [], [], 0
         for batch in batches:
-            seen, keys, sizes, parts = set(), [], [], []
-            for text in _texts(batch):
-                tokens = shingle_set(text, WIDTH) & LOW48
+            for text in batch.column("text"):
+                tokens = shingle_set(text.as_py(), WIDTH) & LOW48
                 if len(tokens) and (key := _key(tokens)) not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sizes.append(len(tokens))
                     parts.append(tokens)
-            if not keys:
-                continue
-            keys, sizes = np.array(keys, np.int64), np.array(sizes, np.int64)
-            tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(keys)), sizes)
-            bucket = (mix64(tokens) % np.uint64(buckets)).astype(np.int64)
-            if len(heavy):  # heavy ones go to a bucket of their set's key
-                at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-                hot = heavy[at] == tokens
-                bucket[hot] = -1 - (keys[owner[hot]] % buckets)
-            order = np.lexsort((owner, bucket))
-            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            out = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-                own, counts = np.unique(owner[lo:hi], return_counts=True)
-                out.append((int(bucket[lo]), keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), pack48(tokens[lo:hi])))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
+                    held += len(tokens)
+                    if held >= FLUSH:
+                        yield packed(keys, parts)
+                        seen, keys, parts, held = set(), [], [], 0
+        if keys:
+            yield packed(keys, parts)
 
     return run
 
@@ -159,7 +161,8 @@ def _deal(heavy: np.ndarray, buckets: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce step, a row for each bucket: the shingles that two sets or more hold, sent back to each set as frequency << 48 | hash."""
     for batch in batches:
-        for bucket, parts in zip(batch.column("bucket").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+        for row in range(batch.num_rows):
+            bucket, parts = batch.column("bucket")[row].as_py(), batch.column("parts")[row].as_py()
             keys = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
             sizes = np.concatenate([np.frombuffer(p["sizes"], "<u4") for p in parts])
             counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
@@ -199,7 +202,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes = batch.column("set_key"), batch.column("n").to_pylist()
         blobs, prefixes, maps, keep = [], [], [], []
-        for n, parts in zip(sizes, batch.column("parts").to_pylist(), strict=True):
+        for n, parts in zip(sizes, batch.column("parts"), strict=True):
+            parts = parts.as_py()
             tokens = np.sort(np.frombuffer(b"".join(parts), "<u8"))
             length = n - least_share(n) + 1 - (n - len(tokens))  # the unshared ones come first
             keep.append(length > 0)
@@ -226,7 +230,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each tile (or pair of its blocks): a spanning forest of the links in it."""
     for batch in batches:
         a, b = [], []
-        for members in batch.column("members").to_pylist():
+        for row in range(batch.num_rows):
+            members = batch.column("members")[row].as_py()
             members.sort(key=lambda m: (m["n"], m["rep"]))
             sizes = np.array([m["n"] for m in members], np.int64)
             reps = [m["rep"] for m in members]
