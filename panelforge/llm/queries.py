@@ -1,8 +1,15 @@
 """Registry of the training-data queries."""
 
 from panelforge.llm.language_id import op10_language_id
+from panelforge.llm.mixing import op9_mixing
 from panelforge.llm.ngram_join import op1_ngram_jaccard_join
+from panelforge.llm.personal_data import op6_personal_data
+from panelforge.llm.secrets import op5_secret_scan
+from panelforge.llm.sharding import op4_sharding
 from panelforge.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_toxicity, op4_sharding, op5_secret_scan, op6_personal_data, op9_mixing, op10_language_id)
+}
 ORACLES: dict[str, str] = {}
