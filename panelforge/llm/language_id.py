@@ -14,20 +14,20 @@ no shuffle, memory bounded by the word cache.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.llm.common import read
+from panelforge.llm.common import mix64, read
 
 #: Vocabulary file, labelled documents to learn from, EM rounds, languages at most, words kept in a task's cache.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 4_000
 ROUNDS = 2
 LANGUAGES = 200
-CACHE = 200_000
+CACHE = 300_000
 #: Share of the pooled distribution in each language's, and the probability of a character outside the vocabulary.
 POOLED = 0.02
 UNSEEN = 1e-9
@@ -44,74 +44,118 @@ def pieces(path: str = VOCABULARY) -> list[str]:
     return sorted(out)
 
 
+def by_length(words: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points as a matrix) of the words of one length at a time, each with ``START`` before it."""
+    words = list(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        for lo in range(0, len(at), 20_000):
+            some = at[lo : lo + 20_000]
+            raw = "".join(START + words[i] for i in some).encode("utf-32-le", "surrogatepass")
+            yield some, np.frombuffer(raw, "<u4").reshape(len(some), n + 1).astype(np.uint64)
+
+
 class Unigrams:
-    """Piece probabilities of several languages; sums over segmentations."""
-
-    def __init__(self, table: dict[str, list[float]], width: int):
-        self.table, self.width = table, width
-        self.longest = max(map(len, table), default=1)
-        self.unseen = [UNSEEN] * width
-
-    def edges(self, s: str, j: int) -> list[tuple[int, list[float]]]:
-        """(start, probabilities) of the pieces that end at j; a lone unknown character counts as one."""
-        get, out = self.table.get, []
-        for i in range(max(0, j - self.longest), j):
-            if (p := get(s[i:j])) is not None:
-                out.append((i, p))
-        if not out or out[-1][0] != j - 1:
-            out.append((j - 1, self.unseen))
+    """Piece probabilities of several languages (rows: pieces, columns: languages); sums over segmentations.
+
+    Words of one length are handled together: substrings are looked up by their
+    polynomial hash, first in a bit table, then in the sorted piece hashes.
+    """
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, names: list[str], table: np.ndarray):
+        self.names, self.width = names, table.shape[1]
+        self.longest = max(map(len, names), default=1)
+        keys = np.array([self._hash(p) for p in names], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], order
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(mix64(self.keys) >> np.uint64(44)).astype(np.int64)] = True
+        self.table = np.vstack([table, np.full((1, self.width), UNSEEN)])  # the last row: an unknown character
+
+    def _hash(self, piece: str) -> int:
+        out = 0
+        for c in piece:
+            out = (out * int(self.BASE) + ord(c) + 1) % (1 << 64)
         return out
 
-    def log_probability(self, word: str) -> list[float]:
-        """Log of the word's probability in each language, summed over all segmentations."""
-        s, langs = START + word, range(self.width)
-        alpha, logs = [[1.0] * self.width], [0.0] * self.width
-        longest = self.longest
-        for j in range(1, len(s) + 1):
-            now = [0.0] * self.width
-            for i, p in self.edges(s, j):
-                a = alpha[i]
-                for k in langs:
-                    now[k] += a[k] * p[k]
-            alpha.append(now)
-            for k in langs:  # keep long words above underflow
-                if now[k] < 1e-150:
-                    scale = 1 / now[k]
-                    logs[k] -= math.log(scale)
-                    for i in range(max(0, j - longest), j + 1):
-                        alpha[i][k] *= scale
-            if j > longest:
-                alpha[j - longest - 1] = None
-        return [math.log(alpha[-1][k]) + logs[k] for k in langs]
-
-    def expected(self, word: str, lang: int) -> dict[str, float]:
-        """Expected count of each piece in the word, over all segmentations in one language."""
-        s = (START + word)[:200]
-        into = [self.edges(s, j) for j in range(1, len(s) + 1)]
-        alpha, beta = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
-        for j, edges in enumerate(into, 1):
-            alpha[j] = sum(alpha[i] * p[lang] for i, p in edges)
-        for j in range(len(s), 0, -1):
-            for i, p in into[j - 1]:
-                beta[i] += p[lang] * beta[j]
-        out: dict[str, float] = {}
-        if alpha[-1] > 0:
-            for j, edges in enumerate(into, 1):
-                for i, p in edges:
-                    if p is not self.unseen:
-                        out[s[i:j]] = out.get(s[i:j], 0.0) + alpha[i] * p[lang] * beta[j] / alpha[-1]
+    def prefixes(self, codes: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(codes), np.uint64)]
+        with np.errstate(over="ignore"):
+            for j in range(codes.shape[1]):
+                out.append(out[-1] * self.BASE + codes[:, j] + np.uint64(1))
+        return out
+
+    def edges(self, prefix: list[np.ndarray], j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, words, pieces) of the pieces that end at j; a lone unknown character counts as one."""
+        with np.errstate(over="ignore"):
+            power = np.uint64(1)
+            for i in range(j - 1, max(0, j - self.longest) - 1, -1):
+                power = power * self.BASE
+                key = prefix[j] - prefix[i] * power
+                at = np.flatnonzero(self.bits[(mix64(key) >> np.uint64(44)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+                hit = self.keys[place] == key[at]
+                at, ids = at[hit], self.ids[place[hit]]
+                if i == j - 1 and len(at) < len(key):
+                    lone = np.full(len(key), len(self.table) - 1)
+                    lone[at] = ids
+                    at, ids = np.arange(len(key)), lone
+                if len(at):
+                    yield i, at, ids
+
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """Log of each word's probability in each language, summed over all segmentations."""
+        out = np.empty((len(words), self.width))
+        for some, codes in by_length(words):
+            prefix = self.prefixes(codes)
+            alpha, logs = [np.ones((len(some), self.width))], np.zeros((len(some), self.width))
+            for j in range(1, codes.shape[1] + 1):
+                now = np.zeros((len(some), self.width))
+                for i, at, ids in self.edges(prefix, j):
+                    now[at] += alpha[i][at] * self.table[ids]
+                alpha.append(now)
+                if j > self.longest:
+                    alpha[j - self.longest - 1] = None
+                if now.min() < 1e-150:  # keep long words above underflow
+                    scale = np.where(now < 1e-150, 1 / now, 1.0)
+                    logs -= np.log(scale)
+                    for i in range(max(0, j - self.longest), j + 1):
+                        alpha[i] = alpha[i] * scale
+            out[some] = np.log(alpha[-1]) + logs
         return out
 
+    def expected(self, words: list[str], counts: np.ndarray, lang: int) -> np.ndarray:
+        """Expected uses of each piece in counted words of one language, over all segmentations."""
+        out = np.zeros(len(self.table))
+        for some, codes in by_length(words):
+            prefix, size = self.prefixes(codes), codes.shape[1]
+            into = [list(self.edges(prefix, j)) for j in range(1, size + 1)]
+            p = self.table[:, lang]
+            alpha, beta = np.zeros((size + 1, len(some))), np.zeros((size + 1, len(some)))
+            alpha[0] = beta[size] = 1.0
+            for j, edges in enumerate(into, 1):
+                for i, at, ids in edges:
+                    alpha[j, at] += alpha[i, at] * p[ids]
+            scale = np.divide(counts[some], alpha[size], out=np.zeros(len(some)), where=alpha[size] > 0)
+            for j in range(size, 0, -1):
+                for i, at, ids in into[j - 1]:
+                    beta[i, at] += p[ids] * beta[j, at]
+                    np.add.at(out, ids, alpha[i, at] * p[ids] * beta[j, at] * scale[at])
+        return out[:-1]
+
 
 def _count(model: Unigrams, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
-            for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for piece, x in model.expected(word, langs.index(lang)).items():
-                    sums[lang, piece] = sums.get((lang, piece), 0.0) + n * x
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(sums.values()), pa.float64())], ["lang", "piece", "n"])
+            of, words, n = np.array(batch.column("lang").to_pylist(), object), batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            for k, lang in enumerate(langs):
+                mine = np.flatnonzero(of == lang)
+                sums = model.expected([words[i] for i in mine], n[mine], k)
+                used = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int64)), pa.array(sums[used])], ["lang", "piece", "n"])
 
     return run
 
@@ -133,57 +177,46 @@ def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) ->
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     vocabulary = pieces(path)
-    model = Unigrams({p: [1 / len(vocabulary)] * len(langs) for p in vocabulary}, len(langs))
+    model = Unigrams(vocabulary, np.full((len(vocabulary), len(langs)), 1 / len(vocabulary)))
     for _ in range(ROUNDS if langs else 0):
-        found = words.mapInArrow(_count(model, langs), "lang string, piece string, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
-        counts = {p: [0.0] * len(langs) for p in vocabulary}
+        found = words.mapInArrow(_count(model, langs), "lang string, piece long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros((len(vocabulary), len(langs)))
         for r in found:
-            counts[r["piece"]][langs.index(r["lang"])] = r["n"]
-        totals = [max(1.0, sum(c[k] for c in counts.values())) for k in range(len(langs))]
-        floor, every = 0.5 / len(vocabulary), sum(totals)
-        table = {}
-        for p, c in counts.items():
-            pooled = (sum(c) + floor) / (every + 0.5)
-            table[p] = [(1 - POOLED) * c[k] / totals[k] + POOLED * pooled for k in range(len(langs))]
-        model = Unigrams(table, len(langs))
+            counts[r["piece"], langs.index(r["lang"])] = r["n"]
+        pooled = (counts.sum(1, keepdims=True) + 0.5 / len(vocabulary)) / (counts.sum() + 0.5)
+        model = Unigrams(vocabulary, (1 - POOLED) * counts / np.maximum(1.0, counts.sum(0)) + POOLED * pooled)
     words.unpersist()
     return langs, model
 
 
 def _predict(langs: list[str], model: Unigrams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[str, int] = {}
-        fresh: list[list[float]] = []  # rows to come at the end of the matrix
+        at: dict[str, int] = {}  # word to row of the matrix
         matrix = np.empty((0, len(langs)))
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column("text").to_pylist():
-                if text is None or not langs or not any(map(str.isalpha, text)):
-                    preds.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
+            for lo in range(0, batch.num_rows, 512):
+                texts = batch.column("text").slice(lo, 512).to_pylist()
+                parts = [t.lower().split() if t and langs and any(map(str.isalpha, t)) else None for t in texts]
                 if len(at) > CACHE:
-                    at, fresh, matrix = {}, [], np.empty((0, len(langs)))
-                words = text.lower().split()
-                for w in words:
-                    if w not in at:
-                        at[w] = len(at)
-                        fresh.append(model.log_probability(w))
-                if len(fresh) > max(2_000, len(matrix) // 4):
-                    matrix, fresh = np.concatenate([matrix, np.array(fresh)]), []
-                ids = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-                late = ids >= len(matrix)
-                total = matrix[ids[~late]].sum(0)
-                if late.any():
-                    total = total + np.array([fresh[i - len(matrix)] for i in ids[late]]).sum(0)
-                share = np.exp(total - total.max())
-                share /= share.sum()
-                best = int(share.argmax())
-                preds.append(langs[best])
-                scores.append(float(share[best]))
-            rest = [batch.column(n) for n in batch.schema.names if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                    at, matrix = {}, np.empty((0, len(langs)))
+                fresh = list({w for words in parts if words for w in words if w not in at})
+                if fresh:
+                    at.update(zip(fresh, range(len(at), len(at) + len(fresh)), strict=True))
+                    matrix = np.concatenate([matrix, model.log_probability(fresh)])
+                for words in parts:
+                    if words is None:
+                        preds.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    total = matrix[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(0)
+                    share = np.exp(total - total.max())
+                    share /= share.sum()
+                    best = int(share.argmax())
+                    preds.append(langs[best])
+                    scores.append(float(share[best]))
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return run
 

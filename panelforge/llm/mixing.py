@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelforge.llm.common import read
 
 #: Slots in a period, rows in a block, rows in a numbering bucket, sources at most.
-PERIOD = 1_024
+PERIOD = 4_096
 BLOCK = 64
 BUCKET = 4_000
-SOURCES = 2_000
+SOURCES = 500
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
