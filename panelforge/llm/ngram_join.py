@@ -43,13 +43,14 @@ from panelforge.llm.common import connected_components, materialize, mix64, read
 PERCENT = 80
 WIDTH = 5
 #: Shingles for each bucket and in a map task at a time, members of a tile's block, entries of the heavy list, bits of a bitmap.
-BUCKET_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 2_500_000
 FLUSH = 1_000_000
 TILE = 2_048
 HEAVY = 20_000
 BITS = 1_024
 LOW48 = np.uint64((1 << 48) - 1)
 TOP = np.uint64(48)
+PACKED = "bucket long, keys binary, sizes binary, counts binary, tokens binary"
 NEVER = 65_535  # the frequency that heavy shingles are given
 
 
@@ -58,11 +59,6 @@ def least_overlap(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def least_share(n: int) -> int:
-    """Least intersection of a set of n elements with any set that it links with."""
-    return -(-PERCENT * n // 100)
-
-
 def pack48(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -131,11 +127,13 @@ def _deal(heavy: np.ndarray, buckets: int):
             bucket[hot] = -1 - (keys[owner[hot]] % buckets)
         order = np.argsort(bucket, kind="stable")  # owners ascend already
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        home = keys % buckets
         out = []
-        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+        for to in np.union1d(bucket, home):
+            lo, hi = np.searchsorted(bucket, to, "left"), np.searchsorted(bucket, to, "right")
             own, counts = np.unique(owner[lo:hi], return_counts=True)
-            out.append((int(bucket[lo]), keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), pack48(tokens[lo:hi])))
+            here = home == to  # a set's size goes once, by the bucket that bears the number of its group
+            out.append((int(to), keys[own].tobytes(), np.stack([keys[here], sizes[here]], 1).tobytes(), counts.astype("<u4").tobytes(), pack48(tokens[lo:hi])))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
 
@@ -158,67 +156,90 @@ def _deal(heavy: np.ndarray, buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce step, a row for each bucket: the shingles that two sets or more hold, sent back to each set as frequency << 48 | hash."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            bucket, parts = batch.column("bucket")[row].as_py(), batch.column("parts")[row].as_py()
-            keys = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
-            sizes = np.concatenate([np.frombuffer(p["sizes"], "<u4") for p in parts])
-            counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
-            tokens = np.concatenate([unpack48(p["tokens"]) for p in parts])
-            del parts
-            first = np.zeros(len(keys), bool)  # one copy of each set
-            first[np.unique(np.stack([keys, sizes.astype(np.int64)], 1), axis=0, return_index=True)[1]] = True
-            tokens = tokens[np.repeat(first, counts)]
-            keys, sizes, counts = keys[first], sizes[first], counts[first]
-            if bucket < 0:
-                keep = np.ones(len(tokens), bool)
-                tokens = tokens | (np.uint64(NEVER) << TOP)
-            else:
-                order = np.argsort(tokens)
-                ranked = tokens[order]
-                starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                runs = np.diff(np.append(starts, len(ranked)))
-                often = np.empty(len(tokens), np.uint64)
-                often[order] = np.repeat(np.minimum(runs, NEVER - 1), runs).astype(np.uint64)
-                keep = often >= 2
-                tokens = tokens | (often << TOP)
-            owner = np.repeat(np.arange(len(keys)), counts)[keep]
-            tokens = tokens[keep]
-            if not len(tokens):
-                continue
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            own = owner[np.concatenate([[0], cuts])]
-            raw, ends = tokens.astype("<u8").tobytes(), [*cuts, len(tokens)]
-            blobs = [raw[8 * lo : 8 * hi] for lo, hi in zip([0, *cuts], ends, strict=True)]
-            for lo in range(0, len(own), 20_000):
-                hi = lo + 20_000
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own[lo:hi]]), pa.array(sizes[own[lo:hi]].astype(np.int64)), pa.array(blobs[lo:hi], pa.binary())], ["set_key", "n", "part"])
+def _shared(groups: int):
+    """Reduce step, a row for each bucket: the shingles that two sets or more hold, as frequency << 48 | hash, packed for groups of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, parts = batch.column("bucket")[row].as_py(), batch.column("parts")[row].as_py()
+                keys = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
+                sizes = b"".join(p["sizes"] for p in parts)
+                counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
+                tokens = np.concatenate([unpack48(p["tokens"]) for p in parts])
+                del parts
+                first = np.zeros(len(keys), bool)  # one copy of each set
+                first[np.unique(keys, return_index=True)[1]] = True
+                tokens = tokens[np.repeat(first, counts)]
+                keys, counts = keys[first], counts[first]
+                if bucket < 0:
+                    keep = np.ones(len(tokens), bool)
+                    tokens = tokens | (np.uint64(NEVER) << TOP)
+                elif len(tokens):
+                    order = np.argsort(tokens)
+                    ranked = tokens[order]
+                    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                    runs = np.diff(np.append(starts, len(ranked)))
+                    often = np.empty(len(tokens), np.uint64)
+                    often[order] = np.repeat(np.minimum(runs, NEVER - 1), runs).astype(np.uint64)
+                    keep = often >= 2
+                    tokens = tokens | (often << TOP)
+                else:
+                    keep = np.zeros(0, bool)
+                owner = np.repeat(np.arange(len(keys)), counts)[keep]
+                tokens, counts = tokens[keep], np.bincount(owner, minlength=len(keys))
+                group = keys % groups
+                order = np.argsort(group[owner], kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                sets_in = np.argsort(group, kind="stable")
+                sets_in = sets_in[counts[sets_in] > 0]
+                cuts = np.flatnonzero(np.diff(group[sets_in])) + 1 if len(sets_in) else []
+                ends = np.cumsum(counts[sets_in])
+                out = [(bucket, b"", sizes, b"", b"")] if sizes else []
+                for lo, hi in zip([0, *cuts], [*cuts, len(sets_in)], strict=True) if len(sets_in) else ():
+                    own = sets_in[lo:hi]
+                    some = tokens[(ends[lo - 1] if lo else 0) : ends[hi - 1]]
+                    out.append((int(group[own[0]]), keys[own].tobytes(), b"", counts[own].astype("<u4").tobytes(), some.astype("<u8").tobytes()))
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
+
+    return run
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set that may link: its shared shingles sorted, its prefix, its parity bitmap."""
+    """From a row for each group of sets, a row for each set that may link: its shared shingles sorted, its prefix, its parity bitmap."""
     for batch in batches:
-        keys, sizes = batch.column("set_key"), batch.column("n").to_pylist()
-        blobs, prefixes, maps, keep = [], [], [], []
-        for n, parts in zip(sizes, batch.column("parts"), strict=True):
-            parts = parts.as_py()
-            tokens = np.sort(np.frombuffer(b"".join(parts), "<u8"))
-            length = n - least_share(n) + 1 - (n - len(tokens))  # the unshared ones come first
-            keep.append(length > 0)
-            if length <= 0:
+        for row in range(batch.num_rows):
+            parts = batch.column("parts")[row].as_py()
+            size_of = np.unique(np.frombuffer(b"".join(p["sizes"] for p in parts), np.int64).reshape(-1, 2), axis=0)
+            named = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
+            counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
+            tokens = np.concatenate([np.frombuffer(p["tokens"], "<u8") for p in parts])
+            del parts
+            if not len(named):
                 continue
-            prefixes.append((tokens[:length] & LOW48).astype(np.int64).tolist())
-            tokens = np.sort(tokens & LOW48)
-            blobs.append(pack48(tokens))
-            odd = np.bincount((mix64(tokens) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-            maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [keys.filter(mask), batch.column("n").filter(mask), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())],
-            ["set_key", "n", "prefix", "tokens", "bitmap"],
-        )
+            own, at = np.unique(named, return_inverse=True)
+            own = size_of[np.searchsorted(size_of[:, 0], own)]
+            owner = np.repeat(at, counts)
+            order = np.lexsort((tokens, owner))
+            tokens, shared = tokens[order], np.bincount(owner, minlength=len(own))
+            ends = np.cumsum(shared)
+            # the shingles that no other set holds come first in the order and take up their part of the prefix
+            lengths = own[:, 1] + PERCENT * own[:, 1] // -100 + 1 - (own[:, 1] - shared)
+            keep = np.flatnonzero(lengths > 0)
+            blobs, prefixes, maps = [], [], []
+            for k in keep:
+                mine = tokens[ends[k] - shared[k] : ends[k]]
+                prefixes.append((mine[: lengths[k]] & LOW48).astype(np.int64).tolist())
+                mine = np.sort(mine & LOW48)
+                blobs.append(pack48(mine))
+                odd = np.bincount((mix64(mine) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())],
+                ["set_key", "n", "prefix", "tokens", "bitmap"],
+            )
 
 
 def size_band(n):
@@ -271,11 +292,11 @@ def links(docs: DataFrame, of_sets: DataFrame) -> DataFrame:
     total = of_sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(4, math.ceil(total / BUCKET_SHINGLES))
     heavy = heavy_shingles(of_sets)
-    dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_deal(heavy, buckets), "bucket long, keys binary, sizes binary, counts binary, tokens binary")
+    dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_deal(heavy, buckets), PACKED)
     by_bucket = dealt.groupBy("bucket").agg(F.collect_list(F.struct("keys", "sizes", "counts", "tokens")).alias("parts"))
-    back = by_bucket.mapInArrow(_shared, "set_key long, n long, part binary")
-    enough = back.groupBy("set_key", "n").agg(F.collect_list("part").alias("parts"), F.sum(F.length("part") / 8).alias("shared")).where(f"100 * shared >= {PERCENT} * n")
-    kept = materialize(enough.select("set_key", "n", "parts").mapInArrow(_prefixes, "set_key long, n long, prefix array<long>, tokens binary, bitmap binary"), "jaccard-sets")
+    back = by_bucket.mapInArrow(_shared(buckets), PACKED)
+    by_group = back.groupBy("bucket").agg(F.collect_list(F.struct("keys", "sizes", "counts", "tokens")).alias("parts"))
+    kept = materialize(by_group.mapInArrow(_prefixes, "set_key long, n long, prefix array<long>, tokens binary, bitmap binary"), "jaccard-sets")
 
     band = size_band(F.col("n"))
     held = kept.select("set_key", band.alias("band"), F.explode("prefix").alias("shingle"))
