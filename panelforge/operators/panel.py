@@ -120,4 +120,4 @@ def causal_median(df: DataFrame, value: str, time: str = "date") -> DataFrame:
     dates = date_index(df, time)
     past = counts.join(F.broadcast(dates), time).select(F.col("date_idx").alias("_i"), F.col(value).alias("_v"), "c")
     pooled = F.broadcast(dates).join(past, F.col("_i") < F.col("date_idx"))
-    return dates.join(pooled.groupBy(time).agg(F.percentile("_v", 0.5, "c").alias("median")), time, "left").select(time, "median")
+    return dates.join(pooled.groupBy(time).agg(F.percentile("_v", 0.5, F.col("c")).alias("median")), time, "left").select(time, "median")

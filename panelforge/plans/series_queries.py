@@ -144,7 +144,8 @@ def panel_assembly(spark, d):
     b, c = bars(spark, d, "month"), contracts(spark, d)
     targets = b.select(*K, W.forward_return(col("ret"), 1, w()).alias("target")).where("target is not null")
     out = panel.assemble(targets, [b.select(*K, "sector", "ret")], [chain.parity_deviation(c).select(*K, "parity_deviation"), chain.implied_moments(c).select(*K, "variance")], list(K))
-    out = panel.one_hot(out, "sector", [r[0] for r in scan(spark, d, "region", ["r_name"]).collect()], "sec_")
+    names = sorted(r[0] for r in scan(spark, d, "region", ["r_name"]).collect())
+    out = panel.one_hot(out, "sector", names, "sec_").withColumnsRenamed({f"sec_{n}": f"sector{i}" for i, n in enumerate(names)})
     return rounded(panel.sanitized(out, panel.present(out, ["ret", "parity_deviation", "variance", "absent"])).drop("sector"))
 
 
@@ -284,7 +285,7 @@ SELECT feature, {R('rate')}, rate > 0.5 AS warn FROM g""",
     "panel_assembly": f"""{_inner(CQ.ORACLES['bkm_moments'], 'q').replace('q AS (SELECT ticker, date, n,', 'bk AS (SELECT ticker, date, n,')}, {_inner(CQ.ORACLES['parity_deviation'], 'q').split(', n AS (', 1)[1].join(['nn AS (', '']).replace('FROM n c JOIN n p', 'FROM nn c JOIN nn p').replace('p AS (SELECT c.ticker', 'pp AS (SELECT c.ticker').replace('FROM p GROUP', 'FROM pp GROUP').replace('q AS (', 'pq AS (')},
 t AS (SELECT ticker, date, sector, ret, LEAD(ret) {O} AS target FROM bars_m),
 f AS (SELECT t.ticker, t.date, target, COALESCE(ret, 0) AS ret, COALESCE(parity_deviation, 0) AS parity_deviation, COALESCE(variance, 0) AS variance, sector FROM t LEFT JOIN pq ON t.ticker = pq.ticker AND t.date = pq.date LEFT JOIN bk ON t.ticker = bk.ticker AND t.date = bk.date WHERE target IS NOT NULL)
-SELECT ticker, date, {R('target ret parity_deviation variance')}, $SECTORS FROM f""",
+SELECT ticker, date, {R('target ret parity_deviation variance')}, {', '.join(f'CAST(sector = (SELECT r_name FROM region ORDER BY r_name LIMIT 1 OFFSET {i}) AS INT) AS sector{i}' for i in range(4))} FROM f""",
     "upsert_latest": """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS p FROM orders), a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, p DESC) AS r FROM o), b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, p DESC) AS r FROM o WHERE o_orderkey % 3 = 0)
 SELECT a.o_custkey, COALESCE(b.o_orderkey, a.o_orderkey) AS o_orderkey, COALESCE(b.p, a.p) AS o_totalprice FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND b.r = 1 WHERE a.r = 1""",
     "pending_cells": f"""{B} SELECT n_name, h AS horizon FROM nation CROSS JOIN (SELECT 1 AS h UNION ALL SELECT 2 UNION ALL SELECT 3) g WHERE NOT EXISTS (SELECT 1 FROM bars WHERE vol > 200 AND ticker = n_name AND date_idx % 3 + 1 = h)""",

@@ -44,14 +44,14 @@ FROM (
  JOIN {bars_m} b ON l.ticker = b.ticker AND l.date = b.date
  GROUP BY 1, 2, 3, 4, 5) c"""
 
-#: Three feature sets of one model; y_raw is the next period's return. Values are rounded so that float noise can't split ties.
+#: Three feature sets of one model; y_raw is a hundredth of the next period's return. Values are rounded so that float noise can't split ties.
 PREDS = """
 SELECT 'rule' AS model, feature_set, 'rolling' AS scheme, horizon, ticker, sector, date, date_idx, pred, y_raw,
  ROUND(y_raw - AVG(y_raw) OVER (PARTITION BY feature_set, horizon, date), 9) AS y_demeaned, vix_close, days_to_next_earnings, spread
 FROM (
  SELECT s.feature_set, h.horizon, ticker, sector, date, date_idx, vix_close, days_to_next_earnings, 0.0005 * (1 + date_idx % 4) AS spread,
   ROUND(CASE s.feature_set WHEN 'A' THEN -ret WHEN 'B' THEN prc / prev4 - 1 ELSE vol / prev_vol - 1 END / 10, 9) AS pred,
-  ROUND(CASE h.horizon WHEN 1 THEN next1 / prc - 1 ELSE next3 / prc - 1 END, 9) AS y_raw
+  ROUND(CASE h.horizon WHEN 1 THEN next1 / prc - 1 ELSE next3 / prc - 1 END / 100, 9) AS y_raw
  FROM (SELECT b.*, LAG(prc, 4) OVER w AS prev4, LAG(vol) OVER w AS prev_vol, LEAD(prc, 1) OVER w AS next1, LEAD(prc, 3) OVER w AS next3
   FROM {bars} b WINDOW w AS (PARTITION BY ticker ORDER BY date)) x
  CROSS JOIN (SELECT 'A' AS feature_set UNION ALL SELECT 'B' UNION ALL SELECT 'C') s CROSS JOIN (SELECT 1 AS horizon UNION ALL SELECT 3) h) y
