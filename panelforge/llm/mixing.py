@@ -31,6 +31,7 @@ PERIOD = 4_096
 BLOCK = 64
 BUCKET = 4_000
 SOURCES = 500
+RESERVED = ("mix_block", "mix_slot", "mix_position", "_source", "_bucket", "_rows", "_before", "_at", "_rank", "_first")
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -107,9 +108,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     ``weights`` maps sources to target weights; by default a source's weight is
     its row count to the given power. Sources without a weight come last. Null
     sources are one source. Equal and repeated rows are kept and get positions
-    of their own; an empty table gives an empty result.
+    of their own; an empty table gives an empty result. Columns of ``docs`` with
+    the names that are added or used inside are dropped first.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESERVED)
     total = docs.count()
     buckets = max(8, math.ceil(total / BUCKET))
     ids = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))

@@ -85,13 +85,13 @@ def _scored(text: Column, kind: Kind):
 
 
 def find(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """Confirmed spans with a ``score``, kind by kind and by start."""
+    """Confirmed spans with a ``score``, kind by kind and by start; none for a null text."""
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,score:int>>")
     parts = []
     for k in kinds:
         found = F.filter(spans.find(text, k.name, k.pattern), _confirmed(k))
         parts.append(F.when(text.rlike(k.hint), F.transform(found, _scored(text, k))).otherwise(empty))
-    return F.concat(*parts)
+    return F.coalesce(F.concat(*parts), empty)
 
 
 def op6_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -58,8 +58,11 @@ def repeated_places(hashes: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper in place of its text.
 
-    Null texts count as empty. Every count is over the whole text.
+    Null texts count as empty. Every count is over the whole text. Columns with
+    the names that are added or used inside are dropped first; repeated rows
+    stay.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "_w", "_h", "_g", "_p", "_at")
     t = docs.withColumn("_t", F.coalesce("text", F.lit(""))).drop("text")
     t = t.withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")

@@ -95,14 +95,19 @@ def _score(at: np.ndarray, w: np.ndarray):
             for text in batch.column("text").to_pylist():
                 f = features(text)
                 x = bias + dense[np.unique(f[has[f]])].sum()
-                scores.append(1 / (1 + math.exp(-max(-35.0, min(35.0, x)))))
+                scores.append(1 / (1 + math.exp(-max(-35.0, min(35.0, x)))) if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, at: np.ndarray, w: np.ndarray) -> DataFrame:
-    """``(doc_id, score)`` for every row, from its whole text; null and empty texts get the bias alone."""
+    """``(doc_id, score)`` for every row, from its whole text.
+
+    Null and empty texts get the bias alone. Without any learned weight (no
+    labels) every score is 0. Repeated rows are scored each; other columns are
+    ignored.
+    """
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_score(at, w), "doc_id long, score double")
 
 

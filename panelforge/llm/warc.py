@@ -49,12 +49,15 @@ PLACES = "page_id long, url string, digest string, record_type string, refers_to
 
 
 def surt(url: str | None) -> str:
-    """Sort key of a URL: host labels reversed, without scheme, ``www.``, port 80 or 443, user and fragment."""
-    parts = urlsplit(url or "")
+    """Sort key of a URL: host labels reversed, without scheme, ``www.``, port 80 or 443, user and fragment.
+
+    What can't be parsed as a URL is its own key; null is the empty URL.
+    """
     try:
+        parts = urlsplit(url or "")
         host, port = (parts.hostname or "").lower(), parts.port
     except ValueError:
-        host, port = parts.netloc.lower(), None
+        return url
     host = re.sub(r"^www\d*\.", "", host)
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "")
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
@@ -217,7 +220,7 @@ def lookup(wanted: DataFrame, top: DataFrame, folder: str) -> DataFrame:
     spark = wanted.sparkSession
     files = spark.createDataFrame([(i, r["index_file"], r["offset"], r["length"]) for i, r in enumerate(rows)], "part int, index_file string, offset long, length long")
     dealt = wanted.select("key", "page_id").mapInArrow(deal, "key string, page_id long, part int")
-    pieces = dealt.groupBy("part", (F.pmod(F.xxhash64("key", "page_id"), F.lit(FILE // PIECE))).alias("piece")).agg(F.collect_list(F.struct("key", "page_id")).alias("wanted"))
+    pieces = dealt.groupBy("part", (F.pmod(F.xxhash64("key", "page_id"), F.lit(max(1, FILE // PIECE)))).alias("piece")).agg(F.collect_list(F.struct("key", "page_id")).alias("wanted"))
     jobs = pieces.join(F.broadcast(files), "part").select("index_file", "offset", "length", "wanted")
     return jobs.mapInArrow(_search(folder), "key string, page_id long, file string, offset long, length long")
 
