@@ -64,7 +64,7 @@ BASE = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}", lambda m: between(13, 19)(m) & luhn(m), 80, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", between(9, 15), 60, "tel|phone|call|fax"),
 )
-MORE = (Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", mod97, 80, "iban|account|bank|konto"),)
+MORE = (Kind("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", mod97, 80, "iban|account|bank|konto"),)
 KINDS = BASE + MORE
 #: Characters before a span that count as its context, and what a context word adds to a score of at most 100.
 CONTEXT = 40

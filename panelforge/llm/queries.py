@@ -5,6 +5,7 @@ from panelforge.llm.decontamination import op7_decontamination
 from panelforge.llm.language_id import op10_language_id
 from panelforge.llm.mixing import op9_mixing
 from panelforge.llm.ngram_join import op1_ngram_jaccard_join
+from panelforge.llm.oracles import ORACLES
 from panelforge.llm.personal_data import op6_personal_data
 from panelforge.llm.quality_rules import op8_quality_rules
 from panelforge.llm.secrets import op5_secret_scan
@@ -27,4 +28,4 @@ QUERIES = {
         op10_language_id,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {}
+
