@@ -183,10 +183,14 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[lis
     bounds = {n: sorted({*(cuts[n] or []), *(cuts[f"{n}_bad"] or [])}) for n in FEATURES}
     binned = [sum((F.when(F.col(n) > float(b), 1).otherwise(0) for b in bounds[n]), F.lit(0)) for n in FEATURES]
     counted = rows.groupBy(*[b.alias(n) for b, n in zip(binned, FEATURES, strict=True)]).agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("quality") == 0, 0).otherwise(1)).alias("good")).collect()
-    held.unpersist()
     table = [(tuple(r[n] for n in FEATURES), r["bad"], r["good"]) for r in counted]
     found = cover(table, [len(bounds[n]) for n in FEATURES])
-    return [[Condition(FEATURES[f], above, float(bounds[FEATURES[f]][b])) for f, above, b in rule] for rule in found]
+    # thresholds move to the middle of the gap that they fall in, as far from either side's rows as can be
+    used = sorted({(FEATURES[f], float(bounds[FEATURES[f]][b])) for rule in found for f, _, b in rule})
+    gaps = rows.agg(*[e.alias(f"{side}{i}") for i, (n, b) in enumerate(used) for side, e in (("lo", F.max(F.when(F.col(n) <= b, F.col(n)))), ("hi", F.min(F.when(F.col(n) > b, F.col(n)))))]).first() if used else {}
+    held.unpersist()
+    middle = {k: k[1] if gaps[f"lo{i}"] is None or gaps[f"hi{i}"] is None else (gaps[f"lo{i}"] + gaps[f"hi{i}"]) / 2 for i, k in enumerate(used)}
+    return [[Condition(FEATURES[f], above, middle[FEATURES[f], float(bounds[FEATURES[f]][b])]) for f, above, b in rule] for rule in found]
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
