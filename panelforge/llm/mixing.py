@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.llm.common import read
 
-#: Slots in a period, rows in a block, rows in a numbering bucket, sources at most.
+#: Slots in a period, rows in a block, rows in a numbering bucket, such buckets at most, table rows that are broadcast, sources at most.
 PERIOD = 4_096
 BLOCK = 64
-BUCKET = 4_000
+BUCKET = 1_000
+BUCKETS = 100_000
+BROADCAST = 200_000
 SOURCES = 500
-RESERVED = ("mix_block", "mix_slot", "mix_position", "_source", "_bucket", "_rows", "_before", "_at", "_rank", "_first")
+RESERVED = ("mix_block", "mix_slot", "mix_position", "_source", "_bucket", "_rows", "_before", "_at", "_rank", "lo", "hi", "base", "quota", "period", "place", "slot")
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -97,6 +99,11 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return rows
 
 
+def slot_of(table: list[tuple], source: str, b: int) -> int:
+    """Slot of a source's block in the rows of ``phases``."""
+    return next(base + (b - lo) // quota * period + slot for s, lo, hi, base, quota, place, slot, period in table if s == source and lo <= b < hi and (b - lo) % quota == place)
+
+
 def source_key(column: Column) -> Column:
     """The source's name, with null as a source of its own."""
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), column))
@@ -114,7 +121,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     spark = docs.sparkSession
     docs = docs.drop(*RESERVED)
     total = docs.count()
-    buckets = max(8, math.ceil(total / BUCKET))
+    buckets = min(BUCKETS, max(8, math.ceil(total / BUCKET)))
     ids = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))
     keyed = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_bucket", F.pmod(ids, F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("_rows"))
@@ -131,25 +138,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     at = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(ids, "doc_id")) - 1
     ranked = keyed.withColumn("_at", at).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_at") + F.col("_before"))
     ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
-    # first rank and slot of every block: at most one row a block
-    starts = plan.select("_source", "lo", "hi", "base", "quota", "period", "place", "slot")
-    size = F.least(F.lit(block), F.element_at(F.create_map(*[F.lit(x) for s, n in per_source.items() for x in (s, n)]), F.col("_source")) - F.col("mix_block") * block) if per_source else F.lit(block)
-    all_blocks = spark.createDataFrame([(s, n) for s, n in blocks.items()], "_source string, n long")
-    spread = all_blocks.select("_source", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1))).alias("mix_block")) if blocks else all_blocks.select("_source", F.col("n").alias("mix_block"))
-    windows = starts.select("_source", "lo", "hi", "base", "quota", "period").distinct()
-    timed = (
-        spread.join(F.broadcast(windows), (spread["_source"] == windows["_source"]) & (F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi"))).drop(windows["_source"])
-        .withColumn("place", (F.col("mix_block") - F.col("lo")) % F.col("quota"))
-        .join(starts.select("_source", "lo", "place", "slot"), ["_source", "lo", "place"])
-        .select("_source", "mix_block", (F.col("base") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("quota")) * F.col("period") + F.col("slot")).alias("mix_slot"))
-    )
-    # positions: rows in earlier slots, summed over chunks of slots so that no task sorts all blocks
-    chunk = 10_000
-    sized = timed.withColumn("size", size).withColumn("chunk", F.floor(F.col("mix_slot") / chunk))
-    of_chunks = sized.groupBy("chunk").agg(F.sum("size").alias("rows")).withColumn("chunk_before", F.sum("rows").over(Window.orderBy("chunk")) - F.col("rows")).drop("rows")
-    within = F.sum("size").over(Window.partitionBy("chunk").orderBy("mix_slot")) - F.col("size")
-    placed = sized.withColumn("within", within).join(F.broadcast(of_chunks), "chunk").select("_source", "mix_block", "mix_slot", (F.col("chunk_before") + F.col("within")).alias("_first"))
-    out = ranked.join(placed, ["_source", "mix_block"]).withColumn("mix_position", F.col("_first") + F.col("_rank") % block)
+    # the table has at most (phases x PERIOD) rows; it is broadcast up to a checked size
+    sized = F.broadcast if len(table) <= BROADCAST else (lambda df: df)
+    windows = plan.select("_source", "lo", "hi", "base", "quota", "period").distinct()
+    in_phase = ranked.join(sized(windows), "_source").where((F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi")))
+    timed = in_phase.withColumn("place", (F.col("mix_block") - F.col("lo")) % F.col("quota")).join(sized(plan.select("_source", "lo", "place", "slot")), ["_source", "lo", "place"])
+    timed = timed.withColumn("mix_slot", F.col("base") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("quota")) * F.col("period") + F.col("slot"))
+    # every block is full but the last of each source: what those lack is taken off the positions after them
+    lacks = F.lit(0)
+    for s, n in sorted(per_source.items()):
+        if n % block:
+            lacks = lacks + F.when(F.col("mix_slot") > slot_of(table, s, n // block), block - n % block).otherwise(0)
+    out = timed.withColumn("mix_position", F.col("mix_slot") * block - lacks + F.col("_rank") % block)
     return out.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
 
 
