@@ -27,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 4_000
 ROUNDS = 2
 LANGUAGES = 200
-CACHE = 300_000
+CACHE = 200_000
 #: Share of the pooled distribution in each language's, and the probability of a character outside the vocabulary.
 POOLED = 0.02
 UNSEEN = 1e-9
