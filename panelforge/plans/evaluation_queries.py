@@ -231,7 +231,7 @@ def _long_short(n: int, horizon: int, fraction: str, where: str, name: str = "ls
 
 _LABELS = "SELECT p.*, 'vix' AS regime, CASE WHEN vix_close >= 25 THEN 'high_vix' WHEN vix_close <= 15 THEN 'low_vix' ELSE 'normal_vix' END AS value FROM preds p UNION ALL SELECT p.*, 'earnings', CASE WHEN days_to_next_earnings <= 7 THEN 'near_earnings' ELSE 'far_earnings' END FROM preds p"
 _DAILY = _ic("ic", "preds", "pred", "y_demeaned", "feature_set, horizon, date", 5)
-_CM = "SUM(CASE WHEN pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS tp, SUM(CASE WHEN pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS fp, SUM(CASE WHEN NOT pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS fn, SUM(CASE WHEN NOT pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS tn"
+_CM = "CAST(SUM(CASE WHEN pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(SUM(CASE WHEN pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(SUM(CASE WHEN NOT pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(SUM(CASE WHEN NOT pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn"
 
 ORACLES = {
     "metrics_regression": f"""{P}, a AS (SELECT feature_set, horizon, 1 - SUM((y_raw - pred) * (y_raw - pred)) / SUM(y_raw * y_raw) AS r2, SQRT(AVG((y_raw - pred) * (y_raw - pred))) AS rmse, AVG(ABS(y_raw - pred)) AS mae, COUNT(*) AS n FROM preds GROUP BY 1, 2),
@@ -254,7 +254,7 @@ f AS (SELECT a.feature_set, a.horizon, a.n, a.mean, a.se, a.mean / a.se AS t, b.
 SELECT feature_set, horizon, n, {R('mean se t se_n')}, ABS(t) > 1.96 AS over2, ABS(t) > 3 AS over3 FROM f""",
     "forecast_tests": f"""{P}, x AS (SELECT *, ticker || '|' || CAST(date AS VARCHAR) AS id, y_demeaned * y_demeaned - ((y_demeaned - pred) * (y_demeaned - pred) - pred * pred) AS fc, y_demeaned * y_demeaned - (y_demeaned - pred) * (y_demeaned - pred) AS fd FROM preds),
 {_nw('na', 'x', 'fc', 'feature_set, horizon', 'id', CUBE, 'n', False)}, {_nw('nb', 'x', 'fd', 'feature_set, horizon', 'id', '2', 'n', False)},
-m AS (SELECT feature_set, horizon, SUM(CASE WHEN (pred > 0) = (y_raw > 0) AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS b, SUM(CASE WHEN (pred > 0) <> (y_raw > 0) AND y_raw > 0 THEN 1 ELSE 0 END) AS c FROM preds GROUP BY 1, 2),
+m AS (SELECT feature_set, horizon, CAST(SUM(CASE WHEN (pred > 0) = (y_raw > 0) AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS b, CAST(SUM(CASE WHEN (pred > 0) <> (y_raw > 0) AND y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS c FROM preds GROUP BY 1, 2),
 f AS (SELECT a.feature_set, a.horizon, a.n, a.mean / a.se AS cw_t, b.mean / b.se AS dm_t, m.b, m.c, (m.b - m.c) * (m.b - m.c) / CAST(m.b + m.c AS DOUBLE) AS chi2 FROM na a JOIN nb b ON a.feature_set = b.feature_set AND a.horizon = b.horizon JOIN m ON a.feature_set = m.feature_set AND a.horizon = m.horizon),
 g AS (SELECT *, 1 - {_cdf('cw_t')} AS cw_p, 2 * (1 - {_cdf('ABS(dm_t)')}) AS dm_p, 2 * (1 - {_cdf('SQRT(chi2)')}) AS p FROM f)
 SELECT feature_set, horizon, n, b, c, {R('cw_t cw_p dm_t dm_p chi2 p', 4)} FROM g""",
