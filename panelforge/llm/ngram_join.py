@@ -43,7 +43,7 @@ from panelforge.llm.common import connected_components, materialize, mix64, read
 PERCENT = 80
 WIDTH = 5
 #: Shingles for each bucket and in a map task at a time, members of a tile's block, entries of the heavy list, bits of a bitmap.
-BUCKET_SHINGLES = 1_800_000
+BUCKET_SHINGLES = 3_200_000
 FLUSH = 600_000
 TILE = 2_048
 HEAVY = 20_000
