@@ -343,7 +343,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows whose ``doc_id`` is null can't be told apart by it and stay.
     """
     gone = classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # the ids that go have no size bound, so they are never broadcast
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
