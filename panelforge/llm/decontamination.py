@@ -9,13 +9,15 @@ are verified by exact weighted Jaccard similarity of the shingle multisets.
 DataFrame functions only.
 
 Windows: a window of similarity 0.8 holds 80 % of the item's shingles, so at
-least one of any k - ceil(0.8 k) + 1 of them (the probes). Only windows laid
-over a probe's occurrence, and up to k / 9 words to either side, are built;
-a larger shift of an intact passage is below 0.8 itself.
-
-Scale: documents stay where they are until a probe hits. The probes grow with
-the benchmark alone; they are broadcast only up to ``BROADCAST`` rows, beyond
-that Spark joins by shuffle. What moves is one row of item length a window.
+least one of any k - ceil(0.8 k) + 1 of them (the probes, here those that the
+fewest items have). Every window over a probe's occurrence is laid, in whatever
+order its words stand, once: from the first probe it holds. Windows in which
+too few positions hold a shingle of the item can't be similar and end there.
+
+Scale: documents stay where they are until a probe hits. The probes and items
+grow with the benchmark alone; they are broadcast only up to ``BROADCAST``
+probes, beyond that Spark joins by shuffle. What moves is one row of item
+length a window.
 """
 
 from __future__ import annotations
@@ -88,27 +90,46 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).withColumn("fingerprint", simhash(F.col("hashes")))
 
 
+def probed(items: DataFrame) -> DataFrame:
+    """``(item, n_words, width, hashes, probes)`` of each distinct item text; ``item`` is a hash of its shingles."""
+    texts = items.select(F.xxhash64("hashes").alias("item"), "n_words", "width", "hashes").distinct()
+    each = texts.select("item", F.explode("hashes").alias("probe"))
+    often = each.groupBy("probe").agg(F.count_distinct("item").alias("n"))
+    ranked = each.join(often, "probe").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "probe"))).alias("r"))
+    k = F.size("r")
+    probes = F.slice("r", F.lit(1), k - F.ceil(k * PERCENT / 100).cast("int") + 1)["probe"]
+    return texts.join(ranked.select("item", F.array_distinct(probes).alias("probes")), "item")
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, n_words, width, start, window)``: the item-sized windows that may be similar to an item."""
-    k = F.size("hashes")
-    ranked = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("probe"), i.alias("at"))))
-    probes = items.select("n_words", "width", k.alias("k"), F.explode(F.slice(ranked, F.lit(1), k - F.ceil(k * PERCENT / 100).cast("int") + 1)).alias("p"))
-    probes = probes.select("n_words", "width", "k", "p.probe", "p.at").distinct().persist()
-    few = probes.count() <= BROADCAST
-    widths = [r[0] for r in probes.select("width").distinct().collect()]  # at most WIDTH values
+    texts = probed(items).persist()
+    probes = texts.select("item", "n_words", "width", F.size("hashes").alias("k"), F.explode("probes").alias("probe"))
+    near = F.broadcast if probes.count() <= BROADCAST else lambda df: df
+    widths = [r[0] for r in texts.select("width").distinct().collect()]  # at most WIDTH values
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     found = []
     for width in widths:
-        own = probes.where(F.col("width") == width)
         # outer: otherwise Spark infers a filter on the array's size, which computes the array again for each element
-        placed = words.withColumn("g", shingles("words", width)).select("doc_id", "g", F.posexplode_outer("g").alias("pos", "probe"))
-        hits = placed.join(F.broadcast(own) if few else own, "probe")
-        reach = F.floor(F.col("k") / 9).cast("int")
-        last = F.greatest(F.size("g") - F.col("k"), F.lit(0))
-        shift = F.explode(F.sequence(-reach, reach)).alias("shift")
-        laid = hits.select("doc_id", "g", "n_words", "width", "k", (F.col("pos") - F.col("at")).alias("start"), last.alias("last"), shift)
-        laid = laid.withColumn("start", F.greatest(F.lit(0), F.least("last", F.col("start") + F.col("shift"))))
-        found.append(laid.select("doc_id", "n_words", "width", "start", F.slice("g", F.col("start") + 1, F.col("k")).alias("window")))
+        placed = words.select("doc_id", shingles("words", width).alias("g")).select("doc_id", "g", F.posexplode_outer("g").alias("pos", "probe"))
+        hits = placed.join(near(probes.where(F.col("width") == width)), "probe")
+        lo = F.greatest(F.lit(0), F.col("pos") - F.col("k") + 1)
+        around = F.slice("g", lo + 1, F.col("pos") - lo + F.col("k"))
+        hits = hits.select("doc_id", "item", "n_words", "width", "k", "pos", lo.alias("lo"), F.least("k", F.size("g")).alias("m"), F.least(F.col("pos"), F.greatest(F.size("g") - F.col("k"), F.lit(0))).alias("last"), around.alias("around"))
+        hits = hits.join(near(texts.where(F.col("width") == width).select("item", "hashes", "probes")), "item")
+        # windows that start before an earlier probe are laid from that one
+        earlier = F.transform(F.slice("around", F.lit(1), F.col("pos") - F.col("lo")), lambda x, i: F.when(F.array_contains("probes", x), i + 1).otherwise(0))
+        hits = hits.withColumn("first", F.col("lo") + F.coalesce(F.array_max(earlier), F.lit(0))).where("first <= last")
+        held = lambda inside, start: F.size(F.filter(F.slice(inside, start - F.col("lo") + 1, F.col("k")), lambda x: x))
+        enough = lambda inside: F.filter(F.sequence("first", "last"), lambda start: (100 + PERCENT) * held(inside, start) >= PERCENT * (F.col("m") + F.col("k")))
+        starts = _let(F.transform("around", lambda x: F.array_contains("hashes", x)), enough)
+        laid = hits.select("doc_id", "n_words", "width", "k", "lo", "around", F.explode(starts).alias("start"))
+        found.append(laid.select("doc_id", "n_words", "width", "start", F.slice("around", F.col("start") - F.col("lo") + 1, F.col("k")).alias("window")))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, n_words int, width int, start int, window array<bigint>")
     return reduce(DataFrame.unionAll, found).distinct()

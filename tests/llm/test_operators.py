@@ -347,6 +347,22 @@ def test_decontamination_equals_every_window(spark):
     assert got == brute_leaks(texts, items)
 
 
+def test_decontamination_finds_reordered_passages(spark):
+    rng = random.Random(59)
+    items = [prose(rng, n) for n in (59, 45, 58, 90)]
+    texts = []
+    for item in items:
+        w = item.split()
+        half, third = len(w) // 2, len(w) // 3
+        for version in ([*w[half:], *w[:half]], [*w[5:], *w[:5]], [*w[-third:], *w[:-third]], [*w[third : 2 * third], *w[:third], *w[2 * third :]]):
+            texts.append(" ".join([prose(rng, 80), *version, prose(rng, 80)]))
+            texts.append(" ".join(version))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_leaks(texts, items)
+    assert (0, 0) in want and len(want) > 20
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(table(spark, texts), bench).collect()} == want
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     rng = random.Random(8)
     pairs = []
