@@ -83,6 +83,12 @@ def deflated_sharpe(trials: DataFrame, sharpe: str, n: int | None = None) -> Dat
     return trials.crossJoin(F.broadcast(bars)).withColumn("excess", F.col(sharpe) - F.col("sr0")).withColumn("survives", F.col("excess") > 0)
 
 
+def sharpe_probability(trials: DataFrame, sharpe: str, periods: str, n: int | None = None) -> DataFrame:
+    """``deflated_sharpe`` with the probability that the true per-period ratio exceeds the bar (normal, one-sided)."""
+    out = deflated_sharpe(trials, sharpe, n)
+    return out.withColumn("probability", normal_cdf(F.col("excess") * F.sqrt(F.greatest(F.col(periods) - 1, F.lit(1)))))
+
+
 def pbo(pnl: DataFrame, trial: str, time: str, value: str, blocks: int = 8) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
@@ -105,28 +111,61 @@ def pbo(pnl: DataFrame, trial: str, time: str, value: str, blocks: int = 8) -> D
     return chosen.agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("splits"), F.avg("logit").alias("mean_logit"))
 
 
-def bootstrap(values: DataFrame, keys: list[str], value: str, unit: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval and two-sided p of each group's mean, units drawn with replacement.
+def replicates_of(values: DataFrame, keys: list[str], value: str, unit: str, replicates: int, seed: int = 42, apart: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, rep, m)``: each group's mean in each replicate, units drawn with replacement.
 
     A unit (a date, or a block of dates) is first reduced to its sum and count;
     each replicate weighs units by Poisson(1) counts from a hash, so the work is
-    units x replicates and no rows are drawn.
+    units x replicates and no rows are drawn. Groups share a unit's weight
+    unless they differ in the columns ``apart``. Replicates that draw nothing
+    of a group are left out.
     """
     units = values.groupBy(*keys, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
     reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(unit, "rep", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.pmod(F.xxhash64(unit, "rep", F.lit(seed), *apart), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     steps, total, p = [], 0.0, math.exp(-1)
     for k in range(12):
         total += p
         steps.append(total)
         p /= k + 1
     weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = reps.withColumn("_w", weight).groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_c"))).alias("m"))
-    share = F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0))
-    out = means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", [0.025, 0.975]).alias("ci"), (2 * F.least(share, 1 - share)).alias("p"))
+    return reps.withColumn("_w", weight).groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))).alias("m")).where("m is not null")
+
+
+def _interval(means: DataFrame, keys: list[str]) -> DataFrame:
+    below, above = (F.avg(F.when(c, 1.0).otherwise(0.0)) for c in (F.col("m") <= 0, F.col("m") >= 0))
+    out = means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", [0.025, 0.975]).alias("ci"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
     return out.select(*keys, "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), "p")
 
 
+def bootstrap(values: DataFrame, keys: list[str], value: str, unit: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval and two-sided p of each group's mean, units drawn with replacement."""
+    return _interval(replicates_of(values, keys, value, unit, replicates, seed), keys)
+
+
+def bootstrap_difference(values: DataFrame, keys: list[str], group: str, first: str, second: str, value: str, unit: str, replicates: int = 5000, seed: int = 42, paired: bool = False) -> DataFrame:
+    """Interval and p of the difference of two groups' means.
+
+    The groups are drawn independently, or with ``paired`` both by the same
+    draws of the units that both have.
+    """
+    two = values.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    if paired:
+        both = two.groupBy(*keys, unit).agg(F.count_distinct(group).alias("_n")).where("_n = 2").drop("_n")
+        two = two.join(both, [*keys, unit])
+    m = replicates_of(two, [*keys, group], value, unit, replicates, seed, () if paired else (group,))
+    side = lambda g: F.max(F.when(F.col(group) == g, F.col("m")))
+    return _interval(m.groupBy(*keys, "rep").agg((side(first) - side(second)).alias("m")).where("m is not null"), keys)
+
+
+def bootstrap_ranks(values: DataFrame, key: str, value: str, unit: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Median and percentile interval of each group's rank by mean, largest first, over shared draws."""
+    m = replicates_of(values, [key], value, unit, replicates, seed)
+    ranked = m.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("m"), key)))
+    out = ranked.groupBy(key).agg(F.percentile("_r", [0.025, 0.5, 0.975]).alias("_q"))
+    return out.select(key, *[F.col("_q")[i].cast("int").alias(c) for i, c in enumerate(("rank_lo", "rank_median", "rank_hi"))])
+
+
 def conformal(calibration: DataFrame, test: DataFrame, pred: str, y: str, alpha: float = 0.1) -> DataFrame:
     """Test rows with split-conformal bounds from the calibration rows' absolute residuals."""
     n = calibration.count()

@@ -65,19 +65,37 @@ def deflated_sharpe(spark, d):
     return rounded(inference.deflated_sharpe(s, "sharpe"))
 
 
+def sharpe_probability(spark, d):
+    """Probability of each cell's Sharpe ratio against the bar of the trials made, and of 192 and 252 trials."""
+    pnl = backtest.long_flat(preds(spark, d), CELL)
+    s = materialize(pnl.groupBy(*CELL).agg((F.avg("portfolio_return") / F.stddev_samp("portfolio_return")).alias("sharpe"), F.count("portfolio_return").alias("periods")))
+    made = s.where("sharpe is not null").count()
+    out = [inference.sharpe_probability(s, "sharpe", "periods", n).withColumn("trials", F.lit(n)) for n in (made, 192, 252)]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
+
+
 def pbo_cscv(spark, d):
     pnl = backtest.long_flat(preds(spark, d).where("horizon = 1"), ["feature_set"])
     return rounded(inference.pbo(pnl, "feature_set", "date", "portfolio_return"))
 
 
 def bootstrap_regimes(spark, d):
-    """Bootstrap of the daily IC in high and low volatility: whole dates drawn, and blocks of quarters."""
+    """Bootstrap of the daily IC in high and low volatility: whole dates drawn, and blocks of quarters.
+
+    Also of the high-low difference: volatility regimes drawn independently, as
+    a date is in one of them, wide and narrow spreads paired by date.
+    """
     p = preds(spark, d).where("horizon = 1")
     ic = materialize(inference.daily_ic(p, "pred", "y_demeaned", ["feature_set", "date", "vix_close"]))
     ic = ic.withColumn("regime", F.when(col("vix_close") >= 20, "high").otherwise("low")).withColumn("quarter", F.concat(F.year("date"), F.quarter("date")))
-    by_date = inference.bootstrap(ic, ["feature_set", "regime"], "ic", "date", 400).withColumn("unit", F.lit("date"))
-    by_block = inference.bootstrap(ic, ["feature_set", "regime"], "ic", "quarter", 400).withColumn("unit", F.lit("quarter"))
-    return rounded(by_date.unionByName(by_block))
+    by_date = inference.bootstrap(ic, ["feature_set", "regime"], "ic", "date", 5000).withColumn("unit", F.lit("date"))
+    by_block = inference.bootstrap(ic, ["feature_set", "regime"], "ic", "quarter", 5000).withColumn("unit", F.lit("quarter"))
+    apart = [inference.bootstrap_difference(ic, ["feature_set"], "regime", "high", "low", "ic", unit).withColumn("unit", F.lit(name)) for unit, name in (("date", "date"), ("quarter", "quarter"))]
+    sides = p.crossJoin(F.broadcast(p.agg(F.percentile("spread", 0.5).alias("median")))).withColumn("side", F.when(col("spread") > col("median"), "high").otherwise("low"))
+    by_side = materialize(inference.daily_ic(sides, "pred", "y_demeaned", ["feature_set", "side", "date"]))
+    paired = inference.bootstrap_difference(by_side, ["feature_set"], "side", "high", "low", "ic", "date", paired=True).withColumn("unit", F.lit("date"))
+    differences = apart[0].unionByName(apart[1]).withColumn("regime", F.lit("high - low")).unionByName(paired.withColumn("regime", F.lit("spread high - low, paired")))
+    return rounded(by_date.unionByName(by_block).unionByName(differences))
 
 
 def conformal(spark, d):
@@ -163,7 +181,7 @@ def yearly_pnl(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        metrics_regression, metrics_classification, economic_metrics, evaluation_table, daily_rank_ic, nw_tstats, forecast_tests, deflated_sharpe, pbo_cscv, bootstrap_regimes, conformal, power_curve, regime_eval, lift_over_control,
+        metrics_regression, metrics_classification, economic_metrics, evaluation_table, daily_rank_ic, nw_tstats, forecast_tests, deflated_sharpe, sharpe_probability, pbo_cscv, bootstrap_regimes, conformal, power_curve, regime_eval, lift_over_control,
         sector_neutral_ic, universe_ablation, lf_backtest, lf_hurdle_backtest, ls_backtest, cost_sweep, yearly_pnl,
     )
 }

@@ -84,9 +84,9 @@ def smile_changes(spark, d):
 
 
 def attribution_bootstrap(spark, d):
-    """Interval of each feature's mean absolute contribution, dates drawn with replacement, and its rank."""
+    """Intervals of each feature's mean absolute contribution and of its rank, dates drawn with replacement."""
     p = _one(spark, d).withColumn("x", F.abs("pred"))
-    b = inference.bootstrap(p, ["feature_set"], "x", "date", 300)
+    b = inference.bootstrap(p, ["feature_set"], "x", "date").join(inference.bootstrap_ranks(p, "feature_set", "x", "date"), "feature_set")
     return rounded(b.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean")))))
 
 

@@ -132,3 +132,23 @@ def test_impute_falls_back(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, True), ("a", None, False), ("b", None, False)], "ticker string, x double, train boolean")
     out = panel.impute(df, ["x"], F.col("train"))
     assert sorted((r["ticker"], r["x"]) for r in out.where("not train").collect()) == [("a", 2.0), ("b", 2.0)]
+
+
+def test_bootstrap_of_differences_and_ranks(spark):
+    # high and low move together by date: their paired difference is always 1, the independent one varies
+    rows = [("A", g, f"d{i}", float(i % 7) + (g == "high")) for i in range(60) for g in ("high", "low")]
+    v = spark.createDataFrame([*rows, ("A", "high", "only", 99.0)], "k string, g string, date string, v double")
+    paired = inference.bootstrap_difference(v, ["k"], "g", "high", "low", "v", "date", 300, paired=True).first()
+    assert abs(paired["lo"] - 1) < 1e-9 and abs(paired["hi"] - 1) < 1e-9 and paired["p"] == 0
+    apart = inference.bootstrap_difference(v.where("date <> 'only'"), ["k"], "g", "high", "low", "v", "date", 300).first()
+    assert apart["lo"] < 0.8 < 1.2 < apart["hi"] and abs(apart["mean"] - 1) < 0.2
+    ranks = {r["g"]: (r["rank_lo"], r["rank_median"], r["rank_hi"]) for r in inference.bootstrap_ranks(v, "g", "v", "date", 300).collect()}
+    assert ranks == {"high": (1, 1, 1), "low": (2, 2, 2)}
+
+
+def test_sharpe_probability(spark):
+    t = spark.createDataFrame([(0.1, 101), (0.2, 101), (0.6, 101)], "s double, n int")
+    got = inference.sharpe_probability(t, "s", "n").collect()
+    for r in got:
+        assert abs(r["probability"] - 0.5 * (1 + math.erf(r["excess"] * 10 / math.sqrt(2)))) < 1e-5
+    assert got[2]["probability"] > 0.95 > got[0]["probability"]
