@@ -81,7 +81,7 @@ def _score(p):
 def wf_linear(spark, d):
     """Ridge-stabilised OLS and cross-validated elastic net over expanding windows."""
     panel = _features(spark, d)
-    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 100, embargo=1)
+    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
     ols = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.ridge(1000))
     net = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.elastic_net_cv())
     return _score(ols).withColumn("model", F.lit("ols")).unionByName(_score(net).withColumn("model", F.lit("elastic_net")))
@@ -89,16 +89,16 @@ def wf_linear(spark, d):
 
 def wf_gbt(spark, d):
     panel = _features(spark, d)
-    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 120, embargo=1)
-    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted(15, 4)))
+    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
+    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted()))
 
 
 def wf_direction(spark, d):
     """Boosted and neural direction classifiers: hit rate by window."""
     panel = _features(spark, d)
-    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 120, embargo=1)
+    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
     out = None
-    for name, make in (("gbt", lambda n: walkforward.boosted_direction(8, 3)), ("mlp", lambda n: walkforward.neural_direction(n, (16, 8), 40))):
+    for name, make in (("gbt", lambda n: walkforward.boosted_direction()), ("mlp", lambda n: walkforward.neural_direction(n))):
         p = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", make)
         part = p.groupBy("window").agg(F.avg(F.when(col("pred") == col("up"), 1.0).otherwise(0.0)).alias("hit"), F.count("*").alias("n")).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)

@@ -152,3 +152,13 @@ def test_sharpe_probability(spark):
     for r in got:
         assert abs(r["probability"] - 0.5 * (1 + math.erf(r["excess"] * 10 / math.sqrt(2)))) < 1e-5
     assert got[2]["probability"] > 0.95 > got[0]["probability"]
+
+
+def test_boosting_goes_on_while_validation_gains(spark):
+    stop = walkforward.boosted()
+    assert stop.rounds([3.0, 2.0, 1.0] + [1.5] * 60 + [0.1]) == 3 and stop.rounds([3.0, 2.0, 2.5, 1.0]) == 4
+    rng = random.Random(5)
+    rows = [(i, 0.03 * x, x) for i in range(40) for x in [rng.uniform(-1, 1) for _ in range(10)]]
+    data = spark.createDataFrame(rows, "date_idx int, target double, a double")
+    train = walkforward.model_matrix(data, ["a"], "target").withColumnRenamed("raw", "x").withColumn("is_val", F.col("date_idx") >= 32)
+    assert walkforward.boosted(12, 2).fit(train).getNumTrees == 12

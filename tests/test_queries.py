@@ -41,6 +41,30 @@ def test_signal_rises_with_strength(spark):
     assert abs(ics[0]) < 0.02 and ics == sorted(ics)
 
 
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_models_walk_to_the_end_at_full_size(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators import walkforward
+
+    seen = []
+
+    def fit(panel, wins, features, y, model):
+        seen.append((panel.agg(F.max("date_idx")).first()[0], wins.orderBy("window").collect(), model(len(features))))
+        return panel.limit(5).select(F.lit(0).alias("window"), F.lit(0.0).alias("pred"), F.lit(0.0).alias("up"), "target")
+
+    monkeypatch.setattr(walkforward, "fit_windows", fit)
+    QUERIES[name](spark, DATA)
+    for last, wins, model in seen:
+        # a block shorter than a step at the end has no window, as in wf_benchmarks
+        assert len(wins) > 10 and wins[-1]["test_hi"] > last - 13
+        assert all(a["test_hi"] == b["test_lo"] for a, b in zip(wins, wins[1:]))
+        if model.hasParam("maxDepth"):
+            assert (model.getMaxIter(), model.getMaxDepth()) == (500, 6)
+        if model.hasParam("layers"):
+            assert model.getLayers() == [3, 256, 128, 64, 32, 2] and model.getMaxIter() == 100
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
