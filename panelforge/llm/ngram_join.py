@@ -25,7 +25,9 @@ its holders into one bucket entry and one tile. Such shingles are found on a
 part of every batch, in a list of at most ``HEAVY`` entries; they count as
 shared and come last in the order, without being dealt. Which shingles are on
 the list changes the cost, never the result. Tiles of more than ``TILE``
-members are split into pairs of blocks, so no task holds a whole hot group.
+members, or of long texts, are split into pairs of blocks, so no task holds a
+whole hot group. Buckets reach Python as a sorted stream (Spark's sort spills)
+and one bucket of about ``BUCKET_SHINGLES`` is held at a time.
 """
 
 from __future__ import annotations
@@ -36,16 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.llm.common import connected_components, materialize, mix64, read, shingle_set
 
 PERCENT = 80
 WIDTH = 5
-#: Shingles for each bucket and in a map task at a time, members of a tile's block, entries of the heavy list, bits of a bitmap.
-BUCKET_SHINGLES = 3_200_000
+#: Shingles for each bucket and in a map task at a time, members and shingles of a tile's block, entries of the heavy list, bits of a bitmap.
+BUCKET_SHINGLES = 1_600_000
 FLUSH = 600_000
 TILE = 2_048
+TILE_SHINGLES = 1_000_000
 HEAVY = 20_000
 BITS = 1_024
 LOW48 = np.uint64((1 << 48) - 1)
@@ -75,7 +78,7 @@ def _key(tokens: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, keys, sample, sampled = batch.column("doc_id"), [], [], [], 0
+        sizes, keys, sample, sampled = [], [], [], 0
         for text in batch.column("text"):
             tokens = shingle_set(text.as_py(), WIDTH) & LOW48
             sizes.append(len(tokens))
@@ -90,14 +93,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heavy = np.stack([found[often], counts[often].astype(np.uint64)], 1).astype("<u8").tobytes()
         rows = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array([heavy] + [None] * (rows - 1) if rows else [], pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "heavy"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array([heavy] + [None] * (rows - 1) if rows else [], pa.binary())],
+            ["doc_id", "text_key", "n_shingles", "set_key", "heavy"],
         )
 
 
+def text_key() -> Column:
+    """Hash of a text as it stands, to tell rows with one ``doc_id`` apart."""
+    return F.xxhash64("text")
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, heavy)``; texts that are null or have no word get size 0 and no key."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "doc_id long, n_shingles long, set_key long, heavy binary")
+    """``(doc_id, text_key, n_shingles, set_key, heavy)``; texts that are null or have no word get size 0 and no key."""
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_sets, "doc_id long, text_key long, n_shingles long, set_key long, heavy binary")
 
 
 def heavy_shingles(of_sets: DataFrame) -> np.ndarray:
@@ -156,90 +165,119 @@ def _deal(heavy: np.ndarray, buckets: int):
     return run
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its packed rows) from rows sorted by bucket; the rows are views of the batches."""
+    now, rows = None, []
+    for batch in batches:
+        buckets = batch.column("bucket").to_numpy()
+        packed = [batch.column(c) for c in ("keys", "sizes", "counts", "tokens")]
+        for row in range(batch.num_rows):
+            if rows and buckets[row] != now:
+                yield now, rows
+                rows = []
+            now = int(buckets[row])
+            rows.append(tuple(c[row].as_buffer() for c in packed))
+    if rows:
+        yield now, rows
+
+
+def _joined(rows: list[tuple], at: int, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[at], kind) for r in rows])
+
+
+def _by_bucket(packed: DataFrame) -> DataFrame:
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _often(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values that occur twice or more, and how often each does."""
+    if not len(tokens):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    order = np.argsort(tokens)
+    ranked = tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    del ranked
+    runs = np.diff(np.append(starts, len(tokens)))
+    shared = runs >= 2
+    return order[np.repeat(shared, runs)], np.repeat(np.minimum(runs[shared], NEVER - 1).astype(np.uint64), runs[shared])
+
+
 def _shared(groups: int):
-    """Reduce step, a row for each bucket: the shingles that two sets or more hold, as frequency << 48 | hash, packed for groups of sets."""
+    """Reduce step, over the rows of a bucket: the shingles that two sets or more hold, as frequency << 48 | hash, packed for groups of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                bucket, parts = batch.column("bucket")[row].as_py(), batch.column("parts")[row].as_py()
-                keys = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
-                sizes = b"".join(p["sizes"] for p in parts)
-                counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
-                tokens = np.concatenate([unpack48(p["tokens"]) for p in parts])
-                del parts
-                first = np.zeros(len(keys), bool)  # one copy of each set
-                first[np.unique(keys, return_index=True)[1]] = True
-                tokens = tokens[np.repeat(first, counts)]
-                keys, counts = keys[first], counts[first]
-                if bucket < 0:
-                    keep = np.ones(len(tokens), bool)
-                    tokens = tokens | (np.uint64(NEVER) << TOP)
-                elif len(tokens):
-                    order = np.argsort(tokens)
-                    ranked = tokens[order]
-                    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                    runs = np.diff(np.append(starts, len(ranked)))
-                    often = np.empty(len(tokens), np.uint64)
-                    often[order] = np.repeat(np.minimum(runs, NEVER - 1), runs).astype(np.uint64)
-                    keep = often >= 2
-                    tokens = tokens | (often << TOP)
-                else:
-                    keep = np.zeros(0, bool)
-                owner = np.repeat(np.arange(len(keys)), counts)[keep]
-                tokens, counts = tokens[keep], np.bincount(owner, minlength=len(keys))
-                group = keys % groups
-                order = np.argsort(group[owner], kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                sets_in = np.argsort(group, kind="stable")
-                sets_in = sets_in[counts[sets_in] > 0]
-                cuts = np.flatnonzero(np.diff(group[sets_in])) + 1 if len(sets_in) else []
-                ends = np.cumsum(counts[sets_in])
-                out = [(bucket, b"", sizes, b"", b"")] if sizes else []
-                for lo, hi in zip([0, *cuts], [*cuts, len(sets_in)], strict=True) if len(sets_in) else ():
-                    own = sets_in[lo:hi]
-                    some = tokens[(ends[lo - 1] if lo else 0) : ends[hi - 1]]
-                    out.append((int(group[own[0]]), keys[own].tobytes(), b"", counts[own].astype("<u4").tobytes(), some.astype("<u8").tobytes()))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
+        for bucket, rows in _streams(batches):
+            keys, counts = _joined(rows, 0, np.int64), _joined(rows, 2, "<u4").astype(np.int64)
+            sizes = b"".join(r[1] for r in rows)
+            first = np.zeros(len(keys), bool)  # one copy of each set
+            first[np.unique(keys, return_index=True)[1]] = True
+            tokens, at, done = np.empty(int(counts[first].sum()), np.uint64), 0, 0
+            for r in rows:
+                n = len(r[2]) // 4
+                part = unpack48(r[3])[np.repeat(first[at : at + n], counts[at : at + n])]
+                tokens[done : done + len(part)] = part
+                at, done = at + n, done + len(part)
+            del rows
+            keys, counts = keys[first], counts[first]
+            owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+            if bucket < 0:
+                tokens |= np.uint64(NEVER) << TOP
+            else:
+                places, often = _often(tokens)
+                tokens, owner = tokens[places] | (often << TOP), owner[places]
+                del places, often
+            counts = np.bincount(owner, minlength=len(keys))
+            group = keys % groups
+            sets_in = np.argsort(group, kind="stable")
+            rank = np.empty(len(keys), np.int32)
+            rank[sets_in] = np.arange(len(keys), dtype=np.int32)
+            tokens = tokens[np.argsort(rank[owner], kind="stable")]
+            sets_in = sets_in[counts[sets_in] > 0]
+            cuts = np.flatnonzero(np.diff(group[sets_in])) + 1 if len(sets_in) else []
+            ends = np.cumsum(counts[sets_in])
+            out = [(bucket, b"", sizes, b"", b"")] if sizes else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(sets_in)], strict=True) if len(sets_in) else ():
+                own = sets_in[lo:hi]
+                some = tokens[(ends[lo - 1] if lo else 0) : ends[hi - 1]]
+                out.append((int(group[own[0]]), keys[own].tobytes(), b"", counts[own].astype("<u4").tobytes(), some.astype("<u8").tobytes()))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "sizes", "counts", "tokens"])
 
     return run
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a row for each group of sets, a row for each set that may link: its shared shingles sorted, its prefix, its parity bitmap."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            parts = batch.column("parts")[row].as_py()
-            size_of = np.unique(np.frombuffer(b"".join(p["sizes"] for p in parts), np.int64).reshape(-1, 2), axis=0)
-            named = np.concatenate([np.frombuffer(p["keys"], np.int64) for p in parts])
-            counts = np.concatenate([np.frombuffer(p["counts"], "<u4") for p in parts])
-            tokens = np.concatenate([np.frombuffer(p["tokens"], "<u8") for p in parts])
-            del parts
-            if not len(named):
-                continue
-            own, at = np.unique(named, return_inverse=True)
-            own = size_of[np.searchsorted(size_of[:, 0], own)]
-            owner = np.repeat(at, counts)
-            order = np.lexsort((tokens, owner))
-            tokens, shared = tokens[order], np.bincount(owner, minlength=len(own))
-            ends = np.cumsum(shared)
-            # the shingles that no other set holds come first in the order and take up their part of the prefix
-            lengths = own[:, 1] + PERCENT * own[:, 1] // -100 + 1 - (own[:, 1] - shared)
-            keep = np.flatnonzero(lengths > 0)
-            blobs, prefixes, maps = [], [], []
-            for k in keep:
-                mine = tokens[ends[k] - shared[k] : ends[k]]
-                prefixes.append((mine[: lengths[k]] & LOW48).astype(np.int64).tolist())
-                mine = np.sort(mine & LOW48)
-                blobs.append(pack48(mine))
-                odd = np.bincount((mix64(mine) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())],
-                ["set_key", "n", "prefix", "tokens", "bitmap"],
-            )
+    """From the rows of a group of sets, a row for each set that may link: its shared shingles sorted, its prefix, its parity bitmap."""
+    for _, rows in _streams(batches):
+        size_of = np.unique(np.frombuffer(b"".join(r[1] for r in rows), np.int64).reshape(-1, 2), axis=0)
+        named, counts, tokens = _joined(rows, 0, np.int64), _joined(rows, 2, "<u4").astype(np.int64), _joined(rows, 3, "<u8")
+        del rows
+        if not len(named):
+            continue
+        own, at = np.unique(named, return_inverse=True)
+        own = size_of[np.searchsorted(size_of[:, 0], own)]
+        owner = np.repeat(at.astype(np.int32), counts)
+        order = np.lexsort((tokens, owner))
+        tokens, shared = tokens[order], np.bincount(owner, minlength=len(own))
+        del order, owner
+        ends = np.cumsum(shared)
+        # the shingles that no other set holds come first in the order and take up their part of the prefix
+        lengths = own[:, 1] + PERCENT * own[:, 1] // -100 + 1 - (own[:, 1] - shared)
+        keep = np.flatnonzero(lengths > 0)
+        blobs, prefixes, maps = [], [np.empty(0, np.int64)], []
+        for k in keep:
+            mine = tokens[ends[k] - shared[k] : ends[k]]
+            prefixes.append((mine[: lengths[k]] & LOW48).astype(np.int64))
+            mine = np.sort(mine & LOW48)
+            blobs.append(pack48(mine))
+            odd = np.bincount((mix64(mine) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+            maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        edges = np.cumsum([len(x) for x in prefixes])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[keep, 0]), pa.array(own[keep, 1]), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(prefixes))), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())],
+            ["set_key", "n", "prefix", "tokens", "bitmap"],
+        )
 
 
 def size_band(n):
@@ -293,10 +331,8 @@ def links(docs: DataFrame, of_sets: DataFrame) -> DataFrame:
     buckets = max(4, math.ceil(total / BUCKET_SHINGLES))
     heavy = heavy_shingles(of_sets)
     dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_deal(heavy, buckets), PACKED)
-    by_bucket = dealt.groupBy("bucket").agg(F.collect_list(F.struct("keys", "sizes", "counts", "tokens")).alias("parts"))
-    back = by_bucket.mapInArrow(_shared(buckets), PACKED)
-    by_group = back.groupBy("bucket").agg(F.collect_list(F.struct("keys", "sizes", "counts", "tokens")).alias("parts"))
-    kept = materialize(by_group.mapInArrow(_prefixes, "set_key long, n long, prefix array<long>, tokens binary, bitmap binary"), "jaccard-sets")
+    back = _by_bucket(dealt).mapInArrow(_shared(buckets), PACKED)
+    kept = materialize(_by_bucket(back).mapInArrow(_prefixes, "set_key long, n long, prefix array<long>, tokens binary, bitmap binary"), "jaccard-sets")
 
     band = size_band(F.col("n"))
     held = kept.select("set_key", band.alias("band"), F.explode("prefix").alias("shingle"))
@@ -304,7 +340,7 @@ def links(docs: DataFrame, of_sets: DataFrame) -> DataFrame:
     placed = placed.select("set_key", "shingle", "p.band", "p.own")
     hubs = placed.groupBy("shingle", "band").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("last"), F.max("own").alias("own")).where("hub <> last and own").select("shingle", "band", "hub")
     members = materialize(placed.join(hubs, ["shingle", "band"]).select("hub", "band", "set_key", "own").distinct(), "jaccard-tiles")
-    blocks = members.groupBy("hub", "band").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("any and m > 1").select("hub", "band", F.ceil(F.col("m") / TILE).alias("k"))
+    blocks = members.groupBy("hub", "band").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("any and m > 1").select("hub", "band", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.pow(F.lit(100 / PERCENT), F.col("band") + 1) / TILE_SHINGLES)).alias("k"))
     at = F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("k")).cast("int")
     spread = (
         members.join(blocks, ["hub", "band"])
@@ -318,6 +354,18 @@ def links(docs: DataFrame, of_sets: DataFrame) -> DataFrame:
     return tiles.where("size(members) > 1").select("members").mapInArrow(_links, "a long, b long")
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, set_key, text_key, component, component_id)`` of every row; ``component`` names the class by a set's key."""
+    of_sets = materialize(sets(docs), "jaccard-docs")
+    found = connected_components(links(docs, of_sets), "jaccard-cc")
+    least = of_sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    named = least.join(found, F.col("set_key") == F.col("id"), "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = named.join(ids, "component").select("set_key", "component", "component_id")
+    out = of_sets.select("doc_id", "n_shingles", "set_key", "text_key").join(by_set, "set_key", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs(doc_id, text, ...)``.
 
@@ -327,24 +375,31 @@ def classes(docs: DataFrame) -> DataFrame:
     gets its class's least id (null when it is alone). Repeated rows are equal
     sets, hence one class. Other columns are ignored.
     """
-    of_sets = materialize(sets(docs), "jaccard-docs")
-    found = connected_components(links(docs, of_sets), "jaccard-cc")
-    least = of_sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    named = least.join(found, F.col("set_key") == F.col("id"), "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.join(ids, "component").select("set_key", "component_id")
-    out = of_sets.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: that with the least ``doc_id``.
+    """``docs``, all columns, with one row of each class: that with the least ``doc_id``.
 
-    Rows whose ``doc_id`` is null can't be told apart by it and stay.
+    Of rows that share this id the one whose text has the least hash stays, and
+    of rows equal in both just one; a null id comes last. Another text under
+    the id of a dropped row is judged by its own class. Texts without a word
+    are in no class and stay.
     """
-    gone = classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    # the ids that go have no size bound, so they are never broadcast
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    named = materialize(_labelled(docs).where("set_key is not null").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("row")), "jaccard-named")
+    stays = named.groupBy("component").agg(F.min("row").alias("stays"))
+    judged = named.groupBy("component", "row").agg(F.count("*").alias("times")).join(stays, "component")
+    id_is, text_is = F.col("doc_id").eqNullSafe(F.col("_jaccard_id")), F.col("_jaccard_text") == F.col("_jaccard_key")
+    rows = docs.withColumn("_jaccard_text", text_key())
+    key = [F.col("row.doc_id").alias("_jaccard_id"), F.col("row.text_key").alias("_jaccard_key")]
+    # the rows that go have no size bound, so they are never broadcast
+    out = rows.join(judged.where("row <> stays").select(*key).hint("merge"), id_is & text_is, "left_anti")
+    twice = materialize(judged.where("row = stays and times > 1").select(*key), "jaccard-twice")
+    if not twice.isEmpty():
+        one = F.row_number().over(Window.partitionBy("doc_id", "_jaccard_text").orderBy("doc_id"))
+        again = out.join(twice, id_is & text_is, "left_semi").withColumn("_jaccard_at", one).where("_jaccard_at = 1").drop("_jaccard_at")
+        out = out.join(twice, id_is & text_is, "left_anti").unionByName(again)
+    return out.select(docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
