@@ -59,9 +59,15 @@ WHERE pred IS NOT NULL AND y_raw IS NOT NULL"""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where the session names none."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master (one machine, as in tests) gets
+    a temporary folder; a cluster must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
