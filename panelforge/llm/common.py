@@ -2,52 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelforge.sources.tables import materialize, shared_dir
+
+__all__ = ["connected_components", "exists", "fresh_path", "materialize", "mix64", "read", "remove", "shared_dir", "shingle_set", "word_hashes"]
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+`` as a Java regex.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters as a plain string, for ``trim`` and ``translate``.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a temporary one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    The written table replaces the lineage: a lost executor costs a re-read,
-    not a recomputation, and several consumers share one computation.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, store = _path(spark, name)
+    return store.exists(path)
 
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = _path(spark, folder)
+        store.delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -33,7 +33,14 @@ SELECT d.doc_id, {', '.join(f'CAST(COALESCE(n_{k}, 0) AS BIGINT) AS n_{k}' for k
 def _op5() -> str:
     from panelforge.llm.secrets import BASE, RULES
 
-    kinds = [_spans(r.kind, i, r.pattern, r.group, f"length({{v}}) >= {r.least}") for i, r in enumerate(RULES)]
+    # the contract's patterns, written out: group and least length
+    plain = {
+        "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        "access": (r"AKIA[A-Z0-9]+", 0, 20),
+        "hex": (r"[0-9a-f]+", 0, 24),
+    }
+    rules = [(r.kind, *plain.get(r.kind, (r.pattern, r.group, r.least))) for r in RULES]
+    kinds = [_spans(kind, i, pattern, group, f"length({{v}}) >= {least}") for i, (kind, pattern, group, least) in enumerate(rules)]
     return "WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), " + _digest(tuple(r.kind for r in BASE), kinds, "s, rank")
 
 

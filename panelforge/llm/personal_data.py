@@ -3,7 +3,8 @@
 Regular expressions propose spans; validators (Luhn, mod-97, ranges, digit
 counts) confirm them; words shortly before a span adjust its score. DataFrame
 functions only: one narrow scan of whole texts, no shuffle. The patterns use
-possessive and anchored forms, so a scan is linear in a text's length.
+possessive and anchored forms, so matching is linear in a text's length; places
+cost n * sqrt(n) number copies for n matches (``spans``).
 """
 
 from __future__ import annotations
@@ -75,26 +76,31 @@ def _confirmed(kind: Kind):
     return lambda span: kind.valid(span["match"])
 
 
-def _scored(text: Column, kind: Kind):
-    def run(span: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT))))
-        score = F.when(before.rlike(kind.words), kind.score + ADDED).otherwise(kind.score)
+def _scored(kind: Kind):
+    def run(span: Column, context: Column) -> Column:
+        score = F.when(F.lower(context).rlike(kind.words), kind.score + ADDED).otherwise(kind.score)
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"), score.alias("score"))
 
     return run
 
 
+def _in_context(text: Column, kind: Kind):
+    return lambda found: spans.before(text, CONTEXT, found, _scored(kind))
+
+
 def find(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     """Confirmed spans with a ``score``, kind by kind and by start; none for a null text."""
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,score:int>>")
     parts = []
     for k in kinds:
         found = F.filter(spans.find(text, k.name, k.pattern), _confirmed(k))
-        parts.append(F.when(text.rlike(k.hint), F.transform(found, _scored(text, k))).otherwise(empty))
+        scored = spans.let(found, _in_context(text, k))
+        parts.append(F.when(text.rlike(k.hint), scored).otherwise(empty))
     return F.coalesce(F.concat(*parts), empty)
 
 
 def op6_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Spans of every document; null and empty texts have none, null ids and repeated rows get a row each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = docs.select("doc_id", find(F.col("text")).alias("found"))
     base = [k.name for k in BASE]

@@ -6,7 +6,7 @@ paths hold it, and findings are joined back to all paths. DataFrame functions
 only.
 
 Scale: identities move as hashes. The text of one holder of each unseen blob
-moves once; where few blobs are unseen Spark broadcasts their ids instead. A
+moves once; up to ``BROADCAST`` unseen blobs their ids are broadcast instead. A
 blob that a third of all rows share is one row in the scan and a narrow row a
 path in the join back, which AQE splits.
 """
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.llm import spans
-from panelforge.llm.common import materialize, read
+from panelforge.llm.common import exists, fresh_path, materialize, read
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ MORE = (
 )
 RULES = BASE + MORE
 VERSION = "1"
+LEDGER = f"blob string, rule_version string, found {spans.SPAN}"
+#: Unseen blobs up to which their ids are broadcast.
+BROADCAST = 100_000
 KINDS = tuple(r.kind for r in RULES)
 
 
@@ -68,31 +71,59 @@ def blob_id(content: Column) -> Column:
 def ledger_update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = VERSION) -> DataFrame:
     """New ledger rows ``(blob, rule_version, found)`` of ``versions(path, version, content, ...)``.
 
-    ``ledger`` has the same columns; its pairs are not scanned again. Null
-    content counts as empty; repeated rows and equal contents are one blob.
+    ``ledger`` has the same columns; its pairs are not scanned again, and where
+    no pair is unseen no text is read. Null content counts as empty; repeated
+    rows and equal contents are one blob. Other columns are ignored.
     """
     named = versions.select("path", "version", blob_id(F.col("content")).alias("blob"))
     holders = named.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     if ledger is not None:
         holders = holders.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    holders = holders.select(F.col("blob"), F.col("at.path").alias("in_path"), F.col("at.version").alias("in_version"))
+    holders = materialize(holders.select(F.col("blob"), F.col("at.path").alias("in_path"), F.col("at.version").alias("in_version")), "secret-holders")
+    unseen = holders.count()
+    if not unseen:
+        return versions.sparkSession.createDataFrame([], LEDGER)
+    near = F.broadcast if unseen <= BROADCAST else (lambda df: df)
     texts = versions.select("path", "version", F.coalesce("content", F.lit("")).alias("content"))
-    chosen = texts.join(holders, F.col("path").eqNullSafe(F.col("in_path")) & F.col("version").eqNullSafe(F.col("in_version")) & (blob_id(F.col("content")) == F.col("blob")))
+    chosen = texts.join(near(holders), F.col("path").eqNullSafe(F.col("in_path")) & F.col("version").eqNullSafe(F.col("in_version")) & (blob_id(F.col("content")) == F.col("blob")))
     found = chosen.select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("content"), rules).alias("found"))
     return found.dropDuplicates(["blob"])
 
 
+def scan_batch(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = VERSION) -> DataFrame:
+    """The ledger kept at ``path`` after this batch of versions, whose unseen blobs are scanned and appended.
+
+    The first batch starts the ledger. A batch that is given again, or that
+    brings known blobs under new paths or versions, scans nothing.
+    """
+    spark = versions.sparkSession
+    read_back = lambda: spark.read.schema(LEDGER).parquet(path)
+    new = ledger_update(versions, read_back() if exists(spark, path) else None, rules, rule_version)
+    new.write.mode("append").parquet(path)
+    return read_back()
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rule_version: str = VERSION) -> DataFrame:
     """``(path, version, blob, found)`` for every row of ``versions``; ``found`` may be empty."""
     named = versions.select("path", "version", blob_id(F.col("content")).alias("blob"))
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found")
+    # a batch that was appended twice after a failure must not double its findings
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
     return named.join(hits, "blob", "left").select("path", "version", "blob", F.coalesce("found", spans.none()).alias("found"))
 
 
-def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
+def op5_secret_scan(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All documents through the ledger at ``path`` (by default a fresh one), in the two batches that they arrive in.
+
+    The batches are the rows of each parity of crc32(doc_id); the second scans
+    only blobs that the first did not hold. Null texts count as empty, null ids
+    are a path of their own; repeated rows each get a row.
+    """
     docs = read(spark, sf_dir, "documents")
-    versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    ledger = materialize(ledger_update(versions), "secret-ledger")
+    arrived = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2).cast("int")
+    versions = docs.select(F.col("doc_id").alias("path"), arrived.alias("version"), F.col("text").alias("content"))
+    path = path or fresh_path(spark, "secret-ledger")
+    for batch in (0, 1):
+        ledger = scan_batch(versions.where(F.col("version") == batch), path)
     base = tuple(r.kind for r in BASE)
     out = findings(versions, ledger).withColumn("sorted", spans.by_start(F.col("found"), KINDS))
 
