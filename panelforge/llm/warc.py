@@ -10,11 +10,13 @@ end, and a top directory has one row a file. Lookup: binary search in the top
 directory, in the file's directory and in one or two blocks, then a range read
 of the record.
 
-Scale: the top directory has a row for each index file; it is broadcast up to
-``TOP`` rows, a bound that is checked. Lookups are dealt by index file and range
-reads by archive, in pieces, so a hot host or archive is not one task. Archives,
-index and tables of places lie in the shared folder; a task that runs again
-writes under a new name, and only names that a finished task reported are used.
+Scale: the top directory has a row for each index file; files grow with the
+number of captures, so that it never has more than ``TOP`` rows. Lookups are
+dealt by index file and range reads by archive, in pieces of bounded size, so a
+hot host or archive is not one task. Payloads stay where they are as long as
+the digests that repeat are few (a checked size). Archives, index and tables of
+places lie in the shared folder; a task that runs again writes under a new name,
+and only names that a finished task reported are used.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
@@ -33,15 +36,16 @@ from urllib.parse import urlsplit
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.llm.common import fresh_path, materialize, read
 
-#: Captures in an index block and in an index file, rows of the top directory that may be broadcast, captures read by a task at once.
+#: Captures in an index block and least in an index file, index files at most, captures looked up and records read by a task at once, repeated digests that are broadcast.
 BLOCK = 512
 FILE = 20_000
-TOP = 200_000
+TOP = 100_000
 PIECE = 2_000
+BROADCAST = 100_000
 #: Payloads of at least this many bytes are deduplicated.
 LEAST_PAYLOAD = 0
 VERSION = "WARC/1.1"
@@ -72,12 +76,21 @@ def base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def record(kind: str, page: int, url: str | None, digest: str, payload: bytes, refers_to: int | None) -> bytes:
+def urn(page: int | None) -> str:
+    return f"<urn:page:{'' if page is None else page}>"
+
+
+def page_of(name: str) -> int | None:
+    number = name.removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number else None
+
+
+def record(kind: str, page: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record, a gzip member of its own; a header line can't hold line breaks, so those are percent-encoded."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page)}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n", 6, mtime=0)
 
@@ -120,19 +133,26 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
     """Write a record for every row of ``pages(page_id, url, html)``; returns the places of the records.
 
     Null html is an empty payload, a null url an empty target. Rows that repeat
-    a ``page_id`` are written each; a null one is written as page -1. Payloads
-    of fewer than ``least`` bytes are all responses.
+    a ``page_id`` are written each. A row whose ``page_id`` is null revisits any
+    other record of its payload; where all those are null too, each is a
+    response. Payloads of fewer than ``least`` bytes are all responses.
     """
-    rows = pages.select(F.coalesce("page_id", F.lit(-1)).alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    newest = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1").select("digest", "newest")
-    joined = rows.join(newest, "digest", "left")
-    revisit = F.col("newest").isNotNull() & (F.col("newest") != F.col("page_id"))
+    newest = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1 and newest is not null").select("digest", "newest")
+    newest = materialize(newest, "warc-newest")
+    joined = rows.join(F.broadcast(newest) if newest.count() <= BROADCAST else newest, "digest", "left")
+    revisit = F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("page_id"))
     typed = joined.select("page_id", "url", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
     # the places are written before anything reads them: they name exactly the archives of the tasks that finished
     return materialize(typed.mapInArrow(_write(folder), PLACES), "warc-places")
 
 
+def page_key(page: Column) -> Column:
+    """A page's id as text for the index; null is the empty text."""
+    return F.coalesce(page.cast("string"), F.lit(""))
+
+
 def _index(folder: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -149,8 +169,8 @@ def _index(folder: str):
 
         for frame in frames:
             out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-            for key, page, file, offset, length in zip(frame["key"], frame["page_id"], frame["file"], frame["offset"], frame["length"], strict=True):
-                held.append((key, int(page), file, int(offset), int(length)))
+            for key, page, file, offset, length in zip(frame["key"], frame["page"], frame["file"], frame["offset"], frame["length"], strict=True):
+                held.append((key, page, file, int(offset), int(length)))
                 if len(held) >= BLOCK:
                     flush()
         if out:
@@ -159,17 +179,17 @@ def _index(folder: str):
             tail = zlib.compress(json.dumps(directory).encode())
             out.write(tail)
             out.close()
-            yield pd.DataFrame([(directory[0][0], directory[0][1], name, at, len(tail))], columns=["key", "page_id", "index_file", "offset", "length"])
+            yield pd.DataFrame([(directory[0][0], directory[0][1], name, at, len(tail))], columns=["key", "page", "index_file", "offset", "length"])
 
     return run
 
 
 def build_index(places: DataFrame, folder: str) -> DataFrame:
     """Write the index of the given places; returns the top directory, one row for each index file."""
-    keyed = places.select(surt_of("url").alias("key"), "page_id", "file", "offset", "length")
-    files = max(1, keyed.count() // FILE)
-    ranged = keyed.repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialize(ranged.mapInPandas(_index(folder), "key string, page_id long, index_file string, offset long, length long"), "warc-top")
+    keyed = places.select(surt_of("url").alias("key"), page_key(F.col("page_id")).alias("page"), "file", "offset", "length")
+    files = min(TOP, max(1, places.count() // FILE))
+    ranged = keyed.repartitionByRange(files, "key", "page").sortWithinPartitions("key", "page", "file", "offset")
+    return materialize(ranged.mapInPandas(_index(folder), "key string, page string, index_file string, offset long, length long"), "warc-top")
 
 
 def _search(folder: str):
@@ -184,7 +204,7 @@ def _search(folder: str):
                     firsts = [tuple(d[:2]) for d in directory]
                     blocks: dict[int, list] = {}
                     found = []
-                    for want in sorted({(w["key"], w["page_id"]) for w in row["wanted"]}):
+                    for want in sorted({(w["key"], w["page"]) for w in row["wanted"]}):
                         at = max(0, bisect.bisect_left(firsts, want) - 1)
                         while at < len(firsts) and firsts[at] <= want:
                             if at not in blocks:
@@ -196,33 +216,40 @@ def _search(folder: str):
                                 i += 1
                             at += 1
                 if found:
-                    cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c) for c in cols[1:])], ["key", "page_id", "file", "offset", "length"])
+                    key, page, file, offset, length = zip(*found, strict=True)
+                    pages = pa.array([int(p) if p else None for p in page], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pages, pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["key", "page_id", "file", "offset", "length"])
 
     return run
 
 
 def lookup(wanted: DataFrame, top: DataFrame, folder: str) -> DataFrame:
-    """``(key, page_id, file, offset, length)`` of the captures named by ``wanted(key, page_id)``, through the index."""
-    rows = top.orderBy("key", "page_id").limit(TOP + 1).collect()
-    if len(rows) > TOP:
-        raise ValueError(f"more than {TOP} index files: raise FILE")
-    firsts = [(r["key"], r["page_id"]) for r in rows]
+    """``(key, page_id, file, offset, length)`` of the captures named by ``wanted(key, page_id)``, through the index.
+
+    Repeated wishes are one; what the index lacks gives no row.
+    """
+    spark = wanted.sparkSession
+    rows = top.orderBy("key", "page").collect()  # at most TOP rows
+    firsts = [(r["key"], r["page"]) for r in rows]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, pages = batch.column("key").to_pylist(), batch.column("page_id").to_pylist()
+            keys, pages = batch.column("key").to_pylist(), batch.column("page").to_pylist()
             at = [max(0, bisect.bisect_right(firsts, (k, p)) - 1) for k, p in zip(keys, pages, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("page_id"), pa.array(at, pa.int32())], ["key", "page_id", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("page"), pa.array(at, pa.int32())], ["key", "page", "part"])
 
     if not rows:
-        return wanted.sparkSession.createDataFrame([], "key string, page_id long, file string, offset long, length long")
-    spark = wanted.sparkSession
-    files = spark.createDataFrame([(i, r["index_file"], r["offset"], r["length"]) for i, r in enumerate(rows)], "part int, index_file string, offset long, length long")
-    dealt = wanted.select("key", "page_id").mapInArrow(deal, "key string, page_id long, part int")
-    pieces = dealt.groupBy("part", (F.pmod(F.xxhash64("key", "page_id"), F.lit(max(1, FILE // PIECE)))).alias("piece")).agg(F.collect_list(F.struct("key", "page_id")).alias("wanted"))
-    jobs = pieces.join(F.broadcast(files), "part").select("index_file", "offset", "length", "wanted")
-    return jobs.mapInArrow(_search(folder), "key string, page_id long, file string, offset long, length long")
+        return spark.createDataFrame([], "key string, page_id long, file string, offset long, length long")
+    dealt = wanted.select("key", page_key(F.col("page_id")).alias("page")).mapInArrow(deal, "key string, page string, part int")
+    dealt = materialize(dealt, "warc-wanted")
+    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most TOP rows
+    cut = [(i, r["index_file"], r["offset"], r["length"], math.ceil(counts[i] / PIECE)) for i, r in enumerate(rows) if i in counts]
+    files = spark.createDataFrame(cut, "part int, index_file string, offset long, length long, pieces long")
+    split = dealt.join(F.broadcast(files), "part").withColumn("piece", F.pmod(F.xxhash64("key", "page"), F.col("pieces")))
+    jobs = split.groupBy("part", "piece").agg(*[F.first(c).alias(c) for c in ("index_file", "offset", "length")], F.collect_list(F.struct("key", "page")).alias("wanted"))
+    # a job is small in bytes and slow: dealt to a stated number of tasks, which Spark does not merge
+    tasks = max(1, math.ceil(sum(counts.values()) / PIECE))
+    return jobs.select("index_file", "offset", "length", "wanted").repartition(tasks).mapInArrow(_search(folder), "key string, page_id long, file string, offset long, length long")
 
 
 def _read(folder: str):
@@ -238,8 +265,7 @@ def _read(folder: str):
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-                        number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
-                        out.append((number(fields["WARC-Record-ID"]), fields["WARC-Type"], digest, len(payload), refers and number(refers), payload))
+                        out.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Type"], digest, len(payload), refers and page_of(refers), payload))
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "record_type", "payload_digest", "length", "refers_to", "payload"])
@@ -249,18 +275,31 @@ def _read(folder: str):
 
 def read_records(found: DataFrame, folder: str) -> DataFrame:
     """Records by range reads: ``(page_id, record_type, payload_digest, length, refers_to, payload)``; a revisit's payload is empty."""
-    pieces = found.groupBy("file", F.floor(F.col("offset") / (16 << 20)).alias("piece")).agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    tasks = max(1, math.ceil(found.count() / PIECE))
+    piece = F.floor(F.col("offset") / (1 << 20)).alias("piece")
+    pieces = found.select("file", piece, "offset", "length").repartition(tasks, "file", "piece").groupBy("file", "piece").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
     return pieces.select("file", "places").mapInArrow(_read(folder), "page_id long, record_type string, payload_digest string, length long, refers_to long, payload binary")
 
 
+def described(records: DataFrame) -> DataFrame:
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)``: a revisit has the size of the payload that it refers to."""
+    kept = materialize(records.drop("payload"), "warc-records")
+    referred = kept.where("record_type = 'revisit'").select(F.col("refers_to").alias("of_page"), F.col("payload_digest").alias("of_digest")).distinct()
+    of = (F.col("page_id") == F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest"))
+    sizes = kept.where("record_type = 'response'").join(referred, of).groupBy("of_page", "of_digest").agg(F.max("length").alias("of_length"))
+    full = kept.join(sizes, (F.col("refers_to") == F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest")), "left")
+    return full.select("page_id", F.coalesce("of_length", "length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written to archives, found through the index and read back.
+
+    Null html is an empty payload; null page ids and repeated rows give a record
+    each and come back as they are; an empty table gives none.
+    """
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives, index = fresh_path(spark, "warc-archives"), fresh_path(spark, "warc-index")
     places = write_archives(pages, archives)
     top = build_index(places, index)
-    found = lookup(pages.select(surt_of("url").alias("key"), F.coalesce("page_id", F.lit(-1)).alias("page_id")), top, index)
-    records = read_records(found, archives).drop("payload")
-    # a revisit has the payload of the response that it refers to
-    responses = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("of_page")).agg(F.max("length").alias("of_length"))
-    full = records.join(responses, F.col("refers_to") == F.col("of_page"), "left")
-    return full.select("page_id", F.coalesce("of_length", "length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    found = materialize(lookup(pages.select(surt_of("url").alias("key"), "page_id"), top, index), "warc-found")
+    return described(read_records(found, archives))
