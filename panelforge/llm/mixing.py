@@ -1,107 +1,114 @@
 """Operator 9: mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks. A source with weight w gives its i-th
-block (from 1) the release slot floor((i - 1) / w) and the deadline
-ceil(i / w); at every slot the released block with the earliest deadline goes
-next. With weights that sum to 1 no deadline is missed, so after any number of
-slots each source is less than one block from its target.
-
-Weights are rounded to multiples of 1 / ``PERIOD``; the schedule then repeats
-every ``PERIOD`` slots. Only one period is simulated, whatever the input's
-size; a block's slot is its period's number and its place in the table. When a
-source runs out a new phase starts, with the weights of the others scaled up;
-nothing is dropped or repeated.
-
-Scale: rows are numbered within (source, hash bucket) and offset by the counts
-of the buckets before, so a source with a third of all rows spreads over all
-buckets and no task numbers a whole source.
+Each source's rows are cut into blocks. A source with share w of the weights
+gives its i-th block (from 1) the release slot floor((i - 1) / w) and the
+deadline ceil(i / w); at every slot the released block with the earliest
+deadline goes next. With shares that sum to 1 no deadline is missed, so after
+any number of slots each source is less than one block from its target. The
+weights are exact rationals: nothing is rounded. When a source runs out a new
+phase starts, with the shares of the others scaled up; nothing is dropped or
+repeated.
+
+Scale: the schedule needs only the sources' row counts. It has at most about
+``SLOTS`` slots, as blocks grow with the table beyond ``BLOCK`` rows, and is
+made by one task in time linear in slots. Rows are numbered within (source,
+hash bucket) and offset by the counts of the buckets before, so a source with a
+third of all rows spreads over all buckets and no task numbers a whole source.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelforge.llm.common import read
+from panelforge.llm.common import materialize, read
 
-#: Slots in a period, rows in a block, rows in a numbering bucket, such buckets at most, table rows that are broadcast, sources at most.
-PERIOD = 4_096
+#: Least rows in a block, slots of the schedule (and one for each source), rows in a numbering bucket, such buckets at most, schedule rows that are broadcast.
 BLOCK = 64
-BUCKET = 1_000
+SLOTS = 1 << 18
+BUCKET = 500
 BUCKETS = 100_000
-BROADCAST = 200_000
-SOURCES = 500
-RESERVED = ("mix_block", "mix_slot", "mix_position", "_source", "_bucket", "_rows", "_before", "_at", "_rank", "lo", "hi", "base", "quota", "period", "place", "slot")
-
-
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks of each source in a period: largest remainders, at least one each."""
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    spare = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: max(0, spare)]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s] > 1, s))] -= 1
-    return out
-
-
-def period_table(quota: dict[str, int]) -> list[str]:
-    """Source of each slot of one period, by earliest deadline among the released blocks."""
-    period = sum(quota.values())
-    waiting = [(0, -(-period // q), s, 1) for s, q in quota.items()]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, i))
-        _, s, i = heapq.heappop(ready)
-        out.append(s)
-        if i < quota[s]:
-            q = quota[s]
-            heapq.heappush(waiting, (i * period // q, -(-(i + 1) * period // q), s, i + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """Rows ``(source, block_lo, block_hi, base, quota, place, slot, period)``.
-
-    Blocks lo <= b < hi of the source are scheduled in a phase whose first slot
-    is ``base``; block lo + k * quota + place goes to slot base + k * period + slot.
+BROADCAST = 2 * SLOTS
+SCHEDULE = "_mix_source string, mix_block long, mix_slot long, _mix_start long"
+
+
+def integers(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block from 0) of each slot, by earliest deadline among the released blocks; ties go by the source's name.
+
+    Sources without a positive weight come after all others, with equal shares.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    rows, base = [], 0
+    first = {s: w for s, w in weights.items() if w > 0 and blocks.get(s, 0) > 0}
+    rest = {s: 1 for s, n in blocks.items() if n > 0 and s not in first}
+    for group in (first, rest):
+        if group:
+            yield from _phases({s: blocks[s] for s in group}, integers(group))
+
+
+def _phases(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    total, given = sum(weights.values()), dict.fromkeys(blocks, 0)
+    order = sorted(blocks, key=lambda s: (-weights[s], s))  # deadlines of first blocks ascend in this order
+    left = len(order)
     while left:
-        quota = quotas({s: weights.get(s, 0.0) or 1e-12 for s in left}, max(period, len(left)))
-        table = period_table(quota)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(table):
-            places[s].append(slot)
-        # slots until the first source has given its last block
-        ends = {s: (n - 1) // quota[s] * len(table) + places[s][(n - 1) % quota[s]] + 1 for s, n in left.items()}
-        slots = min(ends.values())
-        whole, part = divmod(slots, len(table))
-        for s in sorted(left):
-            given = whole * quota[s] + sum(p < part for p in places[s])
-            if not given:
-                continue
-            rows += [(s, done[s], done[s] + given, base, quota[s], place, slot, len(table)) for place, slot in enumerate(places[s])]
-            done[s] += given
-            left[s] -= given
-        left = {s: n for s, n in left.items() if n}
-        base += slots
-    return rows
-
-
-def slot_of(table: list[tuple], source: str, b: int) -> int:
-    """Slot of a source's block in the rows of ``phases``."""
-    return next(base + (b - lo) // quota * period + slot for s, lo, hi, base, quota, place, slot, period in table if s == source and lo <= b < hi and (b - lo) % quota == place)
+        if len(order) > 2 * left:
+            order = [s for s in order if given[s] < blocks[s]]
+        waiting: list = []  # release, deadline, source, block of this phase
+        ready: list = []  # deadline, source, block of this phase
+        cursor, slot, ended = 0, 0, False
+        while not ended:
+            while waiting and waiting[0][0] <= slot:
+                _, deadline, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, s, i))
+            while cursor < len(order) and given[order[cursor]] == blocks[order[cursor]]:
+                cursor += 1
+            fresh = (-(-total // weights[order[cursor]]), order[cursor], 1) if cursor < len(order) else None
+            if fresh and (not ready or fresh < ready[0]):
+                s, i = fresh[1:]
+                cursor += 1
+            else:
+                _, s, i = heapq.heappop(ready)
+            yield s, given[s]
+            given[s] += 1
+            slot += 1
+            if given[s] == blocks[s]:
+                total, left, ended = total - weights[s], left - 1, True
+            else:
+                heapq.heappush(waiting, (i * total // weights[s], -(-(i + 1) * total // weights[s]), s, i + 1))
+
+
+def _scheduled(block: int, weights: dict[str, float] | None, power: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, int] = {}
+        for batch in batches:
+            rows.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        goal = {s: float(n) ** power for s, n in rows.items()} if weights is None else {s: weights.get(s, 0) for s in rows}
+        start, out = 0, []
+        for slot, (s, b) in enumerate(schedule({s: -(-n // block) for s, n in rows.items()}, goal)):
+            out.append((s, b, slot, start))
+            start += min(block, rows[s] - b * block)
+            if len(out) == 50_000:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["_mix_source", "mix_block", "mix_slot", "_mix_start"])
 
 
 def source_key(column: Column) -> Column:
@@ -109,56 +116,49 @@ def source_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), column))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
+def _hashed(docs: DataFrame) -> Column:
+    """Hash of a whole row: rows that are equal in it are interchangeable."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()], F.lit(9))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
     """All rows and columns of ``docs`` with ``mix_block`` (within the source), ``mix_slot`` and ``mix_position`` (0, 1, ...).
 
-    ``weights`` maps sources to target weights; by default a source's weight is
-    its row count to the given power. Sources without a weight come last. Null
-    sources are one source. Equal and repeated rows are kept and get positions
-    of their own; an empty table gives an empty result. Columns of ``docs`` with
-    the names that are added or used inside are dropped first.
+    ``weights`` maps sources to target weights of any proportion; by default a
+    source's weight is its row count to the given power. Sources without a
+    weight come last. Null sources are one source. Blocks have ``block`` rows,
+    or rows / ``SLOTS`` where that is more; a source's last block may be
+    shorter. Equal and repeated rows are kept and get positions of their own;
+    an empty table gives an empty result. Columns of ``docs`` with the three
+    added names, or that begin with ``_mix_``, are replaced.
     """
-    spark = docs.sparkSession
-    docs = docs.drop(*RESERVED)
-    total = docs.count()
+    docs = docs.drop("mix_block", "mix_slot", "mix_position", *[c for c in docs.columns if c.startswith("_mix_")])
+    keyed = docs.withColumn("_mix_hash", _hashed(docs)).withColumn("_mix_source", source_key(F.col("source")))
+    per_source = keyed.groupBy("_mix_source").agg(F.count("*").alias("n"))
+    sources, total = per_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    block = max(block, math.ceil(total / SLOTS))
     buckets = min(BUCKETS, max(8, math.ceil(total / BUCKET)))
-    ids = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9))
-    keyed = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_bucket", F.pmod(ids, F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("_rows"))
-    per_source = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("_rows")).limit(SOURCES + 1).collect()}
-    if len(per_source) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    goal = {s: float(n) ** power for s, n in per_source.items()} if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
-    blocks = {s: -(-n // block) for s, n in per_source.items()}
-    table = phases(blocks, goal)
-    schema = "_source string, lo long, hi long, base long, quota long, place long, slot long, period long"
-    plan = spark.createDataFrame(table or [], schema)
-    # rows of a source before each of its buckets; both tables are bounded by sources x buckets
-    before = counts.withColumn("_before", F.sum("_rows").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_rows")).drop("_rows")
-    at = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(ids, "doc_id")) - 1
-    ranked = keyed.withColumn("_at", at).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_at") + F.col("_before"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
-    # the table has at most (phases x PERIOD) rows; it is broadcast up to a checked size
-    sized = F.broadcast if len(table) <= BROADCAST else (lambda df: df)
-    windows = plan.select("_source", "lo", "hi", "base", "quota", "period").distinct()
-    in_phase = ranked.join(sized(windows), "_source").where((F.col("mix_block") >= F.col("lo")) & (F.col("mix_block") < F.col("hi")))
-    timed = in_phase.withColumn("place", (F.col("mix_block") - F.col("lo")) % F.col("quota")).join(sized(plan.select("_source", "lo", "place", "slot")), ["_source", "lo", "place"])
-    timed = timed.withColumn("mix_slot", F.col("base") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("quota")) * F.col("period") + F.col("slot"))
-    # every block is full but the last of each source: what those lack is taken off the positions after them
-    lacks = F.lit(0)
-    for s, n in sorted(per_source.items()):
-        if n % block:
-            lacks = lacks + F.when(F.col("mix_slot") > slot_of(table, s, n // block), block - n % block).otherwise(0)
-    out = timed.withColumn("mix_position", F.col("mix_slot") * block - lacks + F.col("_rank") % block)
-    return out.select(*docs.columns, "mix_block", "mix_slot", "mix_position")
-
-
-def in_order(mixed: DataFrame, rows_per_part: int = 25_000) -> DataFrame:
-    """Rows in mixed order: each partition is a stretch of the mix, sorted."""
-    total = mixed.agg(F.max("mix_position")).first()[0]
-    parts = 1 if total is None else total // rows_per_part + 1
+    keyed = keyed.withColumn("_mix_bucket", F.pmod(F.xxhash64("_mix_hash"), F.lit(buckets)).cast("int"))
+    goal = None if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
+    plan = materialize(per_source.coalesce(1).mapInArrow(_scheduled(block, goal, power), SCHEDULE), "mix-schedule")
+    # rows of a source before each of its buckets
+    counts = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.count("*").alias("_mix_rows"))
+    before = counts.withColumn("_mix_before", F.sum("_mix_rows").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket")) - F.col("_mix_rows")).drop("_mix_rows")
+    at = F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash")) - 1
+    # the counts grow with the rows, so they are never broadcast; the rows are dealt by the join's key already
+    ranked = keyed.withColumn("_mix_at", at).join(before.hint("merge"), ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_at") + F.col("_mix_before"))
+    # at most about SLOTS slots and one for each source: a checked size
+    near = F.broadcast if sources + SLOTS <= BROADCAST else (lambda df: df)
+    out = ranked.withColumn("mix_block", F.floor(F.col("_mix_rank") / block)).join(near(plan), ["_mix_source", "mix_block"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", (F.col("_mix_start") + F.col("_mix_rank") % block).alias("mix_position"))
+
+
+def in_order(mixed: DataFrame, rows_per_part: int = 25_000, total: int | None = None) -> DataFrame:
+    """Rows in mixed order: each partition is a stretch of the mix, sorted. ``total`` is the number of rows, counted where not given."""
+    parts = max(1, math.ceil((mixed.count() if total is None else total) / rows_per_part))
     return mixed.repartitionById(parts, F.floor(F.col("mix_position") / rows_per_part).cast("int")).sortWithinPartitions("mix_position")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix, by the square root of its source's size; null sources are one source, repeated rows get places of their own."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
