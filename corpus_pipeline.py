@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in mixed order: each partition, hence each file, is a stretch of the mix."""
-    return mixing.in_order(mixing.mix(docs)).select(docs.columns)
+    return mixing.in_order(mixing.mix(docs), total=docs.count()).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
