@@ -16,8 +16,9 @@ too few positions hold a shingle of the item can't be similar and end there.
 
 Scale: documents stay where they are until a probe hits. The probes and items
 grow with the benchmark alone; they are broadcast only up to ``BROADCAST``
-probes, beyond that Spark joins by shuffle. What moves is one row of item
-length a window.
+probes. Beyond that Spark joins (text, place, shingle) rows by shuffle, which it
+can split where a shingle is hot, and fetches the texts of hits by a second
+join. What moves after that is one row of item length a window.
 """
 
 from __future__ import annotations
@@ -110,14 +111,20 @@ def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, n_words, width, start, window)``: the item-sized windows that may be similar to an item."""
     texts = probed(items).persist()
     probes = texts.select("item", "n_words", "width", F.size("hashes").alias("k"), F.explode("probes").alias("probe"))
-    near = F.broadcast if probes.count() <= BROADCAST else lambda df: df
+    few = probes.count() <= BROADCAST
+    near = F.broadcast if few else (lambda df: df)
     widths = [r[0] for r in texts.select("width").distinct().collect()]  # at most WIDTH values
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     found = []
     for width in widths:
         # outer: otherwise Spark infers a filter on the array's size, which computes the array again for each element
-        placed = words.select("doc_id", shingles("words", width).alias("g")).select("doc_id", "g", F.posexplode_outer("g").alias("pos", "probe"))
-        hits = placed.join(near(probes.where(F.col("width") == width)), "probe")
+        mine, g = probes.where(F.col("width") == width), shingles("words", width).alias("g")
+        if few:
+            hits = words.select("doc_id", g).select("doc_id", "g", F.posexplode_outer("g").alias("pos", "probe")).join(F.broadcast(mine), "probe")
+        else:  # a narrow row a word crosses the shuffle, and each text once
+            rows = words.select("doc_id", F.xxhash64("doc_id", "words").alias("row"), g)
+            at = rows.select("row", F.posexplode_outer("g").alias("pos", "probe")).where("probe is not null").join(mine, "probe").distinct()
+            hits = rows.join(at, "row")
         lo = F.greatest(F.lit(0), F.col("pos") - F.col("k") + 1)
         around = F.slice("g", lo + 1, F.col("pos") - lo + F.col("k"))
         hits = hits.select("doc_id", "item", "n_words", "width", "k", "pos", lo.alias("lo"), F.least("k", F.size("g")).alias("m"), F.least(F.col("pos"), F.greatest(F.size("g") - F.col("k"), F.lit(0))).alias("last"), around.alias("around"))
@@ -166,4 +173,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every leaked item of every document; null and empty texts and items match nothing, rows that repeat a doc_id are taken together."""
     return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
