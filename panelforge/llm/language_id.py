@@ -14,6 +14,7 @@ no shuffle, memory bounded by the word cache.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -127,23 +128,39 @@ class Unigrams:
             out[some] = np.log(alpha[-1]) + logs
         return out
 
+    @staticmethod
+    def _sums(edges: list[list], places: Iterable[int], p: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all ways to each place, as value * exp(log), so that long words don't underflow."""
+        value, log, last = np.zeros((len(edges), rows)), np.zeros((len(edges), rows)), None
+        for here in places:
+            if last is None:
+                value[here] = 1.0
+            else:
+                log[here] = log[last]
+                for there, at, ids in edges[here]:
+                    value[here, at] += value[there, at] * p[ids] * np.exp(log[there, at] - log[here, at])
+                low = (value[here] > 0) & (value[here] < 1e-100)
+                log[here, low] += np.log(value[here, low])
+                value[here, low] = 1.0
+            last = here
+        return value, log
+
     def expected(self, words: list[str], counts: np.ndarray, lang: int) -> np.ndarray:
         """Expected uses of each piece in counted words of one language, over all segmentations."""
         out = np.zeros(len(self.table))
         for some, codes in by_length(words):
-            prefix, size = self.prefixes(codes), codes.shape[1]
-            into = [list(self.edges(prefix, j)) for j in range(1, size + 1)]
-            p = self.table[:, lang]
-            alpha, beta = np.zeros((size + 1, len(some))), np.zeros((size + 1, len(some)))
-            alpha[0] = beta[size] = 1.0
-            for j, edges in enumerate(into, 1):
+            prefix, size, p, rows = self.prefixes(codes), codes.shape[1], self.table[:, lang], len(some)
+            into = [[], *([(i, at, ids) for i, at, ids in self.edges(prefix, j)] for j in range(1, size + 1))]
+            out_of: list[list] = [[] for _ in range(size + 1)]
+            for j, edges in enumerate(into):
+                for i, at, ids in edges:
+                    out_of[i].append((j, at, ids))
+            alpha, before = self._sums(into, range(size + 1), p, rows)
+            beta, after = self._sums(out_of, range(size, -1, -1), p, rows)
+            for j, edges in enumerate(into):
                 for i, at, ids in edges:
-                    alpha[j, at] += alpha[i, at] * p[ids]
-            scale = np.divide(counts[some], alpha[size], out=np.zeros(len(some)), where=alpha[size] > 0)
-            for j in range(size, 0, -1):
-                for i, at, ids in into[j - 1]:
-                    beta[i, at] += p[ids] * beta[j, at]
-                    np.add.at(out, ids, alpha[i, at] * p[ids] * beta[j, at] * scale[at])
+                    share = np.exp(before[i, at] + after[j, at] - before[size, at])
+                    np.add.at(out, ids, counts[some][at] * alpha[i, at] * p[ids] * beta[j, at] * share / alpha[size, at])
         return out[:-1]
 
 
@@ -160,22 +177,31 @@ def _count(model: Unigrams, langs: list[str]):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted words of each language, by the same words as in prediction."""
+    for batch in batches:
+        found: Counter = Counter()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found.update((lang, w) for w in words_of(text) or ())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(map(float, found.values())), pa.float64())], ["lang", "word", "n"])
+
+
 def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> tuple[list[str], Unigrams]:
     """Languages in order and their unigrams, from ``labelled(doc_id, text, lang)``.
 
-    Rows with a null text or language are left out. Of N labelled rows, those
-    in the lowest ``sample`` / N of the hash range are used.
+    Rows with a null text or language are left out. Each of L languages is
+    learned from ``sample`` / L of its rows, those lowest in the range of a
+    hash, so a rare one is learned on large tables as well; a language of fewer
+    rows from all of them. Equal rows are used or left out together.
     """
-    rows = labelled.where("text is not null and lang is not null")
-    total = max(1, rows.count())
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < math.ceil(1_000_000 * sample / total))
-    words = (
-        chosen.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-        .groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).persist()
-    )
-    langs = [r[0] for r in words.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
+    if len(of) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    langs = sorted(of)
+    share = F.create_map(*[F.lit(x) for lang, n in of.items() for x in (lang, math.ceil(1_000_000 * min(1.0, sample / len(of) / n)))]) if of else F.create_map()
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]) if of else rows.limit(0)
+    words = chosen.select("lang", "text").mapInArrow(_words, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     vocabulary = pieces(path)
     model = Unigrams(vocabulary, np.full((len(vocabulary), len(langs)), 1 / len(vocabulary)))
     for _ in range(ROUNDS if langs else 0):
@@ -189,15 +215,22 @@ def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) ->
     return langs, model
 
 
-def _predict(langs: list[str], model: Unigrams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def words_of(text: str | None) -> list[str] | None:
+    """Lower-cased words between Unicode white space; none for a text that is null or has no letter."""
+    return text.lower().split() if text and any(map(str.isalpha, text)) else None
+
+
+def _said(langs: list[str], model: Unigrams):
+    """For each batch in turn its predictions and scores; known words are kept from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
         at: dict[str, int] = {}  # word to row of the matrix
         matrix = np.empty((0, len(langs)))
         for batch in batches:
             preds, scores = [], []
             for lo in range(0, batch.num_rows, 512):
                 texts = batch.column("text").slice(lo, 512).to_pylist()
-                parts = [t.lower().split() if t and langs and any(map(str.isalpha, t)) else None for t in texts]
+                parts = [words_of(t) if langs else None for t in texts]
                 if len(at) > CACHE:
                     at, matrix = {}, np.empty((0, len(langs)))
                 fresh = list({w for words in parts if words for w in words if w not in at})
@@ -215,8 +248,15 @@ def _predict(langs: list[str], model: Unigrams):
                     best = int(share.argmax())
                     preds.append(langs[best])
                     scores.append(float(share[best]))
-            rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
+            yield batch, preds, scores
+
+    return run
+
+
+def _predict(langs: list[str], model: Unigrams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, preds, scores in _said(langs, model)(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -232,13 +272,9 @@ def predict(docs: DataFrame, langs: list[str], model: Unigrams) -> DataFrame:
 
 
 def _judge(langs: list[str], model: Unigrams, least: float):
-    label = _predict(langs, model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = next(label(iter([batch.select(["text"])])))
-            mask = pa.array([p != UNDETERMINED and s >= least for p, s in zip(said.column("lang_pred").to_pylist(), said.column("score").to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(mask)
+        for batch, preds, scores in _said(langs, model)(batches):
+            yield batch.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
 
     return run
 
@@ -255,6 +291,7 @@ def held_out(docs: DataFrame):
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """A language for every document; texts that are null or have no letter are ``und``, a null id is in the fold of the empty text, repeated rows get a row each."""
     docs = read(spark, sf_dir, "documents")
     langs, model = learn(docs.select("doc_id", "text", "lang").where(~held_out(docs)))
     out = predict(docs, langs, model)
