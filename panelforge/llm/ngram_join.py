@@ -403,4 +403,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Every document's set size and class; see ``classes`` for nulls, empty texts and repeats."""
     return classes(read(spark, sf_dir, "documents"))

@@ -169,16 +169,16 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[lis
     """Decision list for ``labels.quality`` = 0 from ``stats(doc_id, counts...)``.
 
     Null labels are left out; a document labelled twice is bad if one label
-    says so. Of N labelled documents those in the lowest ``sample`` / N of the
+    says so. A column ``quality`` of ``stats`` is no label and is ignored. Of N labelled documents those in the lowest ``sample`` / N of the
     hash range are used. Without labels of both kinds the list is empty.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     total = max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / total)))
     # at most about `sample` rows of two numbers: a proven bound for the broadcast
     # persisted before the filter: a filter that moves below the statistics would compute them many times
-    held = statistics(stats.join(F.broadcast(chosen), "doc_id")).persist()
-    rows = held.where(~base_failed()).select("quality", *[c.alias(n) for n, c in features().items()])
+    held = statistics(stats.drop("_quality").join(F.broadcast(chosen), "doc_id")).persist()
+    rows = held.where(~base_failed()).select(F.col("_quality").alias("quality"), *[c.alias(n) for n, c in features().items()])
     cuts = rows.agg(*[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10_000).alias(n) for n in FEATURES], *[F.percentile_approx(F.when(F.col("quality") == 0, F.col(n)), [0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98], 10_000).alias(f"{n}_bad") for n in FEATURES]).first()
     bounds = {n: sorted({*(cuts[n] or []), *(cuts[f"{n}_bad"] or [])}) for n in FEATURES}
     binned = [sum((F.when(F.col(n) > float(b), 1).otherwise(0) for b in bounds[n]), F.lit(0)) for n in FEATURES]
@@ -205,6 +205,7 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; null and empty texts have no word and fail the base, repeated rows get a row each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn(docs, read(spark, sf_dir, "labels"))
     stats = statistics(docs)

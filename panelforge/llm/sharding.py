@@ -70,4 +70,5 @@ def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard; null ids share the empty key's shard, repeated rows get a row each."""
     return place(read(spark, sf_dir, "documents").select("doc_id"))

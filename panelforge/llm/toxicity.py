@@ -80,7 +80,8 @@ def learn(labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
     chosen = known.withColumn("order", order).where(F.col("order") < math.ceil(1_000_000_000 * min(1.0, sample / total)))
     # at most about `sample` rows of two numbers: a proven bound for the broadcast
     rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("order", "text", "label")
-    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit, "at long, w double").orderBy("at").collect()
+    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit, "at long, w double").collect()
+    found = sorted(found, key=lambda r: r["at"])  # here: sorting in Spark would fit twice, once to sample the range
     return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found], float)
 
 
@@ -116,6 +117,7 @@ def held_out():
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A score for every document; null and empty texts get the bias alone, a null id is in the fold of the empty text, repeated rows are scored each."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     at, w = learn(docs.where(~held_out()), labels.where(~held_out()))
     out = score(docs, at, w)
