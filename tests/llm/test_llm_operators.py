@@ -12,6 +12,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,26 @@ def test_jaccard_join_keeps_one(spark):
     assert kept == {i for i, (_, g) in jaccard_classes(texts).items() if i == g}
 
 
+def test_jaccard_join_keeps_one_row_of_repeats(spark):
+    """Repeated rows collapse; another text under a dropped id stays; wordless rows and clashing columns stay."""
+    a, near, other = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q", "quite another text of some words here"
+    rows = [(1, a), (1, a), (2, near), (2, other), (None, a), (None, "only null here at all"), (None, "only null here at all"), (3, ""), (3, ""), (4, None)]
+    docs = clashing(table(spark, [t for _, t in rows], [i for i, _ in rows]))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(1, a), (2, other), (None, "only null here at all"), (3, ""), (3, ""), (4, None)])
+
+
+def test_jaccard_join_tiles_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 150)
+    rng = random.Random(6)
+    base = prose(rng, 80).split()
+    texts = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(0, 60, 3)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(table(spark, texts)).collect()}
+    assert got == {i: g for i, (_, g) in jaccard_classes(texts).items()}
+
+
 def test_jaccard_join_null_ids_and_empty_table(spark):
     out = ngram_join.classes(table(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
     assert [r["component_id"] for r in out] == [4, 4, 4]
@@ -129,6 +150,17 @@ def test_ftrl_matches_plain_python():
     assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in list(z) if weight(i)})
 
 
+def test_toxicity_features_are_ngrams_and_skipgrams():
+    ids = lambda t: toxicity.features(t.encode()).tolist()
+    a, b = ids("one two three four"), ids("One, TWO three!  four")
+    assert a == b and len(a) == 4 + 3 + 2 + 1 and all(0 < x < toxicity.DIMENSIONS for x in a)
+    assert a[:4] == [ids(w)[0] for w in "one two three four".split()]  # words
+    pair = lambda x, y, k: ids(" ".join([x, *["filler"] * (k - 1), y]))[-1]
+    assert a[4:7] == [pair(x, y, 1) for x, y in (("one", "two"), ("two", "three"), ("three", "four"))]
+    assert a[7:9] == [pair(x, y, 2) for x, y in (("one", "three"), ("two", "four"))] and a[9] == pair("one", "four", 3)
+    assert toxicity.features(None).tolist() == []
+
+
 def test_toxicity_finds_held_out_documents(spark):
     rng = random.Random(3)
     texts = [prose(rng, 60) + (" you vile fool " + prose(rng, 30) if i % 4 == 0 else "") for i in range(600)]
@@ -180,6 +212,28 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.lookup(missing, top, index).count() == 0
 
 
+def test_warc_repeated_and_null_page_ids(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://a/", "xx"), (5, "http://b/", "xx"), (5, "http://b/", "a longer payload"), (None, "http://c/", "xx"), (-1, "http://d/", "of page -1"), (None, "http://e/", "nulls only"), (None, "http://e/", "nulls only"), (7, None, None)]
+    clashing(pages_of(spark, rows)).write.parquet(f"{tmp_path}/in/pages.parquet")
+    size = lambda h: len((h or "").encode())
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    refers = [5, None, None, 5, None, None, None, None]
+    want = Counter((p, size(h), digest(h), "revisit" if r else "response", r) for (p, _, h), r in zip(rows, refers, strict=True))
+    for broadcast in (0, 10):
+        monkeypatch.setattr(warc, "BROADCAST", broadcast)
+        out = warc.op3_warc(spark, f"{tmp_path}/in")
+        assert Counter(tuple(r) for r in out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
+def test_warc_index_files_follow_the_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 1)
+    monkeypatch.setattr(warc, "TOP", 3)
+    pages = pages_of(spark, [(i, f"http://h{i}/", str(i)) for i in range(50)])
+    top = warc.build_index(warc.write_archives(pages, f"file://{tmp_path}/w"), f"file://{tmp_path}/i")
+    assert 1 < top.count() <= 3
+    assert warc.lookup(pages.select(warc.surt_of("url").alias("key"), "page_id"), top, f"file://{tmp_path}/i").count() == 50
+
+
 def test_warc_least_payload_and_empty_table(spark, tmp_path):
     rows = [(1, "http://a/", "xy"), (2, "http://a/", "xy"), (3, "http://a/", "a longer text"), (4, "http://a/", "a longer text")]
     kinds = {r["page_id"]: r["record_type"] for r in warc.write_archives(pages_of(spark, rows), f"file://{tmp_path}/w", least=5).collect()}
@@ -217,6 +271,20 @@ def test_sharding_table_properties():
     assert abs(weighted[0] - 3 * weighted[1]) <= 4
 
 
+def test_sharding_table_equals_plain_turns():
+    """An independent filling: each shard's whole preference list, turn by turn."""
+    names, slots = ("b", "a", "c"), 101
+    number = lambda name, salt: int.from_bytes(hashlib.blake2b(f"{salt}:{name}".encode(), digest_size=8).digest(), "big")
+    wants = {n: [(number(n, "offset") + k * (number(n, "skip") % (slots - 1) + 1)) % slots for k in range(slots)] for n in names}
+    owner: dict[int, str] = {}
+    while len(owner) < slots:
+        for n in sorted(names):
+            free = [x for x in wants[n] if x not in owner]
+            if free:
+                owner[free[0]] = n
+    assert [names[i] for i in sharding.fill(names, slots)] == [owner[i] for i in range(slots)]
+
+
 def test_sharding_places_by_hash(spark):
     docs = clashing(table(spark, AWKWARD, [*range(len(AWKWARD) - 2), None, 3]))
     out = sharding.place(docs).collect()
@@ -298,6 +366,34 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secrets.ledger_update(versions.limit(0)).count() == 0
 
 
+def test_second_run_over_a_kept_ledger_scans_nothing(spark, tmp_path, monkeypatch):
+    rows = [(i, ("token=abcdefgh" if i % 3 else "AKIA" + "A" * 16) + str(i // 4)) for i in range(40)] + [(None, None), (3, "x"), (3, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    path = f"file://{tmp_path}/ledger"
+    first = sorted(map(str, secrets.op5_secret_scan(spark, f"{tmp_path}/in", path).collect()))
+    size = spark.read.parquet(path).count()
+    assert len(first) == len(rows) and size == len({t or "" for _, t in rows})
+    monkeypatch.setattr(secrets, "scan", lambda *_: 1 / 0)
+    assert sorted(map(str, secrets.op5_secret_scan(spark, f"{tmp_path}/in", path).collect())) == first
+    assert spark.read.parquet(path).count() == size
+
+
+def test_many_matches_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"u{i}@d.io" if i % 2 else f"mail u{i}@d.io" for i in range(n))
+    got = spark.createDataFrame([(text,)], "t string").select(personal_data.find(F.col("t")).alias("p")).first()["p"]
+    want = [m.span() for m in re.finditer(r"u[0-9]+@d\.io", text)]
+    assert [(s["start"], s["end"]) for s in got] == want
+    assert [s["score"] for s in got[:2000]] == [105 if "mail" in text[max(0, a - 40) : a] else 90 for a, _ in want[:2000]]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 31, 32, 33, 64, 5_000):
+        xs = [k % 7 for k in range(n)]
+        got = spark.createDataFrame([(xs,)], "x array<int>").select(spans.running_sums(F.col("x")).alias("s")).first()["s"]
+        assert got == list(itertools.accumulate(xs, initial=0))
+
+
 def test_spans_are_in_code_points(spark):
     out = spark.createDataFrame([("😀é x1 x22",)], "t string").select(spans.joined(spans.find(F.col("t"), "n", "x[0-9]+")).alias("s")).first()["s"]
     assert out == "n:3:5,n:6:9"
@@ -347,7 +443,10 @@ def test_decontamination_equals_every_window(spark):
     assert got == brute_leaks(texts, items)
 
 
-def test_decontamination_finds_reordered_passages(spark):
+@pytest.mark.parametrize("broadcast", [None, 0])
+def test_decontamination_finds_reordered_passages(spark, monkeypatch, broadcast):
+    if broadcast is not None:  # the path without a broadcast
+        monkeypatch.setattr(decontamination, "BROADCAST", broadcast)
     rng = random.Random(59)
     items = [prose(rng, n) for n in (59, 45, 58, 90)]
     texts = []
@@ -357,6 +456,7 @@ def test_decontamination_finds_reordered_passages(spark):
         for version in ([*w[half:], *w[:half]], [*w[5:], *w[:5]], [*w[-third:], *w[:-third]], [*w[third : 2 * third], *w[:third], *w[2 * third :]]):
             texts.append(" ".join([prose(rng, 80), *version, prose(rng, 80)]))
             texts.append(" ".join(version))
+    texts += texts[:3]  # repeated rows
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = brute_leaks(texts, items)
     assert (0, 0) in want and len(want) > 20
@@ -413,8 +513,9 @@ def test_quality_rules_learn_thresholds(spark):
         texts.append(prose(rng, 40) + (" " + " ".join(f"#{k}{i}" for k in range(20)) if bad else " # one"))
         labels.append((i, int(not bad), 0))
     docs = table(spark, texts)
+    docs = docs.withColumn("quality", F.lit(1))
     labelled = spark.createDataFrame([*labels, (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    rules = quality_rules.learn(docs.select("doc_id", "text"), labelled)
+    rules = quality_rules.learn(docs.select("doc_id", "text", "quality"), labelled)
     assert rules
     out = quality_rules.statistics(docs.select("doc_id", "text")).select("doc_id", quality_rules.verdict(rules).alias("kept")).collect()
     assert sum(r["kept"] == (r["doc_id"] % 4 != 0) for r in out) >= 396
@@ -429,28 +530,43 @@ def test_quality_rules_without_labels(spark):
 # 9 --------------------------------------------------------------------------
 
 
+def deviates(weights, blocks, slots):
+    """The schedule's first phase, held against the exact targets at every slot, in whole numbers."""
+    whole = mixing.integers(weights)
+    total, seen, n = sum(whole.values()), dict.fromkeys(weights, 0), 0
+    assert all(Fraction(whole[a]) * Fraction(weights[b]) == Fraction(whole[b]) * Fraction(weights[a]) for a in weights for b in weights)
+    for n, (source, block) in enumerate(itertools.islice(mixing.schedule(blocks, weights), slots), 1):
+        assert block == seen[source]
+        seen[source] += 1
+        for s in weights if len(weights) < 10 else (source,):
+            assert abs(seen[s] * total - n * whole[s]) < total, (n, s)
+        if seen[source] == blocks[source]:
+            break
+    return n
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_period_keeps_every_source_within_a_block(seed):
+def test_schedule_keeps_every_source_within_a_block(seed):
     rng = random.Random(seed)
-    weights = {f"s{i}": rng.random() ** 3 + 0.01 for i in range(rng.randint(2, 30))}
-    quota = mixing.quotas(weights, 512)
-    assert sum(quota.values()) == 512 and min(quota.values()) >= 1
-    seen = Counter()
-    for slot, source in enumerate(mixing.period_table(quota), 1):
-        seen[source] += 1
-        assert all(abs(seen[s] - slot * q / 512) < 1 for s, q in quota.items())
-    assert seen == quota
+    weights = {f"s{i}": rng.random() ** 3 + 0.01 for i in range(rng.randint(2, 9))}
+    assert deviates(weights, dict.fromkeys(weights, 10**9), 20_000) == 20_000
 
 
-def test_phases_use_every_block_once():
-    rows = mixing.phases({"a": 700, "b": 30, "c": 1, "d": 0}, {"a": 1.0, "b": 1.0, "c": 5.0}, 64)
-    slots = {}
-    for s, lo, hi, base, quota, place, slot, period in rows:
-        for k, b in enumerate(range(lo + place, hi, quota)):
-            slots[s, b] = base + k * period + slot
-    assert set(slots) == {("a", i) for i in range(700)} | {("b", i) for i in range(30)} | {("c", 0)}
-    assert sorted(slots.values()) == list(range(731))
-    assert all(slots[s, b] < slots[s, b + 1] for s, b in slots if (s, b + 1) in slots)
+def test_schedule_keeps_exact_weights_for_a_million_slots():
+    assert deviates({"a": 1, "b": 2}, {"a": 10**9, "b": 10**9}, 1_000_000) == 1_000_000
+    assert deviates({"a": 1, "b": 2, "rare": 1e-6}, {"a": 10**9, "b": 10**9, "rare": 10}, 1_000_000) == 1_000_000
+
+
+def test_schedule_uses_every_block_once():
+    rng = random.Random(9)
+    blocks = {f"s{i}": rng.randint(0, 60) for i in range(5_000)} | {"a": 700, "late": 3}
+    out = list(mixing.schedule(blocks, {s: n**0.5 for s, n in blocks.items()} | {"late": 0}))
+    assert len(out) == sum(blocks.values()) and set(out) == {(s, b) for s, n in blocks.items() for b in range(n)}
+    assert [b for s, b in out if s == "a"] == list(range(700)) and out[-3:] == [("late", i) for i in range(3)]
+    # after "a" runs out "b" and "c" go on by their own weights
+    out = [s for s, _ in mixing.schedule({"a": 10, "b": 90, "c": 30}, {"a": 1, "b": 3, "c": 1})]
+    last = out.index("a", 45) + 1 if "a" in out[45:] else max(i for i, s in enumerate(out) if s == "a") + 1
+    assert all(abs(4 * out[last : last + k].count("c") - k) < 4 for k in range(1, 60))
 
 
 def test_mix_keeps_rows_and_orders_them(spark):
@@ -466,6 +582,21 @@ def test_mix_keeps_rows_and_orders_them(spark):
     ordered = mixing.in_order(out, 100).select("mix_position", F.spark_partition_id().alias("p")).collect()
     assert [r["p"] for r in sorted(ordered, key=lambda r: r["mix_position"])] == [i // 100 for i in range(len(texts))]
     assert mixing.mix(table(spark, [])).count() == 0
+    heavier = mixing.mix(docs, {"a": 3, "b": 1, None: 0}, block=8).orderBy("mix_position").collect()
+    assert [r["source"] for r in heavier[-100:]] == [None] * 100 and {r["source"] for r in heavier[:32]} == {"a", "b"}
+
+
+def test_mix_gives_equal_places_however_it_is_dealt(spark):
+    rows = [(i % 50, "same" if i % 3 else f"t{i}", "en", "a", None) for i in range(300)]
+    one = spark.createDataFrame(rows, SCHEMA)
+    other = spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)
+    got = [Counter((r["doc_id"], r["text"], r["mix_position"]) for r in mixing.mix(d, block=4).collect()) for d in (one, other)]
+    assert got[0] == got[1]
+
+
+def test_mix_with_many_sources(spark):
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3_000).cast("string").alias("source"))
+    assert sorted(r["mix_position"] for r in mixing.mix(docs).collect()) == list(range(6_000))
 
 
 # 10 -------------------------------------------------------------------------
@@ -490,6 +621,9 @@ def test_forward_sums_all_segmentations():
         assert row.tolist() == pytest.approx([math.log(total("▁" + w, k)) for k in range(2)])
     long = model.log_probability(["ab" * 3_000])[0]
     assert all(-1e5 < x < -1e3 for x in long)
+    # a word far beyond underflow still has uses that cover its characters
+    uses = model.expected(["ab" * 400], np.array([1.0]), 0)
+    assert sum(n * len(name) for n, name in zip(uses, names, strict=True)) == pytest.approx(801)
     counts = model.expected(["ab"], np.array([2.0]), 0)
     ways = [("▁", "a", "b"), ("▁", "ab"), ("▁a", "b"), ("▁ab",)]
     p = [math.prod(table_[names.index(x), 0] for x in way) for way in ways]
@@ -517,6 +651,15 @@ def test_language_awkward(spark):
     assert langs == [] and {r["lang_pred"] for r in language_id.predict(docs, langs, model).collect()} == {"und"}
 
 
+def test_language_learns_rare_ones(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 20, "abcd") for _ in range(2_000)] + [prose(rng, 20, "wxyz") for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, "xx" if i < 2_000 else "yy") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    langs, model = language_id.learn(docs, sample=100)
+    got = [r["lang_pred"] for r in language_id.predict(docs, langs, model).orderBy("doc_id").collect()]
+    assert langs == ["xx", "yy"] and got == ["xx"] * 2_000 + ["yy"] * 8
+
+
 def test_crc_folds(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string")).alias("c")).collect()
     assert all(r["c"] == zlib.crc32(str(r["id"]).encode()) for r in got)
