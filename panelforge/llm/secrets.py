@@ -6,7 +6,7 @@ paths hold it, and findings are joined back to all paths. DataFrame functions
 only.
 
 Scale: identities move as hashes. The text of one holder of each unseen blob
-moves once; up to ``BROADCAST`` unseen blobs their ids are broadcast instead. A
+moves once, unless Spark finds the written table of unseen ids small enough to broadcast. A
 blob that a third of all rows share is one row in the scan and a narrow row a
 path in the join back, which AQE splits.
 """
@@ -46,8 +46,6 @@ MORE = (
 RULES = BASE + MORE
 VERSION = "1"
 LEDGER = f"blob string, rule_version string, found {spans.SPAN}"
-#: Unseen blobs up to which their ids are broadcast.
-BROADCAST = 100_000
 KINDS = tuple(r.kind for r in RULES)
 
 
@@ -80,12 +78,10 @@ def ledger_update(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     if ledger is not None:
         holders = holders.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     holders = materialize(holders.select(F.col("blob"), F.col("at.path").alias("in_path"), F.col("at.version").alias("in_version")), "secret-holders")
-    unseen = holders.count()
-    if not unseen:
+    if holders.isEmpty():
         return versions.sparkSession.createDataFrame([], LEDGER)
-    near = F.broadcast if unseen <= BROADCAST else (lambda df: df)
     texts = versions.select("path", "version", F.coalesce("content", F.lit("")).alias("content"))
-    chosen = texts.join(near(holders), F.col("path").eqNullSafe(F.col("in_path")) & F.col("version").eqNullSafe(F.col("in_version")) & (blob_id(F.col("content")) == F.col("blob")))
+    chosen = texts.join(holders, F.col("path").eqNullSafe(F.col("in_path")) & F.col("version").eqNullSafe(F.col("in_version")) & (blob_id(F.col("content")) == F.col("blob")))
     found = chosen.select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("content"), rules).alias("found"))
     return found.dropDuplicates(["blob"])
 
