@@ -93,3 +93,26 @@ def equity(ret: Column, w: WindowSpec) -> Column:
 
 def drawdown(wealth: str, w: WindowSpec) -> Column:
     return F.col(wealth) / F.max(wealth).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+
+
+def level_rank(x: Column, w: WindowSpec, n: int = 252) -> Column:
+    """Place of x between the least and largest of its last n values; null before there are n, or where they are equal. Rows without x go first."""
+    last = w.rowsBetween(-(n - 1), 0)
+    lo, hi = F.min(x).over(last), F.max(x).over(last)
+    return F.when((F.count(x).over(last) == n) & (hi > lo), (x - lo) / (hi - lo))
+
+
+def to_recent_mean(x: Column, w: WindowSpec, n: int = 20, least: int = 5) -> Column:
+    """x over the mean of the up to n values before it; null with fewer than ``least``."""
+    before = w.rowsBetween(-n, -1)
+    return F.when(F.count(x).over(before) >= least, x / F.avg(x).over(before))
+
+
+def step_change(x: Column, w: WindowSpec) -> Column:
+    """x over its value one row before, less 1."""
+    return x / F.lag(x).over(w) - 1
+
+
+def realised_vol(ret: Column, w: WindowSpec, n: int = 30, periods: float = 252.0) -> Column:
+    """Annualised deviation of the last n rows' returns, missing ones left out; null before the n-th row."""
+    return F.when(F.row_number().over(w) >= n, F.stddev_samp(ret).over(w.rowsBetween(-(n - 1), 0)) * F.sqrt(F.lit(periods)))

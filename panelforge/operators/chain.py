@@ -96,14 +96,19 @@ def gamma_exposure(chain: DataFrame, bars: DataFrame, keys=KEYS) -> DataFrame:
 def parity_deviation(chain: DataFrame, keys=KEYS) -> DataFrame:
     """Volume-weighted call minus put volatility over matched strikes near the money.
 
-    Calls and puts meet in one grouping by (keys, strike, days), not a self-join.
+    Calls and puts meet in one grouping by (keys, strike, days), not a
+    self-join; of repeated contracts every call meets every put.
     """
-    near = chain.where(F.col("moneyness").between(0.95, 1.05))
-    pairs = near.groupBy(*keys, "strike", "dte").agg(
-        *[F.max(F.when(side, F.col(c))).alias(f"{n}_{c}") for n, side in (("c", call()), ("p", put())) for c in ("impl_volatility", "volume")]
-    ).where("c_impl_volatility is not null and p_impl_volatility is not null")
-    gap, w = F.col("c_impl_volatility") - F.col("p_impl_volatility"), F.col("c_volume") + F.col("p_volume")
-    return pairs.groupBy(*keys).agg(F.coalesce(ratio(F.sum(gap * w), F.sum(w)), F.avg(gap)).alias("parity_deviation"), F.count("*").alias("pairs"))
+    near = chain.where(F.col("moneyness").between(0.95, 1.05) & F.col("impl_volatility").isNotNull())
+    v, q = F.col("impl_volatility"), F.coalesce(F.col("volume"), F.lit(0))
+    sums = {"n": F.lit(1), "v": v, "q": q, "vq": v * q}
+    one = near.groupBy(*keys, "strike", "dte").agg(*[F.coalesce(F.sum(F.when(side, x)), F.lit(0)).alias(f"{s}{n}") for s, side in (("c", call()), ("p", put())) for n, x in sums.items()]).where("cn > 0 and pn > 0")
+    c = F.col
+    # sums over all (call, put) pairs of a strike of gap * weight, weight, gap and 1; with one of each they are the pair's own
+    lone = (c("cn") == 1) & (c("pn") == 1)
+    gaps = F.when(lone, (c("cv") - c("pv")) * (c("cq") + c("pq"))).otherwise(c("pn") * c("cvq") + c("cv") * c("pq") - c("pv") * c("cq") - c("cn") * c("pvq"))
+    pairs = one.select(*keys, gaps.alias("g"), (c("pn") * c("cq") + c("cn") * c("pq")).alias("w"), (c("pn") * c("cv") - c("cn") * c("pv")).alias("d"), (c("cn") * c("pn")).alias("m"))
+    return pairs.groupBy(*keys).agg(F.coalesce(ratio(F.sum("g"), F.sum("w")), F.sum("d") / F.sum("m")).alias("parity_deviation"), F.sum("m").alias("pairs"))
 
 
 def opening_trades(chain: DataFrame, dates: DataFrame, keys=KEYS, contract=("moneyness", "dte", "is_call")) -> DataFrame:

@@ -26,14 +26,17 @@ def cube_root_lags(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.pow(n.cast("double"), F.lit(1 / 3))).cast("int"))
 
 
-def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Column | None = None, divisor_n: bool = False, most: int = 40) -> DataFrame:
+def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Column | None = None, divisor_n: bool = False) -> DataFrame:
     """Mean of each series with its HAC error and t-statistic.
 
     Two estimators: autocovariances as means over their n - k pairs with the
     variance floored at 0 (default), or all divided by n without a floor
-    (``divisor_n``). ``lags`` is a function of ``n``; at most ``most`` are used.
-    Groups of fewer than 3 values are left out.
+    (``divisor_n``). ``lags`` is a function of ``n``, by default its cube root.
+    The longest series is counted first, so that as many lags are laid out as
+    it uses. Groups of fewer than 3 values are left out.
     """
+    longest = series.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
+    most = max(1, longest.select(cube_root_lags(F.col("n")) if lags is None else lags).first()[0])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     w = group.orderBy(order)
     e = series.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).alias("_x"))
@@ -44,7 +47,7 @@ def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Col
         F.array(*[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, most + 1)]).alias("_g"),
     ).where("n >= 3")
     n = F.col("n")
-    bandwidth = F.least(F.lit(most), cube_root_lags(n) if lags is None else lags)
+    bandwidth = cube_root_lags(n) if lags is None else lags
     terms = F.transform("_g", lambda g, i: F.when(i + 1 <= F.col("_L"), 2 * (1 - (i + 1) / (F.col("_L") + 1)) * g / (n if divisor_n else F.greatest(n - i - 1, F.lit(1)))).otherwise(0.0))
     var = F.col("_g0") / n + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
     se = F.sqrt((var if divisor_n else F.greatest(var, F.lit(0.0))) / n)

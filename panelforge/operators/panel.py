@@ -121,3 +121,23 @@ def causal_median(df: DataFrame, value: str, time: str = "date") -> DataFrame:
     past = counts.join(F.broadcast(dates), time).select(F.col("date_idx").alias("_i"), F.col(value).alias("_v"), "c")
     pooled = F.broadcast(dates).join(past, F.col("_i") < F.col("date_idx"))
     return dates.join(pooled.groupBy(time).agg(F.percentile("_v", 0.5, F.col("c")).alias("median")), time, "left").select(time, "median")
+
+
+def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns that an input may lack (name: type): as they are, or null."""
+    return df.withColumns({c: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t) for c, t in columns.items()})
+
+
+def proxy_return(bars: DataFrame, proxies: DataFrame, group: str = "sector", ret: str = "ret", entity: str = "ticker", time: str = "date") -> DataFrame:
+    """Bars with ``proxy_return``: the same date's return of the entity that stands for their group in ``proxies(group, proxy)``.
+
+    Groups without a proxy, and dates on which it has no bar, get null.
+    """
+    named = bars.join(F.broadcast(proxies.select(group, "proxy")), group, "left")
+    of = bars.join(F.broadcast(proxies.select(F.col("proxy").alias(entity)).distinct()), entity, "left_semi").select(F.col(entity).alias("proxy"), time, F.col(ret).alias("proxy_return"))
+    return named.join(of, ["proxy", time], "left")
+
+
+def aligned(tensors: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+    """Tensors with the panel's columns, on the keys that both have."""
+    return tensors.join(panel, keys)

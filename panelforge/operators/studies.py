@@ -23,9 +23,10 @@ def without_event_crossing(preds: DataFrame, days_to_event: str, horizon: Column
     return preds.where(~F.coalesce(crossing, F.lit(False)))
 
 
-def signal_decay(preds: DataFrame, pred: str, y: str, cell: str, horizon: str) -> DataFrame:
-    """Pooled IC and R2 of each cell by horizon, and the change of the IC from the shortest horizon."""
+def signal_decay(preds: DataFrame, pred: str, y: str, cell: str, horizon: str, n: int = 3, periods: float = 52.0) -> DataFrame:
+    """Pooled IC, R2 and long/short Sharpe ratio of each cell by horizon, and the change of the IC from the shortest horizon."""
     out = metrics.rank_ic(preds, pred, y, [cell, horizon], 11).join(metrics.regression(preds, pred, y, [cell, horizon]), [cell, horizon])
+    out = out.join(gross_sharpe(preds, [cell, horizon], n, periods).select(cell, horizon, "sharpe"), [cell, horizon], "left")
     first = F.first("ic").over(Window.partitionBy(cell).orderBy(horizon))
     return out.withColumn("decay", F.col("ic") - first)
 
@@ -58,7 +59,9 @@ def median_split(preds: DataFrame, by: str, pred: str, y: str, keys: list[str])
 def head_to_head(preds: DataFrame, first: str, second: str, cell: str, pred: str, y: str) -> DataFrame:
     """Daily IC of two cells on their common dates: means, mean difference, share of dates won."""
     ic = inference.daily_ic(preds.where(F.col(cell).isin(first, second)), pred, y, [cell, "date"])
-    both = ic.groupBy("date").agg(F.max(F.when(F.col(cell) == first, F.col("ic"))).alias("a"), F.max(F.when(F.col(cell) == second, F.col("ic"))).alias("b")).dropna()
+    # two correlations that are equal but for float noise are a tie
+    of = lambda name: F.round(F.max(F.when(F.col(cell) == name, F.col("ic"))), 9)
+    both = ic.groupBy("date").agg(of(first).alias("a"), of(second).alias("b")).dropna()
     return both.agg(F.count("*").alias("dates"), F.avg("a").alias("first"), F.avg("b").alias("second"), F.avg(F.col("a") - F.col("b")).alias("difference"), F.avg(F.when(F.col("a") > F.col("b"), 1.0).otherwise(0.0)).alias("won"))
 
 
@@ -79,3 +82,28 @@ def carry_over(new: DataFrame, old: DataFrame, keys: list[str], label: str, pref
     """Re-evaluated rows, and those of the old table whose label begins with the prefix and that were not re-evaluated."""
     kept = old.where(F.col(label).startswith(prefix)).join(new.select(*keys), keys, "left_anti")
     return new.unionByName(kept, allowMissingColumns=True)
+
+
+def regime_labels(vix: Column, days_to_event: Column, exposure: Column) -> dict[str, Column]:
+    """Volatility level, nearness of an event and sign of the gamma exposure; a missing value goes to the last label."""
+    return {
+        "vix": F.when(vix >= 25, "high_vix").when(vix <= 15, "low_vix").otherwise("normal_vix"),
+        "earnings": F.when(days_to_event <= 7, "near_earnings").otherwise("far_earnings"),
+        "gex": F.when(exposure > 0, "positive_gex").otherwise("negative_gex"),
+    }
+
+
+def with_regimes(preds: DataFrame, regimes: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions with the regime columns of their key; keys without any keep nulls."""
+    return preds.join(regimes, keys, "left")
+
+
+def window_ic(preds: DataFrame, pred: str, y: str, keys: list[str], named: Column, least: int = 11, window: str = "window") -> DataFrame:
+    """Mean rank correlation over windows, and their number, of the cells that ``named`` selects."""
+    ic = metrics.rank_ic(preds.where(named), pred, y, [*keys, window], least)
+    return ic.groupBy(*keys).agg(F.avg("ic").alias("ic"), F.count("ic").alias("windows"))
+
+
+def top(df: DataFrame, value: str, k: int, *ties: str) -> DataFrame:
+    """The k rows of the largest value, best first; ties go by the given columns."""
+    return df.orderBy(F.desc(value), *ties).limit(k)

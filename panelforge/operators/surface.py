@@ -40,7 +40,7 @@ def _solve(points: DataFrame, grid: DataFrame, extra: list[str]) -> DataFrame:
     p = p.withColumns({"_y": y, "_z": z})
     cols = {"1": F.lit(1.0), "y": F.col("_y"), "z": F.col("_z"), "w": F.col("w")}
     names = [(a, b) for i, a in enumerate(cols) for b in list(cols)[i:]]
-    s = p.groupBy(*SMILE, "m", "sigma").agg(*[F.sum(F.col("v") * cols[a] * cols[b]).alias(f"s{a}{b}") for a, b in names])
+    s = p.groupBy(*SMILE, "m", "sigma").agg(F.count("*").alias("_n"), *[F.sum(F.col("v") * cols[a] * cols[b]).alias(f"s{a}{b}") for a, b in names])
     g = {(a, b): F.col(f"s{a}{b}") for a, b in names} | {(b, a): F.col(f"s{a}{b}") for a, b in names}
     axes = ("1", "y", "z")
 
@@ -52,14 +52,14 @@ def _solve(points: DataFrame, grid: DataFrame, extra: list[str]) -> DataFrame:
     swap = lambda k: [[g[r, "w"] if i == k else g[r, c] for i, c in enumerate(axes)] for r in axes]
     d0 = det(base)
     s = s.withColumn("_d", d0).where(F.abs("_d") > 1e-12).withColumns({"_a": det(swap(0)) / F.col("_d"), "_dd": det(swap(1)) / F.col("_d"), "_c": det(swap(2)) / F.col("_d")})
-    # bounds: level not below 0, slope positive, |rho| under 1
-    s = s.withColumn("_c", F.greatest(F.col("_c"), F.lit(1e-6))).withColumn("_dd", F.greatest(F.least(F.col("_dd"), 0.999 * F.col("_c")), -0.999 * F.col("_c")))
+    # bounds: level not below 0, slope positive and at most 5, |rho| under 1
+    s = s.withColumn("_c", F.least(F.greatest(F.col("_c"), F.lit(1e-6)), 5 * F.col("sigma"))).withColumn("_dd", F.greatest(F.least(F.col("_dd"), 0.999 * F.col("_c")), -0.999 * F.col("_c")))
     s = s.withColumn("_a", F.greatest(g["1", "w"] - F.col("_dd") * g["1", "y"] - F.col("_c") * g["1", "z"], F.lit(0.0)))
     a, d, c = F.col("_a"), F.col("_dd"), F.col("_c")
     sse = g["w", "w"] - 2 * (a * g["1", "w"] + d * g["y", "w"] + c * g["z", "w"]) + a * a + d * d * g["y", "y"] + c * c * g["z", "z"] + 2 * (a * d * g["1", "y"] + a * c * g["1", "z"] + d * c * g["y", "z"])
-    row = F.struct(F.greatest(sse, F.lit(0.0)).alias("sse"), "m", "sigma", a.alias("a"), (c / F.col("sigma")).alias("b"), (d / c).alias("rho"))
+    row = F.struct(F.greatest(sse, F.lit(0.0)).alias("sse"), "m", "sigma", a.alias("a"), (c / F.col("sigma")).alias("b"), (d / c).alias("rho"), "_n")
     best = s.groupBy(*SMILE).agg(F.min(row).alias("r"))
-    return best.select(*SMILE, "r.a", "r.b", "r.rho", "r.m", "r.sigma", F.sqrt("r.sse").alias("rmse"))
+    return best.select(*SMILE, "r.a", "r.b", "r.rho", "r.m", "r.sigma", F.sqrt(F.col("r.sse") / F.col("r._n")).alias("rmse"))
 
 
 def fit_svi(chain: DataFrame) -> DataFrame:
@@ -108,10 +108,10 @@ def grid_shape(grid: DataFrame, tenor: int = 30) -> DataFrame:
 
 
 def fit_quality(smiles: DataFrame, chain: DataFrame) -> DataFrame:
-    """Share of smiles fitted, error quantiles, wing slope b (1 + |rho|) and the shares above 2 and 4."""
+    """Share of smiles fitted, error quantiles, wing slope b (1 + |rho|): mean, median, 95 % quantile and the shares above 2 and 4."""
     tried = chain.select(*SMILE).distinct()
     j = tried.join(smiles, SMILE, "left").withColumn("wing", F.col("b") * (1 + F.abs("rho")))
-    return j.agg(F.count("*").alias("smiles"), F.avg(F.col("rmse").isNotNull().cast("int")).alias("fitted"), F.avg("rmse").alias("rmse"), F.percentile("rmse", 0.5).alias("rmse_median"), F.percentile("rmse", 0.9).alias("rmse_p90"), F.avg("wing").alias("wing"), F.percentile("wing", 0.95).alias("wing_p95"), F.avg((F.col("wing") > 2).cast("int")).alias("wing_over2"), F.avg((F.col("wing") > 4).cast("int")).alias("wing_over4"))
+    return j.agg(F.count("*").alias("smiles"), F.avg(F.col("rmse").isNotNull().cast("int")).alias("fitted"), F.avg("rmse").alias("rmse"), F.percentile("rmse", 0.5).alias("rmse_median"), F.percentile("rmse", 0.9).alias("rmse_p90"), F.avg("wing").alias("wing"), F.percentile("wing", 0.5).alias("wing_median"), F.percentile("wing", 0.95).alias("wing_p95"), F.avg((F.col("wing") > 2).cast("int")).alias("wing_over2"), F.avg((F.col("wing") > 4).cast("int")).alias("wing_over4"))
 
 
 def moneyness_grid(chain: DataFrame, least: int = 5) -> DataFrame:
@@ -144,28 +144,42 @@ def bucket(x: Column, edges: list[float]) -> Column:
 
 
 def stratified_sample(chain: DataFrame, budget: int, money: list[float], days: list[float]) -> DataFrame:
-    """At most ``budget`` contracts a (entity, date): each moneyness x expiry bucket gets one and its share of the rest, most traded first.
+    """At most ``budget`` contracts a (entity, date): each moneyness x expiry bucket gets one and its share of the rest by volume, most traded first.
 
-    Dates within the budget keep all rows.
+    With more occupied buckets than the budget the last ``budget`` of them, in
+    order of moneyness and expiry, keep one each. Dates within the budget keep
+    all rows.
     """
     day = Window.partitionBy(*KEYS)
     b = chain.withColumn("_m", bucket(F.col("moneyness"), money)).withColumn("_t", bucket(F.col("dte"), days)).withColumn("_all", F.count("*").over(day))
     cell = Window.partitionBy(*KEYS, "_m", "_t")
     inside = F.col("_m").isNotNull() & F.col("_t").isNotNull()
-    b = b.withColumn("_in", F.count(F.when(inside, 1)).over(day)).withColumn("_size", F.count("*").over(cell)).withColumn("_cells", F.size(F.collect_set(F.when(inside, F.struct("_m", "_t"))).over(day)))
-    quota = 1 + F.floor(F.col("_size") / F.col("_in") * (budget - F.col("_cells")))
+    b = b.withColumn("_in", F.sum(F.when(inside, F.col("volume"))).over(day)).withColumn("_size", F.sum("volume").over(cell)).withColumn("_cells", F.size(F.collect_set(F.when(inside, F.struct("_m", "_t"))).over(day)))
+    place = F.dense_rank().over(day.orderBy((~inside).cast("int"), "_m", "_t"))
+    spread = F.when(F.col("_in") > 0, 1 + F.floor(F.col("_size") / F.col("_in") * (budget - F.col("_cells")))).otherwise(1)
+    b = b.withColumn("_place", place)
+    quota = F.when(F.col("_cells") > budget, (F.col("_place") > F.col("_cells") - budget).cast("int")).otherwise(spread)
     rank = F.row_number().over(cell.orderBy(F.desc("volume"), "dte", "strike", "is_call"))
-    return b.withColumn("_rank", rank).where((F.col("_all") <= budget) | (inside & (F.col("_rank") <= quota))).drop("_m", "_t", "_all", "_in", "_size", "_cells", "_rank")
+    return b.withColumn("_rank", rank).where((F.col("_all") <= budget) | (inside & (F.col("_rank") <= quota))).drop("_m", "_t", "_all", "_in", "_size", "_cells", "_place", "_rank")
 
 
 TENSOR = ("moneyness", "tau", "is_call", "impl_volatility", "delta", "gamma", "vega", "log_volume", "log_oi", "spread_pct")
 
 
+def prepared(chain: DataFrame, names: tuple[str, str] = ("", "")) -> DataFrame:
+    """The chain with the ten measures of a contract as doubles, missing ones 0: years to expiry and logs of volume and open interest among them.
+
+    ``names`` are a prefix and a suffix of the measures' columns.
+    """
+    made = {"tau": F.col("dte") / 365, "log_volume": F.log1p(F.greatest("volume", F.lit(0))), "log_oi": F.log1p(F.greatest("open_interest", F.lit(0)))}
+    return chain.withColumns({f"{names[0]}{x}{names[1]}": F.coalesce(made.get(x, F.col(x) if x in chain.columns else F.lit(None)).cast("double"), F.lit(0.0)) for x in TENSOR})
+
+
 def contract_tensor(chain: DataFrame, budget: int = 300) -> DataFrame:
     """The most traded contracts of a (entity, date) by expiry and moneyness: padded rows, mask, raw count."""
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("volume"), "dte", "strike", "is_call"))
-    c = chain.withColumns({"tau": F.col("dte") / 365, "log_volume": F.log1p(F.greatest("volume", F.lit(0))), "log_oi": F.log1p(F.greatest("open_interest", F.lit(0))), "_rank": rank, "_n": F.count("*").over(Window.partitionBy(*KEYS))}).where(F.col("_rank") <= budget)
-    row = F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in TENSOR])
+    c = prepared(chain.withColumns({"_rank": rank, "_n": F.count("*").over(Window.partitionBy(*KEYS))}).where(F.col("_rank") <= budget), ("_x_", ""))
+    row = F.array(*[F.col(f"_x_{x}") for x in TENSOR])
     t = c.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("dte", "moneyness", "is_call", row.alias("x")))).alias("_r"), F.max("_n").alias("n_raw"))
     return _padded(t, F.transform("_r", lambda r: r["x"]), budget, len(TENSOR))
 

@@ -8,8 +8,10 @@ window by window; the driver only loops over the few windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -52,8 +54,99 @@ def score_windows(panel: DataFrame, wins: DataFrame, fits: DataFrame, x: str, y:
     return rows.groupBy(*keys, "window").agg((1 - sq(F.lit(0.0)) / base).alias("r2_zero"), (1 - sq(ols) / base).alias("r2_ols"), F.avg(F.when((Y > 0) == (F.col("majority") == 1), 1.0).otherwise(0.0)).alias("hit_majority"), F.count("*").alias("n_test"))
 
 
-def ridge(n: int, alpha: float = 1e-6) -> LinearRegression:
-    return LinearRegression(elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False, solver="normal", featuresCol="x", labelCol="y")
+class Ridge:
+    """Least squares with the penalty ``alpha`` divided by the number of training rows."""
+
+    def __init__(self, alpha: float = 1e-6):
+        self.alpha, self.linear = alpha, LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal", featuresCol="x", labelCol="y")
+
+    def __getattr__(self, name):
+        return getattr(self.linear, name)
+
+    def fit(self, train: DataFrame):
+        return self.linear.copy({self.linear.regParam: self.alpha / max(train.count(), 1)}).fit(train)
+
+
+def normal_equations(panel: DataFrame, wins: DataFrame, features: list[str], y: str, keys: list[str], date_idx: str = "date_idx", ridge: float = 0.0) -> DataFrame:
+    """Least squares on several features for every cell and window in one job: ``(keys, window, n, beta, se)``, the constant first.
+
+    A date is first reduced to its sums of products, so the work is rows + dates
+    x windows; each window's small system is solved in Arrow batches. Missing
+    features count as 0, rows without a target are left out. ``ridge`` / n is
+    added to the features' part of the mean system. ``se`` are the plain
+    errors; collinear features share by the pseudo-inverse.
+    """
+    x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
+    p = len(x)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = {f"x{i}_{j}": x[i] * x[j] for i, j in pairs} | {f"y{i}": x[i] * F.col(y) for i in range(p)} | {"yy": F.col(y) * F.col(y)}
+    daily = panel.where(F.col(y).isNotNull()).groupBy(*keys, date_idx).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    inside = (F.col(date_idx) >= F.col("train_lo")) & (F.col(date_idx) < F.col("train_hi"))
+    stats = daily.join(F.broadcast(wins), inside).groupBy(*keys, "window").agg(*[F.sum(n).alias(n) for n in sums])
+
+    def solve(frames):
+        for frame in frames:
+            a = np.zeros((len(frame), p, p))
+            for i, j in pairs:
+                a[:, i, j] = a[:, j, i] = frame[f"x{i}_{j}"]
+            b = np.stack([frame[f"y{i}"] for i in range(p)], 1)
+            n = a[:, 0, 0]
+            penalty = np.diag([0.0, *[ridge] * (p - 1)])
+            inverse = np.linalg.pinv(a + penalty, hermitian=True)
+            beta = np.einsum("nij,nj->ni", inverse, b)
+            sse = np.maximum(frame["yy"].to_numpy() - 2 * (beta * b).sum(1) + np.einsum("ni,nij,nj->n", beta, a, beta), 0)
+            se = np.sqrt(np.maximum(np.einsum("nii->ni", inverse), 0) * (sse / np.maximum(n - p, 1))[:, None])
+            yield frame[[*keys, "window"]].assign(n=n.astype("int64"), beta=list(beta), se=list(se))
+
+    kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
+    return stats.mapInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "window"]) + ", n long, beta array<double>, se array<double>")
+
+
+def coefficients(fits: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """A row for each coefficient of ``normal_equations``, named by its feature."""
+    names = F.array(*[F.lit(f) for f in ("constant", *features)])
+    each = fits.select(*keys, "window", "n", F.explode(F.arrays_zip(names.alias("feature"), F.col("beta"), F.col("se"))).alias("c"))
+    return each.select(*keys, "window", "n", "c.feature", F.col("c.beta").alias("beta"), F.col("c.se").alias("se"), F.when(F.col("c.se") > 0, F.col("c.beta") / F.col("c.se")).alias("t"))
+
+
+def predict_windows(panel: DataFrame, wins: DataFrame, fits: DataFrame, features: list[str], keys: list[str], date_idx: str = "date_idx") -> DataFrame:
+    """Test rows of each window with ``pred`` of its fit."""
+    inside = (F.col(date_idx) >= F.col("test_lo")) & (F.col(date_idx) < F.col("test_hi"))
+    rows = panel.join(F.broadcast(wins.select("window", "test_lo", "test_hi")), inside).join(fits.select(*keys, "window", "beta"), [*keys, "window"])
+    pred = F.element_at("beta", 1)
+    for i, f in enumerate(features):
+        pred = pred + F.element_at("beta", i + 2) * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    return rows.withColumn("pred", pred).drop("beta", "test_lo", "test_hi")
+
+
+def run_grid(grid: DataFrame, panel: DataFrame, wins: dict[str, DataFrame], x: str, y: str, keys: list[str], done: DataFrame | None = None, date_idx: str = "date_idx") -> DataFrame:
+    """Test metrics of the grid's cells ``(keys, model, scheme)`` that ``done`` lacks, by window: ``(keys, model, scheme, window, n_test, r2, hit)``.
+
+    Models are ``zero``, ``mean`` and ``ols`` of one feature; all pending cells
+    and windows of a scheme run in one job. The baseline of ``r2`` is the
+    training mean. ``keys`` name the panel's cells (feature set, horizon).
+    """
+    cell = [*keys, "model", "scheme"]
+    todo = grid if done is None else grid.join(done.select(*cell).distinct(), cell, "left_anti")
+    out = None
+    for scheme, of in wins.items():
+        mine = F.broadcast(todo.where(F.col("scheme") == scheme))  # a cell's name each: the grid is small by nature
+        rows = panel.drop("model", "scheme").join(mine.select(*keys).distinct(), keys, "left_semi")
+        fits = closed_form(rows, of, x, y, keys, date_idx)
+        inside = (F.col(date_idx) >= F.col("test_lo")) & (F.col(date_idx) < F.col("test_hi"))
+        test = rows.join(F.broadcast(of.select("window", "test_lo", "test_hi")), inside).join(fits, [*keys, "window"]).join(mine, keys)
+        pred = F.when(F.col("model") == "ols", F.col("alpha") + F.col("beta") * F.col(x)).when(F.col("model") == "mean", F.col("mean")).otherwise(0.0)
+        Y = F.col(y)
+        part = test.withColumn("_p", pred).groupBy(*cell, "window").agg(
+            F.count("*").alias("n_test"), (1 - F.sum((Y - F.col("_p")) * (Y - F.col("_p"))) / F.sum((Y - F.col("mean")) * (Y - F.col("mean")))).alias("r2"),
+            F.avg(F.when((Y > 0) == (F.col("_p") > 0), 1.0).otherwise(0.0)).alias("hit"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ridge(alpha: float = 1e-6) -> Ridge:
+    return Ridge(alpha)
 
 
 def elastic_net_cv(folds: int = 3, alphas: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1)) -> CrossValidator:
@@ -164,9 +257,22 @@ def differences(first: DataFrame, second: DataFrame, keys: list[str], value: str
     return j.agg(F.count("*").alias("cells"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"))
 
 
-def inject_signal(preds: DataFrame, y: str, strength: Column, keys: list[str], seed: int = 42) -> DataFrame:
-    """Targets with a planted standard normal signal of the given correlation: y' = y + c z, c = d s / sqrt(1 - d^2)."""
+def normal_draw(name: Column, seed: Column | int) -> Column:
+    """A standard normal number from the MD5 of a name and a seed: the same on every engine and in every run."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+
+    def uniform(salt: str) -> Column:
+        digest = F.md5(F.concat_ws("|", name, seed.cast("string"), F.lit(salt)).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    return F.sqrt(-2 * F.log(uniform("a"))) * F.cos(2 * math.pi * uniform("b"))
+
+
+def inject_signal(preds: DataFrame, y: str, strength: Column, keys: list[str], seed: Column | int = 42, units: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
+    """Targets with a planted standard normal signal ``z`` of the given correlation: y' = y + c z, c = d s / sqrt(1 - d^2).
+
+    ``units`` name a row; the same row and seed get the same z at every strength.
+    """
     s = F.stddev_samp(y).over(Window.partitionBy(*keys))
-    z = F.randn(seed)
-    planted = preds.withColumn("z", z)
+    planted = preds.withColumn("z", normal_draw(F.concat_ws("|", *[F.col(c).cast("string") for c in units]), seed))
     return planted.withColumn("y_planted", F.col(y) + strength * s / F.sqrt(1 - strength * strength) * F.col("z"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import inference, surface, walkforward
+from panelforge.functions.windows import demean
+from panelforge.operators import inference, panel, surface, walkforward
+from panelforge.plans.evaluation_queries import _ic
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources.tables import bars, contracts, ctes, materialize, preds
 
@@ -29,9 +31,10 @@ def iv_grid(spark, d):
 
 
 def stratified_sample(spark, d):
-    """Contracts kept a date under a budget of 15."""
-    s = surface.stratified_sample(contracts(spark, d), 15, MONEY, DAYS)
-    return s.groupBy(*K).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    """Contracts kept a date under a budget of 15, and of 4, below the number of occupied cells."""
+    c = materialize(contracts(spark, d), "contracts")
+    parts = [surface.stratified_sample(c, b, MONEY, DAYS).withColumn("budget", F.lit(b)) for b in (15, 4)]
+    return parts[0].unionByName(parts[1]).groupBy("budget", *K).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.sum("open_interest").alias("open_interest"), F.countDistinct("moneyness", "dte").alias("places"))
 
 
 def contract_tensor(spark, d):
@@ -49,7 +52,7 @@ def chain_tensor(spark, d):
 
 def tensor_coverage(spark, d):
     c = contracts(spark, d)
-    return rounded(surface.tensor_coverage(surface.contract_tensor(c.where("volume > 60"), 12), bars(spark, d, "month")))
+    return rounded(surface.tensor_coverage(surface.contract_tensor(c, 12), bars(spark, d, "month")))
 
 
 def windows_embargo(spark, d):
@@ -82,7 +85,7 @@ def wf_linear(spark, d):
     """Ridge-stabilised OLS and cross-validated elastic net over expanding windows."""
     panel = _features(spark, d)
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
-    ols = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.ridge(1000))
+    ols = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.ridge())
     net = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.elastic_net_cv())
     return _score(ols).withColumn("model", F.lit("ols")).unionByName(_score(net).withColumn("model", F.lit("elastic_net")))
 
@@ -122,19 +125,80 @@ def determinism(spark, d):
     return rounded(walkforward.differences(materialize(run()), materialize(run()), ["feature_set", "horizon", "date"], "ic"))
 
 
+STRENGTHS, SEEDS = (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15), (1, 2, 3)
+
+
+def _planted(spark, d):
+    """Every row of one feature set at every strength and seed, with the planted target taken from its date's mean."""
+    grid = spark.createDataFrame([(s, k) for s in STRENGTHS for k in SEEDS], "strength double, seed int")
+    wide = _features(spark, d)
+    p = preds(spark, d).where("horizon = 1 and feature_set = 'C'").select("ticker", "date", "date_idx", "y_demeaned").join(wide.select("ticker", "date", "A", "B", "C"), ["ticker", "date"])
+    out = walkforward.inject_signal(p.crossJoin(F.broadcast(grid)), "y_demeaned", col("strength"), ["strength", "seed"], col("seed"))
+    return out.withColumn("y_planted", F.round(demean("y_planted", "strength", "seed", "date"), 9)).withColumn("z", F.round("z", 9))
+
+
 def signal_injection(spark, d):
-    """Oracle IC of a planted signal by strength and seed: rises with strength, near 0 for the placebo."""
-    p = preds(spark, d).where("horizon = 1 and feature_set = 'C'")
+    """Oracle IC of a planted signal by strength over three seeds: rises with strength, near 0 for the placebo."""
+    ic = inference.daily_ic(_planted(spark, d), "z", "y_planted", ["strength", "seed", "date"]).groupBy("strength", "seed").agg(F.avg("ic").alias("ic"), F.count("*").alias("n"))
+    return rounded(ic.groupBy("strength").agg(F.avg("ic").alias("ic"), F.min("ic").alias("lowest"), F.max("ic").alias("highest"), F.max("n").alias("days")))
+
+
+def signal_recovery(spark, d):
+    """IC, t and surviving seeds of walk-forward models fitted to the planted targets, by strength and model.
+
+    ``ols`` is fitted on the features and the signal, ``ridge`` the same with a
+    heavy penalty, ``without`` on the features alone. All strengths, seeds and
+    windows are fitted in one job each.
+    """
+    p = materialize(_planted(spark, d), "planted")
+    wins = walkforward.windows(spark, p.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
     out = None
-    for seed in (1, 2):
-        for strength in (0.0, 0.02, 0.05, 0.1):
-            planted = walkforward.inject_signal(p, "y_demeaned", F.lit(strength), ["feature_set"], seed)
-            part = inference.daily_ic(planted, "z", "y_planted", ["date"]).agg(F.avg("ic").alias("ic"), F.count("*").alias("n")).select(F.lit(strength).alias("strength"), F.lit(seed).alias("seed"), "ic", "n")
-            out = part if out is None else out.unionByName(part)
-    return rounded(out.groupBy("strength").agg(F.avg("ic").alias("ic"), F.min("ic").alias("lowest"), F.max("ic").alias("highest"), F.max("n").alias("days")))
+    for model, features, penalty in (("ols", ["A", "B", "C", "z"], 0.0), ("ridge", ["A", "B", "C", "z"], 100.0), ("without", ["A", "B", "C"], 0.0)):
+        fits = walkforward.normal_equations(p, wins, features, "y_planted", ["strength", "seed"], ridge=penalty)
+        part = walkforward.predict_windows(p, wins, fits, features, ["strength", "seed"]).select("strength", "seed", "date", "pred", "y_planted").withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    ic = materialize(inference.daily_ic(out, "pred", "y_planted", ["strength", "model", "seed", "date"]), "recovered")
+    t = inference.newey_west(ic, "ic", ["strength", "model", "seed"], "date")
+    return rounded(t.groupBy("strength", "model").agg(F.avg("mean").alias("ic"), F.min("mean").alias("lowest"), F.max("mean").alias("highest"), F.avg("t").alias("t"), F.count(F.when(F.abs("t") > 3, 1)).alias("surviving"), F.count("*").alias("seeds")), 4)
+
+
+def ols_coefficients(spark, d):
+    """Coefficient table of the three-feature OLS of the last expanding window."""
+    p = _features(spark, d)
+    wins = walkforward.windows(spark, p.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
+    last = wins.orderBy(F.desc("window")).limit(1)
+    fits = walkforward.normal_equations(p.withColumn("cell", F.lit("all")), last, ["A", "B", "C"], "target", ["cell"])
+    return rounded(walkforward.coefficients(fits, ["A", "B", "C"], ["cell"]).drop("cell"))
+
+
+def grid_run(spark, d):
+    """Metrics of horizon x set x model x scheme x window; the cells of horizon 1 are run first, a second run adds what is pending."""
+    p = materialize(preds(spark, d), "panel")
+    n = p.agg(F.max("date_idx")).first()[0] + 1
+    wins = {s: walkforward.windows(spark, n, s, t, 13, embargo=3) for s, t in (("expanding", 120), ("rolling", 52))}
+    names = spark.createDataFrame([(m, s) for m in ("zero", "mean", "ols") for s in wins], "model string, scheme string")
+    grid = materialize(p.select("feature_set", "horizon").distinct().crossJoin(names), "grid")
+    first = materialize(walkforward.run_grid(grid.where("horizon = 1"), p, wins, "pred", "y_raw", ["feature_set", "horizon"]), "results")
+    more = walkforward.run_grid(grid, p, wins, "pred", "y_raw", ["feature_set", "horizon"], first)
+    return rounded(first.unionByName(more), 4)
+
+
+def tensor_panel(spark, d):
+    """Contract tensors written with mask and count, read back, and aligned with the panel; every filled cell of four measures."""
+    saved = materialize(surface.contract_tensor(contracts(spark, d), 12), "tensors")
+    both = panel.aligned(saved, bars(spark, d, "month").where("ret is not null").select(*K, "ret"), K)
+    rows = both.select(*K, "n_raw", "ret", F.posexplode(F.arrays_zip("tensor", "mask")).alias("row", "x")).where("x.mask")
+    at = lambda name: col("x.tensor")[surface.TENSOR.index(name)]
+    return rounded(rows.select(*K, "n_raw", "ret", "row", at("moneyness").alias("moneyness"), at("tau").alias("tau"), at("impl_volatility").alias("iv"), at("log_oi").alias("log_oi")))
+
+
+def contract_measures(spark, d):
+    """Sums of the ten prepared measures of a date's contracts."""
+    c = surface.prepared(contracts(spark, d), ("x_", ""))
+    return rounded(c.groupBy("date").agg(*[F.sum(f"x_{x}").alias(x) for x in surface.TENSOR]), 4)
 
 
-QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, feature_importance, determinism, signal_injection)}
+QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, feature_importance, determinism, signal_injection, signal_recovery, ols_coefficients, grid_run, tensor_panel, contract_measures)}
 
 B, C, P = ctes("bars"), ctes("contracts"), ctes("preds")
 
@@ -155,9 +219,11 @@ c AS (SELECT ticker, date, gm, gt, COALESCE(SUM(CASE WHEN d <= 1 THEN iv / (d +
 w AS (SELECT ticker, date, {', '.join(f"MAX(CASE WHEN gm = {m}E0 AND gt = {t} THEN iv END) AS {n}" for m, t, n in _NAMES)} FROM c GROUP BY 1, 2),
 f AS (SELECT s.ticker, s.date, w.* EXCLUDE (ticker, date), iv_surf_100_030 AS level, iv_surf_090_030 - iv_surf_110_030 AS skew30, iv_surf_090_090 - iv_surf_110_090 AS skew90, iv_surf_100_090 - iv_surf_100_030 AS term, iv_surf_090_030 + iv_surf_110_030 - 2 * iv_surf_100_030 AS curvature FROM (SELECT DISTINCT ticker, date FROM contracts) s LEFT JOIN w ON s.ticker = w.ticker AND s.date = w.date)
 SELECT ticker, date, {R(' '.join(n for *_, n in _NAMES) + ' level skew30 skew90 term curvature', 4)} FROM f""",
-    "stratified_sample": f"""{C}, b AS (SELECT *, {_case('moneyness', MONEY)} AS m, {_case('dte', DAYS)} AS t FROM contracts), a AS (SELECT ticker, date, COUNT(*) AS al, COUNT(CASE WHEN m IS NOT NULL AND t IS NOT NULL THEN 1 END) AS ins, COUNT(DISTINCT CASE WHEN m IS NOT NULL AND t IS NOT NULL THEN m * 10 + t END) AS cells FROM b GROUP BY 1, 2),
-k AS (SELECT *, COUNT(*) OVER (PARTITION BY ticker, date, m, t) AS size, ROW_NUMBER() OVER (PARTITION BY ticker, date, m, t ORDER BY volume DESC, dte, strike, is_call) AS rk FROM b)
-SELECT k.ticker, k.date, COUNT(*) AS n, CAST(SUM(volume) AS BIGINT) AS volume FROM k JOIN a ON k.ticker = a.ticker AND k.date = a.date WHERE al <= 15 OR (m IS NOT NULL AND t IS NOT NULL AND rk <= 1 + FLOOR(CAST(size AS DOUBLE) / ins * (15 - cells))) GROUP BY 1, 2""",
+    "stratified_sample": f"""{C}, b AS (SELECT *, {_case('moneyness', MONEY)} AS m, {_case('dte', DAYS)} AS t FROM contracts), a AS (SELECT ticker, date, COUNT(*) AS al, SUM(CASE WHEN m IS NOT NULL AND t IS NOT NULL THEN volume END) AS tv, COUNT(DISTINCT CASE WHEN m IS NOT NULL AND t IS NOT NULL THEN m * 10 + t END) AS cells FROM b GROUP BY 1, 2),
+k AS (SELECT *, SUM(volume) OVER (PARTITION BY ticker, date, m, t) AS cv, ROW_NUMBER() OVER (PARTITION BY ticker, date, m, t ORDER BY volume DESC, dte, strike, is_call) AS rk FROM b),
+o AS (SELECT ticker, date, m, t, ROW_NUMBER() OVER (PARTITION BY ticker, date ORDER BY m, t) AS cr FROM (SELECT DISTINCT ticker, date, m, t FROM b WHERE m IS NOT NULL AND t IS NOT NULL) z)
+SELECT g.budget, k.ticker, k.date, COUNT(*) AS n, CAST(SUM(volume) AS BIGINT) AS volume, CAST(SUM(open_interest) AS BIGINT) AS open_interest, COUNT(DISTINCT (moneyness, dte)) AS places FROM k JOIN a ON k.ticker = a.ticker AND k.date = a.date LEFT JOIN o ON k.ticker = o.ticker AND k.date = o.date AND k.m = o.m AND k.t = o.t CROSS JOIN (SELECT 15 AS budget UNION ALL SELECT 4) g
+WHERE al <= budget OR (cr IS NOT NULL AND rk <= CASE WHEN cells > budget THEN CASE WHEN cr > cells - budget THEN 1 ELSE 0 END WHEN tv > 0 THEN 1 + FLOOR(CAST(cv AS DOUBLE) / CAST(tv AS DOUBLE) * (budget - cells)) ELSE 1 END) GROUP BY 1, 2, 3""",
     "contract_tensor": f"""{C}, {_TOP.format(where='')}, f AS (SELECT ticker, date, 12 AS size, COUNT(*) AS filled, MAX(n) AS n_raw, SUM(moneyness) AS moneyness, SUM(LN(1 + volume)) AS log_volume, MIN(dte) / 365.0E0 AS first_tau FROM r WHERE rk <= 12 GROUP BY 1, 2)
 SELECT ticker, date, size, filled, n_raw, {R('moneyness log_volume first_tau')} FROM f""",
     "chain_tensor": f"""{C}, r AS (SELECT *, DENSE_RANK() OVER (PARTITION BY ticker, date ORDER BY dte) - 1 AS k, ROW_NUMBER() OVER (PARTITION BY ticker, date, dte ORDER BY ABS(moneyness - 1), strike, is_call) AS ra, ROW_NUMBER() OVER (PARTITION BY ticker, date, dte, is_call ORDER BY ABS(delta + CASE WHEN is_call = 1 THEN -0.25 ELSE 0.25 END), strike) AS rd FROM contracts),
@@ -165,7 +231,7 @@ s AS (SELECT ticker, date, k, COUNT(*) AS c, CASE WHEN SUM(CASE WHEN is_call = 1
  COALESCE(MAX(CASE WHEN is_call = 0 AND rd = 1 THEN impl_volatility END) - MAX(CASE WHEN is_call = 1 AND rd = 1 THEN impl_volatility END), 0) AS sk, MAX(CASE WHEN ra = 1 THEN impl_volatility END) AS atm FROM r GROUP BY 1, 2, 3),
 f AS (SELECT ticker, date, COUNT(*) AS n_raw, 3 AS size, COALESCE(MAX(CASE WHEN k = 0 THEN c END), 0) AS contracts0, COALESCE(MAX(CASE WHEN k = 0 THEN pc END), 0) AS pc0, COALESCE(MAX(CASE WHEN k = 1 THEN vw END), 0) AS iv1, COALESCE(MAX(CASE WHEN k = 2 THEN nd END), 0) AS delta2, MAX(CASE WHEN k = 0 THEN sk END) AS skew0, MAX(CASE WHEN k = 0 THEN atm END) AS atm0 FROM s GROUP BY 1, 2)
 SELECT ticker, date, n_raw, size, {R('contracts0 pc0 iv1 delta2 skew0 atm0')} FROM f""",
-    "tensor_coverage": f"""{C}, n AS (SELECT ticker, date, COUNT(*) AS n FROM contracts WHERE volume > 60 GROUP BY 1, 2), f AS (SELECT b.ticker, AVG(COALESCE(n, 0)) AS mean_rows, AVG(CASE WHEN n > 0 THEN 1.0 ELSE 0 END) AS covered FROM (SELECT DISTINCT ticker, date FROM bars_m) b LEFT JOIN n ON b.ticker = n.ticker AND b.date = n.date GROUP BY 1)
+    "tensor_coverage": f"""{C}, n AS (SELECT ticker, date, COUNT(*) AS n FROM contracts GROUP BY 1, 2), f AS (SELECT b.ticker, AVG(COALESCE(n, 0)) AS mean_rows, AVG(CASE WHEN n > 0 THEN 1.0 ELSE 0 END) AS covered FROM (SELECT DISTINCT ticker, date FROM bars_m) b LEFT JOIN n ON b.ticker = n.ticker AND b.date = n.date GROUP BY 1)
 SELECT ticker, {R('mean_rows covered')} FROM f""",
     "windows_embargo": f"""{B}, n AS (SELECT MAX(date_idx) + 1 AS n FROM bars), e AS (SELECT n, t FROM n JOIN range(120, 5000, 13) r(t) ON t < n - 13), o AS (SELECT n, t FROM n JOIN range(52, 5000, 13) r(t) ON t < n - 13)
 SELECT CAST((t - 120) / 13 AS INT) AS window, CAST(0 AS BIGINT) AS train_lo, t - 3 AS train_hi, t AS test_lo, LEAST(t + 13, n) AS test_hi, 'expanding' AS scheme FROM e UNION ALL SELECT CAST((t - 52) / 13 AS INT), t - 52, t - 3, t, LEAST(t + 13, n), 'rolling' FROM o""",
@@ -175,4 +241,17 @@ t AS (SELECT o.feature_set, w.win, 1 - SUM(y_raw * y_raw) / SUM((y_raw - mean) *
 f AS (SELECT s.feature_set, s.win, n, mean, majority, beta, alpha, beta / SQRT((syy - beta * sxy) / (n - 2) / sxx) AS t, r2_zero, r2_ols, hit_majority, n_test FROM s JOIN t ON s.feature_set = t.feature_set AND s.win = t.win)
 SELECT feature_set, win AS "window", n, majority, n_test, {R('mean beta alpha t r2_zero r2_ols hit_majority', 4)} FROM f""",
     "determinism": f"{P}, r AS (SELECT feature_set, horizon, date, RANK() OVER (PARTITION BY feature_set, horizon, date ORDER BY pred) + (COUNT(*) OVER (PARTITION BY feature_set, horizon, date, pred) - 1) / 2.0E0 AS a, RANK() OVER (PARTITION BY feature_set, horizon, date ORDER BY y_demeaned) + (COUNT(*) OVER (PARTITION BY feature_set, horizon, date, y_demeaned) - 1) / 2.0E0 AS b FROM preds), i AS (SELECT CORR(a, b) AS ic, COUNT(*) AS n FROM r GROUP BY feature_set, horizon, date) SELECT COUNT(*) AS cells, 0.0E0 AS max_difference FROM i WHERE n >= 5 AND ic IS NOT NULL AND NOT isnan(ic)",
+    "signal_injection": f"""{P}, o AS (SELECT ticker, date, y_demeaned AS y FROM preds WHERE horizon = 1 AND feature_set = 'C'), g AS (SELECT s.s AS strength, k.k AS seed FROM (VALUES {', '.join(f'({x}E0)' for x in STRENGTHS)}) s(s) CROSS JOIN (VALUES (1), (2), (3)) k(k)),
+u AS (SELECT o.*, strength, seed, (CAST('0x' || substr(md5(ticker || '|' || date || '|' || seed || '|a'), 1, 13) AS BIGINT) + 0.5) / {1 << 52}E0 AS ua, (CAST('0x' || substr(md5(ticker || '|' || date || '|' || seed || '|b'), 1, 13) AS BIGINT) + 0.5) / {1 << 52}E0 AS ub FROM o CROSS JOIN g),
+z AS (SELECT *, SQRT(-2 * LN(ua)) * COS(2 * PI() * ub) AS z FROM u), w AS (SELECT *, y + strength * STDDEV_SAMP(y) OVER (PARTITION BY strength, seed) / SQRT(1 - strength * strength) * z AS yp FROM z),
+q AS (SELECT strength, seed, date, ROUND(z, 9) AS z, ROUND(yp - AVG(yp) OVER (PARTITION BY strength, seed, date), 9) AS yp FROM w), {_ic('i', 'q', 'z', 'yp', 'strength, seed, date', 5)},
+m AS (SELECT strength, seed, AVG(ic) AS ic, COUNT(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT strength, AVG(ic) AS ic, MIN(ic) AS lowest, MAX(ic) AS highest, MAX(n) AS days FROM m GROUP BY 1) SELECT {R('strength ic lowest highest')}, days FROM f""",
+    "grid_run": f"""{P}, n AS (SELECT MAX(date_idx) + 1 AS n FROM preds), w AS (SELECT 'expanding' AS scheme, CAST((t - 120) / 13 AS INT) AS win, 0 AS lo, t - 3 AS hi, t, LEAST(t + 13, n) AS te FROM n JOIN range(120, 5000, 13) r(t) ON t < n - 13 UNION ALL SELECT 'rolling', CAST((t - 52) / 13 AS INT), t - 52, t - 3, t, LEAST(t + 13, n) FROM n JOIN range(52, 5000, 13) r(t) ON t < n - 13),
+s AS (SELECT feature_set, horizon, w.scheme AS scheme, w.win, AVG(y_raw) AS mean, REGR_SLOPE(y_raw, pred) AS beta, REGR_INTERCEPT(y_raw, pred) AS alpha FROM preds JOIN w ON date_idx >= lo AND date_idx < hi GROUP BY 1, 2, 3, 4),
+x AS (SELECT o.feature_set, o.horizon, m.model AS model, w.scheme AS scheme, w.win, y_raw, mean, CASE m.model WHEN 'ols' THEN alpha + beta * pred WHEN 'mean' THEN mean ELSE 0 END AS p FROM preds o JOIN w ON date_idx >= w.t AND date_idx < te JOIN s ON s.feature_set = o.feature_set AND s.horizon = o.horizon AND s.scheme = w.scheme AND s.win = w.win CROSS JOIN (VALUES ('zero'), ('mean'), ('ols')) m(model)),
+f AS (SELECT feature_set, horizon, model, scheme, win, COUNT(*) AS n_test, 1 - SUM((y_raw - p) * (y_raw - p)) / SUM((y_raw - mean) * (y_raw - mean)) AS r2, AVG(CASE WHEN (y_raw > 0) = (p > 0) THEN 1.0 ELSE 0 END) AS hit FROM x GROUP BY 1, 2, 3, 4, 5) SELECT feature_set, horizon, model, scheme, win AS "window", n_test, {R('r2 hit', 4)} FROM f""",
+    "tensor_panel": f"""{C}, {_TOP.format(where='')}, f AS (SELECT r.ticker, r.date, n AS n_raw, ret, CAST(ROW_NUMBER() OVER (PARTITION BY r.ticker, r.date ORDER BY dte, moneyness, is_call) - 1 AS INT) AS row, moneyness, dte / 365.0E0 AS tau, impl_volatility AS iv, LN(1 + open_interest) AS log_oi FROM r JOIN bars_m b ON r.ticker = b.ticker AND r.date = b.date WHERE rk <= 12 AND ret IS NOT NULL)
+SELECT ticker, date, n_raw, row, {R('ret moneyness tau iv log_oi')} FROM f""",
+    "contract_measures": f"""{C}, f AS (SELECT date, SUM(moneyness) AS moneyness, SUM(dte / 365.0E0) AS tau, SUM(is_call) AS is_call, SUM(impl_volatility) AS impl_volatility, SUM(delta) AS delta, SUM(gamma) AS gamma, SUM(vega) AS vega, SUM(LN(1 + volume)) AS log_volume, SUM(LN(1 + open_interest)) AS log_oi, SUM(spread_pct) AS spread_pct FROM contracts GROUP BY 1)
+SELECT date, {R(' '.join(surface.TENSOR), 4)} FROM f""",
 }

@@ -19,19 +19,14 @@ col = F.col
 def iv_rank_changes(spark, d):
     """Rank of the volatility in its last 12 values, and its changes over 1 and 5."""
     iv = chain.atm_skew_term(contracts(spark, d)).where("atm_iv is not null")
-    last = w().rowsBetween(-11, 0)
-    lo, hi = F.min("atm_iv").over(last), F.max("atm_iv").over(last)
-    rank = F.when((F.count("atm_iv").over(last) == 12) & (hi > lo), (col("atm_iv") - lo) / (hi - lo))
-    return rounded(iv.select(*K, rank.alias("iv_rank"), W.change(col("atm_iv"), 1, w()).alias("iv_change1"), W.change(col("atm_iv"), 5, w()).alias("iv_change5")))
+    return rounded(iv.select(*K, W.level_rank(col("atm_iv"), w(), 12).alias("iv_rank"), W.change(col("atm_iv"), 1, w()).alias("iv_change1"), W.change(col("atm_iv"), 5, w()).alias("iv_change5")))
 
 
 def vol_spike_oi_change(spark, d):
     """Volume against its last 20, percent change of open interest, changes of spread and exposure."""
     c = contracts(spark, d)
     daily = c.groupBy(*K).agg(F.sum("volume").alias("v"), F.sum("open_interest").alias("oi")).join(chain.activity(c).select(*K, "vw_spread"), list(K)).join(chain.gamma_exposure(c, bars(spark, d, "month")), list(K))
-    before = w().rowsBetween(-20, -1)
-    spike = F.when(F.count("v").over(before) >= 5, col("v") / F.avg("v").over(before))
-    return rounded(daily.select(*K, spike.alias("vol_spike"), (col("oi") / F.lag("oi").over(w()) - 1).alias("oi_change"), W.change(col("vw_spread"), 1, w()).alias("spread_change"), W.change(col("gex_to_cap"), 1, w()).alias("gex_change")), 4)
+    return rounded(daily.select(*K, W.to_recent_mean(col("v"), w()).alias("vol_spike"), W.step_change(col("oi"), w()).alias("oi_change"), W.change(col("vw_spread"), 1, w()).alias("spread_change"), W.change(col("gex_to_cap"), 1, w()).alias("gex_change")), 4)
 
 
 def price_momentum_vol(spark, d):

@@ -1,7 +1,8 @@
 """Scans, sinks and the panel inputs derived from the driver's tables.
 
-The adapters are SQL that Spark and DuckDB both run: ``bars`` (entity x date)
-from shipped line items by supplier nation, ``contracts`` from the same rows as
+The adapters are SQL that Spark and DuckDB both run: ``bars`` (entity x date,
+with dates numbered on their distinct values) from shipped line items by
+supplier nation, ``contracts`` from the same rows as
 an option chain, and ``preds``, an out-of-sample prediction table.
 """
 
@@ -18,12 +19,13 @@ BARS = """
 SELECT ticker, sector, date, date_idx, prc, prc / LAG(prc) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret, vol,
  vol * 1000 AS mktcap, CAST(12 + (date_idx * 7) % 17 AS DOUBLE) AS vix_close, CAST(14 + (date_idx * 5) % 13 AS DOUBLE) AS vix3m_close,
  CAST(2 AS DOUBLE) AS tbill_rate, CAST(((n_nationkey + 13 - date_idx % 13) % 13) * 7 AS DOUBLE) AS days_to_next_earnings
-FROM (SELECT *, DENSE_RANK() OVER (ORDER BY date) - 1 AS date_idx FROM (
+FROM (SELECT g.*, i.date_idx FROM (
  SELECT n_name AS ticker, r_name AS sector, n_nationkey, CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date,
   CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS prc,
   CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS vol
  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
- GROUP BY 1, 2, 3, 4) g) h"""
+ GROUP BY 1, 2, 3, 4) g
+ JOIN (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS date_idx FROM (SELECT DISTINCT CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date FROM {lineitem}) x) i ON g.date = i.date) h"""
 
 CONTRACTS = """
 SELECT c.*, CASE WHEN is_call = 1 THEN 0.5 - 2 * (moneyness - 1) ELSE -0.5 - 2 * (moneyness - 1) END AS delta,

@@ -162,3 +162,68 @@ def test_boosting_goes_on_while_validation_gains(spark):
     data = spark.createDataFrame(rows, "date_idx int, target double, a double")
     train = walkforward.model_matrix(data, ["a"], "target").withColumnRenamed("raw", "x").withColumn("is_val", F.col("date_idx") >= 32)
     assert walkforward.boosted(12, 2).fit(train).getNumTrees == 12
+
+
+def test_newey_west_uses_all_its_lags(spark):
+    """A series of 70,000 values has 41 lags; a stated number of lags is used whatever its size."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from panelforge.operators import inference
+
+    n = 70_000
+    s = spark.range(n).select(F.col("id").alias("date"), (F.sin(F.col("id") * 0.05) + (F.col("id") % 7) / 10).alias("x"), F.lit("a").alias("k"))
+    x = np.sin(np.arange(n) * 0.05) + (np.arange(n) % 7) / 10
+    e = x - x.mean()
+    for lags, column in ((41, None), (60, F.lit(60))):
+        var = e @ e / n + sum(2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, lags + 1))
+        got = inference.newey_west(s, "x", ["k"], "date", column, divisor_n=True).first()
+        assert got["lags"] == lags and abs(got["se"] - np.sqrt(var / n)) < 1e-9
+    empty = inference.newey_west(s.limit(0), "x", ["k"], "date")
+    assert empty.count() == 0
+
+
+def test_parity_meets_every_call_with_every_put(spark):
+    from panelforge.operators import chain
+
+    rows = [(1, 0.20, 10), (1, 0.24, 30), (0, 0.18, 5), (0, 0.30, 20), (0, None, 7)]
+    c = spark.createDataFrame([("a", "2020-01-01", 100.0, 30, 1.0, s, v, q) for s, v, q in rows], "ticker string, date string, strike double, dte int, moneyness double, is_call int, impl_volatility double, volume int")
+    pairs = [(a - b, u + w) for s, a, u in rows if s for t, b, w in rows if not t and b is not None]
+    got = chain.parity_deviation(c).first()
+    assert got["pairs"] == 4 and abs(got["parity_deviation"] - sum(g * w for g, w in pairs) / sum(w for _, w in pairs)) < 1e-12
+
+
+def test_stratified_sample_below_its_cells(spark):
+    from panelforge.operators import surface
+
+    rows = [("a", "2020-01-01", 0.81 + 0.05 * i, 30 + 20 * (i % 2), 80.0 + i, 1, 10 * (i + 1)) for i in range(8)]
+    c = spark.createDataFrame(rows, "ticker string, date string, moneyness double, dte int, strike double, is_call int, volume int")
+    money, days = [0.8 + 0.05 * i for i in range(9)], [0, 40, 180]
+    kept = {b: surface.stratified_sample(c, b, money, days).collect() for b in (4, 7, 8)}
+    assert {b: len(x) for b, x in kept.items()} == {4: 4, 7: 7, 8: 8}
+    assert sorted(r["strike"] for r in kept[4]) == [84.0, 85.0, 86.0, 87.0]
+
+
+def test_grid_runs_only_pending_cells(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators import walkforward
+
+    p = spark.range(60 * 6).select((F.col("id") / 6).cast("long").alias("date_idx"), F.sin("id").alias("x"), F.cos("id").alias("y"), F.lit("A").alias("set"))
+    wins = {"rolling": walkforward.windows(spark, 60, "rolling", 20, 10)}
+    grid = spark.createDataFrame([("A", m, "rolling") for m in ("zero", "mean", "ols")], "set string, model string, scheme string")
+    whole = walkforward.run_grid(grid, p, wins, "x", "y", ["set"])
+    done = whole.where("model = 'ols'")
+    rest = walkforward.run_grid(grid, p, wins, "x", "y", ["set"], done)
+    assert {r["model"] for r in rest.collect()} == {"zero", "mean"} and rest.count() + done.count() == whole.count()
+    assert all(abs(r["r2"]) < 1e-12 for r in whole.where("model = 'mean'").collect())
+
+
+def test_ridge_divides_by_training_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from panelforge.operators import walkforward
+
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 5)]), float(i % 5) * 2) for i in range(40)], ["x", "y"])
+    model = walkforward.ridge(4.0).fit(rows)
+    assert model.getRegParam() == 0.1

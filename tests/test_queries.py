@@ -41,6 +41,34 @@ def test_signal_rises_with_strength(spark):
     assert abs(ics[0]) < 0.02 and ics == sorted(ics)
 
 
+def test_recovered_signal_rises_with_strength(spark):
+    rows = QUERIES["signal_recovery"](spark, "/root/testdata/sf0.01").collect()
+    by = {m: {r["strength"]: r for r in rows if r["model"] == m} for m in ("ols", "ridge", "without")}
+    for m in ("ols", "ridge"):
+        assert by[m][0.15]["ic"] > by[m][0.05]["ic"] > by[m][0.0]["ic"]
+        assert by[m][0.15]["surviving"] == by[m][0.15]["seeds"] == 3
+    assert by["ols"][0.15]["ic"] > by["without"][0.15]["ic"]
+
+
+def test_ols_coefficients_equal_numpy(spark):
+    import numpy as np
+
+    from panelforge.plans.model_queries import _features
+
+    got = {r["feature"]: r for r in QUERIES["ols_coefficients"](spark, DATA).collect()}
+    p = _features(spark, DATA).toPandas()
+    n = p.date_idx.max() + 1
+    last = list(range(120, n - 13, 13))[-1]
+    p = p[(p.date_idx < last - 1) & p.target.notna()]
+    x = np.column_stack([np.ones(len(p)), p[["A", "B", "C"]].fillna(0.0)])
+    beta = np.linalg.lstsq(x, p.target.to_numpy(), rcond=None)[0]
+    e = p.target - x @ beta
+    se = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * (e @ e) / (len(p) - 4))
+    for i, f in enumerate(("constant", "A", "B", "C")):
+        assert got[f]["n"] == len(p)
+        assert (got[f]["beta"], got[f]["t"]) == pytest.approx((beta[i], beta[i] / se[i]), abs=2e-5)
+
+
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_models_walk_to_the_end_at_full_size(spark, monkeypatch, name):
     from pyspark.sql import functions as F
