@@ -1,5 +1,7 @@
 """The pipeline keeps what each stage should keep."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from panelforge.llm import decontamination, ngram_join
 from panelforge.llm.common import read
@@ -35,3 +37,20 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, DATA), f"e-{name}")
     assert docs.count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null ids, repeated rows, very long texts and extra columns with clashing names: no crash, all columns kept, clean rows kept."""
+    prose = "the quick brown fox jumps over the lazy dog near the old river bank while many people watch from the other side"
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, prose), (1, prose), (None, prose + " again"), (None, None), (2, ""), (3, long), (4, long + " end"), (5, "été noël forêt"), (5, "another text under the same number")]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "web", None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("set_key", "component", "row", "found", "mix_hash", "slot", "lang_pred", "score", "bucket", "words"):
+        docs = docs.withColumn(name, F.lit(7))
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.materialize(stage(spark, docs, DATA), f"w-{name}")
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+    # one of the prose rows, one of the long ones, and both texts under number 5
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:8]) for r in docs.collect()) == [(1, "the quic"), (3, "word0 wo"), (5, "another "), (5, "été noë")]
