@@ -236,6 +236,13 @@ def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str,
     return out
 
 
+def regression_and_direction(panel: DataFrame, wins: DataFrame, features: list[str], y: str, regression: Callable[[int], object], direction: Callable[[int], object], keys: tuple[str, ...] = ("ticker", "date"), date_idx: str = "date_idx") -> DataFrame:
+    """Out-of-sample rows ``(keys, window, y, pred, direction)`` of a regression and a direction model fitted in the same windows."""
+    value = fit_windows(panel, wins, features, y, regression, date_idx).select(*keys, "window", "y", "pred")
+    sign = fit_windows(panel, wins, features, y, direction, date_idx).select(*keys, "window", F.col("pred").alias("direction"))
+    return value.join(sign, [*keys, "window"])
+
+
 def permuted(panel: DataFrame, column: str, date: str = "date", seed: int = 42) -> DataFrame:
     """The panel with one column shuffled within each date: values join rows by two random ranks."""
     a = panel.withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.rand(seed)))).drop(column)

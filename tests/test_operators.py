@@ -227,3 +227,17 @@ def test_ridge_divides_by_training_rows(spark):
     rows = spark.createDataFrame([(Vectors.dense([float(i % 5)]), float(i % 5) * 2) for i in range(40)], ["x", "y"])
     model = walkforward.ridge(4.0).fit(rows)
     assert model.getRegParam() == 0.1
+
+
+def test_regression_and_direction_in_the_same_windows(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators import walkforward
+
+    p = spark.range(50 * 8).select((F.col("id") % 8).cast("string").alias("ticker"), (F.col("id") / 8).cast("int").alias("date_idx"), F.sin(F.col("id") * 1.7).alias("f"))
+    p = p.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("date_idx"))).withColumn("y", F.col("f") * 2)
+    wins = walkforward.windows(spark, 50, "expanding", 30, 10)
+    out = walkforward.regression_and_direction(p, wins, ["f"], "y", lambda n: walkforward.ridge(), lambda n: walkforward.boosted_direction(3, 2)).collect()
+    assert len(out) == 8 * 10 and {r["window"] for r in out} == {0}
+    assert all(abs(r["pred"] - r["y"]) < 1e-6 for r in out)
+    assert sum((r["direction"] == 1.0) == (r["y"] > 0) for r in out) >= 78
