@@ -118,14 +118,15 @@ def replicates_of(values: DataFrame, keys: list[str], value: str, unit: str, rep
     """``(keys, rep, m)``: each group's mean in each replicate, units drawn with replacement.
 
     A unit (a date, or a block of dates) is first reduced to its sum and count;
-    each replicate weighs units by Poisson(1) counts from a hash, so the work is
-    units x replicates and no rows are drawn. Groups share a unit's weight
+    each replicate weighs units by Poisson(1) counts from an MD5, the same on
+    every engine, so the work is units x replicates and no rows are drawn. Groups share a unit's weight
     unless they differ in the columns ``apart``. Replicates that draw nothing
     of a group are left out.
     """
     units = values.groupBy(*keys, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
     reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(unit, "rep", F.lit(seed), *apart), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in (unit, "rep", *apart)], F.lit(str(seed)))
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     steps, total, p = [], 0.0, math.exp(-1)
     for k in range(12):
         total += p

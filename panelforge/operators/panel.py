@@ -110,17 +110,32 @@ def every_kth_date(df: DataFrame, k: int, time: str = "date") -> DataFrame:
     return df.join(F.broadcast(date_index(df, time).where(F.col("date_idx") % k == 0).select(time)), time, "left_semi")
 
 
-def causal_median(df: DataFrame, value: str, time: str = "date") -> DataFrame:
-    """Median of all values on strictly earlier dates, for each date.
+def causal_median(df: DataFrame, value: str, time: str = "date", bins: int = 256) -> DataFrame:
+    """Median of all values on strictly earlier dates, for each date; null where there are none.
 
-    Values are counted on distinct (date, value) first; the pooled past of a
-    date is then a range join on dates, weighted by counts.
+    Exact, in two steps. Values are counted by date and bin between approximate
+    quantiles of all values; the counts, summed over dates and then over bins,
+    tell which bin holds a date's middle values, and how many lie below it.
+    Only that bin's values are then ranked. ``df`` is read several times.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(time, value).agg(F.count("*").alias("c"))
     dates = date_index(df, time)
-    past = counts.join(F.broadcast(dates), time).select(F.col("date_idx").alias("_i"), F.col(value).alias("_v"), "c")
-    pooled = F.broadcast(dates).join(past, F.col("_i") < F.col("date_idx"))
-    return dates.join(pooled.groupBy(time).agg(F.percentile("_v", 0.5, F.col("c")).alias("median")), time, "left").select(time, "median")
+    counts = df.where(F.col(value).isNotNull()).groupBy(time, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    edges = counts.agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_e"))
+    binned = counts.crossJoin(F.broadcast(edges)).join(F.broadcast(dates), time).select("date_idx", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_b"), "_v", "_c")
+    daily = binned.groupBy("date_idx", "_b").agg(F.sum("_c").alias("_c"))
+    cells = dates.select("date_idx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_b")).join(daily, ["date_idx", "_b"], "left")
+    earlier = F.sum("_c").over(Window.partitionBy("_b").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, -1))
+    held = cells.select("date_idx", "_b", F.coalesce(earlier, F.lit(0)).alias("_n"))
+    day = Window.partitionBy("date_idx")
+    held = held.withColumn("_to", F.sum("_n").over(day.orderBy("_b"))).withColumn("_all", F.sum("_n").over(day)).withColumn("_from", F.col("_to") - F.col("_n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
+    # at most two rows a date
+    sought = held.where("_all > 0").select("date_idx", "_b", "_from", "_to", F.explode(middle).alias("_rank")).where("_rank >= _from and _rank < _to").drop("_to")
+    past = binned.withColumnRenamed("date_idx", "_i").join(F.broadcast(sought), "_b").where("_i < date_idx")
+    ranked = past.groupBy("date_idx", "_rank", "_from", "_v").agg(F.sum("_c").alias("_c"))
+    upto = F.col("_from") + F.sum("_c").over(Window.partitionBy("date_idx", "_rank").orderBy("_v"))
+    found = ranked.withColumn("_upto", upto).where("_upto > _rank").groupBy("date_idx", "_rank").agg(F.min("_v").alias("_v"))
+    return dates.join(found.groupBy("date_idx").agg(F.avg("_v").alias("median")), "date_idx", "left").select(time, "median")
 
 
 def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -31,13 +31,10 @@ def smile_points(chain: DataFrame, rate: float = 0.02, least: int = 5) -> DataFr
     return p.withColumn("v", F.col("v") / F.sum("v").over(smile)).withColumn("_n", F.count("*").over(smile)).where(F.col("_n") >= least).drop("_n")
 
 
-def _solve(points: DataFrame, grid: DataFrame, extra: list[str]) -> DataFrame:
-    """Best (a, b, rho, m, sigma) of each smile over its grid rows."""
+def _solve(p: DataFrame) -> DataFrame:
+    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of its points; all steps run in the points' partitioning by smile."""
     y = (F.col("k") - F.col("m")) / F.col("sigma")
-    z = F.sqrt(y * y + 1)
-    cols = {"1": F.lit(1.0), "y": y, "z": z}
-    p = points.join(F.broadcast(grid), extra) if extra else points.crossJoin(F.broadcast(grid))
-    p = p.withColumns({"_y": y, "_z": z})
+    p = p.withColumns({"_y": y, "_z": F.sqrt(y * y + 1)})
     cols = {"1": F.lit(1.0), "y": F.col("_y"), "z": F.col("_z"), "w": F.col("w")}
     names = [(a, b) for i, a in enumerate(cols) for b in list(cols)[i:]]
     s = p.groupBy(*SMILE, "m", "sigma").agg(F.count("*").alias("_n"), *[F.sum(F.col("v") * cols[a] * cols[b]).alias(f"s{a}{b}") for a, b in names])
@@ -66,18 +63,10 @@ def fit_svi(chain: DataFrame) -> DataFrame:
     """Smile parameters and error of each (entity, date, expiry): a coarse grid, then a finer one around its best point."""
     spark = chain.sparkSession
     points = smile_points(chain)
-    coarse = _solve(points, spark.createDataFrame(GRID, "m double, sigma double"), [])
+    coarse = _solve(points.crossJoin(F.broadcast(spark.createDataFrame(GRID, "m double, sigma double"))))
     steps = F.explode(F.array(*[F.struct(F.lit(dm).alias("dm"), F.lit(fs).alias("fs")) for dm in (-0.05, 0.0, 0.05) for fs in (0.7, 1.0, 1.4)])).alias("s")
     near = coarse.select(*SMILE, "m", "sigma", steps).select(*SMILE, (F.col("m") + F.col("s.dm")).alias("m"), (F.col("sigma") * F.col("s.fs")).alias("sigma"))
-    fine = _solve_near(points, near)
-    return fine
-
-
-def _solve_near(points: DataFrame, grid: DataFrame) -> DataFrame:
-    joined = points.join(grid, SMILE)
-    spark = points.sparkSession
-    one = spark.createDataFrame([(1,)], "_one int")
-    return _solve(joined.withColumn("_one", F.lit(1)), one, ["_one"])
+    return _solve(points.join(near, SMILE))
 
 
 def headline(smiles: DataFrame, target: int = 30) -> DataFrame:

@@ -247,6 +247,31 @@ def _long_short(n: int, horizon: int, fraction: str, where: str, name: str = "ls
 {name} AS (SELECT s.feature_set, s.horizon, t.date, r, turnover FROM {name}s s JOIN (SELECT DISTINCT feature_set, horizon, k, date FROM {name}c) t ON s.feature_set = t.feature_set AND s.horizon = t.horizon AND s.k = t.k)"""
 
 
+def _poisson(u: str) -> str:
+    """Poisson(1) count of a uniform number."""
+    steps, total, p = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += p
+        steps.append(f"CASE WHEN {u} > {total!r} THEN 1 ELSE 0 END")
+        p /= k + 1
+    return " + ".join(steps)
+
+
+def _draws(name: str, source: str, keys: str, value: str, unit: str, replicates: int, apart: str = "") -> str:
+    """Mean ``m`` of each group and replicate, units weighed by hashed counts."""
+    of = ", ".join(x for x in (f"CAST({unit} AS VARCHAR)", "CAST(rep AS VARCHAR)", apart, "'42'") if x)
+    return f"""{name}u AS (SELECT {keys}, {unit}, SUM({value}) AS s, COUNT({value}) AS c FROM {source} GROUP BY {keys}, {unit}),
+{name}w AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', {of})), 1, 10) AS BIGINT) + 0.5E0) / {float(1 << 40)!r} AS u FROM {name}u CROSS JOIN range(1, {replicates + 1}) r(rep)),
+{name} AS (SELECT * FROM (SELECT {keys}, rep, SUM(({_poisson('u')}) * s) / NULLIF(SUM(({_poisson('u')}) * c), 0) AS m FROM {name}w GROUP BY {keys}, rep) x WHERE m IS NOT NULL)"""
+
+
+def _difference(name: str, source: str, group: str) -> str:
+    """High less low by replicate."""
+    return f"{name} AS (SELECT * FROM (SELECT feature_set, rep, MAX(CASE WHEN {group} = 'high' THEN m END) - MAX(CASE WHEN {group} = 'low' THEN m END) AS m FROM {source} GROUP BY 1, 2) x WHERE m IS NOT NULL)"
+
+
+_INTERVAL = "AVG(m) AS mean, QUANTILE_CONT(m, 0.025) AS lo, QUANTILE_CONT(m, 0.975) AS hi, LEAST(1.0E0, 2 * LEAST(AVG(CASE WHEN m <= 0 THEN 1.0E0 ELSE 0 END), AVG(CASE WHEN m >= 0 THEN 1.0E0 ELSE 0 END))) AS p"
+
 _LABELS = "SELECT p.*, 'vix' AS regime, CASE WHEN vix_close >= 25 THEN 'high_vix' WHEN vix_close <= 15 THEN 'low_vix' ELSE 'normal_vix' END AS value FROM preds p UNION ALL SELECT p.*, 'earnings', CASE WHEN days_to_next_earnings <= 7 THEN 'near_earnings' ELSE 'far_earnings' END FROM preds p"
 _DAILY = _ic("ic", "preds", "pred", "y_demeaned", "feature_set, horizon, date", 5)
 _CM = "CAST(SUM(CASE WHEN pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(SUM(CASE WHEN pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(SUM(CASE WHEN NOT pred > 0 AND y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(SUM(CASE WHEN NOT pred > 0 AND NOT y_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn"
@@ -266,6 +291,12 @@ SELECT feature_set, horizon, tp, fp, fn, tn, n_long, {R('accuracy precision reca
     "economic_metrics": f"""{P}, {LF}, c AS (SELECT *, EXP(SUM(LN(1 + r)) OVER (PARTITION BY feature_set, horizon ORDER BY date)) AS wealth FROM pnl), k AS (SELECT *, GREATEST(1, MAX(wealth) OVER (PARTITION BY feature_set, horizon ORDER BY date)) AS peak FROM c),
 f AS (SELECT feature_set, horizon, AVG(r) * SQRT(252.0E0) / STDDEV_POP(r) AS sharpe, MIN(wealth / peak - 1) AS max_drawdown, (EXP(SUM(LN(1 + r))) - 1) * 100 AS total_return, AVG(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win_rate, -AVG(CASE WHEN r > 0 THEN r END) / AVG(CASE WHEN r < 0 THEN r END) AS win_loss, SUM(trades) AS trades, EXP(SUM(LN(1 + r))) AS wealth FROM k GROUP BY 1, 2)
 SELECT feature_set, horizon, {R('sharpe max_drawdown total_return win_rate win_loss trades wealth', 4)} FROM f""",
+    "evaluation_table": f"""{P}, o AS (SELECT * REPLACE (y_demeaned AS y_raw) FROM preds WHERE horizon = 1), {LF.replace('FROM preds', 'FROM o')}, w AS (SELECT feature_set, AVG(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM pnl GROUP BY 1),
+a AS (SELECT feature_set, horizon, {_CM}, 1 - SUM((y_raw - pred) * (y_raw - pred)) / SUM(y_raw * y_raw) AS r2 FROM o GROUP BY 1, 2), {_ic('c', 'o', 'pred', 'y_raw', 'feature_set', 2)},
+x AS (SELECT feature_set, pred - AVG(pred) OVER w AS p, y_raw - AVG(y_raw) OVER w AS y FROM o WINDOW w AS (PARTITION BY feature_set, date)), b AS (SELECT feature_set, 1 - SUM((y - p) * (y - p)) / SUM(y * y) AS xs_r2 FROM x GROUP BY 1),
+r AS (SELECT feature_set, y_raw, {_rank('pred', 'feature_set')} AS r FROM o), u AS (SELECT feature_set, (SUM(CASE WHEN y_raw > 0 THEN r END) - SUM(CASE WHEN y_raw > 0 THEN 1 END) * (SUM(CASE WHEN y_raw > 0 THEN 1 END) + 1) / 2.0E0) / (CAST(SUM(CASE WHEN y_raw > 0 THEN 1 END) AS DOUBLE) * SUM(CASE WHEN y_raw > 0 THEN 0 ELSE 1 END)) AS auc FROM r GROUP BY 1),
+f AS (SELECT a.feature_set, a.horizon, r2, xs_r2, ic, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy, auc, win_rate FROM a JOIN b ON a.feature_set = b.feature_set JOIN c ON a.feature_set = c.feature_set JOIN u ON a.feature_set = u.feature_set JOIN w ON a.feature_set = w.feature_set)
+SELECT feature_set, horizon, {R('r2 xs_r2 ic accuracy auc win_rate')} FROM f""",
     "daily_rank_ic": f"{P}, {_DAILY} SELECT feature_set, horizon, date, n, {R('ic')} FROM ic",
     "nw_tstats": f"""{P}, {_DAILY}, {_nw('na', 'ic', 'ic', 'feature_set, horizon', 'date', CUBE, 'pairs', True)}, {_nw('nb', 'ic', 'ic', 'feature_set, horizon', 'date', CUBE, 'n', False)},
 f AS (SELECT a.feature_set, a.horizon, a.n, a.mean, a.se, a.mean / a.se AS t, b.se AS se_n FROM na a JOIN nb b ON a.feature_set = b.feature_set AND a.horizon = b.horizon)
@@ -279,6 +310,15 @@ SELECT feature_set, horizon, n, b, c, {R('cw_t cw_p dm_t dm_p chi2 p', 4)} FROM
     "deflated_sharpe": f"""{P}, {LF}, s AS (SELECT feature_set, horizon, AVG(r) / STDDEV_SAMP(r) AS sharpe FROM pnl GROUP BY 1, 2), v AS (SELECT SQRT(VAR_SAMP(sharpe)) AS v, COUNT(*) AS n FROM s),
 b AS (SELECT v * ((1 - {inference.EULER}) * {_ppf('1 - 1.0E0 / n')} + {inference.EULER} * {_ppf(f'1 - 1.0E0 / (n * {math.e!r})')}) AS sr0 FROM v), f AS (SELECT s.*, sr0, sharpe - sr0 AS excess FROM s CROSS JOIN b)
 SELECT feature_set, horizon, {R('sharpe sr0 excess')}, excess > 0 AS survives FROM f""",
+    "sharpe_probability": f"""{P}, {LF}, s AS (SELECT feature_set, horizon, AVG(r) / STDDEV_SAMP(r) AS sharpe, COUNT(r) AS periods FROM pnl GROUP BY 1, 2), v AS (SELECT SQRT(VAR_SAMP(sharpe)) AS v, COUNT(sharpe) AS n FROM s), t AS (SELECT v, CAST(n AS INT) AS trials FROM v UNION ALL SELECT v, 192 FROM v UNION ALL SELECT v, 252 FROM v),
+b AS (SELECT trials, v * ((1 - {inference.EULER}) * {_ppf('1 - 1.0E0 / trials')} + {inference.EULER} * {_ppf(f'1 - 1.0E0 / (trials * {math.e!r})')}) AS sr0 FROM t), e AS (SELECT s.*, trials, sr0, sharpe - sr0 AS excess, (sharpe - sr0) * SQRT(GREATEST(periods - 1, 1)) AS z FROM s CROSS JOIN b),
+f AS (SELECT *, {_cdf('z')} AS probability FROM e) SELECT feature_set, horizon, periods, trials, {R('sharpe sr0 excess probability')}, excess > 0 AS survives FROM f""",
+    "bootstrap_regimes": f"""{P}, o AS (SELECT * FROM preds WHERE horizon = 1), {_ic('i', 'o', 'pred', 'y_demeaned', 'feature_set, date, vix_close', 5)}, q AS (SELECT *, CASE WHEN vix_close >= 20 THEN 'high' ELSE 'low' END AS regime, CAST(year(date) AS VARCHAR) || CAST(quarter(date) AS VARCHAR) AS quarter FROM i),
+s AS (SELECT *, CASE WHEN spread > (SELECT QUANTILE_CONT(spread, 0.5) FROM o) THEN 'high' ELSE 'low' END AS side FROM o), {_ic('j', 's', 'pred', 'y_demeaned', 'feature_set, side, date', 5)}, k AS (SELECT * FROM j WHERE (feature_set, date) IN (SELECT (feature_set, date) FROM j GROUP BY feature_set, date HAVING COUNT(DISTINCT side) = 2)),
+{_draws('da', 'q', 'feature_set, regime', 'ic', 'date', 5000)}, {_draws('db', 'q', 'feature_set, regime', 'ic', 'quarter', 5000)}, {_draws('ea', 'q', 'feature_set, regime', 'ic', 'date', 5000, 'regime')}, {_draws('eb', 'q', 'feature_set, regime', 'ic', 'quarter', 5000, 'regime')}, {_draws('ec', 'k', 'feature_set, side', 'ic', 'date', 5000)},
+{_difference('fa', 'ea', 'regime')}, {_difference('fb', 'eb', 'regime')}, {_difference('fc', 'ec', 'side')},
+u AS (SELECT feature_set, regime, m, 'date' AS unit FROM da UNION ALL SELECT feature_set, regime, m, 'quarter' FROM db UNION ALL SELECT feature_set, 'high - low', m, 'date' FROM fa UNION ALL SELECT feature_set, 'high - low', m, 'quarter' FROM fb UNION ALL SELECT feature_set, 'spread high - low, paired', m, 'date' FROM fc),
+f AS (SELECT feature_set, regime, unit, {_INTERVAL} FROM u GROUP BY 1, 2, 3) SELECT feature_set, regime, unit, {R('mean lo hi p')} FROM f""",
     "pbo_cscv": f"""{P}, {LF}, t AS (SELECT date, NTILE(8) OVER (ORDER BY date) - 1 AS b FROM (SELECT DISTINCT date FROM pnl WHERE horizon = 1) x), s AS (SELECT feature_set AS t, b, COUNT(*) AS n, SUM(r) AS s, SUM(r * r) AS q FROM pnl JOIN t ON pnl.date = t.date WHERE horizon = 1 GROUP BY 1, 2),
 m AS (SELECT i FROM range(0, 256) r(i) WHERE bit_count(i) = 4), a AS (SELECT m.i, s.t, (m.i >> s.b) & 1 AS ins, SUM(n) AS n, SUM(s) AS s, SUM(q) AS q FROM m CROSS JOIN s GROUP BY 1, 2, 3),
 z AS (SELECT i, t, ins, ROUND((s / n) / SQRT((q - s * s / n) / (n - 1)), 9) AS sr FROM a), w AS (SELECT i, t, MAX(CASE WHEN ins = 1 THEN sr END) AS si, MAX(CASE WHEN ins = 0 THEN sr END) AS so FROM z GROUP BY 1, 2),

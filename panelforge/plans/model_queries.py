@@ -210,7 +210,27 @@ def _case(x: str, edges: list[float]) -> str:
 _NAMES = [(m, t, f"iv_surf_{round(m * 100):03d}_{t:03d}") for m in surface.MONEYNESS_GRID for t in surface.DTE_GRID]
 _TOP = "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, date ORDER BY volume DESC, dte, strike, is_call) AS rk, COUNT(*) OVER (PARTITION BY ticker, date) AS n FROM contracts{where})"
 
+
+
+def _least_squares(names: list[str]) -> str:
+    """Coefficients of y on the columns x0, x1, ... of ``t``: each from what is left of its column without the others."""
+    p, parts, ctes_ = len(names), [], []
+    part = lambda x, e: f"{x} - SUM({x} * {e}) OVER () / SUM({e} * {e}) OVER () * {e} AS {x}"
+    for j in range(p):
+        order, source = [i for i in range(p) if i != j] + [j], "t"
+        for step, i in enumerate(order):
+            left = [f"x{o}" for o in order[step + 1 :]]
+            ctes_.append(f"o{j}_{step} AS (SELECT win, y, {', '.join([f'x{o}' for o in order[: step + 1]] + [part(x, f'x{i}') for x in left])} FROM {source})")
+            source = f"o{j}_{step}"
+        sse = " - ".join(["SUM(y * y)", *[f"SUM(y * x{i}) * SUM(y * x{i}) / SUM(x{i} * x{i})" for i in range(p)]])
+        parts.append(f"SELECT MAX(win) AS win, COUNT(*) AS n, '{names[j]}' AS feature, SUM(y * x{j}) / SUM(x{j} * x{j}) AS beta, SQRT(({sse}) / (COUNT(*) - {p}) / SUM(x{j} * x{j})) AS se FROM {source}")
+    return ", ".join(ctes_) + f", c AS ({' UNION ALL '.join(parts)})"
+
+
 ORACLES = {
+    "ols_coefficients": f"""{P}, p AS (SELECT ticker, date, date_idx, MAX(CASE WHEN feature_set = 'A' THEN pred END) AS a, MAX(CASE WHEN feature_set = 'B' THEN pred END) AS b, MAX(CASE WHEN feature_set = 'C' THEN pred END) AS c, MAX(y_raw) AS y FROM preds WHERE horizon = 1 GROUP BY 1, 2, 3),
+w AS (SELECT MAX(r.t) AS t FROM (SELECT MAX(date_idx) + 1 AS n FROM p) m JOIN range(120, 5000, 13) r(t) ON r.t < n - 13), t AS (SELECT CAST((w.t - 120) / 13 AS INT) AS win, 1.0E0 AS x0, COALESCE(a, 0) AS x1, COALESCE(b, 0) AS x2, COALESCE(c, 0) AS x3, y FROM p JOIN w ON date_idx < w.t - 1),
+{_least_squares(['constant', 'A', 'B', 'C'])}, f AS (SELECT *, beta / se AS t FROM c) SELECT win AS "window", n, feature, {R('beta se t')} FROM f""",
     "iv_grid": f"""{C}, l AS (SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY ticker, date) AS n FROM contracts WHERE volume > 0 OR open_interest > 100) x WHERE n >= 5),
 g AS ({' UNION ALL '.join(f"SELECT {m}E0 AS gm, {t} AS gt" for m, t, _ in _NAMES)}),
 d AS (SELECT ticker, date, gm, gt, dte, moneyness, is_call, impl_volatility AS iv, ROUND(SQRT(POWER((moneyness - gm) / 0.05E0, 2) + POWER((dte - gt) / 30.0E0, 2)), 9) AS d FROM l CROSS JOIN g),

@@ -9,7 +9,7 @@ from panelforge.functions import windows as W
 from panelforge.operators import chain, panel
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources import tables
-from panelforge.sources.tables import bars, contracts, ctes, scan
+from panelforge.sources.tables import bars, contracts, ctes, materialize, scan
 
 K = ("ticker", "date")
 w = lambda: W.by()
@@ -67,7 +67,7 @@ def forward_rv(spark, d):
 
 def causal_threshold(spark, d):
     """Median of all volumes before each date, and the entities above it."""
-    b = bars(spark, d)
+    b = materialize(bars(spark, d).select("date", "vol"), "volumes")
     out = b.join(F.broadcast(panel.causal_median(b, "vol")), "date")
     return rounded(out.groupBy("date").agg(F.max("median").alias("median"), F.count(F.when(col("vol") > col("median"), 1)).alias("n_high")))
 
@@ -121,10 +121,11 @@ def temporal_split(spark, d):
 
 def winsorize_impute_zscore(spark, d):
     """Fit on training dates, apply to all."""
-    b = bars(spark, d)
+    b = materialize(bars(spark, d).select(*K, "ret", "vol"))
     b = b.join(F.broadcast(panel.temporal_split(b)), "date").select(*K, "split", "ret", "vol")
     train, cols = col("split") == "train", ["ret", "vol"]
-    b = panel.impute(panel.winsorize(b, cols, train, 0.05, 0.95), cols, train)
+    b = materialize(panel.winsorize(b, cols, train, 0.05, 0.95))
+    b = materialize(panel.impute(b, cols, train))
     return rounded(panel.zscore(b, cols, train))
 
 

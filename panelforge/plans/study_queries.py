@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions.windows import by, forward_realised_vol, forward_return, level_rank, realised_vol
 from panelforge.operators import backtest, chain, inference, metrics, panel, studies, surface, walkforward
-from panelforge.plans.evaluation_queries import _DAILY, CUBE, LF, _ic, _nw
+from panelforge.plans.evaluation_queries import _DAILY, _INTERVAL, CUBE, LF, _draws, _ic, _nw
 from panelforge.plans import chain_queries as CQ
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources.tables import bars, contracts, ctes, materialize, preds, scan
@@ -170,5 +170,8 @@ l AS (SELECT p.*, CASE WHEN vix_close >= 25 THEN 'high_vix' WHEN vix_close <= 15
 u AS (SELECT feature_set, horizon, pred, y_demeaned, 'vix' AS regime, v AS value FROM l UNION ALL SELECT feature_set, horizon, pred, y_demeaned, 'earnings', e FROM l UNION ALL SELECT feature_set, horizon, pred, y_demeaned, 'gex', x FROM l), {_ic('i', 'u', 'pred', 'y_demeaned', 'feature_set, horizon, regime, value', 30)}
 SELECT feature_set, horizon, regime, value, n, {R('ic')} FROM i""",
     "named_cells_ic": f"""{P}, w AS (SELECT *, CAST(FLOOR(date_idx / 13) AS BIGINT) AS win FROM preds WHERE feature_set || '|' || horizon IN ('A|1', 'B|3', 'C|1')), {_ic('i', 'w', 'pred', 'y_demeaned', 'feature_set, horizon, win', 11)}, f AS (SELECT feature_set, horizon, AVG(ic) AS ic, COUNT(ic) AS windows FROM i GROUP BY 1, 2) SELECT feature_set, horizon, windows, {R('ic')} FROM f""",
+    "attribution_bootstrap": f"""{P}, o AS (SELECT *, ABS(pred) AS x FROM preds WHERE horizon = 1), {_draws('b', 'o', 'feature_set', 'x', 'date', 1000)}, i AS (SELECT feature_set, {_INTERVAL} FROM b GROUP BY 1), k AS (SELECT feature_set, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY m DESC, feature_set) AS r FROM b),
+g AS (SELECT feature_set, CAST(FLOOR(QUANTILE_CONT(r, 0.025)) AS INT) AS rank_lo, CAST(FLOOR(QUANTILE_CONT(r, 0.5)) AS INT) AS rank_median, CAST(FLOOR(QUANTILE_CONT(r, 0.975)) AS INT) AS rank_hi FROM k GROUP BY 1),
+f AS (SELECT i.*, rank_lo, rank_median, rank_hi, CAST(RANK() OVER (ORDER BY mean DESC) AS INT) AS rank FROM i JOIN g ON i.feature_set = g.feature_set) SELECT feature_set, rank_lo, rank_median, rank_hi, rank, {R('mean lo hi p')} FROM f""",
     "top_names": f"""{P}, f AS (SELECT ticker, ROUND(AVG(ABS(pred)), 9) AS attribution, COUNT(*) AS n FROM preds WHERE horizon = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5) SELECT ticker, n, {R('attribution')} FROM f""",
 }
