@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import chi2_1_tail, normal_cdf, normal_quantile
 from panelforge.functions.windows import average_rank
+from panelforge.operators import ordering
 
 EULER = 0.5772156649015329
 
@@ -26,7 +27,16 @@ def cube_root_lags(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.pow(n.cast("double"), F.lit(1 / 3))).cast("int"))
 
 
-def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Column | None = None, divisor_n: bool = False) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], order: list[str], most: int, block: int) -> DataFrame:
+    """Rows in blocks of consecutive ones, each with the ``most`` rows before it, for which ``_own`` is false."""
+    size = max(block, 4 * most)
+    i = F.col("_i")
+    home = F.floor(i / size)
+    places = F.when(i % size >= size - most, F.array(home, home + 1)).otherwise(F.array(home))
+    return ordering.numbered(rows, keys, order, "_i").select("*", home.alias("_home"), F.explode(places).alias("_block")).withColumn("_own", F.col("_block") == F.col("_home"))
+
+
+def newey_west(series: DataFrame, x: str, keys: list[str], order: str | list[str], lags: Column | None = None, divisor_n: bool = False, block: int = 10_000) -> DataFrame:
     """Mean of each series with its HAC error and t-statistic.
 
     Two estimators: autocovariances as means over their n - k pairs with the
@@ -34,15 +44,26 @@ def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Col
     (``divisor_n``). ``lags`` is a function of ``n``, by default its cube root.
     The longest series is counted first, so that as many lags are laid out as
     it uses. Groups of fewer than 3 values are left out.
+
+    A series of dates is one window. One in panel order, whose length grows
+    with the rows, is given as ``order=[entity, date]``: it is numbered by
+    entity and its lags are taken in blocks of ``block`` rows.
     """
     longest = series.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
     most = max(1, longest.select(cube_root_lags(F.col("n")) if lags is None else lags).first()[0])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    w = group.orderBy(order)
-    e = series.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).alias("_x"))
-    e = e.select(*keys, order, (F.col("_x") - F.avg("_x").over(group)).alias("_e"), "_x")
+    e = series.where(F.col(x).isNotNull())
+    if isinstance(order, str):
+        e = e.select(*keys, order, (F.col(x) - F.avg(x).over(group)).alias("_e"), F.col(x).alias("_x"), F.lit(True).alias("_own"))
+        w = group.orderBy(order)
+    else:
+        e = e.select(*keys, *order, F.col(x).alias("_x"))
+        means = e.groupBy(*keys).agg(F.avg("_x").alias("_m"))
+        e = e.join(means, keys) if keys else e.crossJoin(F.broadcast(means))
+        e = _dealt(e.select(*keys, *order, (F.col("_x") - F.col("_m")).alias("_e"), "_x"), keys, order, most, block)
+        w = Window.partitionBy(*keys, "_block").orderBy("_i")
     pairs = [F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, most + 1)]
-    sums = e.select(*keys, "_e", "_x", *pairs).groupBy(*keys).agg(
+    sums = e.select(*keys, "_e", "_x", "_own", *pairs).where("_own").groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("_x").alias("mean"), F.sum(F.col("_e") * F.col("_e")).alias("_g0"),
         F.array(*[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, most + 1)]).alias("_g"),
     ).where("n >= 3")
@@ -55,14 +76,14 @@ def newey_west(series: DataFrame, x: str, keys: list[str], order: str, lags: Col
     return out.select(*keys, "n", "mean", "se", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("t"), F.col("_L").alias("lags"))
 
 
-def clark_west(preds: DataFrame, small: str, large: str, y: str, keys: list[str], order: str) -> DataFrame:
+def clark_west(preds: DataFrame, small: str, large: str, y: str, keys: list[str], order: str | list[str]) -> DataFrame:
     """One-sided test that the large nested forecast improves on the small one."""
     a, b, g = F.col(y) - F.col(small), F.col(y) - F.col(large), F.col(small) - F.col(large)
     out = newey_west(preds.withColumn("_f", a * a - (b * b - g * g)), "_f", keys, order, divisor_n=True)
     return out.withColumn("p", 1 - normal_cdf(F.col("t")))
 
 
-def diebold_mariano(preds: DataFrame, first: str, second: str, y: str, keys: list[str], order: str, horizon: int = 1, loss: str = "squared") -> DataFrame:
+def diebold_mariano(preds: DataFrame, first: str, second: str, y: str, keys: list[str], order: str | list[str], horizon: int = 1, loss: str = "squared") -> DataFrame:
     """Two-sided test of equal loss."""
     cost = (lambda e: e * e) if loss == "squared" else F.abs
     d = cost(F.col(y) - F.col(first)) - cost(F.col(y) - F.col(second))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.windows import average_rank, demean
+from panelforge.operators import ordering
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -30,16 +31,22 @@ def cross_sectional_r2(preds: DataFrame, pred: str, y: str, keys: list[str], dat
     return c.groupBy(*keys).agg((1 - _safe(F.sum(e * e), F.sum(F.col("_y") * F.col("_y")))).alias("xs_r2"))
 
 
-def rank_ic(preds: DataFrame, pred: str, y: str, keys: list[str], least: int = 2) -> DataFrame:
-    """Spearman correlation with averaged ties."""
-    r = preds.select(*keys, average_rank(pred, *keys).alias("_p"), average_rank(y, *keys).alias("_y"))
+def rank_ic(preds: DataFrame, pred: str, y: str, keys: list[str], least: int = 2, large: bool = False) -> DataFrame:
+    """Spearman correlation with averaged ties. ``large``: a group is ranked in parts, not in one task."""
+    if large:
+        r = ordering.ranked(preds.select(*keys, F.col(pred).alias("_a"), F.col(y).alias("_b")), {"_a": "_p", "_b": "_y"}, keys)
+    else:
+        r = preds.select(*keys, average_rank(pred, *keys).alias("_p"), average_rank(y, *keys).alias("_y"))
     return r.groupBy(*keys).agg(F.when(F.count("*") >= least, F.corr("_p", "_y")).alias("ic"))
 
 
 def icir(preds: DataFrame, pred: str, y: str, keys: list[str], order: list[str], chunk: int = 63) -> DataFrame:
-    """Mean over deviation of the IC of consecutive full chunks of rows in the given order; two chunks at least."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    numbered = preds.withColumn("_chunk", F.floor(n / chunk)).withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "_chunk"))).where(F.col("_size") == chunk)
+    """Mean over deviation of the IC of consecutive full chunks of rows in the given order; two chunks at least.
+
+    Rows are numbered by the values of the first order column (an entity) at a time.
+    """
+    rows = ordering.numbered(preds.select(*dict.fromkeys([*keys, *order, pred, y])), keys, order, "_i")
+    numbered = rows.withColumn("_chunk", F.floor(F.col("_i") / chunk)).withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "_chunk"))).where(F.col("_size") == chunk)
     ics = rank_ic(numbered, pred, y, [*keys, "_chunk"])
     return ics.groupBy(*keys).agg(F.when(F.count("ic") >= 2, _safe(F.avg("ic"), F.stddev_pop("ic"))).alias("icir"))
 
@@ -54,8 +61,8 @@ def classification(preds: DataFrame, said: Column, true: Column, keys: list[str]
 
 
 def roc_auc(preds: DataFrame, score: str, true: Column, keys: list[str]) -> DataFrame:
-    """Mann-Whitney form with averaged ties; null for one class."""
-    r = preds.withColumn("_t", true).withColumn("_r", average_rank(score, *keys))
+    """Mann-Whitney form with averaged ties; null for one class. Groups are ranked in parts."""
+    r = ordering.ranked(preds.select(*keys, F.col(score).alias("_s"), true.alias("_t")), {"_s": "_r"}, keys)
     s = r.groupBy(*keys).agg(F.sum(F.when(F.col("_t"), F.col("_r"))).alias("_s"), F.count(F.when(F.col("_t"), 1)).alias("_p"), F.count("*").alias("_n"))
     p, n = F.col("_p"), F.col("_n")
     return s.select(*keys, F.when((p > 0) & (p < n), (F.col("_s") - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
@@ -80,7 +87,7 @@ def evaluate(preds: DataFrame, pred: str, y: str, keys: list[str]) -> DataFrame:
     """The full evaluation row of each cell."""
     said, true = F.col(pred) > 0, F.col(y) > 0
     out = regression(preds, pred, y, keys)
-    for part in (cross_sectional_r2(preds, pred, y, keys), rank_ic(preds, pred, y, keys), classification(preds, said, true, keys), roc_auc(preds, pred, true, keys), economic(preds, said, y, keys)):
+    for part in (cross_sectional_r2(preds, pred, y, keys), rank_ic(preds, pred, y, keys, large=True), classification(preds, said, true, keys), roc_auc(preds, pred, true, keys), economic(preds, said, y, keys)):
         out = out.join(part, keys)
     return out
 

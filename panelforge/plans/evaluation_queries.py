@@ -16,15 +16,15 @@ col = F.col
 
 def metrics_regression(spark, d):
     """R2, RMSE, MAE, cross-sectional R2, rank IC and ICIR of every cell."""
-    p = preds(spark, d)
+    p = materialize(preds(spark, d), "preds")
     out = metrics.regression(p, "pred", "y_raw", CELL)
-    for part in (metrics.cross_sectional_r2(p, "pred", "y_raw", CELL), metrics.rank_ic(p, "pred", "y_raw", CELL), metrics.icir(p, "pred", "y_raw", CELL, ["ticker", "date"])):
+    for part in (metrics.cross_sectional_r2(p, "pred", "y_raw", CELL), metrics.rank_ic(p, "pred", "y_raw", CELL, large=True), metrics.icir(p, "pred", "y_raw", CELL, ["ticker", "date"])):
         out = out.join(part, CELL)
     return rounded(out)
 
 
 def metrics_classification(spark, d):
-    p = preds(spark, d)
+    p = materialize(preds(spark, d), "preds")
     said, true = col("pred") > 0, col("y_raw") > 0
     return rounded(metrics.classification(p, said, true, CELL).join(metrics.roc_auc(p, "pred", true, CELL), CELL).join(metrics.base_rate(p, "y_raw", CELL), CELL))
 
@@ -35,7 +35,7 @@ def economic_metrics(spark, d):
 
 def evaluation_table(spark, d):
     """All metrics of every cell in one row."""
-    return rounded(metrics.evaluate(preds(spark, d).where("horizon = 1"), "pred", "y_demeaned", CELL).select(*CELL, "r2", "xs_r2", "ic", "accuracy", "auc", "win_rate"))
+    return rounded(metrics.evaluate(materialize(preds(spark, d).where("horizon = 1"), "preds"), "pred", "y_demeaned", CELL).select(*CELL, "r2", "xs_r2", "ic", "accuracy", "auc", "win_rate"))
 
 
 def daily_rank_ic(spark, d):
@@ -52,9 +52,9 @@ def nw_tstats(spark, d):
 
 def forecast_tests(spark, d):
     """Clark-West, Diebold-Mariano and McNemar between the naive zero and each feature set."""
-    p = preds(spark, d).withColumn("zero", F.lit(0.0)).withColumn("id", F.concat_ws("|", "ticker", "date"))
-    cw = inference.clark_west(p, "zero", "pred", "y_demeaned", CELL, "id").select(*CELL, "n", col("t").alias("cw_t"), col("p").alias("cw_p"))
-    dm = inference.diebold_mariano(p, "zero", "pred", "y_demeaned", CELL, "id", 3).select(*CELL, col("t").alias("dm_t"), col("p").alias("dm_p"))
+    p = materialize(preds(spark, d).withColumn("zero", F.lit(0.0)).withColumn("name", F.concat("ticker", F.lit("|"))), "preds")
+    cw = inference.clark_west(p, "zero", "pred", "y_demeaned", CELL, ["name", "date"]).select(*CELL, "n", col("t").alias("cw_t"), col("p").alias("cw_p"))
+    dm = inference.diebold_mariano(p, "zero", "pred", "y_demeaned", CELL, ["name", "date"], 3).select(*CELL, col("t").alias("dm_t"), col("p").alias("dm_p"))
     mc = inference.mcnemar(p, (col("pred") > 0) == (col("y_raw") > 0), col("y_raw") > 0, CELL)
     return rounded(cw.join(dm, CELL).join(mc, CELL), 4)
 

@@ -183,6 +183,55 @@ def test_newey_west_uses_all_its_lags(spark):
     assert empty.count() == 0
 
 
+def test_newey_west_in_blocks_equals_one_window(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators import inference
+
+    s = spark.range(900).select((F.col("id") % 2).alias("k"), (F.col("id") % 7 * 10).alias("entity"), F.col("id").alias("date"), F.sin(F.col("id") * 0.05).alias("x"))
+    one = s.withColumn("at", F.col("entity") * 10_000 + F.col("date"))
+    for keys in (["k"], []):
+        for lags in (None, F.lit(25)):
+            plain = {tuple(r[k] for k in keys): r for r in inference.newey_west(one, "x", keys, "at", lags, divisor_n=True).collect()}
+            parts = inference.newey_west(s, "x", keys, ["entity", "date"], lags, divisor_n=True, block=50).collect()
+            assert len(parts) == len(plain)
+            for r in parts:
+                p = plain[tuple(r[k] for k in keys)]
+                assert (r["n"], r["lags"]) == (p["n"], p["lags"]) and abs(r["se"] - p["se"]) < 1e-12 and abs(r["mean"] - p["mean"]) < 1e-12
+
+
+def test_ranks_in_parts_equal_one_window(spark):
+    """Ties, nulls, a value that half the rows have, a group of one row."""
+    from pyspark.sql import functions as F
+
+    from panelforge.functions.windows import average_rank
+    from panelforge.operators import ordering
+
+    x = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 2 == 0, 5.0).otherwise((F.col("id") * 37 % 101).cast("double"))
+    df = spark.range(500).select("id", F.when(F.col("id") == 0, "one").otherwise((F.col("id") % 3).cast("string")).alias("k"), x.alias("x"))
+    for keys in (["k"], []):
+        plain = {r["id"]: r["r"] for r in df.withColumn("c", F.lit(1)).select("id", average_rank("x", *(keys or ["c"])).alias("r")).collect()}
+        assert {r["id"]: r["r"] for r in ordering.ranked(df, {"x": "r"}, keys, 8).collect()} == plain
+    at = {r["id"]: r["i"] for r in ordering.numbered(df, [], ["k", "id"], "i").collect()}
+    assert [at[r["id"]] for r in df.orderBy("k", "id").collect()] == list(range(500))
+
+
+def test_causal_median_equals_every_past_value(spark):
+    """Ties, nulls, and a date without values."""
+    import statistics
+
+    from panelforge.operators import panel
+
+    rows = [(d, None if d == 7 or (d + i) % 13 == 0 else float((d * 31 + i * 17) % 23)) for d in range(20) for i in range(1 + d % 4)]
+    df = spark.createDataFrame(rows, "date int, x double")
+    for bins in (2, 5, 256):
+        got = {r["date"]: r["median"] for r in panel.causal_median(df, "x", bins=bins).collect()}
+        for d in range(20):
+            past = [v for e, v in rows if e < d and v is not None]
+            assert got[d] == (statistics.median(past) if past else None)
+    assert panel.causal_median(df.limit(0), "x").count() == 0
+
+
 def test_parity_meets_every_call_with_every_put(spark):
     from panelforge.operators import chain
 
