@@ -2,7 +2,7 @@
 
 The smile fit is quasi-explicit: for fixed (m, sigma) the model is linear in
 three coefficients, so each point of a small grid needs only grouped sums and a
-3 x 3 solve in columns. Everything is JVM aggregation.
+solve in columns. Everything is JVM aggregation.
 """
 
 from __future__ import annotations
@@ -32,29 +32,30 @@ def smile_points(chain: DataFrame, rate: float = 0.02, least: int = 5) -> DataFr
 
 
 def _solve(p: DataFrame) -> DataFrame:
-    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of its points; all steps run in the points' partitioning by smile."""
+    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of its points; all steps run in the points' partitioning by smile.
+
+    Places at which the three terms are nearly dependent are left out, and
+    errors that agree to 14 digits after the point are ties, which go to the least (m, sigma):
+    otherwise the order in which quotes are summed would decide (a smile with
+    three distinct strikes is met exactly at many places).
+    """
     y = (F.col("k") - F.col("m")) / F.col("sigma")
     p = p.withColumns({"_y": y, "_z": F.sqrt(y * y + 1)})
     cols = {"1": F.lit(1.0), "y": F.col("_y"), "z": F.col("_z"), "w": F.col("w")}
     names = [(a, b) for i, a in enumerate(cols) for b in list(cols)[i:]]
     s = p.groupBy(*SMILE, "m", "sigma").agg(F.count("*").alias("_n"), *[F.sum(F.col("v") * cols[a] * cols[b]).alias(f"s{a}{b}") for a, b in names])
     g = {(a, b): F.col(f"s{a}{b}") for a, b in names} | {(b, a): F.col(f"s{a}{b}") for a, b in names}
-    axes = ("1", "y", "z")
-
-    def det(m: list[list[Column]]) -> Column:
-        (a, b, c), (d, e, f), (h, i, j) = m
-        return a * (e * j - f * i) - b * (d * j - f * h) + c * (d * i - e * h)
-
-    base = [[g[r, c] for c in axes] for r in axes]
-    swap = lambda k: [[g[r, "w"] if i == k else g[r, c] for i, c in enumerate(axes)] for r in axes]
-    d0 = det(base)
-    s = s.withColumn("_d", d0).where(F.abs("_d") > 1e-12).withColumns({"_a": det(swap(0)) / F.col("_d"), "_dd": det(swap(1)) / F.col("_d"), "_c": det(swap(2)) / F.col("_d")})
+    # moments about the means (the weights of a smile sum to 1): far less cancels than in sums about 0
+    c = lambda i, j: g[i, j] - g["1", i] * g["1", j]
+    s = s.withColumns({"_yy": c("y", "y"), "_zz": c("z", "z"), "_yz": c("y", "z"), "_yw": c("y", "w"), "_zw": c("z", "w")})
+    yy, zz, yz, yw, zw = (F.col(f"_{x}") for x in ("yy", "zz", "yz", "yw", "zw"))
+    s = s.withColumn("_d", yy * zz - yz * yz).where(F.abs("_d") > 1e-6).withColumns({"_dd": (yw * zz - zw * yz) / F.col("_d"), "_c": (zw * yy - yw * yz) / F.col("_d")})
     # bounds: level not below 0, slope positive and at most 5, |rho| under 1
     s = s.withColumn("_c", F.least(F.greatest(F.col("_c"), F.lit(1e-6)), 5 * F.col("sigma"))).withColumn("_dd", F.greatest(F.least(F.col("_dd"), 0.999 * F.col("_c")), -0.999 * F.col("_c")))
     s = s.withColumn("_a", F.greatest(g["1", "w"] - F.col("_dd") * g["1", "y"] - F.col("_c") * g["1", "z"], F.lit(0.0)))
     a, d, c = F.col("_a"), F.col("_dd"), F.col("_c")
     sse = g["w", "w"] - 2 * (a * g["1", "w"] + d * g["y", "w"] + c * g["z", "w"]) + a * a + d * d * g["y", "y"] + c * c * g["z", "z"] + 2 * (a * d * g["1", "y"] + a * c * g["1", "z"] + d * c * g["y", "z"])
-    row = F.struct(F.greatest(sse, F.lit(0.0)).alias("sse"), "m", "sigma", a.alias("a"), (c / F.col("sigma")).alias("b"), (d / c).alias("rho"), "_n")
+    row = F.struct(F.round(F.greatest(sse, F.lit(0.0)), 14).alias("sse"), "m", "sigma", a.alias("a"), (c / F.col("sigma")).alias("b"), (d / c).alias("rho"), "_n")
     best = s.groupBy(*SMILE).agg(F.min(row).alias("r"))
     return best.select(*SMILE, "r.a", "r.b", "r.rho", "r.m", "r.sigma", F.sqrt(F.col("r.sse") / F.col("r._n")).alias("rmse"))
 

@@ -227,7 +227,37 @@ def _least_squares(names: list[str]) -> str:
     return ", ".join(ctes_) + f", c AS ({' UNION ALL '.join(parts)})"
 
 
+_SMILE = "ticker, date, dte"
+
+
+def _solved(name: str, source: str) -> str:
+    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of the rows of ``source``, as ``name``."""
+    pairs = [(a, b) for i, a in enumerate("1yzw") for b in "1yzw"[i:]]
+    of = {"1": "1.0E0", "y": "y", "z": "z", "w": "w"}
+    sums = ", ".join(f"SUM(v * {of[a]} * {of[b]}) AS s{a}{b}" for a, b in pairs)
+    return f"""{name}y AS (SELECT *, SQRT(y * y + 1) AS z FROM (SELECT *, (k - m) / sigma AS y FROM {source}) x), {name}s AS (SELECT {_SMILE}, m, sigma, COUNT(*) AS n, {sums} FROM {name}y GROUP BY {_SMILE}, m, sigma),
+{name}m AS (SELECT *, syy - s1y * s1y AS cyy, szz - s1z * s1z AS czz, syz - s1y * s1z AS cyz, syw - s1y * s1w AS cyw, szw - s1z * s1w AS czw FROM {name}s), {name}d AS (SELECT *, cyy * czz - cyz * cyz AS d0, cyw * czz - czw * cyz AS d1, czw * cyy - cyw * cyz AS d2 FROM {name}m),
+{name}c AS (SELECT *, LEAST(GREATEST(d2 / d0, 1E-6), 5 * sigma) AS c FROM {name}d WHERE ABS(d0) > 1E-6), {name}r AS (SELECT *, GREATEST(LEAST(d1 / d0, 0.999E0 * c), -0.999E0 * c) AS d FROM {name}c), {name}a AS (SELECT *, GREATEST(s1w - d * s1y - c * s1z, 0) AS a FROM {name}r),
+{name}e AS (SELECT *, ROUND(GREATEST(sww - 2 * (a * s1w + d * syw + c * szw) + a * a + d * d * syy + c * c * szz + 2 * (a * d * s1y + a * c * s1z + d * c * syz), 0), 14) AS sse FROM {name}a),
+{name} AS (SELECT {_SMILE}, a, c / sigma AS b, d / c AS rho, m, sigma, SQRT(sse / n) AS rmse FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_SMILE} ORDER BY sse, m, sigma) AS rk FROM {name}e) x WHERE rk = 1)"""
+
+
+_SVI = f"""pt AS (SELECT * FROM (SELECT {_SMILE}, LN(strike / (underlying_price * EXP(0.02E0 * (dte / 365.0E0)))) AS k, impl_volatility * impl_volatility * (dte / 365.0E0) AS w, (volume + 1.0E0) / SUM(volume + 1.0E0) OVER s AS v, COUNT(*) OVER s AS quotes FROM contracts WHERE impl_volatility > 0 AND dte > 0 WINDOW s AS (PARTITION BY {_SMILE})) x WHERE quotes >= 5),
+gr AS (SELECT m, sigma FROM (VALUES {', '.join(f'({m}E0, {s}E0)' for m, s in surface.GRID)}) t(m, sigma)), p1 AS (SELECT pt.*, m, sigma FROM pt CROSS JOIN gr), {_solved('co', 'p1')},
+p2 AS (SELECT pt.*, co.m + dm AS m, co.sigma * fs AS sigma FROM pt JOIN co ON pt.ticker = co.ticker AND pt.date = co.date AND pt.dte = co.dte CROSS JOIN (VALUES (-0.05E0), (0.0E0), (0.05E0)) u(dm) CROSS JOIN (VALUES (0.7E0), (1.0E0), (1.4E0)) o(fs)), {_solved('svi', 'p2')},
+hd AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker, date ORDER BY ABS(dte - 30), dte) AS rk FROM svi) x WHERE rk = 1)"""
+_VOL = "SQRT(GREATEST(a + b * (rho * ({k} - m) + SQRT(({k} - m) * ({k} - m) + sigma * sigma)), 1E-8) / tau)"
+
 ORACLES = {
+    "svi_diagnostics": f"""{C}, {_SVI}, j AS (SELECT t.*, rmse, b * (1 + ABS(rho)) AS wing FROM (SELECT DISTINCT {_SMILE} FROM contracts) t LEFT JOIN svi ON t.ticker = svi.ticker AND t.date = svi.date AND t.dte = svi.dte),
+f AS (SELECT COUNT(*) AS smiles, AVG(CASE WHEN rmse IS NULL THEN 0.0 ELSE 1 END) AS fitted, AVG(rmse) AS rmse, QUANTILE_CONT(rmse, 0.5) AS rmse_median, QUANTILE_CONT(rmse, 0.9) AS rmse_p90, AVG(wing) AS wing, QUANTILE_CONT(wing, 0.5) AS wing_median, QUANTILE_CONT(wing, 0.95) AS wing_p95, AVG(CAST(wing > 2 AS INT)) AS wing_over2, AVG(CAST(wing > 4 AS INT)) AS wing_over4 FROM j)
+SELECT smiles, {R('fitted rmse rmse_median rmse_p90 wing wing_median wing_p95 wing_over2 wing_over4')} FROM f""",
+    "svi_fit": f"""{C}, {_SVI}, te AS (SELECT UNNEST([30, 90]) AS tenor), ct AS (SELECT *, dte / 365.0E0 AS tau FROM (SELECT svi.*, tenor, ROW_NUMBER() OVER (PARTITION BY ticker, date, tenor ORDER BY ABS(dte - tenor), dte) AS rk FROM svi CROSS JOIN te WHERE ABS(dte - tenor) <= tenor * 0.5) x WHERE rk = 1), am AS (SELECT *, {_VOL.format(k='0.0E0')} AS atm FROM ct),
+ks AS (SELECT *, {', '.join(f'0.5E0 * atm * atm * tau - ({q}E0) * atm * SQRT(tau) AS k_{n}' for n, q in surface.DELTA_QUANTILES.items() if q)} FROM am),
+vs AS (SELECT ticker, date, tenor, atm AS d50, {', '.join(f"{_VOL.format(k=f'k_{n}')} AS {n}" for n, q in surface.DELTA_QUANTILES.items() if q)} FROM ks),
+gs AS (SELECT ticker, date, MAX(CASE WHEN tenor = 30 THEN d25 - d75 END) AS risk_reversal, MAX(CASE WHEN tenor = 30 THEN (d25 + d75) / 2 - d50 END) AS butterfly, MAX(CASE WHEN tenor = 90 THEN d50 END) - MAX(CASE WHEN tenor = 30 THEN d50 END) AS term_slope, MAX(CASE WHEN tenor = 30 THEN d10 - d90 END) AS wing_spread FROM vs GROUP BY 1, 2),
+f AS (SELECT hd.ticker, hd.date, a AS svi_a, b AS svi_b, rho AS svi_rho, m AS svi_m, sigma AS svi_sigma, rmse AS svi_rmse, risk_reversal, butterfly, term_slope, wing_spread FROM hd LEFT JOIN gs ON hd.ticker = gs.ticker AND hd.date = gs.date)
+SELECT ticker, date, {R('svi_a svi_b svi_rho svi_m svi_sigma svi_rmse risk_reversal butterfly term_slope wing_spread')} FROM f""",
     "ols_coefficients": f"""{P}, p AS (SELECT ticker, date, date_idx, MAX(CASE WHEN feature_set = 'A' THEN pred END) AS a, MAX(CASE WHEN feature_set = 'B' THEN pred END) AS b, MAX(CASE WHEN feature_set = 'C' THEN pred END) AS c, MAX(y_raw) AS y FROM preds WHERE horizon = 1 GROUP BY 1, 2, 3),
 w AS (SELECT MAX(r.t) AS t FROM (SELECT MAX(date_idx) + 1 AS n FROM p) m JOIN range(120, 5000, 13) r(t) ON r.t < n - 13), t AS (SELECT CAST((w.t - 120) / 13 AS INT) AS win, 1.0E0 AS x0, COALESCE(a, 0) AS x1, COALESCE(b, 0) AS x2, COALESCE(c, 0) AS x3, y FROM p JOIN w ON date_idx < w.t - 1),
 {_least_squares(['constant', 'A', 'B', 'C'])}, f AS (SELECT *, beta / se AS t FROM c) SELECT win AS "window", n, feature, {R('beta se t')} FROM f""",

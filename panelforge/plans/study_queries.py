@@ -8,6 +8,7 @@ from panelforge.functions.windows import by, forward_realised_vol, forward_retur
 from panelforge.operators import backtest, chain, inference, metrics, panel, studies, surface, walkforward
 from panelforge.plans.evaluation_queries import _DAILY, _INTERVAL, CUBE, LF, _draws, _ic, _nw
 from panelforge.plans import chain_queries as CQ
+from panelforge.plans.model_queries import _SVI
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources.tables import bars, contracts, ctes, materialize, preds, scan
 
@@ -173,5 +174,7 @@ SELECT feature_set, horizon, regime, value, n, {R('ic')} FROM i""",
     "attribution_bootstrap": f"""{P}, o AS (SELECT *, ABS(pred) AS x FROM preds WHERE horizon = 1), {_draws('b', 'o', 'feature_set', 'x', 'date', 1000)}, i AS (SELECT feature_set, {_INTERVAL} FROM b GROUP BY 1), k AS (SELECT feature_set, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY m DESC, feature_set) AS r FROM b),
 g AS (SELECT feature_set, CAST(FLOOR(QUANTILE_CONT(r, 0.025)) AS INT) AS rank_lo, CAST(FLOOR(QUANTILE_CONT(r, 0.5)) AS INT) AS rank_median, CAST(FLOOR(QUANTILE_CONT(r, 0.975)) AS INT) AS rank_hi FROM k GROUP BY 1),
 f AS (SELECT i.*, rank_lo, rank_median, rank_hi, CAST(RANK() OVER (ORDER BY mean DESC) AS INT) AS rank FROM i JOIN g ON i.feature_set = g.feature_set) SELECT feature_set, rank_lo, rank_median, rank_hi, rank, {R('mean lo hi p')} FROM f""",
+    "smile_changes": f"""{ctes('contracts')}, {_SVI}, f AS (SELECT ticker, date, {', '.join(f'{c} - LAG({c}) OVER (PARTITION BY ticker ORDER BY date) AS d_svi_{c}' for c in ('a', 'b', 'rho', 'm', 'sigma'))} FROM hd)
+SELECT ticker, date, {R('d_svi_a d_svi_b d_svi_rho d_svi_m d_svi_sigma')} FROM f""",
     "top_names": f"""{P}, f AS (SELECT ticker, ROUND(AVG(ABS(pred)), 9) AS attribution, COUNT(*) AS n FROM preds WHERE horizon = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5) SELECT ticker, n, {R('attribution')} FROM f""",
 }

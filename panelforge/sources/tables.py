@@ -35,8 +35,8 @@ FROM (
  SELECT l.ticker, l.date, l.is_call, CAST(l.moneyness AS DOUBLE) AS moneyness, CAST(l.dte AS INT) AS dte,
   CAST(l.moneyness AS DOUBLE) * MAX(prc) AS strike, MAX(prc) AS underlying_price,
   CAST(SUM(volume) AS BIGINT) AS volume, CAST(SUM(oi) AS BIGINT) AS open_interest,
-  0.15 + 2 * CAST(AVG(CAST(l_discount AS DECIMAL(10,4))) AS DOUBLE) + 0.5 * POWER(CAST(l.moneyness AS DOUBLE) - 1, 2) AS impl_volatility,
-  CAST(AVG(CAST(l_tax AS DECIMAL(10,4))) AS DOUBLE) AS spread_pct
+  0.15 + 2 * CAST(SUM(CAST(l_discount AS DECIMAL(10,4))) AS DOUBLE) / COUNT(l_discount) + 0.5 * POWER(CAST(l.moneyness AS DOUBLE) - 1, 2) AS impl_volatility,
+  CAST(SUM(CAST(l_tax AS DECIMAL(10,4))) AS DOUBLE) / COUNT(l_tax) AS spread_pct
  FROM (
   SELECT n_name AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
    CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS is_call,
