@@ -99,3 +99,9 @@ def svi_variance(k: Column, a: Column, b: Column, rho: Column, m: Column, sigma:
 def strike_ratio_of_delta(quantile: float, vol: Column, tau: Column) -> Column:
     """Strike over forward at which a Black-Scholes call has delta N(quantile)."""
     return F.exp(0.5 * vol * vol * tau - F.lit(quantile) * vol * F.sqrt(tau))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Correlation over the rows that have both values; null if either doesn't vary (``corr`` raises there in ANSI mode)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelforge.functions.scalars import chi2_1_tail, normal_cdf, normal_quantile
+from panelforge.functions.scalars import chi2_1_tail, correlation, normal_cdf, normal_quantile
 from panelforge.functions.windows import average_rank
 from panelforge.operators import ordering
 
@@ -18,7 +18,7 @@ def daily_ic(panel: DataFrame, x: str, y: str, keys: list[str], least: int = 5)
     """Rank correlation of x and y within each group of at least ``least`` complete rows."""
     full = panel.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = full.select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
-    out = ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("ic"), F.count("*").alias("n"))
+    out = ranked.groupBy(*keys).agg(correlation("_x", "_y").alias("ic"), F.count("*").alias("n"))
     return out.where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelforge.functions.scalars import correlation
 from panelforge.functions.windows import average_rank, demean
 from panelforge.operators import ordering
 
@@ -37,7 +38,7 @@ def rank_ic(preds: DataFrame, pred: str, y: str, keys: list[str], least: int = 2
         r = ordering.ranked(preds.select(*keys, F.col(pred).alias("_a"), F.col(y).alias("_b")), {"_a": "_p", "_b": "_y"}, keys)
     else:
         r = preds.select(*keys, average_rank(pred, *keys).alias("_p"), average_rank(y, *keys).alias("_y"))
-    return r.groupBy(*keys).agg(F.when(F.count("*") >= least, F.corr("_p", "_y")).alias("ic"))
+    return r.groupBy(*keys).agg(F.when(F.count("*") >= least, correlation("_p", "_y")).alias("ic"))
 
 
 def icir(preds: DataFrame, pred: str, y: str, keys: list[str], order: list[str], chunk: int = 63) -> DataFrame:

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -159,8 +162,9 @@ class EarlyStopped:
     """Boosted trees cut at the round after which the rows of ``is_val`` get no better for ``patience`` rounds.
 
     Spark's own rule ends at the first round that gains less than a share of
-    the error, or of 0.01, which at this rate is the first. The kept rounds are
-    fitted again: with the same seed they are the same trees.
+    the error, or of 0.01, which at this rate is the first. Rounds are fitted
+    in growing numbers until the stop is among them or all are done; the kept
+    ones are then fitted again: with the same seed they are the same trees.
     """
 
     reads_val = True
@@ -171,22 +175,30 @@ class EarlyStopped:
     def __getattr__(self, name):
         return getattr(self.trees, name)
 
-    def rounds(self, errors: list[float]) -> int:
+    def rounds(self, errors: list[float]) -> tuple[int, bool]:
+        """Rounds to keep, and whether the patience ran out among these errors."""
         best = 0
         for i, e in enumerate(errors):
             if e < errors[best]:
                 best = i
             elif i - best >= self.patience:
-                break
-        return best + 1
+                return best + 1, True
+        return best + 1, False
 
     def fit(self, train: DataFrame):
         inside, val = train.where("not is_val").persist(), train.where("is_val").persist()
-        model = self.trees.fit(inside)
-        if val.take(1):
+        most, judged, model = self.trees.getMaxIter(), bool(val.take(1)), None
+        n = min(most, self.patience + 10) if judged else most
+        while model is None:
+            model = self.trees.copy({self.trees.maxIter: n}).fit(inside)
+            if not judged:
+                break
             errors = model.evaluateEachIteration(val, "squared") if isinstance(self.trees, GBTRegressor) else model.evaluateEachIteration(val)
-            if (n := self.rounds(errors)) < len(errors):
-                model = self.trees.copy({self.trees.maxIter: n}).fit(inside)
+            keep, stopped = self.rounds(errors)
+            if not stopped and n < most:
+                n, model = min(most, 4 * n), None
+            elif keep < n:
+                model = self.trees.copy({self.trees.maxIter: keep}).fit(inside)
         inside.unpersist()
         val.unpersist()
         return model
@@ -211,16 +223,17 @@ def model_matrix(panel: DataFrame, features: list[str], y: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="raw").transform(filled).withColumn("y", F.col(y)).withColumn("up", F.when(F.col(y) > 0, 1.0).otherwise(0.0))
 
 
-def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str, model: Callable[[int], object], date_idx: str = "date_idx", val_share: float = 0.2, all_train: bool = False) -> DataFrame:
+def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str, model: Callable[[int], object], date_idx: str = "date_idx", val_share: float = 0.2, all_train: bool = False, parallelism: int = 4) -> DataFrame:
     """Out-of-sample predictions of an estimator fitted in each window.
 
     Features are scaled on the training dates. The last ``val_share`` of the
     training dates are validation rows (none below 20 dates); they are left out
     of the fit unless the estimator reads ``is_val`` or ``all_train`` is set.
+    Each window is a distributed fit; ``parallelism`` of them share the cluster.
     """
     rows = model_matrix(panel, features, y).persist()
-    out = None
-    for w in wins.orderBy("window").collect():  # a few windows, each a distributed fit
+
+    def one(w):
         lo, hi = w["train_lo"], w["train_hi"]
         cut = hi if hi - lo < 20 else lo + int((hi - lo) * (1 - val_share))
         train = rows.where((F.col(date_idx) >= lo) & (F.col(date_idx) < hi))
@@ -231,9 +244,11 @@ def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str,
             train = train.where("not is_val")
         fitted = estimator.fit(train)
         test = scaler.transform(rows.where((F.col(date_idx) >= w["test_lo"]) & (F.col(date_idx) < w["test_hi"])))
-        part = fitted.transform(test).drop("raw", "x", "rawPrediction", "probability").withColumnRenamed("prediction", "pred").withColumn("window", F.lit(w["window"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return fitted.transform(test).drop("raw", "x", "rawPrediction", "probability").withColumnRenamed("prediction", "pred").withColumn("window", F.lit(w["window"]))
+
+    with ThreadPool(parallelism) as pool:  # a few windows: the driver only starts their jobs
+        parts = pool.map(inheritable_thread_target(panel.sparkSession)(one), wins.orderBy("window").collect())
+    return reduce(DataFrame.unionByName, parts)
 
 
 def regression_and_direction(panel: DataFrame, wins: DataFrame, features: list[str], y: str, regression: Callable[[int], object], direction: Callable[[int], object], keys: tuple[str, ...] = ("ticker", "date"), date_idx: str = "date_idx") -> DataFrame:

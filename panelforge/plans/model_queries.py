@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.scalars import correlation
 from panelforge.functions.windows import demean
 from panelforge.operators import inference, panel, surface, walkforward
 from panelforge.plans.evaluation_queries import _ic
@@ -78,7 +79,7 @@ def _features(spark, d):
 
 
 def _score(p):
-    return rounded(p.groupBy("window").agg(F.corr("pred", "target").alias("corr"), F.sqrt(F.avg((col("pred") - col("target")) * (col("pred") - col("target")))).alias("rmse"), F.count("*").alias("n")), 4)
+    return rounded(p.groupBy("window").agg(correlation("pred", "target").alias("corr"), F.sqrt(F.avg((col("pred") - col("target")) * (col("pred") - col("target")))).alias("rmse"), F.count("*").alias("n")), 4)
 
 
 def wf_linear(spark, d):
@@ -90,10 +91,15 @@ def wf_linear(spark, d):
     return _score(ols).withColumn("model", F.lit("ols")).unionByName(_score(net).withColumn("model", F.lit("elastic_net")))
 
 
+#: Boosting rounds of the registered queries; the operators' own default is 500, which takes too long here (README).
+ROUNDS = 60
+
+
 def wf_gbt(spark, d):
+    """Boosted trees over expanding windows, ``ROUNDS`` of them at most."""
     panel = _features(spark, d)
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
-    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted()))
+    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted(ROUNDS)))
 
 
 def wf_direction(spark, d):
@@ -101,7 +107,7 @@ def wf_direction(spark, d):
     panel = _features(spark, d)
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
     out = None
-    for name, make in (("gbt", lambda n: walkforward.boosted_direction()), ("mlp", lambda n: walkforward.neural_direction(n))):
+    for name, make in (("gbt", lambda n: walkforward.boosted_direction(ROUNDS)), ("mlp", lambda n: walkforward.neural_direction(n))):
         p = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", make)
         part = p.groupBy("window").agg(F.avg(F.when(col("pred") == col("up"), 1.0).otherwise(0.0)).alias("hit"), F.count("*").alias("n")).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -115,7 +121,7 @@ def feature_importance(spark, d):
     panel = _features(spark, d).na.fill(0.0)
     rows = walkforward.model_matrix(panel, ["A", "B", "C"], "target").withColumnRenamed("raw", "x")
     model = LinearRegression(featuresCol="x", labelCol="y", regParam=1e-6, solver="normal").fit(rows)
-    score = lambda df: model.transform(walkforward.model_matrix(df, ["A", "B", "C"], "target").withColumnRenamed("raw", "x")).agg(F.corr("prediction", "y"))
+    score = lambda df: model.transform(walkforward.model_matrix(df, ["A", "B", "C"], "target").withColumnRenamed("raw", "x")).agg(correlation("prediction", "y"))
     return rounded(walkforward.permutation_importance(panel, ["A", "B", "C"], score), 4)
 
 
