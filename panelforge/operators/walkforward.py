@@ -175,15 +175,14 @@ class EarlyStopped:
     def __getattr__(self, name):
         return getattr(self.trees, name)
 
-    def rounds(self, errors: list[float]) -> tuple[int, bool]:
-        """Rounds to keep, and whether the patience ran out among these errors."""
+    def rounds(self, errors: list[float]) -> int:
         best = 0
         for i, e in enumerate(errors):
             if e < errors[best]:
                 best = i
             elif i - best >= self.patience:
-                return best + 1, True
-        return best + 1, False
+                break
+        return best + 1
 
     def fit(self, train: DataFrame):
         inside, val = train.where("not is_val").persist(), train.where("is_val").persist()
@@ -194,8 +193,8 @@ class EarlyStopped:
             if not judged:
                 break
             errors = model.evaluateEachIteration(val, "squared") if isinstance(self.trees, GBTRegressor) else model.evaluateEachIteration(val)
-            keep, stopped = self.rounds(errors)
-            if not stopped and n < most:
+            keep = self.rounds(errors)
+            if n - keep < self.patience and n < most:  # no stop among these rounds
                 n, model = min(most, 4 * n), None
             elif keep < n:
                 model = self.trees.copy({self.trees.maxIter: keep}).fit(inside)
@@ -223,7 +222,7 @@ def model_matrix(panel: DataFrame, features: list[str], y: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="raw").transform(filled).withColumn("y", F.col(y)).withColumn("up", F.when(F.col(y) > 0, 1.0).otherwise(0.0))
 
 
-def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str, model: Callable[[int], object], date_idx: str = "date_idx", val_share: float = 0.2, all_train: bool = False, parallelism: int = 4) -> DataFrame:
+def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str, model: Callable[[int], object], date_idx: str = "date_idx", val_share: float = 0.2, all_train: bool = False, parallelism: int = 8) -> DataFrame:
     """Out-of-sample predictions of an estimator fitted in each window.
 
     Features are scaled on the training dates. The last ``val_share`` of the

@@ -91,15 +91,11 @@ def wf_linear(spark, d):
     return _score(ols).withColumn("model", F.lit("ols")).unionByName(_score(net).withColumn("model", F.lit("elastic_net")))
 
 
-#: Boosting rounds of the registered queries; the operators' own default is 500, which takes too long here (README).
-ROUNDS = 60
-
-
 def wf_gbt(spark, d):
-    """Boosted trees over expanding windows, ``ROUNDS`` of them at most."""
+    """Boosted trees over expanding windows."""
     panel = _features(spark, d)
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
-    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted(ROUNDS)))
+    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted()))
 
 
 def wf_direction(spark, d):
@@ -107,7 +103,7 @@ def wf_direction(spark, d):
     panel = _features(spark, d)
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
     out = None
-    for name, make in (("gbt", lambda n: walkforward.boosted_direction(ROUNDS)), ("mlp", lambda n: walkforward.neural_direction(n))):
+    for name, make in (("gbt", lambda n: walkforward.boosted_direction()), ("mlp", lambda n: walkforward.neural_direction(n))):
         p = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", make)
         part = p.groupBy("window").agg(F.avg(F.when(col("pred") == col("up"), 1.0).otherwise(0.0)).alias("hit"), F.count("*").alias("n")).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)

@@ -290,3 +290,12 @@ def test_regression_and_direction_in_the_same_windows(spark):
     assert len(out) == 8 * 10 and {r["window"] for r in out} == {0}
     assert all(abs(r["pred"] - r["y"]) < 1e-6 for r in out)
     assert sum((r["direction"] == 1.0) == (r["y"] > 0) for r in out) >= 78
+
+
+def test_correlation_without_variation_is_null(spark):
+    from panelforge.functions.scalars import correlation
+
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 2.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", None, 9.0), ("b", 9.0, None), ("c", None, 1.0)]
+    data = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r["c"] for r in data.groupBy("k").agg(correlation("x", "y").alias("c")).collect()}
+    assert got["a"] is None and got["c"] is None and abs(got["b"] - 1) < 1e-12
