@@ -73,4 +73,19 @@ def _op6() -> str:
     return f"{head}, {scores}\nSELECT d.doc_id{tail} LEFT JOIN sc ON d.doc_id = sc.doc_id".replace("AS spans FROM d LEFT", "AS spans, COALESCE(scores, '') AS scores FROM d LEFT")
 
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op6_personal_data": _op6()}
+OP13 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, MAX(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, MAX(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+ 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(t.doc_id > MIN(t.doc_id) OVER (PARTITION BY text), FALSE) AS e
+ FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order FROM f f1 JOIN f f2 ON f2.f <> f1.f JOIN f f3 ON f3.f NOT IN (f1.f, f2.f) JOIN f f4 ON f4.f NOT IN (f1.f, f2.f, f3.f) JOIN f f5 ON f5.f NOT IN (f1.f, f2.f, f3.f, f4.f)),
+s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS f, filter_order[1:i - 1] AS done FROM o CROSS JOIN (SELECT unnest(range(1, 6)) AS i) x),
+r AS (SELECT part, filter_order, step, f, SUM(CASE WHEN translate(fails, done || f, '') = fails THEN n ELSE 0 END) AS kept,
+ SUM(CASE WHEN contains(fails, f) AND translate(fails, done, '') = fails THEN n ELSE 0 END) AS removed, SUM(CASE WHEN contains(fails, f) AND translate(fails, done, '') <> fails THEN n ELSE 0 END) AS redundant, SUM(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+ SUM(CASE WHEN contains(fails, f) AND translate(fails, done, '') = fails THEN good ELSE 0 END) AS good_lost, SUM(CASE WHEN contains(fails, f) AND translate(fails, done, '') = fails THEN toxic ELSE 0 END) AS toxic_lost FROM c CROSS JOIN s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(SUM(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op13_filter_audit": OP13, "op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op6_personal_data": _op6()}

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from panelforge.llm.decontamination import op7_decontamination
+from panelforge.llm.filter_audit import op13_filter_audit
 from panelforge.llm.language_id import op10_language_id
 from panelforge.llm.mixing import op9_mixing
 from panelforge.llm.ngram_join import op1_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
         op8_quality_rules,
         op9_mixing,
         op10_language_id,
+        op13_filter_audit,
     )
 } | {"pipeline": corpus_pipeline.run}
 
