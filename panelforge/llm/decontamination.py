@@ -10,15 +10,16 @@ DataFrame functions only.
 
 Windows: a window of similarity 0.8 holds 80 % of the item's shingles, so at
 least one of any k - ceil(0.8 k) + 1 of them (the probes, here those that the
-fewest items have). Every window over a probe's occurrence is laid, in whatever
-order its words stand, once: from the first probe it holds. Windows in which
-too few positions hold a shingle of the item can't be similar and end there.
+fewest items have). Around the probes of an item in a text the item's shingles
+are marked once, in whatever order they stand, and running counts of the marks
+say which windows hold enough of them: work is linear in texts and items.
 
 Scale: documents stay where they are until a probe hits. The probes and items
 grow with the benchmark alone; they are broadcast only up to ``BROADCAST``
-probes. Beyond that Spark joins (text, place, shingle) rows by shuffle, which it
-can split where a shingle is hot, and fetches the texts of hits by a second
-join. What moves after that is one row of item length a window.
+shingles. Beyond that Spark joins (text, place, shingle) rows by shuffle, which it
+can split where a shingle is hot. Texts with a probe are found again by a hash of
+their row; what moves is the stretch around the probes, and one row of item
+length a window.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.llm.common import materialize, read
 
@@ -102,44 +103,71 @@ def probed(items: DataFrame) -> DataFrame:
     return texts.join(ranked.select("item", F.array_distinct(probes).alias("probes")), "item")
 
 
-def _let(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), f), 0)
+def row_key() -> Column:
+    """Hash of a row's id and text; rows equal in both are one."""
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
-def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, width, start, window)``: the item-sized windows that may be similar to an item."""
-    texts = probed(items).persist()
+def _regions(docs: DataFrame, texts: DataFrame, few: bool) -> DataFrame:
+    """``(doc_id, row, item, n_words, width, k, size, lo, around)``: the stretch of a text in which an item's windows lie.
+
+    It reaches from one item before the first probe of the item in the text to
+    one after the last; ``lo`` is its place, ``size`` the shingles of the text.
+    """
     probes = texts.select("item", "n_words", "width", F.size("hashes").alias("k"), F.explode("probes").alias("probe"))
-    few = probes.count() <= BROADCAST
-    near = F.broadcast if few else (lambda df: df)
-    widths = [r[0] for r in texts.select("width").distinct().collect()]  # at most WIDTH values
-    words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
+    words = docs.select("doc_id", row_key(), word_hashes(F.col("text")).alias("words"))
     found = []
-    for width in widths:
+    for (width,) in texts.select("width").distinct().collect():  # at most WIDTH values
+        mine = probes.where(F.col("width") == width)
         # outer: otherwise Spark infers a filter on the array's size, which computes the array again for each element
-        mine, g = probes.where(F.col("width") == width), shingles("words", width).alias("g")
-        if few:
-            hits = words.select("doc_id", g).select("doc_id", "g", F.posexplode_outer("g").alias("pos", "probe")).join(F.broadcast(mine), "probe")
-        else:  # a narrow row a word crosses the shuffle, and each text once
-            rows = words.select("doc_id", F.xxhash64("doc_id", "words").alias("row"), g)
-            at = rows.select("row", F.posexplode_outer("g").alias("pos", "probe")).where("probe is not null").join(mine, "probe").distinct()
-            hits = rows.join(at, "row")
-        lo = F.greatest(F.lit(0), F.col("pos") - F.col("k") + 1)
-        around = F.slice("g", lo + 1, F.col("pos") - lo + F.col("k"))
-        hits = hits.select("doc_id", "item", "n_words", "width", "k", "pos", lo.alias("lo"), F.least("k", F.size("g")).alias("m"), F.least(F.col("pos"), F.greatest(F.size("g") - F.col("k"), F.lit(0))).alias("last"), around.alias("around"))
-        hits = hits.join(near(texts.where(F.col("width") == width).select("item", "hashes", "probes")), "item")
-        # windows that start before an earlier probe are laid from that one
-        earlier = F.transform(F.slice("around", F.lit(1), F.col("pos") - F.col("lo")), lambda x, i: F.when(F.array_contains("probes", x), i + 1).otherwise(0))
-        hits = hits.withColumn("first", F.col("lo") + F.coalesce(F.array_max(earlier), F.lit(0))).where("first <= last")
-        held = lambda inside, start: F.size(F.filter(F.slice(inside, start - F.col("lo") + 1, F.col("k")), lambda x: x))
-        enough = lambda inside: F.filter(F.sequence("first", "last"), lambda start: (100 + PERCENT) * held(inside, start) >= PERCENT * (F.col("m") + F.col("k")))
-        starts = _let(F.transform("around", lambda x: F.array_contains("hashes", x)), enough)
-        laid = hits.select("doc_id", "n_words", "width", "k", "lo", "around", F.explode(starts).alias("start"))
-        found.append(laid.select("doc_id", "n_words", "width", "start", F.slice("around", F.col("start") - F.col("lo") + 1, F.col("k")).alias("window")))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_words int, width int, start int, window array<bigint>")
-    return reduce(DataFrame.unionAll, found).distinct()
+        at = words.select("row", F.posexplode_outer(shingles("words", width)).alias("pos", "probe"))
+        # without the broadcast a narrow row a word crosses the shuffle
+        hits = at.join(F.broadcast(mine), "probe") if few else at.where("probe is not null").join(mine, "probe")
+        pairs = materialize(hits.groupBy("row", "item", "n_words", "width", "k").agg(F.min("pos").alias("first"), F.max("pos").alias("last")), "benchmark-pairs")
+        near = F.broadcast if pairs.count() <= BROADCAST else (lambda df: df)
+        lo = F.greatest(F.lit(0), F.col("first") - F.col("k") + 1)
+        here = words.select("doc_id", "row", shingles("words", width).alias("g")).join(near(pairs), "row")
+        found.append(here.select("doc_id", "row", "item", "n_words", "width", "k", F.size("g").alias("size"), lo.alias("lo"), F.slice("g", lo + 1, F.col("last") - lo + F.col("k")).alias("around")).distinct())
+    return reduce(DataFrame.unionAll, found) if found else None
+
+
+def _starts(regions: DataFrame, shingles_of: DataFrame) -> DataFrame:
+    """``(row, item, start)``: where windows are laid, by running counts of the item's shingles in a text.
+
+    A window that starts between two of them holds no more than the one that
+    starts at the next, so windows start at them, or at the text's last window.
+    One is laid if it holds enough for the similarity. Where no shingle comes
+    twice within a window's length, the number held is the overlap itself, and
+    only windows that hold the most are laid.
+    """
+    each = regions.select("row", "item", "k", "size", "lo", F.posexplode("around").alias("at", "shingle"))
+    marks = each.join(shingles_of, ["item", "shingle"]).withColumn("pos", F.col("lo") + F.col("at"))
+    pair = Window.partitionBy("row", "item")
+    marks = marks.withColumn("before", F.row_number().over(pair.orderBy("pos")) - 1)
+    marks = marks.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("row", "item", "shingle").orderBy("pos")))
+    marks = marks.withColumn("apart", F.coalesce(F.min("gap").over(pair) >= F.col("k"), F.lit(True)))
+    start = F.least(F.col("pos"), F.greatest(F.col("size") - F.col("k"), F.lit(0)))
+    # each mark as itself, and as a question for the marks before its window's end
+    both = marks.select("row", "item", "k", "size", "apart", "before", start.alias("start"), F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("mark")), F.struct((start + F.col("k")).alias("at"), F.lit(0).alias("mark")))).alias("p"))
+    until = F.sum("p.mark").over(pair.orderBy("p.at", "p.mark").rowsBetween(Window.unboundedPreceding, 0))
+    asked = both.withColumn("held", until - F.col("before")).where("p.mark = 0")
+    enough = asked.where((100 + PERCENT) * F.col("held") >= PERCENT * (F.least("k", "size") + F.col("k")))
+    return enough.withColumn("most", F.max("held").over(pair)).where("held = most or not apart").select("row", "item", "start").distinct()
+
+
+def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id, n_words, width, start, window)``: the item-sized windows that may be similar to an item."""
+    texts = materialize(probed(items), "benchmark-probes")
+    shingles_of = texts.select("item", F.explode("hashes").alias("shingle")).distinct()
+    few = shingles_of.count() <= BROADCAST
+    regions = _regions(docs, texts, few)
+    if regions is None:
+        none = docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(0).alias("width"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("window"))
+        return none.where("false")
+    regions = materialize(regions, "benchmark-regions")
+    starts = _starts(regions, F.broadcast(shingles_of) if few else shingles_of)
+    laid = regions.join(starts, ["row", "item"])
+    return laid.select("doc_id", "n_words", "width", "start", F.slice("around", F.col("start") - F.col("lo") + 1, F.col("k")).alias("window")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -147,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts and items match nothing. Rows that repeat a
     ``doc_id`` are taken together; other columns are ignored. Of equal
-    similarities the first window counts.
+    similarities the first window counts that starts with a shingle of the item.
     """
     items = materialize(items_of(benchmark), "benchmark-items")
     masks = [F.array(*[F.lit(m).cast("long") for m in variants(bits)]) for _, bits in cuts()]
@@ -168,8 +196,16 @@ def _flip(of: Column):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, without a leaked item; rows whose ``doc_id`` is null can't be named and stay."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs``, all columns, without a leaked item.
+
+    A row is known by its ``doc_id``, null included, and its text: another text
+    under the id of a leaked row is judged for itself.
+    """
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text")
+    leaked = materialize(matches(named, benchmark).select(F.col("doc_id.doc_id").alias("_leaked_id"), F.col("doc_id.text_key").alias("_leaked_text")).distinct(), "benchmark-leaked")
+    rows = docs.withColumn("_own_text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_leaked_id")) & (F.col("_own_text") == F.col("_leaked_text"))
+    return rows.join(leaked, same, "left_anti").select(docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
