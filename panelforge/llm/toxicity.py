@@ -4,8 +4,8 @@ Features are hashed word n-grams and skip-grams, present or absent. FTRL gives
 each coordinate its own rate and an L1 threshold, so only features that keep
 pulling in one direction get a weight: the model is a short list of (index,
 weight) pairs that goes to every task. FTRL is sequential; it runs in one task
-over a sample of at most ``SAMPLE`` labelled texts, a bound that does not grow
-with the input. Scoring is one narrow scan of whole texts.
+over a sample of at most ``SAMPLE`` labelled texts of ``SAMPLE_BYTES`` in all, a
+bound that does not grow with the input. Scoring is one narrow scan of whole texts.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.llm.common import mix64, read
 
-#: Labelled texts to learn from, size of the hashed space, passes, FTRL's rates and penalties.
+#: Labelled texts to learn from and their bytes in all, size of the hashed space, passes, FTRL's rates and penalties.
 SAMPLE = 12_000
+SAMPLE_BYTES = 256 << 20
 DIMENSIONS = 1 << 20
 PASSES = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
@@ -72,7 +73,8 @@ def learn(labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
 
     Null labels and ids are left out; a document labelled twice counts as toxic
     if one label says so. Of N labelled documents, those in the lowest
-    ``sample`` / N of the hash range are used, in hash order.
+    ``sample`` / N of the hash range are used, in hash order, as far as their
+    whole texts fit in ``SAMPLE_BYTES``: a text that doesn't is left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     total = max(1, known.count())
@@ -80,6 +82,12 @@ def learn(labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
     chosen = known.withColumn("order", order).where(F.col("order") < math.ceil(1_000_000_000 * min(1.0, sample / total)))
     # at most about `sample` rows of two numbers: a proven bound for the broadcast
     rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("order", "text", "label")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    if (rows.agg(F.sum(size)).first()[0] or 0) > SAMPLE_BYTES:
+        # two numbers a row of the sample, in one task; a text of more than a 64th of the bytes is never in
+        sizes = rows.select("order", F.xxhash64("text").alias("of"), size.alias("size")).where(F.col("size") <= SAMPLE_BYTES // 64)
+        fits = sizes.withColumn("until", F.sum("size").over(Window.orderBy("order", "of").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("until") <= SAMPLE_BYTES)
+        rows = rows.join(F.broadcast(fits.select("order", "of").distinct()), (rows["order"] == fits["order"]) & (F.xxhash64(rows["text"]) == fits["of"])).select(rows["order"], "text", "label")
     found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit, "at long, w double").collect()
     found = sorted(found, key=lambda r: r["at"])  # here: sorting in Spark would fit twice, once to sample the range
     return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found], float)
