@@ -14,6 +14,8 @@ Scale: the schedule needs only the sources' row counts. It has at most about
 made by one task in time linear in slots. Rows are numbered within (source,
 hash bucket) and offset by the counts of the buckets before, so a source with a
 third of all rows spreads over all buckets and no task numbers a whole source.
+A row that is repeated beyond its share of ``REPEATED`` can't be spread so: its
+copies are made from one of them, each with a number of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ BLOCK = 64
 SLOTS = 1 << 18
 BUCKET = 500
 BUCKETS = 100_000
+#: Rows that repeat more often than rows / REPEATED: at most so many, a proven bound. Copies made from one in a task.
+REPEATED = 10_000
+COPIES = 20_000
 BROADCAST = 2 * SLOTS
 SCHEDULE = "_mix_source string, mix_block long, mix_slot long, _mix_start long"
 
@@ -118,7 +123,8 @@ def source_key(column: Column) -> Column:
 
 def _hashed(docs: DataFrame) -> Column:
     """Hash of a whole row: rows that are equal in it are interchangeable."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()], F.lit(9))
+    as_json = lambda c: F.to_json(F.struct(c))  # noqa: E731  a map has no hash
+    return F.xxhash64(*[as_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema], F.lit(9))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
@@ -141,18 +147,42 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     keyed = keyed.withColumn("_mix_bucket", F.pmod(F.xxhash64("_mix_hash"), F.lit(buckets)).cast("int"))
     goal = None if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
     plan = materialize(per_source.coalesce(1).mapInArrow(_scheduled(block, goal, power), SCHEDULE), "mix-schedule")
+    often = materialize(keyed.groupBy("_mix_source", "_mix_hash").agg(F.count("*").alias("_mix_rows")).where(F.col("_mix_rows") > max(BUCKET, total / REPEATED)), "mix-repeated")
+    some = not often.isEmpty()
+    if some:
+        copies = keyed.join(F.broadcast(often), ["_mix_source", "_mix_hash"])
+        keyed = keyed.join(F.broadcast(often.select("_mix_source", "_mix_hash")), ["_mix_source", "_mix_hash"], "left_anti")
     # rows of a source before each of its buckets
     counts = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.count("*").alias("_mix_rows"))
     before = counts.withColumn("_mix_before", F.sum("_mix_rows").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket")) - F.col("_mix_rows")).drop("_mix_rows")
     at = F.row_number().over(Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash")) - 1
     # the counts grow with the rows, so they are never broadcast; the rows are dealt by the join's key already
     ranked = keyed.withColumn("_mix_at", at).join(before.hint("merge"), ["_mix_source", "_mix_bucket"]).withColumn("_mix_rank", F.col("_mix_at") + F.col("_mix_before"))
+    if some:
+        ranked = ranked.select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_source", "_mix_rank").unionByName(_copies(copies, counts, docs.columns))
     # at most about SLOTS slots and one for each source: a checked size
     near = F.broadcast if sources + SLOTS <= BROADCAST else (lambda df: df)
     out = ranked.withColumn("mix_block", F.floor(F.col("_mix_rank") / block)).join(near(plan), ["_mix_source", "mix_block"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", (F.col("_mix_start") + F.col("_mix_rank") % block).alias("mix_position"))
 
 
+def _copies(copies: DataFrame, counts: DataFrame, columns: list[str]) -> DataFrame:
+    """All copies of the often repeated rows with their ``_mix_rank``, after the source's other rows.
+
+    One of each is kept before the shuffle, and makes its copies in several tasks.
+    """
+    one = copies.groupBy("_mix_source", "_mix_hash", "_mix_rows").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_mix_row"))
+    others = counts.groupBy("_mix_source").agg(F.sum("_mix_rows").alias("_mix_others"))
+    earlier = F.sum("_mix_rows").over(Window.partitionBy("_mix_source").orderBy("_mix_hash")) - F.col("_mix_rows")
+    first = one.withColumn("_mix_earlier", earlier).join(others, "_mix_source", "left")
+    first = first.withColumn("_mix_before", F.coalesce("_mix_others", F.lit(0)) + F.col("_mix_earlier"))
+    step = first.withColumn("_mix_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_mix_rows") - 1) / COPIES))))
+    dealt = step.repartition("_mix_hash", "_mix_part")
+    last = F.least((F.col("_mix_part") + 1) * COPIES, F.col("_mix_rows")) - 1
+    each = dealt.withColumn("_mix_i", F.explode(F.sequence(F.col("_mix_part") * COPIES, last)))
+    return each.select("_mix_row.*", "_mix_source", (F.col("_mix_before") + F.col("_mix_i")).alias("_mix_rank"))
+
+
 def in_order(mixed: DataFrame, rows_per_part: int = 25_000, total: int | None = None) -> DataFrame:
     """Rows in mixed order: each partition is a stretch of the mix, sorted. ``total`` is the number of rows, counted where not given."""
     parts = max(1, math.ceil((mixed.count() if total is None else total) / rows_per_part))
