@@ -13,6 +13,7 @@ no shuffle, memory bounded by the word cache.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelforge.llm.common import mix64, read
 
-#: Vocabulary file, labelled documents to learn from, EM rounds, languages at most, words kept in a task's cache.
+#: Vocabulary file, labelled documents to learn from in all and of a language at least, EM rounds, languages in a table at a time, words kept in a task's cache.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 4_000
+LEAST = 4
 ROUNDS = 2
 LANGUAGES = 200
 CACHE = 200_000
@@ -76,6 +78,12 @@ class Unigrams:
         self.bits[(mix64(self.keys) >> np.uint64(44)).astype(np.int64)] = True
         self.table = np.vstack([table, np.full((1, self.width), UNSEEN)])  # the last row: an unknown character
 
+    def holding(self, table: np.ndarray) -> Unigrams:
+        """The same pieces with another table."""
+        out = copy.copy(self)
+        out.width, out.table = table.shape[1], np.vstack([table, np.full((1, table.shape[1]), UNSEEN)])
+        return out
+
     def _hash(self, piece: str) -> int:
         out = 0
         for c in piece:
@@ -164,15 +172,42 @@ class Unigrams:
         return out[:-1]
 
 
-def _count(model: Unigrams, langs: list[str]):
+class Languages:
+    """Piece probabilities of any number of languages: a common part and what each language's sample adds.
+
+    What is added is bounded by the sample, whatever the number of languages;
+    full tables are made for ``LANGUAGES`` of them at a time.
+    """
+
+    def __init__(self, pieces: Unigrams, size: int, common: np.ndarray, of: np.ndarray, piece: np.ndarray, p: np.ndarray):
+        order = np.argsort(of, kind="stable")
+        self.pieces, self.size, self.common, self.of, self.piece, self.p = pieces, size, common, of[order], piece[order], p[order]
+        self.whole = self._block(0) if size <= LANGUAGES else None
+
+    def _block(self, lo: int) -> Unigrams:
+        width = min(LANGUAGES, self.size - lo)
+        table = np.repeat(self.common[:, None], width, 1)
+        a, b = np.searchsorted(self.of, [lo, lo + width])
+        table[self.piece[a:b], self.of[a:b] - lo] += self.p[a:b]
+        return self.pieces.holding(table)
+
+    def blocks(self) -> Iterator[tuple[int, Unigrams]]:
+        """(first language, their unigrams), a block at a time."""
+        for lo in range(0, self.size, LANGUAGES):
+            yield lo, self.whole or self._block(lo)
+
+
+def _count(model: Languages, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {lang: k for k, lang in enumerate(langs)}
         for batch in batches:
-            of, words, n = np.array(batch.column("lang").to_pylist(), object), batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for k, lang in enumerate(langs):
-                mine = np.flatnonzero(of == lang)
-                sums = model.expected([words[i] for i in mine], n[mine], k)
-                used = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int64)), pa.array(sums[used])], ["lang", "piece", "n"])
+            of, words, n = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64), batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            for lo, unigrams in model.blocks():
+                for k in np.unique(of[(of >= lo) & (of < lo + unigrams.width)]):
+                    mine = np.flatnonzero(of == k)
+                    sums = unigrams.expected([words[i] for i in mine], n[mine], k - lo)
+                    used = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used.astype(np.int64)), pa.array(sums[used])], ["lang", "piece", "n"])
 
     return run
 
@@ -186,31 +221,33 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(map(float, found.values())), pa.float64())], ["lang", "word", "n"])
 
 
-def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> tuple[list[str], Unigrams]:
+def learn(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> tuple[list[str], Languages]:
     """Languages in order and their unigrams, from ``labelled(doc_id, text, lang)``.
 
     Rows with a null text or language are left out. Each of L languages is
-    learned from ``sample`` / L of its rows, those lowest in the range of a
-    hash, so a rare one is learned on large tables as well; a language of fewer
-    rows from all of them. Equal rows are used or left out together.
+    learned from ``sample`` / L of its rows, ``LEAST`` where that is less, those
+    lowest in the range of a hash, so a rare one is learned on large tables as
+    well; a language of fewer rows from all of them. Equal rows are used or
+    left out together.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if len(of) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = sorted(of)
-    share = F.create_map(*[F.lit(x) for lang, n in of.items() for x in (lang, math.ceil(1_000_000 * min(1.0, sample / len(of) / n)))]) if of else F.create_map()
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]) if of else rows.limit(0)
+    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    langs, most = sorted(of), 1_000_000_000_000
+    each = max(LEAST, sample / max(1, len(of)))
+    shares = rows.sparkSession.createDataFrame([(lang, math.ceil(most * min(1.0, each / of[lang]))) for lang in langs], "lang string, share long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(most)) < F.col("share"))
     words = chosen.select("lang", "text").mapInArrow(_words, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     vocabulary = pieces(path)
-    model = Unigrams(vocabulary, np.full((len(vocabulary), len(langs)), 1 / len(vocabulary)))
+    size, none = len(vocabulary), np.empty(0, np.int64)
+    index = Unigrams(vocabulary, np.empty((size, 0)))
+    model = Languages(index, len(langs), np.full(size, 1 / size), none, none, np.empty(0))
     for _ in range(ROUNDS if langs else 0):
-        found = words.mapInArrow(_count(model, langs), "lang string, piece long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros((len(vocabulary), len(langs)))
-        for r in found:
-            counts[r["piece"], langs.index(r["lang"])] = r["n"]
-        pooled = (counts.sum(1, keepdims=True) + 0.5 / len(vocabulary)) / (counts.sum() + 0.5)
-        model = Unigrams(vocabulary, (1 - POOLED) * counts / np.maximum(1.0, counts.sum(0)) + POOLED * pooled)
+        # at most a number for each language and piece of the sample
+        found = words.mapInArrow(_count(model, langs), "lang long, piece long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).orderBy("lang", "piece").collect()
+        lang, piece, n = (np.array([r[c] for r in found], kind) for c, kind in (("lang", np.int64), ("piece", np.int64), ("n", float)))
+        totals = np.maximum(1.0, np.bincount(lang, n, len(langs)))
+        pooled = (np.bincount(piece, n, size) + 0.5 / size) / (n.sum() + 0.5)
+        model = Languages(index, len(langs), POOLED * pooled, lang, piece, (1 - POOLED) * n / totals[lang])
     words.unpersist()
     return langs, model
 
@@ -220,40 +257,55 @@ def words_of(text: str | None) -> list[str] | None:
     return text.lower().split() if text and any(map(str.isalpha, text)) else None
 
 
-def _said(langs: list[str], model: Unigrams):
-    """For each batch in turn its predictions and scores; known words are kept from batch to batch."""
+class _Known:
+    """Log probabilities of words in one block of languages; those of known words are kept."""
+
+    def __init__(self, model: Unigrams):
+        self.model, self.at, self.matrix = model, {}, np.empty((4096, model.width))
+
+    def rows(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+        if len(self.at) > CACHE:
+            self.at = {}
+        fresh = [w for w in words if w not in self.at]
+        if fresh:
+            have = len(self.at)
+            if have + len(fresh) > len(self.matrix):  # twice the room each time
+                room = np.empty((2 * (have + len(fresh)), self.model.width))
+                room[:have] = self.matrix[:have]
+                self.matrix = room
+            self.matrix[have : have + len(fresh)] = self.model.log_probability(fresh)
+            self.at.update(zip(fresh, range(have, have + len(fresh)), strict=True))
+        return self.at, self.matrix
+
+
+def _said(langs: list[str], model: Languages):
+    """For each batch in turn its predictions and scores; where one block holds all languages, known words are kept from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
-        at: dict[str, int] = {}  # word to row of the matrix
-        matrix = np.empty((0, len(langs)))
+        kept = _Known(model.whole) if langs and model.whole else None
         for batch in batches:
             preds, scores = [], []
             for lo in range(0, batch.num_rows, 512):
-                texts = batch.column("text").slice(lo, 512).to_pylist()
-                parts = [words_of(t) if langs else None for t in texts]
-                if len(at) > CACHE:
-                    at, matrix = {}, np.empty((0, len(langs)))
-                fresh = list({w for words in parts if words for w in words if w not in at})
-                if fresh:
-                    at.update(zip(fresh, range(len(at), len(at) + len(fresh)), strict=True))
-                    matrix = np.concatenate([matrix, model.log_probability(fresh)])
-                for words in parts:
-                    if words is None:
-                        preds.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    total = matrix[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(0)
-                    share = np.exp(total - total.max())
-                    share /= share.sum()
-                    best = int(share.argmax())
-                    preds.append(langs[best])
-                    scores.append(float(share[best]))
+                parts = [words_of(t) if langs else None for t in batch.column("text").slice(lo, 512).to_pylist()]
+                words = {w for some in parts if some for w in some}
+                best, top, total = np.zeros(len(parts), np.int64), np.full(len(parts), -np.inf), np.full(len(parts), -np.inf)
+                for first, unigrams in model.blocks() if words else ():
+                    at, matrix = (kept or _Known(unigrams)).rows(words)
+                    for i, some in enumerate(parts):
+                        if some is not None:
+                            x = matrix[np.fromiter(map(at.__getitem__, some), np.int64, len(some))].sum(0)
+                            k = int(x.argmax())
+                            total[i] = np.logaddexp(total[i], x[k] + np.log(np.exp(x - x[k]).sum()))
+                            if x[k] > top[i]:
+                                best[i], top[i] = first + k, x[k]
+                preds += [UNDETERMINED if some is None else langs[k] for some, k in zip(parts, best, strict=True)]
+                scores += [0.0 if some is None else min(1.0, float(np.exp(t - s))) for some, t, s in zip(parts, top, total, strict=True)]
             yield batch, preds, scores
 
     return run
 
 
-def _predict(langs: list[str], model: Unigrams):
+def _predict(langs: list[str], model: Languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, preds, scores in _said(langs, model)(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -261,7 +313,7 @@ def _predict(langs: list[str], model: Unigrams):
     return run
 
 
-def predict(docs: DataFrame, langs: list[str], model: Unigrams) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], model: Languages) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for every row, from its whole text.
 
     ``lang_pred`` is ``und`` with score 0 for texts that are null, empty or
@@ -271,7 +323,7 @@ def predict(docs: DataFrame, langs: list[str], model: Unigrams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(langs, model), "doc_id long, lang_pred string, score double")
 
 
-def _judge(langs: list[str], model: Unigrams, least: float):
+def _judge(langs: list[str], model: Languages, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, preds, scores in _said(langs, model)(batches):
             yield batch.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
@@ -279,7 +331,7 @@ def _judge(langs: list[str], model: Unigrams, least: float):
     return run
 
 
-def keep_identified(docs: DataFrame, langs: list[str], model: Unigrams, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, langs: list[str], model: Languages, least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, whose language is found with at least this score."""
     if not langs:  # nothing to judge by
         return docs
