@@ -25,8 +25,11 @@ its holders into one bucket entry and one tile. Such shingles are found on a
 part of every batch, in a list of at most ``HEAVY`` entries; they count as
 shared and come last in the order, without being dealt. Which shingles are on
 the list changes the cost, never the result. Tiles of more than ``TILE``
-members, or of long texts, are split into pairs of blocks, so no task holds a
-whole hot group. Buckets reach Python as a sorted stream (Spark's sort spills)
+members, or of long texts, are cut into blocks, so no task holds a whole hot
+group. Each block is first linked within itself and to ``LEADERS`` members of
+its tile; only members that are then outside the tile's largest class meet all
+blocks. A group of near copies is one class by then, so its work grows with its
+size, not with the square. Buckets reach Python as a sorted stream (Spark's sort spills)
 and one bucket of about ``BUCKET_SHINGLES`` is held at a time.
 """
 
@@ -44,11 +47,12 @@ from panelforge.llm.common import connected_components, materialize, mix64, read
 
 PERCENT = 80
 WIDTH = 5
-#: Shingles for each bucket and in a map task at a time, members and shingles of a tile's block, entries of the heavy list, bits of a bitmap.
+#: Shingles for each bucket and in a map task at a time, members and shingles of a tile's block, leaders of a large tile, entries of the heavy list, bits of a bitmap.
 BUCKET_SHINGLES = 1_600_000
 FLUSH = 600_000
 TILE = 2_048
 TILE_SHINGLES = 1_000_000
+LEADERS = 16
 HEAVY = 20_000
 BITS = 1_024
 LOW48 = np.uint64((1 << 48) - 1)
@@ -300,7 +304,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maps = np.frombuffer(b"".join(m["bitmap"] for m in members), "<u8").reshape(len(members), BITS // 64)
             tokens = [m["tokens"] for m in members]
             shared = np.array([len(t) // 6 for t in tokens], np.int64)
-            group = np.arange(len(members))
+            group = np.unique([m["known"] for m in members], return_inverse=True)[1]  # members of a class that is known need no link
             opened: dict[int, np.ndarray] = {}
             for i in np.flatnonzero(own):
                 # sizes ascend, so the partners of i as the smaller set follow it
@@ -340,20 +344,55 @@ def links(docs: DataFrame, of_sets: DataFrame) -> DataFrame:
     placed = placed.select("set_key", "shingle", "p.band", "p.own")
     hubs = placed.groupBy("shingle", "band").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("last"), F.max("own").alias("own")).where("hub <> last and own").select("shingle", "band", "hub")
     members = materialize(placed.join(hubs, ["shingle", "band"]).select("hub", "band", "set_key", "own").distinct(), "jaccard-tiles")
-    blocks = members.groupBy("hub", "band").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("any and m > 1").select("hub", "band", F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.pow(F.lit(100 / PERCENT), F.col("band") + 1) / TILE_SHINGLES)).alias("k"))
-    at = F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("k")).cast("int")
-    spread = (
-        members.join(blocks, ["hub", "band"])
-        .withColumn("block", at)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
-        .select("hub", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set_key", "own")
-    )
+    size = F.ceil(F.greatest(F.col("m") / TILE, F.col("m") * F.pow(F.lit(100 / PERCENT), F.col("band") + 1) / TILE_SHINGLES))
+    blocks = materialize(members.groupBy("hub", "band").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("any and m > 1").select("hub", "band", size.alias("k")), "jaccard-blocks")
+    placed = members.join(blocks, ["hub", "band"]).withColumn("block", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("k")).cast("int"))
+    # within blocks; in large tiles with the leaders in each block
+    slot = F.pmod(F.xxhash64("set_key", F.lit(8)), F.lit(LEADERS))
+    large = placed.where("k > 1")
+    leaders = large.groupBy("hub", "band", slot.alias("slot")).agg(F.min(F.struct("set_key", "own", "block")).alias("l"), F.max("k").alias("k")).select("hub", "band", "k", "l.*")
+    guests = leaders.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1))).where("to <> block").select("hub", "band", F.col("to").alias("block"), "set_key", "own")
+    inside = placed.select("hub", "band", "block", "set_key", "own").unionByName(guests)
+    inside = inside.select("hub", "band", F.col("block").alias("lo"), F.col("block").alias("hi"), "block", "set_key", "own", F.col("set_key").alias("known"))
+    found = _linked(inside, kept)
+    if blocks.where("k > 1").isEmpty():
+        return found
+    found = materialize(found, "jaccard-links")
+    return found.unionByName(_linked(_apart(large, connected_components(found, "jaccard-near")), kept))
+
+
+def _linked(spread: DataFrame, kept: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` among the members of each (tile, pair of blocks)."""
     full = spread.join(kept.select("set_key", "n", "tokens", "bitmap"), "set_key")
-    # AQE splits the join's hot side; the grouping that follows holds one block pair a row
-    tiles = full.groupBy("hub", "band", "lo", "hi").agg(F.collect_list(F.struct(F.col("set_key").alias("rep"), "n", "own", "block", "tokens", "bitmap")).alias("members"))
+    # AQE splits the join's hot side; the grouping that follows holds one block, or pair of blocks, a row
+    tiles = full.groupBy("hub", "band", "lo", "hi").agg(F.collect_list(F.struct(F.col("set_key").alias("rep"), "n", "own", "block", "known", "tokens", "bitmap")).alias("members"))
     return tiles.where("size(members) > 1").select("members").mapInArrow(_links, "a long, b long")
 
 
+def _apart(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of blocks of the large tiles that are not one class yet.
+
+    The members outside a tile's largest class are dealt to blocks of their own,
+    which meet one another and each block of the largest class.
+    """
+    known = large.join(classes, F.col("set_key") == F.col("id"), "left").select("hub", "band", "set_key", "own", "k", F.coalesce("component", "set_key").alias("known"))
+    known = materialize(known, "jaccard-known")
+    sizes = known.groupBy("hub", "band", "known").agg(F.count("*").alias("n"))
+    tiles = sizes.groupBy("hub", "band").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("m")).select("hub", "band", F.col("main.known").alias("main"), (F.col("m") - F.col("main.n")).alias("rest"), "m")
+    tiles = tiles.where("rest > 0")
+    both = known.join(tiles, ["hub", "band"])
+    # blocks of the rest are numbered from 0, those of the largest class from -1 downwards
+    rests = F.ceil(F.col("k") * F.col("rest") / F.col("m")).cast("int")
+    mains = F.ceil(F.col("k") * (F.col("m") - F.col("rest")) / F.col("m")).cast("int")
+    hashed = F.xxhash64("set_key", F.lit(9))
+    is_main = F.col("known") == F.col("main")
+    block = F.when(is_main, -1 - F.pmod(hashed, mains)).otherwise(F.pmod(hashed, rests)).cast("int")
+    other = F.when(is_main, F.sequence(F.lit(0), rests - 1)).otherwise(F.sequence(-mains, rests - 1))
+    # an own block meets itself too
+    meets = both.withColumn("block", block).withColumn("other", F.explode(other))
+    return meets.select("hub", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set_key", "own", "known")
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, set_key, text_key, component, component_id)`` of every row; ``component`` names the class by a set's key."""
     of_sets = materialize(sets(docs), "jaccard-docs")
