@@ -10,10 +10,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,34 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
     assert got == {i: g for i, (_, g) in jaccard_classes(texts).items()}
 
 
+def test_jaccard_join_of_near_copies_grows_with_their_number(spark, monkeypatch):
+    """Rows sent to tiles per member stay as they are when the group doubles, and members outside the largest class still meet all."""
+    monkeypatch.setattr(ngram_join, "TILE", 64)
+    sent, linked = [], ngram_join._linked
+
+    def counted(spread, kept):
+        sent.append(spread.count())
+        return linked(spread, kept)
+
+    monkeypatch.setattr(ngram_join, "_linked", counted)
+    rng = random.Random(9)
+    base = prose(rng, 300).split()
+    per = []
+    for m in (300, 600):
+        sent.clear()
+        texts = [" ".join([*base[:i], f"n{m}", *base[i + 1 :]]) for i in rng.choices(range(300), k=m)]
+        texts = [f"{t} e{i}" for i, t in enumerate(texts)]
+        assert {r["component_id"] for r in ngram_join.classes(table(spark, texts)).collect()} == {0}
+        per.append(sum(sent) / m)
+    assert per[1] < 1.3 * per[0]
+    # two groups that share prefixes but not enough to link, and a few that link them in a chain
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    half = [*base[:100], *prose(rng, 110).split()]
+    texts = [" ".join([*base[:200], f"x{i}"]) for i in range(80)] + [" ".join([*half, f"y{i}"]) for i in range(80)] + [" ".join([*base[:180], f"z{i}", *prose(rng, 20).split()]) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(table(spark, texts)).collect()}
+    assert got == {i: g for i, (_, g) in jaccard_classes(texts).items()}
+
+
 def test_jaccard_join_keeps_one(spark):
     texts = near_copies(2)
     kept = {r["doc_id"] for r in ngram_join.keep_one(table(spark, texts)).collect()}
@@ -366,6 +396,18 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secrets.ledger_update(versions.limit(0)).count() == 0
 
 
+def test_rules_read_long_texts_once(spark):
+    """Each rule beyond the base kinds on a megabyte of its own beginning."""
+    n = 1 << 20
+    texts = [("eyJ" * n)[:n], ("eyJabcdefghij." * n)[:n], "eyJ" + "a" * n, ("ghp_" * n)[:n], "ghp_" + "a" * n, ("-----BEGIN " * n)[:n], "-----BEGIN " + "A" * n, "x" + "eyJ0123456789.eyJ0123456789.sig eyJ0123456789.eyJ0123456789.sig-eyJ"]
+    began = time.time()
+    docs = table(spark, texts).repartition(4)
+    found = docs.select("doc_id", secrets.scan(F.col("text"), secrets.MORE).alias("s")).collect()
+    assert time.time() - began < 60
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["s"]] for r in found}
+    assert got[7] == [("jwt", 33, 68)] and got[4] == [("github", 0, n + 4)]
+
+
 def test_second_run_over_a_kept_ledger_scans_nothing(spark, tmp_path, monkeypatch):
     rows = [(i, ("token=abcdefgh" if i % 3 else "AKIA" + "A" * 16) + str(i // 4)) for i in range(40)] + [(None, None), (3, "x"), (3, "x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
@@ -485,6 +527,41 @@ def test_decontamination_clean(spark):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0 and decontamination.matches(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_clean_judges_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, item), (None, "nothing of the kind in here at all"), (5, f"so it says {item}"), (5, "a clean text under the same number"), (5, "a clean text under the same number"), (6, None)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = decontamination.clean(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "a clean text under the same number", "a clean text under the same number", "nothing of the kind in here at all"]
+
+
+def test_decontamination_of_long_items_is_quick(spark):
+    rng = random.Random(4)
+    item = prose(rng, 4000)
+    w = item.split()
+    texts = [" ".join([prose(rng, 500), item, prose(rng, 500)]), " ".join(w[:2000] + w[2400:]), " ".join(w[:2500])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["similarity"] for r in decontamination.matches(table(spark, texts), bench).collect()}
+    assert set(got) == {0, 1} and got[0] == 1 and got[1] > 0.85
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("size", [5, 20, 60, 120])
+def test_radius_holds_at_the_least_similarity(size):
+    """Of random multisets just similar enough, nearly all fingerprints lie within the radius (the documented recall)."""
+    rng = np.random.default_rng(size)
+    common = -(-80 * 2 * size // 180)
+    trials, far = 4000, 0
+    bits = lambda n: rng.integers(0, 2, (n, 64)) * 2 - 1
+    for _ in range(trials):
+        shared = bits(common).sum(0)
+        a, b = shared + bits(size - common).sum(0), shared + bits(size - common).sum(0)
+        far += int(((a > 0) != (b > 0)).sum()) > decontamination.RADIUS
+    assert far <= 3
+
+
 # 8 --------------------------------------------------------------------------
 
 
@@ -594,6 +671,19 @@ def test_mix_gives_equal_places_however_it_is_dealt(spark):
     assert got[0] == got[1]
 
 
+def test_mix_spreads_equal_rows(spark, monkeypatch):
+    """A row that a third of the table repeats: every copy is kept, with a place of its own, and the weights hold."""
+    monkeypatch.setattr(mixing, "COPIES", 700)
+    rows = [(None, None, "en", "a", None)] * 3_000 + [(i, f"t{i}", "en", "ab"[i % 2], None) for i in range(4_000)] + [(7, "again", "fr", None, 1)] * 2_000
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = mixing.mix(docs).collect()
+    assert sorted(r["mix_position"] for r in out) == list(range(9_000))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out) == Counter((a, b, d) for a, b, _, d, _ in rows)
+    for s in ("a", "b", None):
+        mine = sorted((r["mix_slot"], r["mix_block"], r["mix_position"]) for r in out if r["source"] == s)
+        assert [b for _, b, _ in mine] == sorted(b for _, b, _ in mine)
+
+
 def test_mix_with_many_sources(spark):
     docs = spark.range(6_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3_000).cast("string").alias("source"))
     assert sorted(r["mix_position"] for r in mixing.mix(docs).collect()) == list(range(6_000))
@@ -639,6 +729,29 @@ def test_language_of_held_out_documents(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.97
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than a table holds: the same answers as from one table, and any number is learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    langs, model = language_id.learn(docs, sample=100)
+    want = {r["doc_id"]: r for r in language_id.predict(docs, langs, model).collect()}
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    again, blocked = language_id.learn(docs, sample=100)
+    assert again == langs and blocked.whole is None and [lo for lo, _ in blocked.blocks()] == [0, 3]
+    got = {k: v for b in [language_id._said(langs, blocked)] for k, v in zip([r["doc_id"] for r in docs.collect()], _said_all(b, docs), strict=True)}
+    for i, r in want.items():
+        assert got[i] == (r["lang_pred"], pytest.approx(r["score"], abs=1e-9))
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 5, f"l{i:03d}") for i in range(230)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(many)[0]) == 230
+
+
+def _said_all(said, docs):
+    import pyarrow as pa
+
+    rows = docs.collect()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r["doc_id"] for r in rows], "text": [r["text"] for r in rows]})
+    return [x for _, preds, scores in said([batch]) for x in zip(preds, scores, strict=True)]
+
+
 def test_language_awkward(spark):
     docs = clashing(table(spark, AWKWARD))
     langs, model = language_id.learn(docs.select("doc_id", "text", "lang"))

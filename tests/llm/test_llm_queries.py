@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9_mixing": {"doc_id": "bigint", "source": "string", "mix_position": "bigint"},
     "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op13_filter_audit": {"part": "string", "filter_order": "string", "step": "int", **dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"), "bigint")},
 }
 
 
@@ -40,7 +43,11 @@ def results(spark):
 def test_columns_of_the_contract(results, spark, name):
     kinds, rows = results(name)
     assert COLUMNS[name].items() <= kinds.items()
-    if name != "op7_decontamination":
+    if name in ("op11_whitening", "op12_packing"):  # several rows an id
+        table, key = ("embeddings", "vec_id") if name == "op11_whitening" else ("documents", "doc_id")
+        ids = [r[key] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()]
+        assert sorted({r[key] for r in rows}) == sorted(ids)
+    elif name not in ("op7_decontamination", "op13_filter_audit"):
         table = "pages" if name == "op3_warc" else "documents"
         key = "page_id" if name == "op3_warc" else "doc_id"
         ids = [r[key] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()]
