@@ -20,6 +20,8 @@ plan, which is bounded by the number of combinations.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,61 +36,75 @@ from panelforge.llm.common import materialize, read
 WINDOW = 2048
 CLOSING = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Word groups and words kept by a task, rounds of least squares, and the relative error at which they end.
-CACHE, ROUNDS, CLOSE = 300_000, 400, 1e-4
-#: Words of these characters are split like the tokenizer does; others are given to it as they are.
-PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Parts kept by a task, rounds of least squares, and the relative error at which they end.
+CACHE, ROUNDS, CLOSE = 500_000, 400, 1e-4
+#: Letters and digits of Latin-1, and its white space.
+LETTERS, DIGITS, BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: The tokenizer's own pattern on lower-cased Latin-1.
+PARTS = rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{BLANK}{LETTERS}{DIGITS}]+"
+
+
+class _Kept(dict):
+    """Bytes of the ids of what was asked for before; all are forgotten when there are too many."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[key] = self.encode(key)
+        return out
 
 
 class Encoder:
     """Token ids of texts by a public word tokenizer, as little-endian two-byte strings.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words one after the other. Words of Latin
-    letters and signs, where lower case and normal forms act by character, are
-    split once more by the tokenizer's own pattern; parts are encoded once and kept.
+    text's ids are those of its words one after the other. In Latin-1, where
+    lower case and normal forms act by character, its pattern cuts the text
+    into parts; each goes once to the tokenizer's model, in its byte alphabet.
+    Words with other characters, or with the beginning of a special token, are
+    given to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit in two bytes")
-        self.parts_of = regex.compile(PLAIN).findall
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        split, unseen = {}, set()
-        for raw in words:
-            word = raw.decode("utf-8")
-            split[raw] = [word] if "<|" in word or max(word) > "\xff" else self.parts_of(word.lower())
-            unseen.update(p for p in split[raw] if p not in self.parts)
-        if len(self.parts) + len(unseen) > CACHE:
-            self.parts.clear()
-            unseen = {p for parts in split.values() for p in parts}
-        unseen = list(unseen)
-        self.parts.update(zip(unseen, self._encode(unseen), strict=True))
-        if len(self.words) + len(split) > CACHE:
-            self.words.clear()
-        get = self.parts.__getitem__
-        self.words.update((raw, b"".join(map(get, parts))) for raw, parts in split.items())
+        self.model, self.parts_of = self.tokenizer.model, re.compile(PARTS).findall
+        # the model's character for each byte; bytes of a longer character can't be asked for alone
+        alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+        plain = [c for c in alphabet if ord(c) < 256]
+        rest = iter(c for c in alphabet if ord(c) >= 256)  # the others in the order of their bytes
+        self.alphabet = {b: chr(b) if chr(b) in plain else next(rest) for b in range(256)}
+        self.parts, self.words = _Kept(self._part), _Kept(self._word)
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.alphabet))
+        return struct.pack(f"<{len(tokens)}H", *[t.id for t in tokens])
+
+    def _word(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _latin(self, text: str) -> bytes | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if "<|" in text else b"".join(map(self.parts.__getitem__, self.parts_of(text.lower())))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, null as empty; a text's words are kept at most as long as it is encoded."""
+        """Ids of each text, null as empty."""
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            missing = set(words).difference(self.words)
-            if missing:
-                self._learn(missing)
-                if not set(words) <= self.words.keys():  # the cache was emptied meanwhile
-                    self._learn(set(words))
-            yield b"".join(map(self.words.__getitem__, words))
+            out = self._latin(text or "")
+            if out is None:
+                words = (w.decode("utf-8") for w in text.encode("utf-8").split())  # white space of ASCII only
+                out = b"".join(self.words[w] if (ids := self._latin(w)) is None else ids for w in words)
+            yield out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -140,7 +156,7 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Rows (a, b, c), a <= b <= c, of lengths that fill a window; a is 0 where two do."""
     present = np.zeros(window + 1, bool)
     present[lengths] = True
-    ordered = np.unique(lengths)
+    ordered = np.unique(lengths[lengths > 0])
     found = []
     for a in [0, *ordered.tolist()]:
         b = ordered[(ordered >= a) & (2 * ordered <= window - a)]
