@@ -1,9 +1,9 @@
 """Walk-forward windows and models.
 
 Windows are index ranges over distinct dates. Closed-form models are fitted for
-all windows in one job: a date's sufficient statistics are summed first, then
-range-joined to the windows. Other models are ``pyspark.ml`` estimators fitted
-window by window; the driver only loops over the few windows.
+all windows in one job: a date's sufficient statistics are summed first, and a
+window is the difference of two running sums (``linear``). Boosted trees and networks have modules of their
+own. ``fit_windows`` fits any ``pyspark.ml`` estimator window by window; the driver only loops over the few windows.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from panelforge.operators.linear import over_ranges, running
+
 
 def windows(spark: SparkSession, n_dates: int, scheme: str, train: int, step: int, test: int | None = None, embargo: int = 0) -> DataFrame:
     """(window, train_lo, train_hi, test_lo, test_hi), half-open date indices.
@@ -40,7 +39,8 @@ def closed_form(panel: DataFrame, wins: DataFrame, x: str, y: str, keys: list[st
     """For each window: training mean, majority direction and one-feature OLS with its t-statistic."""
     X, Y = F.col(x), F.col(y)
     daily = panel.where(X.isNotNull() & Y.isNotNull()).groupBy(*keys, date_idx).agg(F.count("*").alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(X * Y).alias("sxy"), F.sum(Y * Y).alias("syy"), F.sum(F.when(Y > 0, 1).otherwise(0)).alias("up"))
-    stats = daily.join(F.broadcast(wins), (F.col(date_idx) >= F.col("train_lo")) & (F.col(date_idx) < F.col("train_hi"))).groupBy(*keys, "window").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy", "up")])
+    sums = ["n", "sx", "sy", "sxx", "sxy", "syy", "up"]
+    stats = over_ranges(running(daily, sums, keys, date_idx), wins.select("window", F.col("train_lo").alias("lo"), F.col("train_hi").alias("hi")), sums, keys, ["window"], date_idx).where("n > 0")
     n = F.col("n")
     vxx, vxy, vyy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
     beta = vxy / vxx
@@ -57,24 +57,11 @@ def score_windows(panel: DataFrame, wins: DataFrame, fits: DataFrame, x: str, y:
     return rows.groupBy(*keys, "window").agg((1 - sq(F.lit(0.0)) / base).alias("r2_zero"), (1 - sq(ols) / base).alias("r2_ols"), F.avg(F.when((Y > 0) == (F.col("majority") == 1), 1.0).otherwise(0.0)).alias("hit_majority"), F.count("*").alias("n_test"))
 
 
-class Ridge:
-    """Least squares with the penalty ``alpha`` divided by the number of training rows."""
-
-    def __init__(self, alpha: float = 1e-6):
-        self.alpha, self.linear = alpha, LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal", featuresCol="x", labelCol="y")
-
-    def __getattr__(self, name):
-        return getattr(self.linear, name)
-
-    def fit(self, train: DataFrame):
-        return self.linear.copy({self.linear.regParam: self.alpha / max(train.count(), 1)}).fit(train)
-
-
 def normal_equations(panel: DataFrame, wins: DataFrame, features: list[str], y: str, keys: list[str], date_idx: str = "date_idx", ridge: float = 0.0) -> DataFrame:
     """Least squares on several features for every cell and window in one job: ``(keys, window, n, beta, se)``, the constant first.
 
-    A date is first reduced to its sums of products, so the work is rows + dates
-    x windows; each window's small system is solved in Arrow batches. Missing
+    A date is first reduced to its sums of products, and a window is the
+    difference of two running sums; each window's small system is solved in Arrow batches. Missing
     features count as 0, rows without a target are left out. ``ridge`` / n is
     added to the features' part of the mean system. ``se`` are the plain
     errors; collinear features share by the pseudo-inverse.
@@ -84,8 +71,8 @@ def normal_equations(panel: DataFrame, wins: DataFrame, features: list[str], y:
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = {f"x{i}_{j}": x[i] * x[j] for i, j in pairs} | {f"y{i}": x[i] * F.col(y) for i in range(p)} | {"yy": F.col(y) * F.col(y)}
     daily = panel.where(F.col(y).isNotNull()).groupBy(*keys, date_idx).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    inside = (F.col(date_idx) >= F.col("train_lo")) & (F.col(date_idx) < F.col("train_hi"))
-    stats = daily.join(F.broadcast(wins), inside).groupBy(*keys, "window").agg(*[F.sum(n).alias(n) for n in sums])
+    ranges = wins.select("window", F.col("train_lo").alias("lo"), F.col("train_hi").alias("hi"))
+    stats = over_ranges(running(daily, list(sums), keys, date_idx), ranges, list(sums), keys, ["window"], date_idx).where("x0_0 > 0")
 
     def solve(frames):
         for frame in frames:
@@ -148,70 +135,6 @@ def run_grid(grid: DataFrame, panel: DataFrame, wins: dict[str, DataFrame], x: s
     return out
 
 
-def ridge(alpha: float = 1e-6) -> Ridge:
-    return Ridge(alpha)
-
-
-def elastic_net_cv(folds: int = 3, alphas: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1)) -> CrossValidator:
-    """Elastic net with contiguous folds (column ``fold``) over a grid of penalties."""
-    lr = LinearRegression(elasticNetParam=0.5, standardization=False, featuresCol="x", labelCol="y")
-    return CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(alphas)).build(), evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"), numFolds=folds, foldCol="fold")
-
-
-class EarlyStopped:
-    """Boosted trees cut at the round after which the rows of ``is_val`` get no better for ``patience`` rounds.
-
-    Spark's own rule ends at the first round that gains less than a share of
-    the error, or of 0.01, which at this rate is the first. Rounds are fitted
-    in growing numbers until the stop is among them or all are done; the kept
-    ones are then fitted again: with the same seed they are the same trees.
-    """
-
-    reads_val = True
-
-    def __init__(self, trees, patience: int = 50):
-        self.trees, self.patience = trees, patience
-
-    def __getattr__(self, name):
-        return getattr(self.trees, name)
-
-    def rounds(self, errors: list[float]) -> int:
-        best = 0
-        for i, e in enumerate(errors):
-            if e < errors[best]:
-                best = i
-            elif i - best >= self.patience:
-                break
-        return best + 1
-
-    def fit(self, train: DataFrame):
-        inside, val = train.where("not is_val").persist(), train.where("is_val").persist()
-        most, judged, model = self.trees.getMaxIter(), bool(val.take(1)), None
-        n = min(most, self.patience + 10) if judged else most
-        while model is None:
-            model = self.trees.copy({self.trees.maxIter: n}).fit(inside)
-            if not judged:
-                break
-            errors = model.evaluateEachIteration(val, "squared") if isinstance(self.trees, GBTRegressor) else model.evaluateEachIteration(val)
-            keep = self.rounds(errors)
-            if n - keep < self.patience and n < most:  # no stop among these rounds
-                n, model = min(most, 4 * n), None
-            elif keep < n:
-                model = self.trees.copy({self.trees.maxIter: keep}).fit(inside)
-        inside.unpersist()
-        val.unpersist()
-        return model
-
-
-def boosted(trees: int = 500, depth: int = 6) -> EarlyStopped:
-    """Boosted trees with early stopping on the rows of ``is_val``."""
-    return EarlyStopped(GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.01, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, featuresCol="x", labelCol="y"))
-
-
-def boosted_direction(trees: int = 500, depth: int = 6) -> EarlyStopped:
-    return EarlyStopped(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.01, subsamplingRate=0.8, seed=42, featuresCol="x", labelCol="up"))
-
-
 def neural_direction(width: int, layers: tuple[int, ...] = (256, 128, 64, 32), rounds: int = 100) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(layers=[width, *layers, 2], maxIter=rounds, seed=42, featuresCol="x", labelCol="up")
 
@@ -250,13 +173,6 @@ def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def regression_and_direction(panel: DataFrame, wins: DataFrame, features: list[str], y: str, regression: Callable[[int], object], direction: Callable[[int], object], keys: tuple[str, ...] = ("ticker", "date"), date_idx: str = "date_idx") -> DataFrame:
-    """Out-of-sample rows ``(keys, window, y, pred, direction)`` of a regression and a direction model fitted in the same windows."""
-    value = fit_windows(panel, wins, features, y, regression, date_idx).select(*keys, "window", "y", "pred")
-    sign = fit_windows(panel, wins, features, y, direction, date_idx).select(*keys, "window", F.col("pred").alias("direction"))
-    return value.join(sign, [*keys, "window"])
-
-
 def permuted(panel: DataFrame, column: str, date: str = "date", seed: int = 42) -> DataFrame:
     """The panel with one column shuffled within each date: values join rows by two random ranks."""
     a = panel.withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.rand(seed)))).drop(column)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import correlation
 from panelforge.functions.windows import demean
-from panelforge.operators import inference, panel, surface, walkforward
+from panelforge.operators import boosting, inference, linear, networks, panel, surface, walkforward
 from panelforge.plans.evaluation_queries import _ic
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources.tables import bars, contracts, ctes, materialize, preds
@@ -83,31 +83,58 @@ def _score(p):
 
 
 def wf_linear(spark, d):
-    """Ridge-stabilised OLS and cross-validated elastic net over expanding windows."""
-    panel = _features(spark, d)
+    """Ridge-stabilised OLS and cross-validated elastic net over expanding windows, each in one job."""
+    panel = _features(spark, d).where("target is not null").withColumn("cell", F.lit("all"))
     wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
-    ols = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.ridge())
-    net = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.elastic_net_cv())
-    return _score(ols).withColumn("model", F.lit("ols")).unionByName(_score(net).withColumn("model", F.lit("elastic_net")))
+    names, parts = ["A", "B", "C"], []
+    for model in ("ols", "elastic_net"):
+        fits = linear.linear_windows(panel, wins, names, "target", ["cell"], model)
+        parts.append(_score(walkforward.predict_windows(panel, wins, fits, names, ["cell"])).withColumn("model", F.lit(model)))
+    return parts[0].unionByName(parts[1])
+
+
+def _late(spark, panel):
+    """Expanding windows of 13 dates after the first 200."""
+    return walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
 
 
 def wf_gbt(spark, d):
-    """Boosted trees over expanding windows."""
+    """Boosted trees over expanding windows, all windows in one job."""
     panel = _features(spark, d)
-    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
-    return _score(walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", lambda n: walkforward.boosted()))
+    return _score(boosting.boosted_windows(panel, _late(spark, panel), ["A", "B", "C"], "target"))
 
 
 def wf_direction(spark, d):
     """Boosted and neural direction classifiers: hit rate by window."""
+    panel = _features(spark, d).where("target is not null").withColumn("up", F.when(col("target") > 0, 1.0).otherwise(0.0))
+    wins, of = _late(spark, panel), (["A", "B", "C"], "up")
+    models = {"gbt": boosting.boosted_windows(panel, wins, *of, settings=boosting.Booster(loss="logistic")), "mlp": networks.network_windows(panel, wins, *of)}
+    parts = [p.select("window", "up", "pred").withColumn("model", F.lit(name)) for name, p in models.items()]
+    hit = F.avg(F.when((col("pred") >= 0.5) == (col("up") == 1), 1.0).otherwise(0.0))
+    return rounded(parts[0].unionByName(parts[1]).groupBy("window", "model").agg(hit.alias("hit"), F.count("*").alias("n")))
+
+
+def wf_experiment(spark, d):
+    """Regression and direction boosters fitted in the same windows: error, hit rate of each, and how often they agree."""
     panel = _features(spark, d)
-    wins = walkforward.windows(spark, panel.agg(F.max("date_idx")).first()[0] + 1, "expanding", 200, 13, embargo=1)
-    out = None
-    for name, make in (("gbt", lambda n: walkforward.boosted_direction()), ("mlp", lambda n: walkforward.neural_direction(n))):
-        p = walkforward.fit_windows(panel, wins, ["A", "B", "C"], "target", make)
-        part = p.groupBy("window").agg(F.avg(F.when(col("pred") == col("up"), 1.0).otherwise(0.0)).alias("hit"), F.count("*").alias("n")).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    p = boosting.experiment(panel, _late(spark, panel), ["A", "B", "C"], "target")
+    up, hit = col("up") >= 0.5, lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return rounded(p.groupBy("window").agg(F.sqrt(F.avg((col("pred") - col("target")) * (col("pred") - col("target")))).alias("rmse"), hit((col("pred") > 0) == (col("target") > 0)).alias("hit_value"), hit(up == (col("target") > 0)).alias("hit_direction"), hit(up == (col("pred") > 0)).alias("agree"), F.count("*").alias("n")), 4)
+
+
+def tree_attribution(spark, d):
+    """Mean absolute contribution of each feature to the boosted predictions, its share, rank and bootstrap interval over dates.
+
+    ``gap`` is the largest distance of base and contributions from a prediction: 0 up to rounding.
+    """
+    panel = _features(spark, d)
+    p = materialize(boosting.boosted_windows(panel, _late(spark, panel), ["A", "B", "C"], "target"), "boosted")
+    gap = p.agg(F.max(F.abs(F.aggregate("contributions", col("base"), lambda a, x: a + x) - col("pred"))).alias("gap"))
+    each = p.select("date", F.posexplode("contributions").alias("i", "c")).select("date", F.element_at(F.array(*map(F.lit, "ABC")), col("i") + 1).alias("feature"), F.abs("c").alias("value"))
+    total = each.agg(F.sum("value").alias("total"))  # one row, as is the gap
+    share = each.groupBy("feature").agg(F.sum("value").alias("value")).crossJoin(F.broadcast(total)).select("feature", F.try_divide("value", "total").alias("share"))
+    out = inference.bootstrap(each, ["feature"], "value", "date").drop("p").join(inference.bootstrap_ranks(each, "feature", "value", "date"), "feature").join(share, "feature")
+    return rounded(out.crossJoin(F.broadcast(gap)), 9)
 
 
 def feature_importance(spark, d):
@@ -149,14 +176,16 @@ def signal_recovery(spark, d):
     """IC, t and surviving seeds of walk-forward models fitted to the planted targets, by strength and model.
 
     ``ols`` is fitted on the features and the signal, ``ridge`` the same with a
-    heavy penalty, ``without`` on the features alone. All strengths, seeds and
+    heavy penalty, ``without`` on the features alone, ``elastic_net`` with the
+    penalty chosen by folds. All strengths, seeds and
     windows are fitted in one job each.
     """
     p = materialize(_planted(spark, d), "planted")
     wins = walkforward.windows(spark, p.agg(F.max("date_idx")).first()[0] + 1, "expanding", 120, 13, embargo=1)
     out = None
-    for model, features, penalty in (("ols", ["A", "B", "C", "z"], 0.0), ("ridge", ["A", "B", "C", "z"], 100.0), ("without", ["A", "B", "C"], 0.0)):
-        fits = walkforward.normal_equations(p, wins, features, "y_planted", ["strength", "seed"], ridge=penalty)
+    for model, features, penalty in (("ols", ["A", "B", "C", "z"], 0.0), ("ridge", ["A", "B", "C", "z"], 100.0), ("without", ["A", "B", "C"], 0.0), ("elastic_net", ["A", "B", "C", "z"], None)):
+        of = (p, wins, features, "y_planted", ["strength", "seed"])
+        fits = linear.linear_windows(*of) if penalty is None else walkforward.normal_equations(*of, ridge=penalty)
         part = walkforward.predict_windows(p, wins, fits, features, ["strength", "seed"]).select("strength", "seed", "date", "pred", "y_planted").withColumn("model", F.lit(model))
         out = part if out is None else out.unionByName(part)
     ic = materialize(inference.daily_ic(out, "pred", "y_planted", ["strength", "model", "seed", "date"]), "recovered")
@@ -200,7 +229,7 @@ def contract_measures(spark, d):
     return rounded(c.groupBy("date").agg(*[F.sum(f"x_{x}").alias(x) for x in surface.TENSOR]), 4)
 
 
-QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, feature_importance, determinism, signal_injection, signal_recovery, ols_coefficients, grid_run, tensor_panel, contract_measures)}
+QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, wf_experiment, tree_attribution, feature_importance, determinism, signal_injection, signal_recovery, ols_coefficients, grid_run, tensor_panel, contract_measures)}
 
 B, C, P = ctes("bars"), ctes("contracts"), ctes("preds")
 

@@ -154,16 +154,6 @@ def test_sharpe_probability(spark):
     assert got[2]["probability"] > 0.95 > got[0]["probability"]
 
 
-def test_boosting_goes_on_while_validation_gains(spark):
-    stop = walkforward.boosted()
-    assert stop.rounds([3.0, 2.0, 1.0] + [1.5] * 60 + [0.1]) == 3 and stop.rounds([3.0, 2.0, 2.5, 1.0]) == 4
-    rng = random.Random(5)
-    rows = [(i, 0.03 * x, x) for i in range(40) for x in [rng.uniform(-1, 1) for _ in range(10)]]
-    data = spark.createDataFrame(rows, "date_idx int, target double, a double")
-    train = walkforward.model_matrix(data, ["a"], "target").withColumnRenamed("raw", "x").withColumn("is_val", F.col("date_idx") >= 32)
-    assert walkforward.boosted(12, 2).fit(train).getNumTrees == 12
-
-
 def test_newey_west_uses_all_its_lags(spark):
     """A series of 70,000 values has 41 lags; a stated number of lags is used whatever its size."""
     import numpy as np
@@ -268,30 +258,6 @@ def test_grid_runs_only_pending_cells(spark):
     assert all(abs(r["r2"]) < 1e-12 for r in whole.where("model = 'mean'").collect())
 
 
-def test_ridge_divides_by_training_rows(spark):
-    from pyspark.ml.linalg import Vectors
-
-    from panelforge.operators import walkforward
-
-    rows = spark.createDataFrame([(Vectors.dense([float(i % 5)]), float(i % 5) * 2) for i in range(40)], ["x", "y"])
-    model = walkforward.ridge(4.0).fit(rows)
-    assert model.getRegParam() == 0.1
-
-
-def test_regression_and_direction_in_the_same_windows(spark):
-    from pyspark.sql import functions as F
-
-    from panelforge.operators import walkforward
-
-    p = spark.range(50 * 8).select((F.col("id") % 8).cast("string").alias("ticker"), (F.col("id") / 8).cast("int").alias("date_idx"), F.sin(F.col("id") * 1.7).alias("f"))
-    p = p.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("date_idx"))).withColumn("y", F.col("f") * 2)
-    wins = walkforward.windows(spark, 50, "expanding", 30, 10)
-    out = walkforward.regression_and_direction(p, wins, ["f"], "y", lambda n: walkforward.ridge(), lambda n: walkforward.boosted_direction(3, 2)).collect()
-    assert len(out) == 8 * 10 and {r["window"] for r in out} == {0}
-    assert all(abs(r["pred"] - r["y"]) < 1e-6 for r in out)
-    assert sum((r["direction"] == 1.0) == (r["y"] > 0) for r in out) >= 78
-
-
 def test_correlation_without_variation_is_null(spark):
     from panelforge.functions.scalars import correlation
 
