@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import chi2_1_tail, correlation, normal_cdf, normal_quantile
 from panelforge.functions.windows import average_rank
-from panelforge.operators import ordering
+from panelforge.operators import ordering, selection
+from panelforge.sources.tables import materialize
 
 EULER = 0.5772156649015329
 
@@ -49,6 +50,7 @@ def newey_west(series: DataFrame, x: str, keys: list[str], order: str | list[str
     with the rows, is given as ``order=[entity, date]``: it is numbered by
     entity and its lags are taken in blocks of ``block`` rows.
     """
+    series = materialize(series.select(*keys, *([order] if isinstance(order, str) else order), F.col(x).alias(x)).where(F.col(x).isNotNull()), "series")
     longest = series.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
     most = max(1, longest.select(cube_root_lags(F.col("n")) if lags is None else lags).first()[0])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
@@ -193,9 +195,8 @@ def bootstrap_ranks(values: DataFrame, key: str, value: str, unit: str, replicat
 
 def conformal(calibration: DataFrame, test: DataFrame, pred: str, y: str, alpha: float = 0.1) -> DataFrame:
     """Test rows with split-conformal bounds from the calibration rows' absolute residuals."""
-    n = calibration.count()
-    level = min(math.ceil((1 - alpha) * (n + 1)) / max(n, 1), 1.0)
-    q = calibration.agg(F.percentile(F.abs(F.col(y) - F.col(pred)), level).alias("q"))
+    q = selection.quantiles(calibration.select(F.abs(F.col(y) - F.col(pred)).alias("q")), {"q": lambda n: [min(math.ceil((1 - alpha) * (n + 1)) / max(n, 1), 1.0)]})
+    q = q.select(F.get("q", 0).alias("q"))
     return test.crossJoin(F.broadcast(q)).withColumn("lo", F.col(pred) - F.col("q")).withColumn("hi", F.col(pred) + F.col("q")).drop("q")
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelforge.functions.windows import average_rank
 
-#: Parts of a group that is ranked by value.
+#: Parts of a group that is ranked by value, and the rows up to which a group is ranked as one.
 PARTS = 64
+WHOLE = 500_000
 
 
 def _before(counts: DataFrame, keys: list[str], part: str) -> DataFrame:
@@ -38,8 +39,12 @@ def ranked(df: DataFrame, columns: dict[str, str], keys: list[str], parts: int =
     """``df`` with the rank of each column (``columns`` names it) within the keys, ties averaged, nulls null.
 
     Parts lie between approximate quantiles of the group's values, equal values
-    in one. Keys are not null. ``df`` is read more than once.
+    in one. Keys are not null. ``df`` is read more than once. Where no group has
+    more than ``WHOLE`` rows, a checked size, each is ranked by a plain window.
     """
+    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= WHOLE:
+        return df.select("*", *[average_rank(c, *keys).alias(name) for c, name in columns.items()])
     edges = df.groupBy(*keys).agg(*[F.percentile_approx(c, [i / parts for i in range(1, parts)], 1000).alias(f"_e_{c}") for c in columns])
     dealt = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))
     part = lambda c: F.coalesce(F.size(F.filter(f"_e_{c}", lambda e: e < F.col(c))), F.lit(0))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import zero_if_missing
+from panelforge.operators import selection
 
 
 def date_index(df: DataFrame, time: str = "date") -> DataFrame:
@@ -39,8 +40,10 @@ def overlaps(splits: DataFrame, time: str = "date") -> DataFrame:
 
 def winsorize(df: DataFrame, columns: list[str], train: Column, lo: float = 0.001, hi: float = 0.999, accuracy: int | None = None) -> DataFrame:
     """Clip at the training quantiles; columns without training values stay. ``accuracy`` picks approximate quantiles."""
-    q = (lambda c: F.percentile_approx(c, [lo, hi], accuracy)) if accuracy else (lambda c: F.percentile(c, [lo, hi]))
-    fit = df.where(train).agg(*[q(F.col(c)).alias(f"_q_{c}") for c in columns])
+    if accuracy:
+        fit = df.where(train).agg(*[F.percentile_approx(c, [lo, hi], accuracy).alias(f"_q_{c}") for c in columns])
+    else:
+        fit = selection.quantiles(df.where(train), {c: [lo, hi] for c in columns}).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(fit))
     for c in columns:
         b = F.col(f"_q_{c}")
@@ -51,8 +54,9 @@ def winsorize(df: DataFrame, columns: list[str], train: Column, lo: float = 0.00
 def impute(df: DataFrame, columns: list[str], train: Column, entity: str = "ticker") -> DataFrame:
     """Fill with the entity's training median, else the global one, else 0."""
     rows = df.where(train)
-    own = rows.groupBy(entity).agg(*[F.percentile(c, 0.5).alias(f"_e_{c}") for c in columns])
-    every = rows.agg(*[F.percentile(c, 0.5).alias(f"_g_{c}") for c in columns])
+    middle = {c: [0.5] for c in columns}
+    own = selection.quantiles(rows.where(F.col(entity).isNotNull()), middle, (entity,)).select(entity, *[F.get(c, 0).alias(f"_e_{c}") for c in columns])
+    every = selection.quantiles(rows, middle).select(*[F.get(c, 0).alias(f"_g_{c}") for c in columns])
     out = df.join(own, entity, "left").crossJoin(F.broadcast(every))
     for c in columns:
         out = out.withColumn(c, F.coalesce(c, f"_e_{c}", f"_g_{c}", F.lit(0.0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelforge.operators import inference, metrics
+from panelforge.operators import inference, metrics, selection
 
 
 def lookup(df: DataFrame, names: DataFrame, key: str, value: str, default: str) -> DataFrame:
@@ -50,7 +50,7 @@ def gross_sharpe(preds: DataFrame, keys: list[str], n: int, periods: float, pred
 
 def median_split(preds: DataFrame, by: str, pred: str, y: str, keys: list[str]) -> DataFrame:
     """Daily IC above and below the global median of a column."""
-    cut = preds.agg(F.percentile(by, 0.5).alias("_cut"))
+    cut = selection.quantiles(preds, {by: [0.5]}).select(F.get(by, 0).alias("_cut"))
     side = preds.crossJoin(F.broadcast(cut)).withColumn("side", F.when(F.col(by) > F.col("_cut"), "high").otherwise("low"))
     daily = inference.daily_ic(side, pred, y, [*keys, "side", "date"])
     return daily.groupBy(*keys, "side").agg(F.avg("ic").alias("ic"), F.count("*").alias("days"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import ratio, strike_ratio_of_delta, svi_variance
+from panelforge.operators import selection
+from panelforge.sources.tables import materialize
 
 KEYS = ["ticker", "date"]
 SMILE = [*KEYS, "dte"]
@@ -101,7 +103,9 @@ def fit_quality(smiles: DataFrame, chain: DataFrame) -> DataFrame:
     """Share of smiles fitted, error quantiles, wing slope b (1 + |rho|): mean, median, 95 % quantile and the shares above 2 and 4."""
     tried = chain.select(*SMILE).distinct()
     j = tried.join(smiles, SMILE, "left").withColumn("wing", F.col("b") * (1 + F.abs("rho")))
-    return j.agg(F.count("*").alias("smiles"), F.avg(F.col("rmse").isNotNull().cast("int")).alias("fitted"), F.avg("rmse").alias("rmse"), F.percentile("rmse", 0.5).alias("rmse_median"), F.percentile("rmse", 0.9).alias("rmse_p90"), F.avg("wing").alias("wing"), F.percentile("wing", 0.5).alias("wing_median"), F.percentile("wing", 0.95).alias("wing_p95"), F.avg((F.col("wing") > 2).cast("int")).alias("wing_over2"), F.avg((F.col("wing") > 4).cast("int")).alias("wing_over4"))
+    j = materialize(j.select("rmse", "wing"), "smile-quality")
+    q = selection.quantiles(j, {"rmse": [0.5, 0.9], "wing": [0.5, 0.95]}).select(*[F.get(c, i).alias(n) for c, i, n in (("rmse", 0, "rmse_median"), ("rmse", 1, "rmse_p90"), ("wing", 0, "wing_median"), ("wing", 1, "wing_p95"))])
+    return j.crossJoin(F.broadcast(q)).groupBy(*q.columns).agg(F.count("*").alias("smiles"), F.avg(F.col("rmse").isNotNull().cast("int")).alias("fitted"), F.avg("rmse").alias("rmse"), F.avg("wing").alias("wing"), F.avg((F.col("wing") > 2).cast("int")).alias("wing_over2"), F.avg((F.col("wing") > 4).cast("int")).alias("wing_over4"))
 
 
 def moneyness_grid(chain: DataFrame, least: int = 5) -> DataFrame:

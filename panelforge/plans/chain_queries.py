@@ -13,7 +13,7 @@ from panelforge.sources.tables import bars, contracts, ctes
 def pc_ratio_ic(spark, d):
     """Put/call ratio against the next month's return: daily rank IC and its HAC t-statistic."""
     b = bars(spark, d, "month").withColumn("fwd", forward_return(F.col("ret"), 1, by()))
-    pc = chain.sentiment(contracts(spark, d), b).select("ticker", "date", "pc_volume")
+    pc = chain.sentiment(contracts(spark, d, b.drop("fwd")), b).select("ticker", "date", "pc_volume")
     panel = pc.join(b, ["ticker", "date"]).where("pc_volume is not null and fwd is not null")
     panel = panel.withColumn("y", F.round(demean("fwd", "date"), 9))
     daily = inference.daily_ic(panel, "pc_volume", "y", ["date"])

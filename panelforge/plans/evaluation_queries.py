@@ -120,7 +120,7 @@ def regime_eval(spark, d):
         "vix": F.when(col("vix_close") >= 25, "high_vix").when(col("vix_close") <= 15, "low_vix").otherwise("normal_vix"),
         "earnings": F.when(col("days_to_next_earnings") <= 7, "near_earnings").otherwise("far_earnings"),
     }
-    return rounded(metrics.by_regime(preds(spark, d), labels, "pred", "y_demeaned", CELL))
+    return rounded(metrics.by_regime(materialize(preds(spark, d), "preds"), labels, "pred", "y_demeaned", CELL))
 
 
 def lift_over_control(spark, d):
@@ -163,13 +163,13 @@ def lf_hurdle_backtest(spark, d):
 
 def ls_backtest(spark, d):
     """Period returns of the top three against the bottom three names."""
-    return rounded(backtest.long_short(preds(spark, d).where("horizon = 3"), CELL, 3, 3))
+    return rounded(backtest.long_short(materialize(preds(spark, d).where("horizon = 3"), "preds"), CELL, 3, 3))
 
 
 def cost_sweep(spark, d):
     """Long/short summary over cost levels, all cells in one job."""
     grid = spark.createDataFrame([(0.15,), (0.25,)], "fraction double")
-    p = preds(spark, d).where("horizon = 1").crossJoin(F.broadcast(grid))
+    p = materialize(preds(spark, d).where("horizon = 1"), "preds").crossJoin(F.broadcast(grid))
     keys = ["feature_set", "fraction"]
     return rounded(backtest.summary(backtest.long_short(p, keys, 3, 1, col("fraction")), keys, 52.0), 4)
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import correlation
-from panelforge.functions.windows import demean
-from panelforge.operators import boosting, inference, linear, networks, panel, surface, walkforward
+from panelforge.functions.windows import by, demean, forward_realised_vol
+from panelforge.operators import boosting, grid, inference, linear, networks, panel, surface, walkforward
 from panelforge.plans.evaluation_queries import _ic
 from panelforge.plans.rounding import rounded, sql_rounded as R
-from panelforge.sources.tables import bars, contracts, ctes, materialize, preds
+from panelforge.sources.tables import bars, contracts, ctes, materialize, preds, shared_dir
 
 K = ["ticker", "date"]
 col = F.col
@@ -148,12 +150,6 @@ def feature_importance(spark, d):
     return rounded(walkforward.permutation_importance(panel, ["A", "B", "C"], score), 4)
 
 
-def determinism(spark, d):
-    """One cell computed twice: the largest difference of its daily IC."""
-    run = lambda: inference.daily_ic(preds(spark, d), "pred", "y_demeaned", ["feature_set", "horizon", "date"])
-    return rounded(walkforward.differences(materialize(run()), materialize(run()), ["feature_set", "horizon", "date"], "ic"))
-
-
 STRENGTHS, SEEDS = (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15), (1, 2, 3)
 
 
@@ -202,16 +198,77 @@ def ols_coefficients(spark, d):
     return rounded(walkforward.coefficients(fits, ["A", "B", "C"], ["cell"]).drop("cell"))
 
 
+def _grid_cells(spark, p, models):
+    names = spark.createDataFrame([(m, s) for m in models for s in ("expanding", "rolling")], "model string, scheme string")
+    return p.select("feature_set", "horizon").distinct().crossJoin(F.broadcast(names))
+
+
+def _grid_windows(spark, p):
+    n = p.agg(F.max("date_idx")).first()[0] + 1
+    return {s: walkforward.windows(spark, n, s, t, 13, embargo=3) for s, t in (("expanding", 120), ("rolling", 52))}
+
+
+CELL = ["feature_set", "horizon", "model", "scheme"]
+
+
+def _grid(spark, p, models, settings=boosting.Booster()):
+    """The result table of a grid over the prediction panel ``p``; its last half is computed by a second, resumed run."""
+    wins, keys = _grid_windows(spark, p), ["feature_set", "horizon"]
+    table = grid.ResultTable(spark, f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}", CELL)
+
+    def compute(unit, cells):
+        of, model = wins[unit["scheme"]], unit["model"]
+        mine = p.drop("model", "scheme").join(F.broadcast(cells.select(*keys)), keys, "left_semi")
+        base = walkforward.closed_form(mine, of, "pred", "y_raw", keys)
+        if model == "boosted":
+            rows = boosting.boosted_windows(mine.withColumnRenamed("pred", "x"), of, ["x"], "y_raw", tuple(keys), settings=settings).join(base.select(*keys, "window", "mean"), [*keys, "window"])
+        else:
+            fits = linear.linear_windows(mine, of, ["pred"], "y_raw", keys, model) if model == "elastic_net" else base.withColumn("beta", F.array(F.when(F.lit(model) == "ols", col("alpha")).when(F.lit(model) == "mean", col("mean")).otherwise(0.0), F.when(F.lit(model) == "ols", col("beta")).otherwise(0.0)))
+            rows = walkforward.predict_windows(mine.withColumnRenamed("pred", "x"), of, fits, ["x"], keys).join(base.select(*keys, "window", "mean"), [*keys, "window"])
+        return rows.select(*keys, F.lit(model).alias("model"), F.lit(unit["scheme"]).alias("scheme"), "window", "ticker", "date", "pred", col("y_raw").alias("y"), "mean")
+
+    cells = materialize(_grid_cells(spark, p, models), "cells")
+    for part in (cells.where("horizon = 1"), cells):
+        grid.run(table, part, ["model", "scheme"], compute)
+    return table
+
+
 def grid_run(spark, d):
     """Metrics of horizon x set x model x scheme x window; the cells of horizon 1 are run first, a second run adds what is pending."""
+    table = _grid(spark, materialize(preds(spark, d), "panel"), ("zero", "mean", "ols"))
+    return rounded(grid.window_metrics(table.read(), CELL).drop("rmse"), 4)
+
+
+def pooled_run(spark, d):
+    """Metrics of each cell over all its windows together, against the mean of the training means."""
+    table = _grid(spark, materialize(preds(spark, d), "panel"), ("zero", "mean", "ols"))
+    return rounded(grid.pooled_metrics(table.read(), CELL), 4)
+
+
+def model_grid(spark, d):
+    """Pooled metrics of the elastic net and of boosted trees over the whole grid."""
+    table = _grid(spark, materialize(preds(spark, d), "panel"), ("elastic_net", "boosted"))
+    return rounded(grid.pooled_metrics(table.read(), CELL), 4)
+
+
+def vol_model_grid(spark, d):
+    """The same models, pooled, for the next three weeks' realised volatility from the last value of it and two returns."""
+    b = bars(spark, d).withColumn("next", F.lead("ret").over(by()))
+    p = materialize(b.withColumn("target", forward_realised_vol(col("next"), 3, by())).withColumn("size", F.abs("ret")).withColumn("before", F.lag("size").over(by())).where("target is not null").select("ticker", "date", "date_idx", "ret", "size", "before", "target", F.lit("all").alias("cell")), "panel")
+    of, names = walkforward.windows(spark, p.agg(F.max("date_idx")).first()[0] + 1, "rolling", 104, 13, embargo=3), ["ret", "size", "before"]
+    mean = walkforward.closed_form(p, of, "size", "target", ["cell"]).select("window", "mean")
+    parts = {"elastic_net": walkforward.predict_windows(p, of, linear.linear_windows(p, of, names, "target", ["cell"]), names, ["cell"]), "boosted": boosting.boosted_windows(p, of, names, "target", ("cell",))}
+    rows = [r.join(F.broadcast(mean), "window").select(F.lit(m).alias("model"), "window", "pred", col("target").alias("y"), "mean") for m, r in parts.items()]
+    return rounded(grid.pooled_metrics(materialize(rows[0].unionByName(rows[1]), "vol"), ["model"]), 4)
+
+
+def determinism(spark, d):
+    """Cells of the grid computed once more, against their saved table: how many windows there are, and the largest difference."""
     p = materialize(preds(spark, d), "panel")
-    n = p.agg(F.max("date_idx")).first()[0] + 1
-    wins = {s: walkforward.windows(spark, n, s, t, 13, embargo=3) for s, t in (("expanding", 120), ("rolling", 52))}
-    names = spark.createDataFrame([(m, s) for m in ("zero", "mean", "ols") for s in wins], "model string, scheme string")
-    grid = materialize(p.select("feature_set", "horizon").distinct().crossJoin(names), "grid")
-    first = materialize(walkforward.run_grid(grid.where("horizon = 1"), p, wins, "pred", "y_raw", ["feature_set", "horizon"]), "results")
-    more = walkforward.run_grid(grid, p, wins, "pred", "y_raw", ["feature_set", "horizon"], first)
-    return rounded(first.unionByName(more), 4)
+    table = _grid(spark, p, ("mean", "ols"))
+    saved = grid.window_metrics(table.read(), CELL)
+    again = walkforward.run_grid(_grid_cells(spark, p, ("mean", "ols")), p.repartition(7, "date"), _grid_windows(spark, p), "pred", "y_raw", ["feature_set", "horizon"])
+    return rounded(walkforward.differences(saved, again, [*CELL, "window"], "r2"), 6)
 
 
 def tensor_panel(spark, d):
@@ -229,11 +286,16 @@ def contract_measures(spark, d):
     return rounded(c.groupBy("date").agg(*[F.sum(f"x_{x}").alias(x) for x in surface.TENSOR]), 4)
 
 
-QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, wf_experiment, tree_attribution, feature_importance, determinism, signal_injection, signal_recovery, ols_coefficients, grid_run, tensor_panel, contract_measures)}
+QUERIES = {f.__name__: f for f in (svi_fit, svi_diagnostics, iv_grid, stratified_sample, contract_tensor, chain_tensor, tensor_coverage, windows_embargo, wf_benchmarks, wf_linear, wf_gbt, wf_direction, wf_experiment, tree_attribution, feature_importance, determinism, signal_injection, signal_recovery, ols_coefficients, grid_run, pooled_run, model_grid, vol_model_grid, tensor_panel, contract_measures)}
 
 B, C, P = ctes("bars"), ctes("contracts"), ctes("preds")
 
 
+_GRID = f"""{P}, n AS (SELECT MAX(date_idx) + 1 AS n FROM preds), w AS (SELECT 'expanding' AS scheme, CAST((t - 120) / 13 AS INT) AS win, 0 AS lo, t - 3 AS hi, t, LEAST(t + 13, n) AS te FROM n JOIN range(120, 5000, 13) r(t) ON t < n - 13 UNION ALL SELECT 'rolling', CAST((t - 52) / 13 AS INT), t - 52, t - 3, t, LEAST(t + 13, n) FROM n JOIN range(52, 5000, 13) r(t) ON t < n - 13),
+s AS (SELECT feature_set, horizon, w.scheme AS scheme, w.win, AVG(y_raw) AS mean, REGR_SLOPE(y_raw, pred) AS beta, REGR_INTERCEPT(y_raw, pred) AS alpha FROM preds JOIN w ON date_idx >= lo AND date_idx < hi GROUP BY 1, 2, 3, 4),
+x AS (SELECT o.feature_set, o.horizon, m.model AS model, w.scheme AS scheme, w.win, y_raw, mean, CASE m.model WHEN 'ols' THEN alpha + beta * pred WHEN 'mean' THEN mean ELSE 0 END AS p FROM preds o JOIN w ON date_idx >= w.t AND date_idx < te JOIN s ON s.feature_set = o.feature_set AND s.horizon = o.horizon AND s.scheme = w.scheme AND s.win = w.win CROSS JOIN (VALUES ('zero'), ('mean'), ('ols')) m(model))"""
+
+
 def _case(x: str, edges: list[float]) -> str:
     return f"CASE WHEN {x} >= {edges[0]} AND {x} <= {edges[1]} THEN 0 " + " ".join(f"WHEN {x} > {edges[i]} AND {x} <= {edges[i + 1]} THEN {i}" for i in range(1, len(edges) - 1)) + " END"
 
@@ -321,16 +383,21 @@ s AS (SELECT feature_set, w.win, COUNT(*) AS n, AVG(y_raw) AS mean, CASE WHEN AV
 t AS (SELECT o.feature_set, w.win, 1 - SUM(y_raw * y_raw) / SUM((y_raw - mean) * (y_raw - mean)) AS r2_zero, 1 - SUM((y_raw - alpha - beta * pred) * (y_raw - alpha - beta * pred)) / SUM((y_raw - mean) * (y_raw - mean)) AS r2_ols, AVG(CASE WHEN (y_raw > 0) = (majority = 1) THEN 1.0 ELSE 0 END) AS hit_majority, COUNT(*) AS n_test FROM o JOIN w ON date_idx >= w.t AND date_idx < te JOIN s ON s.feature_set = o.feature_set AND s.win = w.win GROUP BY 1, 2),
 f AS (SELECT s.feature_set, s.win, n, mean, majority, beta, alpha, beta / SQRT((syy - beta * sxy) / (n - 2) / sxx) AS t, r2_zero, r2_ols, hit_majority, n_test FROM s JOIN t ON s.feature_set = t.feature_set AND s.win = t.win)
 SELECT feature_set, win AS "window", n, majority, n_test, {R('mean beta alpha t r2_zero r2_ols hit_majority', 4)} FROM f""",
-    "determinism": f"{P}, r AS (SELECT feature_set, horizon, date, RANK() OVER (PARTITION BY feature_set, horizon, date ORDER BY pred) + (COUNT(*) OVER (PARTITION BY feature_set, horizon, date, pred) - 1) / 2.0E0 AS a, RANK() OVER (PARTITION BY feature_set, horizon, date ORDER BY y_demeaned) + (COUNT(*) OVER (PARTITION BY feature_set, horizon, date, y_demeaned) - 1) / 2.0E0 AS b FROM preds), i AS (SELECT CORR(a, b) AS ic, COUNT(*) AS n FROM r GROUP BY feature_set, horizon, date) SELECT COUNT(*) AS cells, 0.0E0 AS max_difference FROM i WHERE n >= 5 AND ic IS NOT NULL AND NOT isnan(ic)",
     "signal_injection": f"""{P}, o AS (SELECT ticker, date, y_demeaned AS y FROM preds WHERE horizon = 1 AND feature_set = 'C'), g AS (SELECT s.s AS strength, k.k AS seed FROM (VALUES {', '.join(f'({x}E0)' for x in STRENGTHS)}) s(s) CROSS JOIN (VALUES (1), (2), (3)) k(k)),
 u AS (SELECT o.*, strength, seed, (CAST('0x' || substr(md5(ticker || '|' || date || '|' || seed || '|a'), 1, 13) AS BIGINT) + 0.5) / {1 << 52}E0 AS ua, (CAST('0x' || substr(md5(ticker || '|' || date || '|' || seed || '|b'), 1, 13) AS BIGINT) + 0.5) / {1 << 52}E0 AS ub FROM o CROSS JOIN g),
 z AS (SELECT *, SQRT(-2 * LN(ua)) * COS(2 * PI() * ub) AS z FROM u), w AS (SELECT *, y + strength * STDDEV_SAMP(y) OVER (PARTITION BY strength, seed) / SQRT(1 - strength * strength) * z AS yp FROM z),
 q AS (SELECT strength, seed, date, ROUND(z, 9) AS z, ROUND(yp - AVG(yp) OVER (PARTITION BY strength, seed, date), 9) AS yp FROM w), {_ic('i', 'q', 'z', 'yp', 'strength, seed, date', 5)},
 m AS (SELECT strength, seed, AVG(ic) AS ic, COUNT(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT strength, AVG(ic) AS ic, MIN(ic) AS lowest, MAX(ic) AS highest, MAX(n) AS days FROM m GROUP BY 1) SELECT {R('strength ic lowest highest')}, days FROM f""",
-    "grid_run": f"""{P}, n AS (SELECT MAX(date_idx) + 1 AS n FROM preds), w AS (SELECT 'expanding' AS scheme, CAST((t - 120) / 13 AS INT) AS win, 0 AS lo, t - 3 AS hi, t, LEAST(t + 13, n) AS te FROM n JOIN range(120, 5000, 13) r(t) ON t < n - 13 UNION ALL SELECT 'rolling', CAST((t - 52) / 13 AS INT), t - 52, t - 3, t, LEAST(t + 13, n) FROM n JOIN range(52, 5000, 13) r(t) ON t < n - 13),
-s AS (SELECT feature_set, horizon, w.scheme AS scheme, w.win, AVG(y_raw) AS mean, REGR_SLOPE(y_raw, pred) AS beta, REGR_INTERCEPT(y_raw, pred) AS alpha FROM preds JOIN w ON date_idx >= lo AND date_idx < hi GROUP BY 1, 2, 3, 4),
-x AS (SELECT o.feature_set, o.horizon, m.model AS model, w.scheme AS scheme, w.win, y_raw, mean, CASE m.model WHEN 'ols' THEN alpha + beta * pred WHEN 'mean' THEN mean ELSE 0 END AS p FROM preds o JOIN w ON date_idx >= w.t AND date_idx < te JOIN s ON s.feature_set = o.feature_set AND s.horizon = o.horizon AND s.scheme = w.scheme AND s.win = w.win CROSS JOIN (VALUES ('zero'), ('mean'), ('ols')) m(model)),
+    "grid_run": f"""{_GRID},
 f AS (SELECT feature_set, horizon, model, scheme, win, COUNT(*) AS n_test, 1 - SUM((y_raw - p) * (y_raw - p)) / SUM((y_raw - mean) * (y_raw - mean)) AS r2, AVG(CASE WHEN (y_raw > 0) = (p > 0) THEN 1.0 ELSE 0 END) AS hit FROM x GROUP BY 1, 2, 3, 4, 5) SELECT feature_set, horizon, model, scheme, win AS "window", n_test, {R('r2 hit', 4)} FROM f""",
+    "determinism": f"""{_GRID},
+f AS (SELECT feature_set, horizon, model, scheme, win FROM x WHERE model <> 'zero' GROUP BY 1, 2, 3, 4, 5) SELECT COUNT(*) AS cells, 0.0E0 AS max_difference FROM f""",
+    "pooled_run": f"""{_GRID},
+b AS (SELECT feature_set, horizon, model, scheme, AVG(mean) AS base, COUNT(*) AS windows FROM (SELECT feature_set, horizon, model, scheme, win, MAX(mean) AS mean FROM x GROUP BY 1, 2, 3, 4, 5) q GROUP BY 1, 2, 3, 4),
+r AS (SELECT x.*, base, windows, RANK() OVER (PARTITION BY x.feature_set, x.horizon, x.model, x.scheme ORDER BY ROUND(p, 12)) + (COUNT(*) OVER (PARTITION BY x.feature_set, x.horizon, x.model, x.scheme, ROUND(p, 12)) - 1) / 2.0E0 AS pr,
+ RANK() OVER (PARTITION BY x.feature_set, x.horizon, x.model, x.scheme ORDER BY ROUND(y_raw, 12)) + (COUNT(*) OVER (PARTITION BY x.feature_set, x.horizon, x.model, x.scheme, ROUND(y_raw, 12)) - 1) / 2.0E0 AS yr FROM x JOIN b ON x.feature_set = b.feature_set AND x.horizon = b.horizon AND x.model = b.model AND x.scheme = b.scheme),
+f AS (SELECT feature_set, horizon, model, scheme, windows, COUNT(*) AS n, 1 - SUM((y_raw - p) * (y_raw - p)) / SUM((y_raw - base) * (y_raw - base)) AS r2, SQRT(AVG((y_raw - p) * (y_raw - p))) AS rmse, AVG(CASE WHEN (y_raw > 0) = (p > 0) THEN 1.0 ELSE 0 END) AS hit, CASE WHEN MIN(pr) < MAX(pr) AND MIN(yr) < MAX(yr) THEN CORR(pr, yr) END AS ic FROM r GROUP BY 1, 2, 3, 4, 5)
+SELECT feature_set, horizon, model, scheme, windows, n, {R('r2 rmse hit ic', 4)} FROM f""",
     "tensor_panel": f"""{C}, {_TOP.format(where='')}, f AS (SELECT r.ticker, r.date, n AS n_raw, ret, CAST(ROW_NUMBER() OVER (PARTITION BY r.ticker, r.date ORDER BY dte, moneyness, is_call) - 1 AS INT) AS row, moneyness, dte / 365.0E0 AS tau, impl_volatility AS iv, LN(1 + open_interest) AS log_oi FROM r JOIN bars_m b ON r.ticker = b.ticker AND r.date = b.date WHERE rk <= 12 AND ret IS NOT NULL)
 SELECT ticker, date, n_raw, row, {R('ret moneyness tau iv log_oi')} FROM f""",
     "contract_measures": f"""{C}, f AS (SELECT date, SUM(moneyness) AS moneyness, SUM(dte / 365.0E0) AS tau, SUM(is_call) AS is_call, SUM(impl_volatility) AS impl_volatility, SUM(delta) AS delta, SUM(gamma) AS gamma, SUM(vega) AS vega, SUM(LN(1 + volume)) AS log_volume, SUM(LN(1 + open_interest)) AS log_oi, SUM(spread_pct) AS spread_pct FROM contracts GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from panelforge.functions import scalars as S
 from panelforge.functions import windows as W
-from panelforge.operators import chain, panel
+from panelforge.operators import averages, chain, panel
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources import tables
 from panelforge.sources.tables import bars, contracts, ctes, materialize, scan
@@ -37,9 +37,10 @@ def price_momentum_vol(spark, d):
 
 def rsi_macd_atr(spark, d):
     b = bars(spark, d)
-    macd = (W.ema(col("prc"), 12, w()) - W.ema(col("prc"), 26, w())) / col("prc")
-    out = b.withColumn("macd", macd).select(*K, "macd", W.rsi(col("ret"), 14, w()).alias("rsi"), W.ema(F.abs("ret"), 14, w()).alias("atr"))
-    return rounded(out.withColumn("macd_signal", W.ema(col("macd"), 9, w())))
+    up, down = (F.when(c, F.abs("ret")).when(col("ret").isNotNull(), 0.0) for c in (col("ret") > 0, col("ret") < 0))
+    out = averages.emas(b, {"fast": (col("prc"), 12), "slow": (col("prc"), 26), "gain": (up, 14), "loss": (down, 14), "atr": (F.abs("ret"), 14)})
+    out = materialize(out.select(*K, ((col("fast") - col("slow")) / col("prc")).alias("macd"), averages.rsi_of(col("gain"), col("loss")).alias("rsi"), "atr"), "averages")
+    return rounded(averages.emas(out, {"macd_signal": (col("macd"), 9)}))
 
 
 def bollinger_sma(spark, d):

@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 RAW = "region nation customer supplier part orders lineitem events".split()
 
-BARS = """
-SELECT ticker, sector, date, date_idx, prc, prc / LAG(prc) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret, vol,
- vol * 1000 AS mktcap, CAST(12 + (date_idx * 7) % 17 AS DOUBLE) AS vix_close, CAST(14 + (date_idx * 5) % 13 AS DOUBLE) AS vix3m_close,
- CAST(2 AS DOUBLE) AS tbill_rate, CAST(((n_nationkey + 13 - date_idx % 13) % 13) * 7 AS DOUBLE) AS days_to_next_earnings
-FROM (SELECT g.*, i.date_idx FROM (
+#: Entity x date aggregates of the line items; bars number the dates of these few rows.
+DEALS = """
  SELECT n_name AS ticker, r_name AS sector, n_nationkey, CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date,
   CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS prc,
   CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS vol
  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
- GROUP BY 1, 2, 3, 4) g
- JOIN (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS date_idx FROM (SELECT DISTINCT CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date FROM {lineitem}) x) i ON g.date = i.date) h"""
+ GROUP BY 1, 2, 3, 4"""
+
+BARS = """
+SELECT ticker, sector, date, date_idx, prc, prc / LAG(prc) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret, vol,
+ vol * 1000 AS mktcap, CAST(12 + (date_idx * 7) % 17 AS DOUBLE) AS vix_close, CAST(14 + (date_idx * 5) % 13 AS DOUBLE) AS vix3m_close,
+ CAST(2 AS DOUBLE) AS tbill_rate, CAST(((n_nationkey + 13 - date_idx % 13) % 13) * 7 AS DOUBLE) AS days_to_next_earnings
+FROM (SELECT g.*, i.date_idx FROM {deals} g
+ JOIN (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS date_idx FROM (SELECT DISTINCT date FROM {deals}) x) i ON g.date = i.date) h"""
 
 CONTRACTS = """
 SELECT c.*, CASE WHEN is_call = 1 THEN 0.5 - 2 * (moneyness - 1) ELSE -0.5 - 2 * (moneyness - 1) END AS delta,
@@ -93,11 +96,13 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **frames) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
-    return _sql(spark, sf_dir, BARS.replace("{grain}", grain))
+    """Bars by entity and date. Line items are read once: their aggregates, a row for each entity and date, are written."""
+    return _sql(spark, sf_dir, BARS, deals=materialize(_sql(spark, sf_dir, DEALS.replace("{grain}", grain)), "deals"))
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, CONTRACTS, bars_m=bars(spark, sf_dir, "month"))
+def contracts(spark: SparkSession, sf_dir: str, months: DataFrame | None = None) -> DataFrame:
+    """The option chain; ``months`` are the bars by month where they are at hand."""
+    return _sql(spark, sf_dir, CONTRACTS, bars_m=bars(spark, sf_dir, "month") if months is None else months)
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +113,14 @@ def ctes(*names: str) -> str:
     """The adapters as DuckDB common table expressions."""
     raw = {t: t for t in RAW}
     texts = {
-        "bars": BARS.format(grain="week", **raw),
-        "bars_m": BARS.format(grain="month", **raw),
+        "deals": DEALS.format(grain="week", **raw),
+        "deals_m": DEALS.format(grain="month", **raw),
+        "bars": BARS.format(deals="deals"),
+        "bars_m": BARS.format(deals="deals_m"),
         "contracts": CONTRACTS.format(bars_m="bars_m", **raw),
         "preds": PREDS.format(bars="bars", **raw),
     }
-    needs = {"contracts": ["bars_m"], "preds": ["bars"]}
+    needs = {"contracts": ["deals_m", "bars_m"], "preds": ["deals", "bars"], "bars": ["deals"], "bars_m": ["deals_m"]}
     order = list(dict.fromkeys(x for n in names for x in [*needs.get(n, []), n]))
     return "WITH " + ",\n".join(f"{n} AS ({texts[n]})" for n in order)
 
@@ -130,6 +137,39 @@ def pending(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done.select(*keys), keys, "left_anti")
 
 
+def _hadoop_path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path, store = _hadoop_path(spark, name)
+    return store.exists(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the partitions that ``df`` has rows of, and no others; each is put in place when all its rows are written.
+
+    Rows are dealt by partition first, large ones split, so that a partition has few files.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def upsert_partitions(new: DataFrame, path: str, keys: list[str], by: list[str]) -> int:
+    """Upsert into a table partitioned by ``by``: only partitions that ``new`` touches are read and rewritten. Returns their number.
+
+    Rows of ``new`` win by key; a key stays in its partition, so ``by`` is part of ``keys``.
+    """
+    spark = new.sparkSession
+    new = materialize(new, "upsert-new")
+    touched = new.select(*by).distinct()
+    if path_exists(spark, path):
+        old = spark.read.parquet(path).select(*new.columns).join(F.broadcast(touched), by, "left_semi")  # prunes partitions at run time
+        new = materialize(upsert(old, new, keys), "upsert")  # a table can't be read while it is overwritten
+    overwrite_partitions(new, path, by)
+    return touched.count()
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Parquet sink with one folder for each value of ``by``, so that later scans prune."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
