@@ -78,17 +78,42 @@ def chi2_1_tail(x: Column) -> Column:
     return 2 * (1 - normal_cdf(F.sqrt(x)))
 
 
-#: Fixed values of the normal quantile's rational approximation (Abramowitz and Stegun 26.2.23).
-PPF_C = (2.515517, 0.802853, 0.010328)
-PPF_D = (1.432788, 0.189269, 0.001308)
+#: Fixed values of Acklam's rational approximation of the normal quantile: centre (numerator, denominator), tails (likewise), and where the tails begin.
+PPF_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+PPF_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+PPF_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+PPF_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+PPF_TAIL = 0.02425
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
 
 
 def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution; absolute error below 4.5e-4."""
-    q = F.when(p < 0.5, p).otherwise(1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    x = t - (PPF_C[0] + t * (PPF_C[1] + t * PPF_C[2])) / (1 + t * (PPF_D[0] + t * (PPF_D[1] + t * PPF_D[2])))
-    return F.when(p < 0.5, -x).otherwise(x)
+    """Inverse of the standard normal distribution; relative error below 1.2e-9. Null outside (0, 1)."""
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _polynomial(PPF_C, t) / _polynomial(PPF_D, t)
+    inside = F.when(p < PPF_TAIL, tail).when(p > 1 - PPF_TAIL, -tail).otherwise(q * _polynomial(PPF_A, r) / _polynomial(PPF_B, r))
+    return F.when((p > 0) & (p < 1), inside)
+
+
+def normal_quantile_sql(p: str) -> str:
+    """The same as SQL."""
+
+    def polynomial(coefficients: tuple[float, ...], x: str) -> str:
+        out = f"{coefficients[0]!r}"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    t, r = f"SQRT(-2 * LN(LEAST({p}, 1 - ({p}))))", f"(({p}) - 0.5) * (({p}) - 0.5)"
+    tail = f"{polynomial(PPF_C, t)} / {polynomial(PPF_D, t)}"
+    return f"(CASE WHEN ({p}) < {PPF_TAIL} THEN {tail} WHEN ({p}) > 1 - {PPF_TAIL} THEN -({tail}) ELSE (({p}) - 0.5) * {polynomial(PPF_A, f'({r})')} / {polynomial(PPF_B, f'({r})')} END)"
 
 
 def svi_variance(k: Column, a: Column, b: Column, rho: Column, m: Column, sigma: Column) -> Column:

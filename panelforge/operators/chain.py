@@ -111,17 +111,23 @@ def parity_deviation(chain: DataFrame, keys=KEYS) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.coalesce(ratio(F.sum("g"), F.sum("w")), F.sum("d") / F.sum("m")).alias("parity_deviation"), F.sum("m").alias("pairs"))
 
 
-def opening_trades(chain: DataFrame, dates: DataFrame, keys=KEYS, contract=("moneyness", "dte", "is_call")) -> DataFrame:
-    """Put/call ratio of volume in contracts whose open interest rose since the entity's date before.
+def opening_trades(chain: DataFrame, dates: DataFrame | None = None, keys=KEYS, contract=("moneyness", "dte", "is_call")) -> DataFrame:
+    """Put/call ratio of volume in contracts whose open interest rose since the entity was last observed.
 
-    ``dates(date, date_idx)`` numbers the dates. A contract not seen on the
-    date before counts as rising from 0. Prefer an expiry in ``contract``: days
-    to expiry shrink from one date to the next.
+    The observation before is the entity's last date with any contract, or with
+    ``dates(date, date_idx)`` the date before in their numbering. A contract not
+    seen then counts as rising from 0. Prefer an expiry in ``contract``: days to
+    expiry shrink from one date to the next, so another contract takes their place.
     """
     entity, date = keys
-    w = Window.partitionBy(entity, *contract).orderBy("date_idx")
-    before = F.when(F.lag("date_idx").over(w) == F.col("date_idx") - 1, F.lag("open_interest").over(w))
-    rising = chain.join(F.broadcast(dates), date).withColumn("rose", F.col("open_interest") > F.coalesce(before, F.lit(0)))
+    if dates is None:
+        days = chain.select(entity, date).distinct().withColumn("_seen", F.row_number().over(Window.partitionBy(entity).orderBy(date)))
+        numbered = chain.join(days, list(keys))
+    else:
+        numbered = chain.join(F.broadcast(dates.select(date, F.col("date_idx").alias("_seen"))), date)
+    w = Window.partitionBy(entity, *contract).orderBy("_seen")
+    before = F.when(F.lag("_seen").over(w) == F.col("_seen") - 1, F.lag("open_interest").over(w))
+    rising = numbered.withColumn("rose", F.col("open_interest") > F.coalesce(before, F.lit(0)))
     return rising.groupBy(*keys).agg(ratio(total("volume", put() & F.col("rose")), total("volume", call() & F.col("rose"))).alias("opening_pc"))
 
 

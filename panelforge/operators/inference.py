@@ -185,6 +185,14 @@ def bootstrap_difference(values: DataFrame, keys: list[str], group: str, first:
     return _interval(m.groupBy(*keys, "rep").agg((side(first) - side(second)).alias("m")).where("m is not null"), keys)
 
 
+def corrected(tests: DataFrame, p: str, level: float = 0.05) -> DataFrame:
+    """Tests with their number, whether each stands at the level and at the level over their number, and how many do."""
+    n = tests.agg(F.count("*").alias("tests"))
+    out = tests.crossJoin(F.broadcast(n)).withColumn("stands", F.col(p) < level).withColumn("corrected", F.col(p) < level / F.col("tests"))
+    out = materialize(out, "tests")
+    return out.crossJoin(F.broadcast(out.agg(F.count(F.when(F.col("stands"), 1)).alias("n_stand"), F.count(F.when(F.col("corrected"), 1)).alias("n_corrected"))))
+
+
 def bootstrap_ranks(values: DataFrame, key: str, value: str, unit: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Median and percentile interval of each group's rank by mean, largest first, over shared draws."""
     m = replicates_of(values, [key], value, unit, replicates, seed)

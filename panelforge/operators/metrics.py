@@ -97,9 +97,28 @@ def base_rate(preds: DataFrame, y: str, keys: list[str]) -> DataFrame:
     return preds.groupBy(*keys).agg(F.avg(F.when(F.col(y) > 0, 1.0).otherwise(0.0)).alias("base_rate"))
 
 
+#: Order of the columns of a comparison table.
+ORDER = ("n", "r2", "xs_r2", "rmse", "mae", "ic", "icir", "accuracy", "precision", "recall", "f1", "auc", "n_long", "sharpe", "max_drawdown", "total_return", "win_rate", "trades")
+
+
+def comparison(table: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER) -> DataFrame:
+    """The columns that a result table has, in the fixed order."""
+    return table.select(*keys, *[c for c in order if c in table.columns])
+
+
+def by_label(preds: DataFrame, labels: dict[str, Column], least: int) -> DataFrame:
+    """Rows once for each regime, with its name and the row's ``value``; values of too few rows in all sets together stay out of a set that has too few."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("regime"), c.alias("value")) for n, c in labels.items()]))
+    long = preds.withColumn("_l", each).select(*preds.columns, "_l.regime", "_l.value").where("value is not null")
+    if least <= 1:
+        return long
+    enough = long.groupBy("feature_set", "regime", "value").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return long.join(F.broadcast(enough), ["feature_set", "regime", "value"], "left_semi")  # a row for each set and value
+
+
 def by_regime(preds: DataFrame, labels: dict[str, Column], pred: str, y: str, keys: list[str], least: int = 10) -> DataFrame:
     """Metrics for each value of each regime, values with too few rows left out."""
     tagged = preds.select("*", *[c.alias(f"_r_{n}") for n, c in labels.items()])
     long = tagged.unpivot([c for c in preds.columns], [f"_r_{n}" for n in labels], "regime", "value").withColumn("regime", F.substring("regime", 4, 100))
     cell = [*keys, "regime", "value"]
-    return regression(long, pred, y, cell).where(F.col("n") >= least).join(rank_ic(long, pred, y, cell), cell)
+    return regression(long, pred, y, cell).where(F.col("n") >= least).join(rank_ic(long, pred, y, cell, large=True), cell)

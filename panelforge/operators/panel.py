@@ -78,6 +78,13 @@ def missing_rates(df: DataFrame, columns: list[str], warn: float = 0.5) -> DataF
     return rates.unpivot([], columns, "feature", "rate").withColumn("warn", F.col("rate") > warn)
 
 
+def split_matrix(df: DataFrame, splits: DataFrame, features: list[str], y: str, keys: tuple[str, ...] = ("ticker", "date"), time: str = "date") -> DataFrame:
+    """Model rows of each split: ``(split, keys, x, y, up)``; rows without a target go, missing features are 0."""
+    labelled = df.where(F.col(y).isNotNull()).join(F.broadcast(splits), time)  # a row a date
+    x = F.array(*[zero_if_missing(F.col(f).cast("double")) for f in features])
+    return labelled.select("split", *keys, x.alias("x"), F.col(y).cast("double").alias("y"), F.when(F.col(y) > 0, 1).otherwise(0).alias("up"))
+
+
 def assemble(targets: DataFrame, inner: list[DataFrame], left: list[DataFrame], keys: list[str]) -> DataFrame:
     """Wide panel: targets joined with every frame on the keys."""
     out = reduce(lambda a, b: a.join(b, keys, "inner"), inner, targets)

@@ -25,7 +25,7 @@ def without_event_crossing(preds: DataFrame, days_to_event: str, horizon: Column
 
 def signal_decay(preds: DataFrame, pred: str, y: str, cell: str, horizon: str, n: int = 3, periods: float = 52.0) -> DataFrame:
     """Pooled IC, R2 and long/short Sharpe ratio of each cell by horizon, and the change of the IC from the shortest horizon."""
-    out = metrics.rank_ic(preds, pred, y, [cell, horizon], 11).join(metrics.regression(preds, pred, y, [cell, horizon]), [cell, horizon])
+    out = metrics.rank_ic(preds, pred, y, [cell, horizon], 11, large=True).join(metrics.regression(preds, pred, y, [cell, horizon]), [cell, horizon])
     out = out.join(gross_sharpe(preds, [cell, horizon], n, periods).select(cell, horizon, "sharpe"), [cell, horizon], "left")
     first = F.first("ic").over(Window.partitionBy(cell).orderBy(horizon))
     return out.withColumn("decay", F.col("ic") - first)
@@ -78,6 +78,17 @@ def survivors(cells: DataFrame, t: str, bar: float) -> DataFrame:
     return cells.where(F.abs(t) > bar).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs(t)), *cells.columns[:2])))
 
 
+def matching(df: DataFrame, label: str, contains: str = "", startswith: str = "") -> DataFrame:
+    """Rows whose label holds the one text and begins with the other."""
+    return df.where(F.col(label).contains(contains) & F.col(label).startswith(startswith))
+
+
+def headlines(cells: DataFrame, keys: list[str], name: str, best: dict[str, str], t: str, bar: float) -> DataFrame:
+    """For each key the cell that is best by each column (ties go to the first name), its value, the number of cells, and those whose |t| passes the bar."""
+    at = [x for c, alias in best.items() for x in (F.min_by(name, F.struct(-F.col(c), F.col(name))).alias(f"best_{alias}"), F.max(c).alias(alias))]
+    return cells.groupBy(*keys).agg(*at, F.count("*").alias("cells"), F.count(F.when(F.abs(t) > bar, 1)).alias("passing"))
+
+
 def carry_over(new: DataFrame, old: DataFrame, keys: list[str], label: str, prefix: str) -> DataFrame:
     """Re-evaluated rows, and those of the old table whose label begins with the prefix and that were not re-evaluated."""
     kept = old.where(F.col(label).startswith(prefix)).join(new.select(*keys), keys, "left_anti")

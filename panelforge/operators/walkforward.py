@@ -19,6 +19,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from panelforge.functions.scalars import correlation
 from panelforge.operators.linear import over_ranges, running
 
 
@@ -173,19 +174,32 @@ def fit_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def permuted(panel: DataFrame, column: str, date: str = "date", seed: int = 42) -> DataFrame:
-    """The panel with one column shuffled within each date: values join rows by two random ranks."""
-    a = panel.withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.rand(seed)))).drop(column)
-    b = panel.select(date, column, F.row_number().over(Window.partitionBy(date).orderBy(F.rand(seed + 1))).alias("_r"))
+def permuted(panel: DataFrame, columns: list[str], entity: str = "ticker", date: str = "date", seed: int = 42, suffix: str = "_shuffled") -> DataFrame:
+    """The panel with a shuffled copy of each column: within its date a row takes the values of another.
+
+    The rows' two orders come from hashes of entity and date, so the shuffle is
+    the same in every run and however often a partition is computed. (entity,
+    date) is unique.
+    """
+    order = lambda s: Window.partitionBy(date).orderBy(F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.col(date).cast("string"), F.lit(str(s))).cast("binary")), entity)
+    a = panel.withColumn("_r", F.row_number().over(order(seed)))
+    b = panel.select(date, *[F.col(c).alias(c + suffix) for c in columns], F.row_number().over(order(seed + 1)).alias("_r"))
     return a.join(b, [date, "_r"]).drop("_r")
 
 
-def permutation_importance(panel: DataFrame, features: list[str], score: Callable[[DataFrame], Column | DataFrame]) -> DataFrame:
-    """Loss of score when one feature is shuffled within its date, and its share of all losses."""
-    base = score(panel).first()[0]
-    rows = [(f, float(base - score(permuted(panel, f)).first()[0])) for f in features]
-    total = sum(max(0.0, v) for _, v in rows) or 1.0
-    return panel.sparkSession.createDataFrame([(f, v, max(0.0, v) / total) for f, v in rows], "feature string, loss double, share double")
+def permutation_importance(panel: DataFrame, features: list[str], predict: Callable[[dict[str, Column]], Column], y: str, entity: str = "ticker", date: str = "date", seed: int = 42) -> DataFrame:
+    """``(feature, loss, share)``: correlation lost when a feature is shuffled within its date, and its share of all losses; one job for all.
+
+    ``predict`` gives the prediction from a column for each feature.
+    """
+    own = {f: F.col(f) for f in features}
+    both = permuted(panel, features, entity, date, seed)
+    named = both.select(F.col(y).alias("_y"), predict(own).alias("_base"), *[predict(own | {f: F.col(f + "_shuffled")}).alias(f"_p{i}") for i, f in enumerate(features)])
+    one = named.agg(correlation("_base", "_y").alias("_c"), *[correlation(f"_p{i}", "_y").alias(f"_c{i}") for i in range(len(features))])
+    losses = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("_c") - F.col(f"_c{i}")).alias("loss")) for i, f in enumerate(features)])
+    total = F.aggregate(losses, F.lit(0.0), lambda a, x: a + F.greatest(x["loss"], F.lit(0.0)))
+    each = one.select(total.alias("total"), F.explode(losses).alias("l"))
+    return each.select("l.feature", "l.loss", F.coalesce(F.try_divide(F.greatest(F.col("l.loss"), F.lit(0.0)), F.col("total")), F.lit(0.0)).alias("share"))
 
 
 def differences(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:

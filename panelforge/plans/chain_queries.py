@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import chain, inference
 from panelforge.functions.windows import average_rank, by, demean, forward_return
 from panelforge.plans.rounding import rounded, sql_rounded as R
-from panelforge.sources.tables import bars, contracts, ctes
+from panelforge.sources.tables import bars, contracts, ctes, listed, materialize
 
 
 def pc_ratio_ic(spark, d):
@@ -44,6 +44,11 @@ def opening_trades(spark, d):
     return rounded(chain.opening_trades(contracts(spark, d), bars(spark, d, "month").select("date", "date_idx").distinct()))
 
 
+def opening_trades_by_expiry(spark, d):
+    """Opening trades of contracts that are followed by strike and expiry from one observation of their entity to the next."""
+    return rounded(chain.opening_trades(materialize(listed(spark, d), "listed"), contract=("strike_no", "expiration", "is_call")))
+
+
 def implied_event_move(spark, d):
     return rounded(chain.event_move(contracts(spark, d), bars(spark, d, "month")))
 
@@ -59,7 +64,7 @@ def contract_filter(spark, d):
     return rounded(c.groupBy("ticker", "date").agg(F.count("*").alias("n"), F.sum("tau").alias("tau"), F.sum("log_volume").alias("log_volume"), F.sum("log_oi").alias("log_oi")))
 
 
-QUERIES = {f.__name__: f for f in (pc_ratio_ic, chain_sentiment, chain_atm_skew_term, chain_activity, gex, parity_deviation, opening_trades, implied_event_move, bkm_moments, contract_filter)}
+QUERIES = {f.__name__: f for f in (pc_ratio_ic, chain_sentiment, chain_atm_skew_term, chain_activity, gex, parity_deviation, opening_trades, opening_trades_by_expiry, implied_event_move, bkm_moments, contract_filter)}
 
 C = ctes("contracts")
 VW = "SUM(CASE WHEN volume > 0 THEN volume * {0} END) / SUM(CASE WHEN volume > 0 THEN volume END)"
@@ -111,6 +116,10 @@ j AS (SELECT a.*, a.open_interest > COALESCE(b.open_interest, 0) AS rose FROM n
 a AS (SELECT ticker, date, SUM(CASE WHEN is_call = 0 AND rose THEN volume ELSE 0 END) AS p, SUM(CASE WHEN is_call = 1 AND rose THEN volume ELSE 0 END) AS c FROM j GROUP BY 1, 2),
 q AS (SELECT ticker, date, CASE WHEN c > 0 THEN CAST(p AS DOUBLE) / c END AS opening_pc FROM a)
 SELECT ticker, date, {R('opening_pc')} FROM q""",
+    "opening_trades_by_expiry": f"""{ctes('listed')}, n AS (SELECT *, DENSE_RANK() OVER (PARTITION BY ticker ORDER BY date) AS seen FROM listed),
+j AS (SELECT a.*, a.open_interest > COALESCE(b.open_interest, 0) AS rose FROM n a LEFT JOIN n b ON a.ticker = b.ticker AND a.strike_no = b.strike_no AND a.expiration = b.expiration AND a.is_call = b.is_call AND b.seen = a.seen - 1),
+a AS (SELECT ticker, date, SUM(CASE WHEN is_call = 0 AND rose THEN volume ELSE 0 END) AS p, SUM(CASE WHEN is_call = 1 AND rose THEN volume ELSE 0 END) AS c FROM j GROUP BY 1, 2),
+q AS (SELECT ticker, date, CASE WHEN c > 0 THEN CAST(p AS DOUBLE) / c END AS opening_pc FROM a) SELECT ticker, date, {R('opening_pc')} FROM q""",
     "implied_event_move": f"""{C}, n AS (SELECT c.*, days_to_next_earnings AS e FROM contracts c JOIN bars_m b ON c.ticker = b.ticker AND c.date = b.date WHERE days_to_next_earnings BETWEEN 0 AND 30 AND moneyness BETWEEN 0.95 AND 1.05),
 r AS (SELECT *, RANK() OVER (PARTITION BY ticker, date ORDER BY ABS(dte - GREATEST(e, 1)), dte) AS rk FROM n),
 a AS (SELECT ticker, date, AVG(CASE WHEN is_call = 1 THEN mid_price END) AS c, AVG(CASE WHEN is_call = 0 THEN mid_price END) AS p, MAX(underlying_price) AS s FROM r WHERE rk = 1 GROUP BY 1, 2),

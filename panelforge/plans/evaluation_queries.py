@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.scalars import normal_quantile_sql
 from panelforge.operators import backtest, inference, metrics
 from panelforge.plans.rounding import rounded, sql_rounded as R
 from panelforge.sources.tables import ctes, materialize, preds
@@ -219,10 +220,7 @@ def _cdf(x: str) -> str:
     return f"(CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
-def _ppf(p: str) -> str:
-    t = f"SQRT(-2 * LN(1 - ({p})))"
-    return f"({t} - (2.515517 + {t} * (0.802853 + {t} * 0.010328)) / (1 + {t} * (1.432788 + {t} * (0.189269 + {t} * 0.001308))))"
-
+_ppf = normal_quantile_sql
 
 LF = """pos AS (SELECT *, CASE WHEN pred > 0 THEN 1.0E0 ELSE 0 END AS pos FROM preds), mv AS (SELECT *, ABS(pos - COALESCE(LAG(pos) OVER (PARTITION BY feature_set, horizon, ticker ORDER BY date), 0)) AS turn FROM pos),
 pnl AS (SELECT feature_set, horizon, date, AVG(pos * y_raw - 0.0005 * turn) AS r, AVG(y_raw) AS hold, SUM(turn) AS trades FROM mv GROUP BY 1, 2, 3)"""

@@ -140,14 +140,13 @@ def tree_attribution(spark, d):
 
 
 def feature_importance(spark, d):
-    """Loss of explained correlation when a feature is shuffled within dates."""
-    from pyspark.ml.regression import LinearRegression
-
-    panel = _features(spark, d).na.fill(0.0)
-    rows = walkforward.model_matrix(panel, ["A", "B", "C"], "target").withColumnRenamed("raw", "x")
-    model = LinearRegression(featuresCol="x", labelCol="y", regParam=1e-6, solver="normal").fit(rows)
-    score = lambda df: model.transform(walkforward.model_matrix(df, ["A", "B", "C"], "target").withColumnRenamed("raw", "x")).agg(correlation("prediction", "y"))
-    return rounded(walkforward.permutation_importance(panel, ["A", "B", "C"], score), 4)
+    """Correlation that the least squares fit loses when a feature is shuffled within dates."""
+    names = ["A", "B", "C"]
+    p = _features(spark, d).where("target is not null").na.fill(0.0, names).withColumn("cell", F.lit("all"))
+    whole = spark.createDataFrame([(0, 0, 1 << 40)], "window int, train_lo long, train_hi long")
+    beta = walkforward.normal_equations(p, whole, names, "target", ["cell"]).first()["beta"]  # one number a feature
+    predict = lambda x: sum((F.lit(float(b)) * x[f] for f, b in zip(names, beta[1:], strict=True)), F.lit(float(beta[0])))
+    return rounded(walkforward.permutation_importance(materialize(p, "filled"), names, predict, "target"), 4)
 
 
 STRENGTHS, SEEDS = (0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15), (1, 2, 3)
@@ -351,6 +350,12 @@ vs AS (SELECT ticker, date, tenor, atm AS d50, {', '.join(f"{_VOL.format(k=f'k_{
 gs AS (SELECT ticker, date, MAX(CASE WHEN tenor = 30 THEN d25 - d75 END) AS risk_reversal, MAX(CASE WHEN tenor = 30 THEN (d25 + d75) / 2 - d50 END) AS butterfly, MAX(CASE WHEN tenor = 90 THEN d50 END) - MAX(CASE WHEN tenor = 30 THEN d50 END) AS term_slope, MAX(CASE WHEN tenor = 30 THEN d10 - d90 END) AS wing_spread FROM vs GROUP BY 1, 2),
 f AS (SELECT hd.ticker, hd.date, a AS svi_a, b AS svi_b, rho AS svi_rho, m AS svi_m, sigma AS svi_sigma, rmse AS svi_rmse, risk_reversal, butterfly, term_slope, wing_spread FROM hd LEFT JOIN gs ON hd.ticker = gs.ticker AND hd.date = gs.date)
 SELECT ticker, date, {R('svi_a svi_b svi_rho svi_m svi_sigma svi_rmse risk_reversal butterfly term_slope wing_spread')} FROM f""",
+    "feature_importance": f"""{P}, p AS (SELECT ticker, date, COALESCE(MAX(CASE WHEN feature_set = 'A' THEN pred END), 0) AS a, COALESCE(MAX(CASE WHEN feature_set = 'B' THEN pred END), 0) AS b, COALESCE(MAX(CASE WHEN feature_set = 'C' THEN pred END), 0) AS c, MAX(y_raw) AS y FROM preds WHERE horizon = 1 GROUP BY 1, 2),
+t AS (SELECT 0 AS win, 1.0E0 AS x0, a AS x1, b AS x2, c AS x3, y FROM p), {_least_squares(['constant', 'A', 'B', 'C'])}, k AS (SELECT MAX(CASE WHEN feature = 'constant' THEN beta END) AS k0, MAX(CASE WHEN feature = 'A' THEN beta END) AS ka, MAX(CASE WHEN feature = 'B' THEN beta END) AS kb, MAX(CASE WHEN feature = 'C' THEN beta END) AS kc FROM c),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY md5(ticker || '|' || CAST(date AS VARCHAR) || '|42'), ticker) AS r, ROW_NUMBER() OVER (PARTITION BY date ORDER BY md5(ticker || '|' || CAST(date AS VARCHAR) || '|43'), ticker) AS s FROM p),
+j AS (SELECT u.y, k0 + ka * u.a + kb * u.b + kc * u.c AS q, k0 + ka * v.a + kb * u.b + kc * u.c AS qa, k0 + ka * u.a + kb * v.b + kc * u.c AS qb, k0 + ka * u.a + kb * u.b + kc * v.c AS qc FROM o u JOIN o v ON u.date = v.date AND u.r = v.s CROSS JOIN k),
+l AS (SELECT CORR(q, y) - CORR(qa, y) AS a, CORR(q, y) - CORR(qb, y) AS b, CORR(q, y) - CORR(qc, y) AS c FROM j), m AS (SELECT 'A' AS feature, a AS loss FROM l UNION ALL SELECT 'B', b FROM l UNION ALL SELECT 'C', c FROM l),
+f AS (SELECT feature, loss, COALESCE(GREATEST(loss, 0) / NULLIF(SUM(GREATEST(loss, 0)) OVER (), 0), 0) AS share FROM m) SELECT feature, {R('loss share', 4)} FROM f""",
     "ols_coefficients": f"""{P}, p AS (SELECT ticker, date, date_idx, MAX(CASE WHEN feature_set = 'A' THEN pred END) AS a, MAX(CASE WHEN feature_set = 'B' THEN pred END) AS b, MAX(CASE WHEN feature_set = 'C' THEN pred END) AS c, MAX(y_raw) AS y FROM preds WHERE horizon = 1 GROUP BY 1, 2, 3),
 w AS (SELECT MAX(r.t) AS t FROM (SELECT MAX(date_idx) + 1 AS n FROM p) m JOIN range(120, 5000, 13) r(t) ON r.t < n - 13), t AS (SELECT CAST((w.t - 120) / 13 AS INT) AS win, 1.0E0 AS x0, COALESCE(a, 0) AS x1, COALESCE(b, 0) AS x2, COALESCE(c, 0) AS x3, y FROM p JOIN w ON date_idx < w.t - 1),
 {_least_squares(['constant', 'A', 'B', 'C'])}, f AS (SELECT *, beta / se AS t FROM c) SELECT win AS "window", n, feature, {R('beta se t')} FROM f""",

@@ -262,8 +262,8 @@ k AS (SELECT e.date, COUNT(*) AS left_days FROM e JOIN range(0, 31) r(i) ON e.da
 SELECT e.date, f1 AS expiry, CAST(CASE WHEN e.date <= f1 THEN f1 - e.date ELSE f2 - e.date END AS BIGINT) AS to_expiry, CAST(CASE WHEN month(e.date) IN (3, 6, 9, 12) AND COALESCE(left_days, 0) <= 5 THEN 1 ELSE 0 END AS BIGINT) AS quarter_end,
  CAST(isodow(e.date) - 1 AS BIGINT) AS weekday, CAST(year(e.date) AS BIGINT) AS year, CAST(year(e.date) AS VARCHAR) || 'Q' || CAST(quarter(e.date) AS VARCHAR) AS quarter FROM e LEFT JOIN k ON e.date = k.date""",
     "scalar_functions": f"""WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) / 5000 AS x FROM customer), p AS (SELECT *, CASE WHEN x >= 0 THEN {CDF} ELSE 1 - {CDF} END AS cdf FROM c),
-t AS (SELECT *, LEAST(GREATEST(cdf, 0.001), 0.999) AS pc FROM p), u AS (SELECT *, SQRT(-2 * LN(CASE WHEN pc < 0.5 THEN pc ELSE 1 - pc END)) AS t FROM t),
-f AS (SELECT c_custkey, cdf, CASE WHEN pc < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))) AS quantile, 2 * (1 - CASE WHEN x >= 0 THEN cdf ELSE 1 - cdf END) AS chi2_tail, LEAST(GREATEST(x, -1.0), 1.0) AS clipped,
+t AS (SELECT *, LEAST(GREATEST(cdf, 0.001), 0.999) AS pc FROM p), u AS (SELECT * FROM t),
+f AS (SELECT c_custkey, cdf, {S.normal_quantile_sql('pc')} AS quantile, 2 * (1 - CASE WHEN x >= 0 THEN cdf ELSE 1 - cdf END) AS chi2_tail, LEAST(GREATEST(x, -1.0), 1.0) AS clipped,
  0.04 + 0.1 * (-0.3 * x + SQRT(x * x + 0.04)) AS svi, EXP(0.5 * x * x * 0.25 - 0.6745 * ABS(x) * 0.5) AS strike, 'iv_surf_' || lpad(CAST(c_custkey % 110 AS VARCHAR), 3, '0') || '_030' AS label FROM u)
 SELECT c_custkey, {R('cdf quantile chi2_tail clipped svi strike')}, label FROM f""",
     "regime_labels": f"""{B} SELECT CASE WHEN vix_close >= 25 THEN 'high_vix' WHEN vix_close <= 15 THEN 'low_vix' ELSE 'normal_vix' END AS vix, CASE WHEN days_to_next_earnings <= 7 THEN 'near_earnings' ELSE 'far_earnings' END AS earnings, COUNT(*) AS n FROM bars GROUP BY 1, 2""",

@@ -49,6 +49,15 @@ FROM (
  JOIN {bars_m} b ON l.ticker = b.ticker AND l.date = b.date
  GROUP BY 1, 2, 3, 4, 5) c"""
 
+#: Contracts with a lifetime: listed by quarter, three or six months long, seen in the months between; a month in five an entity isn't observed.
+LISTED = """
+SELECT ticker, date, is_call, strike_no, expiration, CAST(SUM(volume) AS BIGINT) AS volume, CAST(SUM(oi) AS BIGINT) AS open_interest FROM (
+ SELECT n_name AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS is_call, l_partkey % 9 AS strike_no,
+  CAST(CASE WHEN l_orderkey % 2 = 0 THEN CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL '3' MONTH ELSE CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL '6' MONTH END AS DATE) AS expiration,
+  CAST(l_quantity AS INT) AS volume, (l_partkey * 7 + l_orderkey * 3) % 500 AS oi
+ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey WHERE (n_nationkey + month(l_shipdate)) % 5 <> 0) l
+GROUP BY 1, 2, 3, 4, 5"""
+
 #: Three feature sets of one model; y_raw is a hundredth of the next period's return. Values are rounded so that float noise can't split ties.
 PREDS = """
 SELECT 'rule' AS model, feature_set, 'rolling' AS scheme, horizon, ticker, sector, date, date_idx, pred, y_raw,
@@ -105,6 +114,11 @@ def contracts(spark: SparkSession, sf_dir: str, months: DataFrame | None = None)
     return _sql(spark, sf_dir, CONTRACTS, bars_m=bars(spark, sf_dir, "month") if months is None else months)
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts with an expiry, by the months in which they are observed."""
+    return _sql(spark, sf_dir, LISTED)
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PREDS, bars=bars(spark, sf_dir))
 
@@ -119,6 +133,7 @@ def ctes(*names: str) -> str:
         "bars_m": BARS.format(deals="deals_m"),
         "contracts": CONTRACTS.format(bars_m="bars_m", **raw),
         "preds": PREDS.format(bars="bars", **raw),
+        "listed": LISTED.format(**raw),
     }
     needs = {"contracts": ["deals_m", "bars_m"], "preds": ["deals", "bars"], "bars": ["deals"], "bars_m": ["deals_m"]}
     order = list(dict.fromkeys(x for n in names for x in [*needs.get(n, []), n]))
