@@ -88,4 +88,20 @@ r AS (SELECT part, filter_order, step, f, SUM(CASE WHEN translate(fails, done ||
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
  CAST(SUM(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
 
-ORACLES = {"op13_filter_audit": OP13, "op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op6_personal_data": _op6()}
+#: SHA-1 in hex to base 32: five hex digits are four characters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) // {32**k}) % 32 AS INT) + 1, 1)" for i in range(8) for k in (3, 2, 1, 0))
+OP3 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, MAX(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to FROM m"""
+
+
+def _op4() -> str:
+    """Slots by hash; the owner of each slot is the table that ``fill`` makes, which a test compares with turns taken one by one."""
+    from panelforge.llm.sharding import SHARDS, SLOTS, fill
+
+    owners = ",".join(map(str, fill(SHARDS)))
+    names = ", ".join(f"'{x}'" for x in SHARDS)
+    return f"""WITH t AS (SELECT [{owners}] AS owner, [{names}] AS shards), s AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS INT) AS shard_slot FROM documents)
+SELECT doc_id, shard_slot, shards[owner[shard_slot + 1] + 1] AS shard FROM s CROSS JOIN t"""
+
+
+ORACLES = {"op3_warc": OP3, "op4_sharding": _op4(), "op13_filter_audit": OP13, "op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op6_personal_data": _op6()}
