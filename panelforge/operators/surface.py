@@ -2,13 +2,15 @@
 
 The smile fit is quasi-explicit: for fixed (m, sigma) the model is linear in
 three coefficients, so each point of a small grid needs only grouped sums and a
-solve in columns. Everything is JVM aggregation.
+small solve, which is exact within the bounds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import ratio, strike_ratio_of_delta, svi_variance
@@ -33,32 +35,69 @@ def smile_points(chain: DataFrame, rate: float = 0.02, least: int = 5) -> DataFr
     return p.withColumn("v", F.col("v") / F.sum("v").over(smile)).withColumn("_n", F.count("*").over(smile)).where(F.col("_n") >= least).drop("_n")
 
 
+#: Bounds of the fit: the slope's share and the largest |rho|; a determinant below this share of its product is no plane.
+SLOPE, RHO, PLANE, LEAST_C = 5.0, 0.999, 1e-7, 1e-6
+
+
+def bounded(sums: dict[str, np.ndarray], sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, d, c, error) of each row of sums: the weighted least squares within the bounds, exactly.
+
+    The error is quadratic and convex in level a, tilt d and curvature c, and
+    the bounds a >= 0, LEAST_C <= c <= SLOPE sigma, |d| <= RHO c are linear, so the best
+    point is the least of one face: the inside, an edge or a corner, each with a
+    free (moments about the means) or at 0 (moments about 0).
+    """
+    raw = {k: sums[f"s{k}"] for k in ("yy", "yz", "zz", "yw", "zw")}
+    # the weights of a smile sum to 1: far less cancels than in sums about 0
+    centred = {k: raw[k] - sums[f"s1{k[0]}"] * sums[f"s1{k[1]}"] for k in raw}
+    found = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for q, free in ((centred, True), (raw, False)):
+            det = q["yy"] * q["zz"] - q["yz"] * q["yz"]
+            plane = np.where(det > PLANE * q["yy"] * q["zz"], det, np.nan)
+            faces = [((q["yw"] * q["zz"] - q["zw"] * q["yz"]) / plane, (q["zw"] * q["yy"] - q["yw"] * q["yz"]) / plane)]
+            for r in (RHO, -RHO):
+                c = (r * q["yw"] + q["zw"]) / (r * r * q["yy"] + 2 * r * q["yz"] + q["zz"])
+                faces.append((r * c, c))
+            for c in (SLOPE * sigma, np.full(len(sigma), LEAST_C)):
+                faces.append(((q["yw"] - c * q["yz"]) / q["yy"], c))
+                faces += [(r * c, c) for r in (RHO, -RHO)]
+            for d, c in faces:
+                a = sums["s1w"] - d * sums["s1y"] - c * sums["s1z"] if free else np.zeros(len(d))
+                inside = (c >= LEAST_C * (1 - 1e-9)) & (c <= SLOPE * sigma * (1 + 1e-9)) & (np.abs(d) <= RHO * c * (1 + 1e-9)) & (a >= 0)
+                sse = sums["sww"] - 2 * (a * sums["s1w"] + d * raw["yw"] + c * raw["zw"]) + a * a + d * d * raw["yy"] + c * c * raw["zz"] + 2 * (a * d * sums["s1y"] + a * c * sums["s1z"] + d * c * raw["yz"])
+                found.append((a, d, c, np.where(inside, np.maximum(sse, 0.0), np.inf)))
+    errors = np.stack([f[3] for f in found])
+    best, rows = np.round(errors, 14).argmin(0), np.arange(errors.shape[1])
+    return *(np.stack([f[k] for f in found])[best, rows] for k in range(3)), errors[best, rows]
+
+
 def _solve(p: DataFrame) -> DataFrame:
-    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of its points; all steps run in the points' partitioning by smile.
+    """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of its points, within the bounds.
 
-    Places at which the three terms are nearly dependent are left out, and
-    errors that agree to 14 digits after the point are ties, which go to the least (m, sigma):
-    otherwise the order in which quotes are summed would decide (a smile with
-    three distinct strikes is met exactly at many places).
+    Errors that agree to 14 digits after the point are ties, which go to the
+    least (m, sigma): otherwise the order in which quotes are summed would
+    decide (a smile with three distinct strikes is met exactly at many places).
     """
     y = (F.col("k") - F.col("m")) / F.col("sigma")
     p = p.withColumns({"_y": y, "_z": F.sqrt(y * y + 1)})
     cols = {"1": F.lit(1.0), "y": F.col("_y"), "z": F.col("_z"), "w": F.col("w")}
     names = [(a, b) for i, a in enumerate(cols) for b in list(cols)[i:]]
     s = p.groupBy(*SMILE, "m", "sigma").agg(F.count("*").alias("_n"), *[F.sum(F.col("v") * cols[a] * cols[b]).alias(f"s{a}{b}") for a, b in names])
-    g = {(a, b): F.col(f"s{a}{b}") for a, b in names} | {(b, a): F.col(f"s{a}{b}") for a, b in names}
-    # moments about the means (the weights of a smile sum to 1): far less cancels than in sums about 0
-    c = lambda i, j: g[i, j] - g["1", i] * g["1", j]
-    s = s.withColumns({"_yy": c("y", "y"), "_zz": c("z", "z"), "_yz": c("y", "z"), "_yw": c("y", "w"), "_zw": c("z", "w")})
-    yy, zz, yz, yw, zw = (F.col(f"_{x}") for x in ("yy", "zz", "yz", "yw", "zw"))
-    s = s.withColumn("_d", yy * zz - yz * yz).where(F.abs("_d") > 1e-6).withColumns({"_dd": (yw * zz - zw * yz) / F.col("_d"), "_c": (zw * yy - yw * yz) / F.col("_d")})
-    # bounds: level not below 0, slope positive and at most 5, |rho| under 1
-    s = s.withColumn("_c", F.least(F.greatest(F.col("_c"), F.lit(1e-6)), 5 * F.col("sigma"))).withColumn("_dd", F.greatest(F.least(F.col("_dd"), 0.999 * F.col("_c")), -0.999 * F.col("_c")))
-    s = s.withColumn("_a", F.greatest(g["1", "w"] - F.col("_dd") * g["1", "y"] - F.col("_c") * g["1", "z"], F.lit(0.0)))
-    a, d, c = F.col("_a"), F.col("_dd"), F.col("_c")
-    sse = g["w", "w"] - 2 * (a * g["1", "w"] + d * g["y", "w"] + c * g["z", "w"]) + a * a + d * d * g["y", "y"] + c * c * g["z", "z"] + 2 * (a * d * g["1", "y"] + a * c * g["1", "z"] + d * c * g["y", "z"])
-    row = F.struct(F.round(F.greatest(sse, F.lit(0.0)), 14).alias("sse"), "m", "sigma", a.alias("a"), (c / F.col("sigma")).alias("b"), (d / c).alias("rho"), "_n")
-    best = s.groupBy(*SMILE).agg(F.min(row).alias("r"))
+    keys, sums = [*SMILE, "m", "sigma", "_n"], [f"s{a}{b}" for a, b in names]
+
+    def solve(batches):
+        for batch in batches:
+            column = {c: batch.column(c).to_numpy() for c in (*sums, "sigma")}
+            a, d, c, sse = bounded(column, column["sigma"])
+            sigma = column["sigma"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *map(pa.array, (sse, a, c / sigma, d / c))], [*keys, "sse", "a", "b", "rho"])
+
+    kinds = dict(s.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", sse double, a double, b double, rho double"
+    solved = s.select(*keys, *sums).mapInArrow(solve, schema)
+    row = F.struct(F.round("sse", 14).alias("sse"), "m", "sigma", "a", "b", "rho", "_n")
+    best = solved.groupBy(*SMILE).agg(F.min(row).alias("r"))
     return best.select(*SMILE, "r.a", "r.b", "r.rho", "r.m", "r.sigma", F.sqrt(F.col("r.sse") / F.col("r._n")).alias("rmse"))
 
 

@@ -322,16 +322,31 @@ def _least_squares(names: list[str]) -> str:
 _SMILE = "ticker, date, dte"
 
 
+def _faces(p: str) -> list[tuple[str, str]]:
+    """(d, c) of least error inside the bounds of a smile's fit, on their edges and at their corners."""
+    det, top, least, rho = f"({p}yy * {p}zz - {p}yz * {p}yz)", f"({surface.SLOPE} * sigma)", f"{surface.LEAST_C:.6f}", surface.RHO
+    when = f"CASE WHEN {det} > {surface.PLANE} * {p}yy * {p}zz THEN "
+    edge = {r: f"({r} * {p}yw + {p}zw) / ({r} * {r} * {p}yy + 2 * {r} * {p}yz + {p}zz)" for r in (rho, -rho)}
+    inside = [(f"{when}({p}yw * {p}zz - {p}zw * {p}yz) / {det} END", f"{when}({p}zw * {p}yy - {p}yw * {p}yz) / {det} END")]
+    return inside + [(f"{r} * {c}", c) for r, c in edge.items()] + [x for c in (top, least) for x in ((f"({p}yw - {c} * {p}yz) / {p}yy", c), (f"{rho} * {c}", c), (f"-{rho} * {c}", c))]
+
+
+#: With the level free (moments about the means), then with the level at 0.
+_FACES = _faces("c") + _faces("s")
+
+
 def _solved(name: str, source: str) -> str:
     """Best (a, b, rho, m, sigma) of each smile over the (m, sigma) of the rows of ``source``, as ``name``."""
     pairs = [(a, b) for i, a in enumerate("1yzw") for b in "1yzw"[i:]]
     of = {"1": "1.0E0", "y": "y", "z": "z", "w": "w"}
+    faces = ", ".join("{'i': " + f"{i}, 'd': CAST({d} AS DOUBLE), 'c': CAST({c} AS DOUBLE)" + "}" for i, (d, c) in enumerate(_FACES))
+    half = len(_FACES) // 2
     sums = ", ".join(f"SUM(v * {of[a]} * {of[b]}) AS s{a}{b}" for a, b in pairs)
     return f"""{name}y AS (SELECT *, SQRT(y * y + 1) AS z FROM (SELECT *, (k - m) / sigma AS y FROM {source}) x), {name}s AS (SELECT {_SMILE}, m, sigma, COUNT(*) AS n, {sums} FROM {name}y GROUP BY {_SMILE}, m, sigma),
-{name}m AS (SELECT *, syy - s1y * s1y AS cyy, szz - s1z * s1z AS czz, syz - s1y * s1z AS cyz, syw - s1y * s1w AS cyw, szw - s1z * s1w AS czw FROM {name}s), {name}d AS (SELECT *, cyy * czz - cyz * cyz AS d0, cyw * czz - czw * cyz AS d1, czw * cyy - cyw * cyz AS d2 FROM {name}m),
-{name}c AS (SELECT *, LEAST(GREATEST(d2 / d0, 1E-6), 5 * sigma) AS c FROM {name}d WHERE ABS(d0) > 1E-6), {name}r AS (SELECT *, GREATEST(LEAST(d1 / d0, 0.999E0 * c), -0.999E0 * c) AS d FROM {name}c), {name}a AS (SELECT *, GREATEST(s1w - d * s1y - c * s1z, 0) AS a FROM {name}r),
+{name}m AS (SELECT *, syy - s1y * s1y AS cyy, szz - s1z * s1z AS czz, syz - s1y * s1z AS cyz, syw - s1y * s1w AS cyw, szw - s1z * s1w AS czw FROM {name}s), {name}f AS (SELECT *, unnest([{faces}]) AS f FROM {name}m),
+{name}c AS (SELECT *, f.i AS i, f.d AS d, f.c AS c FROM {name}f WHERE f.c >= {surface.LEAST_C} * (1 - 1E-9) AND f.c <= {surface.SLOPE} * sigma * (1 + 1E-9) AND ABS(f.d) <= {surface.RHO} * f.c * (1 + 1E-9)), {name}a AS (SELECT * FROM (SELECT *, CASE WHEN i < {half} THEN s1w - d * s1y - c * s1z ELSE 0 END AS a FROM {name}c) x WHERE a >= 0),
 {name}e AS (SELECT *, ROUND(GREATEST(sww - 2 * (a * s1w + d * syw + c * szw) + a * a + d * d * syy + c * c * szz + 2 * (a * d * s1y + a * c * s1z + d * c * syz), 0), 14) AS sse FROM {name}a),
-{name} AS (SELECT {_SMILE}, a, c / sigma AS b, d / c AS rho, m, sigma, SQRT(sse / n) AS rmse FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_SMILE} ORDER BY sse, m, sigma) AS rk FROM {name}e) x WHERE rk = 1)"""
+{name} AS (SELECT {_SMILE}, a, c / sigma AS b, d / c AS rho, m, sigma, SQRT(sse / n) AS rmse FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_SMILE} ORDER BY sse, m, sigma, i) AS rk FROM {name}e) x WHERE rk = 1)"""
 
 
 _SVI = f"""pt AS (SELECT * FROM (SELECT {_SMILE}, LN(strike / (underlying_price * EXP(0.02E0 * (dte / 365.0E0)))) AS k, impl_volatility * impl_volatility * (dte / 365.0E0) AS w, (volume + 1.0E0) / SUM(volume + 1.0E0) OVER s AS v, COUNT(*) OVER s AS quotes FROM contracts WHERE impl_volatility > 0 AND dte > 0 WINDOW s AS (PARTITION BY {_SMILE})) x WHERE quotes >= 5),

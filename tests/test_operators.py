@@ -100,6 +100,30 @@ def test_svi_recovers_a_smile(spark):
     assert smile["rmse"] < 1e-6 and smile["rho"] == pytest.approx(rho, abs=0.01) and smile["b"] == pytest.approx(b, abs=0.01)
 
 
+@pytest.mark.parametrize("case", ["planted", "clipped", "noise", "few strikes"])
+def test_no_feasible_point_beats_the_bounded_fit(case):
+    """Least squares within the bounds against a fine grid of feasible points, also where a bound holds the best one."""
+    import numpy as np
+
+    rng = np.random.default_rng(len(case))
+    sigma, m = 0.2, 0.05
+    k = np.linspace(-0.4, 0.4, 15) if case != "few strikes" else np.repeat([-0.1, 0.2], 4)
+    v = rng.random(len(k))
+    v /= v.sum()
+    y = (k - m) / sigma
+    z = np.sqrt(y * y + 1)
+    w = {"planted": 0.02 + 0.01 * y + 0.03 * z, "clipped": -0.05 + 0.3 * y + 0.2 * z, "noise": rng.standard_normal(len(k)) * 0.05 + 0.04, "few strikes": 0.03 + 0.2 * k}[case]
+    of = {"1": np.ones(len(k)), "y": y, "z": z, "w": w}
+    sums = {f"s{a}{b}": np.array([(v * of[a] * of[b]).sum()]) for a in of for b in of}
+    a, d, c, sse = (float(x[0]) for x in surface.bounded(sums, np.array([sigma])))
+    assert a >= 0 and 1e-6 * 0.99 <= c <= 5 * sigma * 1.01 and abs(d) <= 0.9991 * c
+    assert sse == pytest.approx(float((v * (a + d * y + c * z - w) ** 2).sum()), abs=1e-12)
+    for cc in np.linspace(1e-6, 5 * sigma, 120):
+        for dd in np.linspace(-0.999, 0.999, 61) * cc:
+            level = max(0.0, float((v * (w - dd * y - cc * z)).sum()))
+            assert sse <= float((v * (level + dd * y + cc * z - w) ** 2).sum()) + 1e-12
+
+
 def test_newey_west_by_hand(spark):
     xs = [0.1, 0.3, -0.2, 0.4, 0.0, 0.2, 0.1, -0.1, 0.3, 0.2]
     got = inference.newey_west(spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "g int, i int, x double"), "x", ["g"], "i").first()
