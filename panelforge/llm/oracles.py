@@ -15,10 +15,11 @@ r AS (SELECT doc_id AS id, doc_id AS root FROM g UNION SELECT e.b, r.root FROM r
 SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, m.root AS component_id FROM g JOIN (SELECT id, MIN(root) AS root FROM r GROUP BY id) m ON g.doc_id = m.id"""
 
 
-def _spans(kind: str, rank: int, pattern: str, group: int, keep: str) -> str:
-    """Rows (doc_id, kind, rank, start, end) of the matches whose group ``v`` passes ``keep``."""
+def _spans(kind: str, rank: int, pattern: str, group: int, keep: str, last: bool = False) -> str:
+    """Rows (doc_id, kind, rank, start, end) of the matches whose group ``v`` passes ``keep``; ``last``: the span is the group, at the match's end."""
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s, length(found[i]) AS size, vals[i] AS v
+    begin, size = (" + length(found[i]) - length(vals[i])", "length(vals[i])") if last else ("", "length(found[i])")
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0){begin} AS s, {size} AS size, vals[i] AS v
  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS found, regexp_extract_all(t, '{p}', {group}) AS vals FROM d WHERE regexp_matches(t, '{p}')) x) y WHERE {keep.format(v='vals[i]')}"""
 
 
@@ -38,9 +39,11 @@ def _op5() -> str:
         "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
         "access": (r"AKIA[A-Z0-9]+", 0, 20),
         "hex": (r"[0-9a-f]+", 0, 24),
+        # a token after a character that no token has, which this engine can only match with it
+        "jwt": (r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)", 2, 0),
     }
     rules = [(r.kind, *plain.get(r.kind, (r.pattern, r.group, r.least))) for r in RULES]
-    kinds = [_spans(kind, i, pattern, group, f"length({{v}}) >= {least}") for i, (kind, pattern, group, least) in enumerate(rules)]
+    kinds = [_spans(kind, i, pattern, group, f"length({{v}}) >= {least}", kind == "jwt") for i, (kind, pattern, group, least) in enumerate(rules)]
     return "WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), " + _digest(tuple(r.kind for r in BASE), kinds, "s, rank")
 
 
