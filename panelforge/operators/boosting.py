@@ -35,6 +35,8 @@ from panelforge.sources.tables import materialize
 #: Values (rows times features and five more) of a (cell, window) that one task may hold; rounds between two writings of the scores.
 TASK_VALUES = 20_000_000
 RENEW = 10
+#: Partitions over which (cell, window) pairs are dealt.
+PARTITIONS = 4096
 TRAIN, VALIDATION, TEST = 0, 1, 2
 
 
@@ -232,11 +234,19 @@ def in_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: str, k
     return rows.select(*keys, "window", *units, "_y", *[f"_x{i}" for i in range(len(features))], role.alias("_role"), F.xxhash64(*units).alias("_ident"))
 
 
-def oversized(panel: DataFrame, wins: DataFrame, width: int, y: str, keys: list[str], date_idx: str = "date_idx") -> list:
-    """(keys, window) whose rows are too many for a task, from the counts by date."""
+def oversized(panel: DataFrame, wins: DataFrame, width: int, y: str, keys: list[str], date_idx: str = "date_idx") -> tuple[list, int]:
+    """(keys, window) whose rows are too many for a task, and the number of all, from the counts by date."""
     daily = panel.where(F.col(y).isNotNull()).groupBy(*keys, date_idx).agg(F.count("*").alias("n"))
     inside = (F.col(date_idx) >= F.col("train_lo")) & (F.col(date_idx) < F.col("test_hi"))
-    return daily.join(F.broadcast(wins), inside).groupBy(*keys, "window").agg(F.sum("n").alias("n")).where(F.col("n") * (width + 5) > TASK_VALUES).select(*keys, "window").collect()
+    sizes = daily.join(F.broadcast(wins), inside).groupBy(*keys, "window").agg((F.sum("n") * (width + 5) > TASK_VALUES).alias("large")).persist()
+    out = sizes.where("large").select(*keys, "window").collect(), sizes.count()
+    sizes.unpersist()
+    return out
+
+
+def spread(rows: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    """Rows by (cell, window), a partition for each at most ``PARTITIONS``: by their bytes alone Spark would put many long fits into one task."""
+    return rows.repartition(max(1, min(PARTITIONS, 3 * groups)), *keys, "window")
 
 
 def _schema(rows: DataFrame, keys: list[str], units: list[str], extra: str) -> str:
@@ -386,14 +396,14 @@ def boosted_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: s
     """
     keys, units = list(keys), list(units)
     rows = in_windows(panel, wins, features, y, keys, units, date_idx)
-    large = oversized(panel, wins, len(features), y, keys, date_idx)
+    large, groups = oversized(panel, wins, len(features), y, keys, date_idx)
     if large:
         names = panel.sparkSession.createDataFrame(large, rows.select(*keys, "window").schema)
         near = F.broadcast(names)  # at most a row for each cell and window
-        out = grown_in_tasks(rows.join(near, [*keys, "window"], "left_anti"), len(features), keys, units, settings)
+        out = grown_in_tasks(spread(rows.join(near, [*keys, "window"], "left_anti"), keys, groups), len(features), keys, units, settings)
         out = out.unionByName(grown_by_level(rows.join(near, [*keys, "window"], "left_semi"), len(features), keys, units, settings))
     else:
-        out = grown_in_tasks(rows, len(features), keys, units, settings)
+        out = grown_in_tasks(spread(rows, keys, groups), len(features), keys, units, settings)
     return out.withColumnRenamed("_y", y)
 
 

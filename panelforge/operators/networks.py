@@ -96,7 +96,7 @@ def network_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: s
     """
     keys, units = list(keys), list(units)
     rows = boosting.in_windows(panel, wins, features, y, keys, units, date_idx)
-    large = boosting.oversized(panel, wins, len(features), y, keys, date_idx)
+    large, groups = boosting.oversized(panel, wins, len(features), y, keys, date_idx)
     if large and (keys or settings.loss == "squared"):
         raise ValueError("windows beyond a task's size: one cell at a time, and direction only")
     xs = [f"_x{i}" for i in range(len(features))]
@@ -117,7 +117,7 @@ def network_windows(panel: DataFrame, wins: DataFrame, features: list[str], y: s
     if large:
         names = F.broadcast(panel.sparkSession.createDataFrame(large, rows.select("window").schema))  # a row a window
         small = rows.join(names, "window", "left_anti")
-    out = small.groupBy(*keys, "window").applyInPandas(run, schema).withColumnRenamed("_y", y)
+    out = boosting.spread(small, keys, groups).groupBy(*keys, "window").applyInPandas(run, schema).withColumnRenamed("_y", y)
     if large:
         rest = walkforward.fit_windows(panel, wins.join(names, "window", "left_semi"), features, y, lambda width: walkforward.neural_direction(width, settings.layers), date_idx)
         out = out.unionByName(rest.select(*out.columns))
