@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import chain, inference
 from panelforge.functions.windows import average_rank, by, demean, forward_return
 from panelforge.plans.rounding import rounded, sql_rounded as R
-from panelforge.sources.tables import bars, contracts, ctes, listed, materialize
+from panelforge.sources.tables import bars, chain_and_bars, contracts, ctes, listed, materialize
 
 
 def pc_ratio_ic(spark, d):
@@ -21,7 +21,7 @@ def pc_ratio_ic(spark, d):
 
 
 def chain_sentiment(spark, d):
-    return rounded(chain.sentiment(contracts(spark, d), bars(spark, d, "month")))
+    return rounded(chain.sentiment(*chain_and_bars(spark, d)))
 
 
 def chain_atm_skew_term(spark, d):
@@ -33,7 +33,7 @@ def chain_activity(spark, d):
 
 
 def gex(spark, d):
-    return rounded(chain.gamma_exposure(contracts(spark, d), bars(spark, d, "month")), 2)
+    return rounded(chain.gamma_exposure(*chain_and_bars(spark, d)), 2)
 
 
 def parity_deviation(spark, d):
@@ -50,7 +50,7 @@ def opening_trades_by_expiry(spark, d):
 
 
 def implied_event_move(spark, d):
-    return rounded(chain.event_move(contracts(spark, d), bars(spark, d, "month")))
+    return rounded(chain.event_move(*chain_and_bars(spark, d)))
 
 
 def bkm_moments(spark, d):

@@ -10,7 +10,7 @@ from panelforge.plans.evaluation_queries import _DAILY, _INTERVAL, CUBE, LF, _dr
 from panelforge.plans import chain_queries as CQ
 from panelforge.plans.model_queries import _SVI
 from panelforge.plans.rounding import rounded, sql_rounded as R
-from panelforge.sources.tables import bars, contracts, ctes, materialize, preds, scan
+from panelforge.sources.tables import bars, chain_and_bars, contracts, ctes, materialize, preds, scan
 
 col = F.col
 
@@ -113,7 +113,7 @@ def optional_events(spark, d):
 
 def regime_ic(spark, d):
     """Pooled IC by volatility, nearness of earnings and sign of the gamma exposure, which a left join brings by month; values of 30 rows and more."""
-    gex = chain.gamma_exposure(contracts(spark, d), bars(spark, d, "month")).select("ticker", col("date").alias("month"), "gex")
+    gex = chain.gamma_exposure(*chain_and_bars(spark, d)).select("ticker", col("date").alias("month"), "gex")
     p = studies.with_regimes(preds(spark, d).withColumn("month", F.trunc("date", "month")), gex, ["ticker", "month"])
     labels = studies.regime_labels(col("vix_close"), col("days_to_next_earnings"), col("gex"))
     return rounded(metrics.by_regime(p, labels, "pred", "y_demeaned", ["feature_set", "horizon"], 30).select("feature_set", "horizon", "regime", "value", "n", "ic"))

@@ -114,6 +114,12 @@ def contracts(spark: SparkSession, sf_dir: str, months: DataFrame | None = None)
     return _sql(spark, sf_dir, CONTRACTS, bars_m=bars(spark, sf_dir, "month") if months is None else months)
 
 
+def chain_and_bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The option chain and the bars by month, which it is built on."""
+    months = bars(spark, sf_dir, "month")
+    return contracts(spark, sf_dir, months), months
+
+
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts with an expiry, by the months in which they are observed."""
     return _sql(spark, sf_dir, LISTED)
