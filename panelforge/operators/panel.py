@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalars import zero_if_missing
 from panelforge.operators import selection
+from panelforge.sources.tables import materialize
 
 
 def date_index(df: DataFrame, time: str = "date") -> DataFrame:
@@ -121,32 +122,59 @@ def every_kth_date(df: DataFrame, k: int, time: str = "date") -> DataFrame:
     return df.join(F.broadcast(date_index(df, time).where(F.col("date_idx") % k == 0).select(time)), time, "left_semi")
 
 
-def causal_median(df: DataFrame, value: str, time: str = "date", bins: int = 256) -> DataFrame:
+def causal_median(df: DataFrame, value: str, time: str = "date", bins: int = 256, together: int = 5_000_000) -> DataFrame:
     """Median of all values on strictly earlier dates, for each date; null where there are none.
 
-    Exact, in two steps. Values are counted by date and bin between approximate
-    quantiles of all values; the counts, summed over dates and then over bins,
-    tell which bin holds a date's middle values, and how many lie below it.
-    Only that bin's values are then ranked. ``df`` is read several times.
+    Exact. Values are counted by date, then by date and bin between approximate
+    quantiles; the counts before a date tell which bin holds its middle values,
+    and how many lie below. Each quantile is a bin of its own, whose value is
+    known, so a bin between two of them keeps about one value in ``bins``, however
+    often a value repeats. Bins that hold a middle are cut again until values x
+    dates that ask for them are at most ``together``; those are ranked. At most
+    two bins a date are sought, which bounds what is broadcast.
     """
     dates = date_index(df, time)
-    counts = df.where(F.col(value).isNotNull()).groupBy(time, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    edges = counts.agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000).alias("_e"))
-    binned = counts.crossJoin(F.broadcast(edges)).join(F.broadcast(dates), time).select("date_idx", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_b"), "_v", "_c")
-    daily = binned.groupBy("date_idx", "_b").agg(F.sum("_c").alias("_c"))
-    cells = dates.select("date_idx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_b")).join(daily, ["date_idx", "_b"], "left")
-    earlier = F.sum("_c").over(Window.partitionBy("_b").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, -1))
-    held = cells.select("date_idx", "_b", F.coalesce(earlier, F.lit(0)).alias("_n"))
-    day = Window.partitionBy("date_idx")
-    held = held.withColumn("_to", F.sum("_n").over(day.orderBy("_b"))).withColumn("_all", F.sum("_n").over(day)).withColumn("_from", F.col("_to") - F.col("_n"))
-    middle = F.array_distinct(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
-    # at most two rows a date
-    sought = held.where("_all > 0").select("date_idx", "_b", "_from", "_to", F.explode(middle).alias("_rank")).where("_rank >= _from and _rank < _to").drop("_to")
-    past = binned.withColumnRenamed("date_idx", "_i").join(F.broadcast(sought), "_b").where("_i < date_idx")
-    ranked = past.groupBy("date_idx", "_rank", "_from", "_v").agg(F.sum("_c").alias("_c"))
-    upto = F.col("_from") + F.sum("_c").over(Window.partitionBy("date_idx", "_rank").orderBy("_v"))
-    found = ranked.withColumn("_upto", upto).where("_upto > _rank").groupBy("date_idx", "_rank").agg(F.min("_v").alias("_v"))
-    return dates.join(found.groupBy("date_idx").agg(F.avg("_v").alias("median")), "date_idx", "left").select(time, "median")
+    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(dates), time).groupBy(F.col("date_idx").alias("_i"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    inside = materialize(rows.withColumn("_p", F.lit(0).cast("long")), "causal")
+    before = F.sum("_n").over(Window.orderBy("date_idx").rowsBetween(Window.unboundedPreceding, -1))  # a row for each date
+    totals = dates.select("date_idx").join(inside.groupBy(F.col("_i").alias("date_idx")).agg(F.sum("_c").alias("_n")), "date_idx", "left").select("date_idx", before.alias("_n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    sought = materialize(totals.where("_n > 0").select("date_idx", F.lit(0).cast("long").alias("_p"), F.explode(middle).alias("_rank")), "sought")
+    found = []
+    while (sought.groupBy("_p").agg(F.count("*").alias("_d")).join(inside.groupBy("_p").agg(F.count("*").alias("_n")), "_p").agg(F.sum(F.col("_d") * F.col("_n"))).first()[0] or 0) > together:
+        inside, sought, values = _cut(inside, sought, bins)
+        found.append(values)
+    past = inside.join(F.broadcast(sought), "_p").where("_i < date_idx")
+    upto = F.sum("_c").over(Window.partitionBy("date_idx", "_p", "_rank").orderBy("_v"))
+    ranked = past.groupBy("date_idx", "_p", "_rank", "_v").agg(F.sum("_c").alias("_c")).withColumn("_upto", upto)
+    found.append(ranked.where("_upto > _rank").groupBy("date_idx", "_p", "_rank").agg(F.min("_v").alias("_v")).select("date_idx", "_v"))
+    medians = reduce(DataFrame.unionByName, found).groupBy("date_idx").agg(F.avg("_v").alias("median"))
+    return dates.join(medians, "date_idx", "left").select(time, "median")
+
+
+def _cut(inside: DataFrame, sought: DataFrame, bins: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level of ``causal_median``: values of the bins that still hold a sought rank, the ranks within them, values found.
+
+    ``inside(_p, _i, _v, _c)`` are values of bin p with their count on date i;
+    ``sought(date_idx, _p, _rank)`` are ranks among the bin's values before the date.
+    """
+    # written once: a second sketch may give other quantiles
+    edges = F.broadcast(materialize(inside.groupBy("_p").agg(F.array_distinct(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000)).alias("_e")), "edges"))
+    at = F.size(F.filter("_e", lambda e: e < F.col("_v"))) + F.size(F.filter("_e", lambda e: e <= F.col("_v")))  # odd: a quantile itself
+    binned = inside.join(edges, "_p").select("_p", "_i", "_v", "_c", at.alias("_b"))
+    asked = sought.groupBy("_p", F.col("date_idx").alias("_i")).agg(F.collect_set("_rank").alias("_ranks"))  # at most two
+    cells = asked.join(edges, "_p").select("_p", "_i", "_ranks", F.explode(F.sequence(F.lit(0), 2 * F.size("_e"))).alias("_b"))
+    daily = binned.groupBy("_p", "_i", "_b").agg(F.sum("_c").alias("_c")).unionByName(cells, allowMissingColumns=True)
+    before = F.sum("_c").over(Window.partitionBy("_p", "_b").orderBy("_i").rangeBetween(Window.unboundedPreceding, -1))
+    held = daily.withColumn("_n", F.coalesce(before, F.lit(0))).where("_ranks is not null")
+    held = held.withColumn("_to", F.sum("_n").over(Window.partitionBy("_p", "_i").orderBy("_b"))).withColumn("_from", F.col("_to") - F.col("_n"))
+    placed = held.select("*", F.explode("_ranks").alias("_rank")).where("_rank >= _from and _rank < _to").join(edges, "_p")
+    name = (F.col("_p") * (2 * bins) + F.col("_b")).alias("_p")
+    known = F.when(F.col("_b") % 2 == 1, F.get("_e", F.floor(F.col("_b") / 2).cast("int")))
+    placed = materialize(placed.select(F.col("_i").alias("date_idx"), name, (F.col("_rank") - F.col("_from")).alias("_rank"), known.alias("_v")), "sought")
+    rest = placed.where("_v is null").drop("_v")
+    inside = materialize(binned.select(name, "_i", "_v", "_c").join(F.broadcast(rest.select("_p").distinct()), "_p", "left_semi"), "causal")
+    return inside, rest, placed.where("_v is not null").select("date_idx", "_v")
 
 
 def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:

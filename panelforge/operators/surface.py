@@ -102,9 +102,12 @@ def _solve(p: DataFrame) -> DataFrame:
 
 
 def fit_svi(chain: DataFrame) -> DataFrame:
-    """Smile parameters and error of each (entity, date, expiry): a coarse grid, then a finer one around its best point."""
+    """Smile parameters and error of each (entity, date, expiry): a coarse grid, then a finer one around its best point.
+
+    The quotes' four numbers are written, as both grids read them: the chain is computed once.
+    """
     spark = chain.sparkSession
-    points = smile_points(chain)
+    points = materialize(smile_points(chain), "points")
     coarse = _solve(points.crossJoin(F.broadcast(spark.createDataFrame(GRID, "m double, sigma double"))))
     steps = F.explode(F.array(*[F.struct(F.lit(dm).alias("dm"), F.lit(fs).alias("fs")) for dm in (-0.05, 0.0, 0.05) for fs in (0.7, 1.0, 1.4)])).alias("s")
     near = coarse.select(*SMILE, "m", "sigma", steps).select(*SMILE, (F.col("m") + F.col("s.dm")).alias("m"), (F.col("sigma") * F.col("s.fs")).alias("sigma"))

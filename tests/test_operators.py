@@ -238,14 +238,33 @@ def test_causal_median_equals_every_past_value(spark):
 
     rows = [(d, None if d == 7 or (d + i) % 13 == 0 else float((d * 31 + i * 17) % 23)) for d in range(20) for i in range(1 + d % 4)]
     df = spark.createDataFrame(rows, "date int, x double")
-    for bins in (2, 5, 256):
-        got = {r["date"]: r["median"] for r in panel.causal_median(df, "x", bins=bins).collect()}
-        for d in range(20):
-            past = [v for e, v in rows if e < d and v is not None]
-            assert got[d] == (statistics.median(past) if past else None)
+    want = {d: statistics.median(past) if (past := [v for e, v in rows if e < d and v is not None]) else None for d in range(20)}
+    for bins, together in ((2, 10**6), (4, 0), (256, 0)):
+        assert {r["date"]: r["median"] for r in panel.causal_median(df, "x", bins=bins, together=together).collect()} == want
     assert panel.causal_median(df.limit(0), "x").count() == 0
 
 
+def test_causal_median_cuts_bins_until_they_fit(spark):
+    """A drifting middle, one value in half of all rows, numbers of both signs: at every level fewer values are left."""
+    import random
+    import statistics
+
+    from panelforge.operators import panel
+
+    rng = random.Random(3)
+    rows = [(d, 0.25 if rng.random() < 0.5 and d > 15 else round(rng.gauss(d / 5 - 3, 2), 3)) for d in range(40) for _ in range(25)]
+    df = spark.createDataFrame(rows, "date int, x double").repartition(4)
+    want = {d: statistics.median(past) if (past := [v for e, v in rows if e < d]) else None for d in range(40)}
+    left, cut = [], panel._cut
+    try:
+        panel._cut = lambda inside, sought, bins: (left.append(inside.count()), cut(inside, sought, bins))[1]
+        got = {r["date"]: r["median"] for r in panel.causal_median(df, "x", bins=16, together=300).collect()}
+    finally:
+        panel._cut = cut
+    assert got == want
+    assert len(left) > 1 and all(a > b for a, b in zip(left, left[1:]))
+
+
 def test_parity_meets_every_call_with_every_put(spark):
     from panelforge.operators import chain
 
