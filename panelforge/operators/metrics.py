@@ -106,14 +106,15 @@ def comparison(table: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER
     return table.select(*keys, *[c for c in order if c in table.columns])
 
 
-def by_label(preds: DataFrame, labels: dict[str, Column], least: int) -> DataFrame:
-    """Rows once for each regime, with its name and the row's ``value``; values of too few rows in all sets together stay out of a set that has too few."""
+def by_label(preds: DataFrame, labels: dict[str, Column], least: int, keys: tuple[str, ...] = ("feature_set",)) -> DataFrame:
+    """Rows once for each regime, with its name and the row's ``value``; a value with fewer than ``least`` rows in a cell (``keys``) is left out of that cell."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("regime"), c.alias("value")) for n, c in labels.items()]))
     long = preds.withColumn("_l", each).select(*preds.columns, "_l.regime", "_l.value").where("value is not null")
     if least <= 1:
         return long
-    enough = long.groupBy("feature_set", "regime", "value").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return long.join(F.broadcast(enough), ["feature_set", "regime", "value"], "left_semi")  # a row for each set and value
+    cell = [*keys, "regime", "value"]
+    enough = long.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return long.join(F.broadcast(enough), cell, "left_semi")  # a row for each cell and value
 
 
 def by_regime(preds: DataFrame, labels: dict[str, Column], pred: str, y: str, keys: list[str], least: int = 10) -> DataFrame:
