@@ -1,9 +1,10 @@
 """The pipeline keeps what each stage should keep."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelforge.llm import decontamination, ngram_join
+from panelforge.llm import decontamination, language_id, ngram_join
 from panelforge.llm.common import read
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,27 @@ def test_stages_on_awkward_rows(spark):
             assert docs.columns == columns
     # one of the prose rows, one of the long ones, and both texts under number 5
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:8]) for r in docs.collect()) == [(1, "the quic"), (3, "word0 wo"), (5, "another "), (5, "été noël")]
+
+
+def test_long_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Batches are bounded by bytes, not by rows alone: 20 MB of texts in one partition reach a worker in parts, and every row does."""
+
+    def weigh(langs, model, least):
+        def run(batches):
+            for batch in batches:
+                yield batch.set_column(4, "n_chars", pa.array([batch.nbytes] * batch.num_rows, pa.int64()))
+
+        return run
+
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    docs = spark.range(2000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    monkeypatch.setattr(language_id, "_judge", weigh)
+    try:
+        spark.conf.unset(key)
+        seen = [r["n_chars"] for r in corpus_pipeline.identify(spark, docs, DATA).select("n_chars").collect()]
+        assert len(seen) == 2000 and max(seen) < 1.25 * size
+        spark.conf.set(key, "1m")
+        corpus_pipeline.bound_batches(spark)  # the session's own limit stays
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
